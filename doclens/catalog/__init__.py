@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from doclens.catalog.base import ORACLES, QUERIES
 
-MODULES = ["text"]
+MODULES = ["text", "cleaning", "profiling", "sampling", "features", "ranking"]
 
 
 def load() -> tuple[dict, dict]:

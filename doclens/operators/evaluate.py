@@ -36,18 +36,20 @@ def class_scores(
     """
     counts = confusion_counts(df, label, prediction, *by)
     same = F.col("label") == F.col("prediction")
+
+    def side(name: str, support: Column, predicted: Column, hits: Column) -> Column:
+        return F.struct(
+            F.col(name).alias("class"),
+            support.cast("long").alias("support"),
+            predicted.cast("long").alias("predicted"),
+            hits.cast("long").alias("hits"),
+        )
+
+    n, none = F.col("n"), F.lit(0)
     sides = counts.select(
         *by,
         F.inline(
-            F.array(
-                F.struct(
-                    F.col("label").alias("class"),
-                    F.col("n").alias("support"),
-                    F.lit(0).cast("long").alias("predicted"),
-                    F.when(same, F.col("n")).otherwise(0).cast("long").alias("hits"),
-                ),
-                F.struct(F.col("prediction"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")),
-            )
+            F.array(side("label", n, none, F.when(same, n).otherwise(none)), side("prediction", none, n, none))
         ),
     )
     if classes is not None:

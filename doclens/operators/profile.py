@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclens import lexicon as lx
@@ -22,11 +22,14 @@ def profile_dataset(df: DataFrame, category_column: str = "category") -> DataFra
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(columns)],
     )
-    shape = [F.struct(F.lit("shape").alias("section"), F.lit("rows").alias("name"), F.col("rows").cast("double").alias("value"))]
-    shape += [F.struct(F.lit("shape"), F.lit("columns"), F.lit(float(len(columns))))]
-    nulls = [
-        F.struct(F.lit("missing"), F.lit(c), F.col(f"null_{i}").cast("double")) for i, c in enumerate(columns)
-    ]
+
+    def entry(section: str, name: str, value: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(name).alias("name"), value.cast("double").alias("value")
+        )
+
+    shape = [entry("shape", "rows", F.col("rows")), entry("shape", "columns", F.lit(len(columns)))]
+    nulls = [entry("missing", c, F.col(f"null_{i}")) for i, c in enumerate(columns)]
     base = counted.select(F.inline(F.array(*shape, *nulls)))
     # whole rows compare through a digest of their JSON form: short keys, map-side combine
     duplicates = (
