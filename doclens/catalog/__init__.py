@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
+
 from doclens.catalog.base import ORACLES, QUERIES
 
-MODULES = ["text", "cleaning", "profiling", "sampling", "features", "ranking"]
+MODULES = [
+    "sources", "profiling", "cleaning", "sampling", "text", "features", "ranking", "classification", "evaluation",
+]
 
 
 def load() -> tuple[dict, dict]:
     """Import all query modules and return ``(queries, oracle_sql)``."""
-    import importlib
-
     for module in MODULES:
         importlib.import_module(f"doclens.catalog.{module}")
     return dict(QUERIES), dict(ORACLES)

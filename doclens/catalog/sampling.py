@@ -42,14 +42,14 @@ def _(spark, d):
 
 
 SQL_SPLIT = """
-sizes AS (SELECT {label} AS label, count(*) AS n_c FROM {source} GROUP BY 1),
-shares AS (SELECT label, n_c, (SELECT ceil(sum(n_c) * CAST(0.2 AS DOUBLE)) FROM sizes)::BIGINT AS n_test,
-                  (SELECT sum(n_c) FROM sizes)::BIGINT AS n FROM sizes),
-floors AS (SELECT *, (n_c * n_test) // n AS base, (n_c * n_test) % n AS rest FROM shares),
-quotas AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, label)
+sizes AS (SELECT {label} AS class, count(*) AS n_c FROM {source} GROUP BY 1),
+portions AS (SELECT class, n_c, (SELECT ceil(sum(n_c) * CAST(0.2 AS DOUBLE)) FROM sizes)::BIGINT AS n_test,
+                    (SELECT sum(n_c) FROM sizes)::BIGINT AS n FROM sizes),
+floors AS (SELECT *, (n_c * n_test) // n AS base, (n_c * n_test) % n AS rest FROM portions),
+quotas AS (SELECT class, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, class)
                   <= n_test - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM floors),
-split AS (SELECT s.*, row_number() OVER (PARTITION BY {label} ORDER BY {hash}) <= q.quota AS is_test
-          FROM {source} s JOIN quotas q ON s.{label} = q.label)
+split AS (SELECT s.*, row_number() OVER (PARTITION BY q.class ORDER BY {hash}) <= q.quota AS is_test
+          FROM {source} s JOIN quotas q ON s.{label} = q.class)
 """
 
 
