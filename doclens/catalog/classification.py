@@ -1,8 +1,8 @@
 """Queries of model fits, tuning, calibration, training and prediction (rows-only checks).
 
 Fits run on whole tables: the embeddings (10 labels) and the candidate documents.
-Boosting rounds and grids are smaller than the library defaults, which need
-hundreds of fits.
+Boosting rounds, trees and kernel features are fewer than the library defaults,
+which need hundreds of passes.
 """
 
 from pyspark.ml.functions import array_to_vector
@@ -14,8 +14,9 @@ from doclens.plans import screen as screening
 from doclens.plans import train
 from doclens.session import shared_folder, written
 
-_BOOSTED = {"rounds": 3, "depth": 3, "parallelism": 8}
-_SMALL_FOREST = {"trees": 40, "depth": 10}
+_BOOSTED = {"rounds": 2, "depth": 3, "parallelism": 8}
+_SMALL_FOREST = {"trees": 40, "depth": 8}
+_SMALL_SVM = {"dims": 128, "max_iter": 20, "parallelism": 8}
 
 
 def _embedded(spark, d):
@@ -49,7 +50,7 @@ def _(spark, d):
 
 @query("fit_random_forest")
 def _(spark, d):
-    return _fit_and_score(spark, d, "random_forest")
+    return _fit_and_score(spark, d, "random_forest", **_SMALL_FOREST)
 
 
 @query("fit_gradient_boosting")
@@ -64,7 +65,7 @@ def _(spark, d):
 
 @query("fit_svm")
 def _(spark, d):
-    return _fit_and_score(spark, d, "svm", parallelism=8)
+    return _fit_and_score(spark, d, "svm", **_SMALL_SVM)
 
 
 @query("tune")
@@ -86,9 +87,13 @@ def _training_table(spark, d):
     return resumes.filter("resume_text IS NOT NULL")
 
 
+_FEW_STEPS = {"max_iter": 50}
+
+
 def _trained(spark, d, **options):
     return train.train_classifier(
-        _training_table(spark, d), "resume_id", as_of_year=AS_OF_YEAR, tune=False, **options
+        _training_table(spark, d), id_column="resume_id", as_of_year=AS_OF_YEAR, tune=False, params=_FEW_STEPS,
+        **options,
     )
 
 
@@ -125,8 +130,8 @@ def _(spark, d):
     models = {
         "gradient_boosting": _BOOSTED,
         "random_forest": _SMALL_FOREST,
-        "logistic": {},
-        "svm": {"parallelism": 8},
+        "logistic": _FEW_STEPS,
+        "svm": _SMALL_SVM,
         "xgboost": _BOOSTED,
     }
     return train.compare_models(

@@ -36,8 +36,10 @@ SQL_EDUCATION = (
     + " ELSE 0 END"
 )
 _RAW = fold("coalesce(resume_text, '')")
+_LATEST = f"list_max({_ints(_RAW, lx.YEAR_TOKEN)})"
 SQL_RECENCY = (
-    f"coalesce(greatest(CAST(0 AS DOUBLE), 1 - greatest(0, {AS_OF_YEAR} - list_max({_ints(_RAW, lx.YEAR_TOKEN)})) / CAST(15 AS DOUBLE)), 0)"
+    f"CASE WHEN {_LATEST} IS NULL THEN CAST(0 AS DOUBLE) "
+    f"ELSE greatest(CAST(0 AS DOUBLE), 1 - greatest(0, {AS_OF_YEAR} - {_LATEST}) / CAST(15 AS DOUBLE)) END"
 )
 SQL_TITLES = {
     f"job_title_{family}": f"CASE WHEN {_any(_LOWER, words)} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"

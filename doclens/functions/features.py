@@ -76,10 +76,14 @@ def skill_density(text: ColumnLike, skills: ColumnLike) -> Column:
 
 
 def recency_score(text: ColumnLike, as_of_year: int | None = None) -> Column:
-    """1 when the latest year named is this year or later, falling to 0 over 15 years."""
-    latest = F.array_max(_all_numbers(text_or_empty(text), lx.YEAR_TOKEN))
-    gap = F.greatest(F.lit(_year(as_of_year)) - latest, F.lit(0))
-    return F.coalesce(F.greatest(F.lit(1.0) - gap / F.lit(15.0), F.lit(0.0)), F.lit(0.0))
+    """1 when the latest year named is this year or later, falling to 0 over 15 years; 0 without any."""
+
+    def score(latest: Column) -> Column:
+        # greatest() skips NULL, so a text without a year needs its own branch
+        gap = F.greatest(F.lit(_year(as_of_year)) - latest, F.lit(0))
+        return F.when(latest.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(1.0) - gap / F.lit(15.0), F.lit(0.0)))
+
+    return bind(F.array_max(_all_numbers(text_or_empty(text), lx.YEAR_TOKEN)), score)
 
 
 def job_title_signals(text: ColumnLike) -> dict[str, Column]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,7 +136,7 @@ def clean_text(text: ColumnLike, keep_terms: bool = True) -> Column:
 
 
 def default_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
+    return list(lx.STOP_WORDS)
 
 
 def remove_stopwords(text: ColumnLike, stop_words: list[str] | None = None) -> Column:

@@ -54,10 +54,10 @@ def with_class_weight(df: DataFrame, label_column: str = "label", output: str =
 # -- estimators ------------------------------------------------------------------------
 
 
-def logistic(rows: int, c: float = 1.0, max_iter: int = 2000) -> LogisticRegression:
+def logistic(rows: int, c: float = 1.0, max_iter: int = 2000, tol: float = 1e-4) -> LogisticRegression:
     """Multinomial logistic regression with an L2 penalty of strength 1/C over the summed loss."""
     return LogisticRegression(
-        family="multinomial", maxIter=max_iter, regParam=1.0 / (c * max(rows, 1)), standardization=False,
+        family="multinomial", maxIter=max_iter, tol=tol, regParam=1.0 / (c * max(rows, 1)), standardization=False,
         weightCol="class_weight",
     )
 
@@ -81,8 +81,10 @@ def boosted_trees(
     return OneVsRest(classifier=trees, parallelism=parallelism)
 
 
-def linear_svm(rows: int, c: float = 10.0, max_iter: int = 200, parallelism: int = 4) -> OneVsRest:
-    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(rows, 1)), standardization=False)
+def linear_svm(
+    rows: int, c: float = 10.0, max_iter: int = 200, tol: float = 1e-3, parallelism: int = 4
+) -> OneVsRest:
+    svc = LinearSVC(maxIter=max_iter, tol=tol, regParam=1.0 / (c * max(rows, 1)), standardization=False)
     return OneVsRest(classifier=svc, parallelism=parallelism, weightCol="class_weight")
 
 
@@ -234,7 +236,7 @@ def tune(
         estimator=base, estimatorParamMaps=maps, evaluator=MacroF1(), numFolds=_FOLDS, parallelism=parallelism,
         seed=DEFAULT_SEED,
     )
-    scores = search.fit(weighted).avgMetrics
+    scores = [float(m) for m in search.fit(weighted).avgMetrics]
     best = max(range(len(grid)), key=lambda i: scores[i])
     return grid[best], list(zip(grid, scores))
 
@@ -267,13 +269,18 @@ class CalibratedClassifier:
         )
 
 
+def _class_score(scores: str, c: int) -> Column:
+    """Score of class ``c``; 0 when the fold's model never saw a class that high."""
+    return F.coalesce(F.get(F.col(scores), F.lit(c)), F.lit(0.0))
+
+
 def _calibrated(df: DataFrame, curves: list, classes: int, output: str) -> DataFrame:
     """Add the normalised calibrated probabilities of one fold from its class scores ``_s``."""
     work = df
     names = []
     for c, curve in curves:
         name = f"_c{c}"
-        work = curve.transform(work.withColumn("_x", F.get("_s", F.lit(c)))).withColumnRenamed("_y", name)
+        work = curve.transform(work.withColumn("_x", _class_score("_s", c))).withColumnRenamed("_y", name)
         names.append((c, name))
     if classes == 2 and len(names) == 1:
         values = [1.0 - F.col(names[0][1]), F.col(names[0][1])]
@@ -307,7 +314,7 @@ def calibrate(
         curves = []
         for c in targets:
             pairs = scored.select(
-                F.get("scores", F.lit(c)).alias("_x"), (F.col("label") == c).cast("double").alias("_t")
+                _class_score("scores", c).alias("_x"), (F.col("label") == c).cast("double").alias("_t")
             )
             curves.append(
                 (c, IsotonicRegression(featuresCol="_x", labelCol="_t", predictionCol="_y").fit(pairs))

@@ -26,6 +26,7 @@ _MODEL_CLASSES = {
     "xgboost": OneVsRestModel,
     "svm": OneVsRestModel,
 }
+_ROWS_PER_TASK = 20_000
 
 
 @dataclass
@@ -191,95 +192,123 @@ class TrainingResult:
         return evaluate.confusion_matrix(self.test_predictions, self.classifier.classes)
 
 
-def train_classifier(
+@dataclass
+class TrainingData:
+    """Feature vectors of all rows, written once and shared by every fit."""
+
+    plan: FeaturePlan
+    classes: list[str]
+    rows: DataFrame  # id, label, is_test (NULL for holdout), features
+    id_column: str
+    sizes: dict
+
+    @property
+    def train(self) -> DataFrame:
+        return self.rows.filter("NOT is_test")
+
+
+def prepare_training(
     df: DataFrame,
     id_column: str = "doc_id",
     raw_column: str = "resume_text",
     clean_column: str = "cleaned_text",
     label_column: str = "category",
-    model_type: str = "logistic",
     backend: str = "hashed",
     use_structured: bool = True,
     test_size: float = 0.2,
-    calibrate: bool = True,
-    tune: bool = True,
     as_of_year: int | None = None,
     seed: int = DEFAULT_SEED,
-    **params,
-) -> TrainingResult:
-    """Split, fit features on the train split, tune, calibrate, evaluate.
-
-    Label codes cover all rows, holdout included. Feature vectors are written
-    once; every fit, fold and evaluation reads that table.
-    """
+) -> TrainingData:
+    """Encode labels over all rows, split, fit the features on the train split, vectorise."""
     if clean_column not in df.columns:
         df = tokens.preprocess_documents(df, raw_column, id_column, clean_column)
     codes = vectors.label_codes(df, label_column)
-    classes = [r[label_column] for r in codes.orderBy("code").collect()]
+    classes = [r[label_column] for r in codes.orderBy("code").collect()]  # class names only
     labelled = vectors.encode_labels(df, label_column, codes).withColumn("label", F.col("code").cast("double"))
     has_tag = "data_source" in df.columns
     if not has_tag:
         labelled = labelled.withColumn("data_source", F.lit("train"))
     is_holdout = F.coalesce(F.col("data_source") == "holdout", F.lit(False))
-    training = sampling.train_test_split(labelled.filter(~is_holdout), id_column, label_column, test_size, seed)
-    rows = training
+    rows = sampling.train_test_split(labelled.filter(~is_holdout), id_column, label_column, test_size, seed)
     if has_tag:
         rows = rows.unionByName(labelled.filter(is_holdout).withColumn("is_test", F.lit(None).cast("boolean")))
     plan = FeaturePlan(backend, use_structured, as_of_year)
     base = rows.select(id_column, raw_column, clean_column, "label", "is_test")
     prepared = written(plan.prepare(base, raw_column, clean_column), "prepared")
     plan.fit(prepared.filter("NOT is_test"))
-    ready = written(
-        plan.transform(prepared).select(id_column, "label", "is_test", "features"), "features"
-    )
-    train, test = ready.filter("NOT is_test"), ready.filter("is_test")
+    ready = written(plan.transform(prepared).select(id_column, "label", "is_test", "features"), "features")
+    by_flag = {r["is_test"]: r["count"] for r in ready.groupBy("is_test").count().collect()}
+    # iterative fits run one job per step: a small table must not pay for many near-empty tasks
+    wanted = -(-sum(by_flag.values()) // _ROWS_PER_TASK)
+    ready = ready.coalesce(max(1, wanted))
+    first = ready.select("features").first()
+    sizes = {
+        "train_size": by_flag.get(False, 0),
+        "test_size": by_flag.get(True, 0),
+        "holdout_size": by_flag.get(None, 0),
+        "n_features": first["features"].size if first else 0,
+        "n_classes": len(classes),
+    }
+    return TrainingData(plan, classes, ready, id_column, sizes)
+
+
+def fit_prepared(
+    data: TrainingData, model_type: str = "logistic", calibrate: bool = True, tune: bool = True, **params
+) -> TrainingResult:
+    """Tune, fit or calibrate one model type, then predict the test split and the holdout."""
     tuned: dict = {}
     if tune and not params:
-        tuned, _ = classify.tune(train, model_type)
+        tuned, _ = classify.tune(data.train, model_type)
     chosen = {**tuned, **params}
     if calibrate:
-        fitted = classify.calibrate(train, model_type, id_column, len(classes), **chosen)
+        fitted = classify.calibrate(data.train, model_type, data.id_column, len(data.classes), **chosen)
     else:
-        fitted = classify.fit_classifier(train, model_type, **chosen)
-
-    names = F.array(*[F.lit(c) for c in classes])
+        fitted = classify.fit_classifier(data.train, model_type, **chosen)
+    names = F.array(*[F.lit(c) for c in data.classes])
 
     def predicted(part: DataFrame) -> DataFrame:
-        out = classify.predict(fitted, part, classes).select(
-            id_column,
+        out = classify.predict(fitted, part, data.classes).select(
+            data.id_column,
             F.get(names, F.col("label").cast("int")).alias("label"),
             F.col("category").alias("prediction"),
             "confidence",
         )
         return written(out, "predictions")
 
-    counted = ready.groupBy("is_test").count().collect()
-    by_flag = {r["is_test"]: r["count"] for r in counted}
-    width = train.select(F.col("features")).first()["features"].size if by_flag.get(False) else 0
-    sizes = {
-        "train_size": by_flag.get(False, 0),
-        "test_size": by_flag.get(True, 0),
-        "holdout_size": by_flag.get(None, 0),
-        "n_features": width,
-        "n_classes": len(classes),
-    }
-    holdout = predicted(ready.filter("is_test IS NULL")) if by_flag.get(None) else None
+    holdout = predicted(data.rows.filter("is_test IS NULL")) if data.sizes["holdout_size"] else None
     return TrainingResult(
-        DocumentClassifier(plan, classes, fitted), predicted(test), holdout, sizes, tuned
+        DocumentClassifier(data.plan, data.classes, fitted),
+        predicted(data.rows.filter("is_test")),
+        holdout,
+        data.sizes,
+        tuned,
     )
 
 
-def compare_models(df: DataFrame, models: dict[str, dict] | None = None, **options) -> DataFrame:
-    """One metrics row per model type, with ``is_best`` on the highest macro F1.
+def train_classifier(
+    df: DataFrame, model_type: str = "logistic", calibrate: bool = True, tune: bool = True,
+    params: dict | None = None, **preparation,
+) -> TrainingResult:
+    """Split, fit features on the train split, tune, calibrate, evaluate.
+
+    ``params`` are the model's parameters; ``preparation`` goes to ``prepare_training``.
+    """
+    return fit_prepared(prepare_training(df, **preparation), model_type, calibrate, tune, **(params or {}))
+
+
+def compare_models(
+    df: DataFrame, models: dict[str, dict] | None = None, calibrate: bool = True, tune: bool = True, **preparation
+) -> DataFrame:
+    """One metrics row per model type on the same features, with ``is_best`` on the highest macro F1.
 
     ``models`` maps the model type to its parameters.
     """
-    models = models or {m: {} for m in classify.COMPARED_MODELS}
+    data = prepare_training(df, **preparation)
     rows = []
-    for model_type, params in models.items():
-        result = train_classifier(df, model_type=model_type, **options, **params)
+    for model_type, params in (models or {m: {} for m in classify.COMPARED_MODELS}).items():
+        result = fit_prepared(data, model_type, calibrate, tune, **params)
         scores = evaluate.metrics_row(result.test_predictions).first()
-        rows.append((model_type, scores["accuracy"], scores["f1_macro"], scores["f1_weighted"], scores["calibration_error"]))
+        rows.append((model_type, *[scores[c] for c in ("accuracy", "f1_macro", "f1_weighted", "calibration_error")]))
     best = max(rows, key=lambda r: r[2] or 0.0)[0]
     return df.sparkSession.createDataFrame(
         [(*r, r[0] == best) for r in rows],
