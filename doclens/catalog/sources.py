@@ -30,38 +30,45 @@ def docx_bytes(text: str) -> bytes:
     return packed.getvalue()
 
 
-def uploads_of(df, text_column: str = "text", id_column: str = "doc_id"):
-    """Pack every text as an uploaded DOCX blob; one in ten gets a suffix that cannot be read."""
+def uploads_of(df, suffix: str = "'DOCX'"):
+    """Pack every document text as an uploaded DOCX blob; ``suffix`` is a SQL expression."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names = [f"cv{i}.{'odt' if i % 10 == 9 else 'DOCX'}" for i in batch["id"]]
-            yield pd.DataFrame({"filename": names, "content": [docx_bytes(t) for t in batch["text"]]})
+            yield pd.DataFrame(
+                {"filename": batch["filename"], "content": [docx_bytes(t) for t in batch["text"]]}
+            )
 
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInPandas(pack, "filename string, content binary")
+    name = F.concat(F.lit("cv"), F.col("doc_id").cast("string"), F.lit("."), F.expr(suffix))
+    return df.select(name.alias("filename"), "text").mapInPandas(pack, "filename string, content binary")
+
+
+_KEPT = (
+    "array_to_string(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\\S')), chr(10))"
+)
+_PACKED = f"(SELECT doc_id, lang, {sql_strip(_KEPT)} AS text FROM documents)"
 
 
 @query(
     "ingest_uploads",
-    f"""SELECT 'cv' || doc_id || '.DOCX' AS filename, 'DOCX' AS file_type, {sql_strip('kept')} AS text
-    FROM (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\\S')), chr(10)) AS kept
-          FROM documents WHERE doc_id % 10 <> 9)
-    WHERE kept <> ''""",
+    f"SELECT 'cv' || doc_id || '.DOCX' AS filename, 'DOCX' AS file_type, text FROM {_PACKED} WHERE text <> ''",
 )
 def _(spark, d):
     uploads = uploads_of(table(spark, d, "documents"))
     return files.ingest_uploads(uploads).select("filename", "file_type", "text")
 
 
+_SUFFIX = "CASE WHEN lang = 'en' THEN 'docx' ELSE 'odt' END"
+
+
 @query(
     "ingest_upload_errors",
-    "SELECT 'cv' || doc_id || '.odt' AS filename, 'unsupported file format: .odt' AS error FROM documents WHERE doc_id % 10 = 9",
+    f"""SELECT 'cv' || doc_id || '.' || {_SUFFIX} AS filename, CASE WHEN lang = 'en' THEN text END AS text,
+    CASE WHEN lang <> 'en' THEN 'unsupported file format: .odt' END AS error FROM {_PACKED}""",
 )
 def _(spark, d):
-    uploads = uploads_of(table(spark, d, "documents"))
-    kept = files.ingest_uploads(uploads, keep_errors=True)
-    return kept.filter("error IS NOT NULL").select("filename", "error")
+    uploads = uploads_of(table(spark, d, "documents"), _SUFFIX)
+    return files.ingest_uploads(uploads, keep_errors=True).select("filename", "text", "error")
 
 
 _DOCS = "SELECT doc_id, text AS resume_text, lang AS category FROM documents"
@@ -119,9 +126,7 @@ def _(spark, d):
 @query(
     "screen_uploads",
     with_views(
-        f"""WITH resumes AS (SELECT doc_id AS resume_id, {sql_strip('kept')} AS resume_text FROM (
-          SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\\S')), chr(10)) AS kept
-          FROM documents WHERE doc_id % 10 <> 9) WHERE kept <> ''), {SQL_RANKED}
+        f"""WITH resumes AS (SELECT doc_id AS resume_id, text AS resume_text FROM {_PACKED} WHERE text <> ''), {SQL_RANKED}
         SELECT job_id, combined, n FROM (SELECT job_id, round(sum(combined_score), 5) AS combined, count(*) AS n
         FROM ranked GROUP BY job_id)""",
         "jobs",
