@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 10_000
 _MATRIX_CELLS = 4_000_000  # scores held at once by one task
 
 
@@ -38,15 +38,31 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dim)
 
 
-def best_first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` best (highest score, then lowest id)."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        candidates = np.flatnonzero(scores >= edge)
+def best_per_column(scores: np.ndarray, ids: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the best ``limits[column]`` scores of every column, best first.
+
+    Ties go to the lowest id, so everything equal to the last kept score stays a
+    candidate until the ids have been compared.
+    """
+    rows, columns = scores.shape
+    keep = int(limits.max()) if columns else 0
+    if rows > keep:
+        edge = np.partition(scores, rows - keep, axis=0)[rows - keep]
+        row, column = np.nonzero(scores >= edge[None, :])
     else:
-        candidates = np.arange(len(scores))
-    order = np.lexsort((ids[candidates], -scores[candidates]))
-    return candidates[order[:k]]
+        row, column = (a.ravel() for a in np.indices(scores.shape))
+    order = np.lexsort((ids[row], -scores[row, column], column))
+    row, column = row[order], column[order]
+    kept = place_in_run(column) < limits[column]
+    return row[kept], column[kept]
+
+
+def place_in_run(keys: np.ndarray) -> np.ndarray:
+    """0-based place of every element inside its run of equal keys."""
+    if len(keys) == 0:
+        return np.zeros(0, dtype=int)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return np.arange(len(keys)) - np.repeat(starts, np.diff(np.r_[starts, len(keys)]))
 
 
 # -- jobs against documents -------------------------------------------------------------
@@ -102,9 +118,7 @@ class JobBlock:
         for start in range(0, len(doc_ids), step):
             ids, rows = doc_ids[start : start + step], documents[start : start + step]
             similarity, skill, combined = self.score(rows)
-            picks = [best_first(combined[:, j], ids, int(n)) for j, n in enumerate(self.top_n)]
-            at = np.concatenate(picks) if picks else np.array([], dtype=int)
-            job = np.repeat(np.arange(len(picks)), [len(p) for p in picks])
+            at, job = best_per_column(combined, ids, self.top_n)
             flags = rows[:, self.vector_dim :]
             parts.append(
                 pa.table(
@@ -126,12 +140,8 @@ def trim(parts: list[pa.Table]) -> pa.Table:
     merged = pa.concat_tables(parts)
     job = merged.column("job_id").to_numpy()
     order = np.lexsort((merged.column("doc_id").to_numpy(), -merged.column("combined_score").to_numpy(), job))
-    if len(order) == 0:
-        return merged
-    sorted_jobs = job[order]
-    starts = np.flatnonzero(np.r_[True, sorted_jobs[1:] != sorted_jobs[:-1]])
-    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-    return merged.take(order[place < merged.column("top_n").to_numpy()[order]])
+    kept = place_in_run(job[order]) < merged.column("top_n").to_numpy()[order]
+    return merged.take(order[kept])
 
 
 def _deal(df: DataFrame, id_column: str, blocks: int, name: str) -> DataFrame:
