@@ -144,18 +144,19 @@ class FittedClassifier:
     calibrated: bool = False
 
     def transform(self, df: DataFrame) -> DataFrame:
-        source = self.fourier.transform(df) if self.fourier else df
+        source = df
+        if self.fourier:
+            # the model reads the projected features; the caller gets its own back
+            source = self.fourier.transform(df.withColumn("_features", F.col("features")))
         scored = self.model.transform(source)
         has_probability = "probability" in scored.columns
         raw = vector_to_array("rawPrediction") if "rawPrediction" in scored.columns else vector_to_array("probability")
         result = scored.withColumn("scores", vector_to_array("probability") if has_probability else raw)
         probabilities = F.col("scores") if has_probability else sc.softmax("scores")
         kept = [c for c in df.columns if c not in ("prediction", "scores", "probabilities")]
-        if self.fourier:
-            # keep the caller's features, not the projected ones
-            kept = [c for c in kept if c != "features"]
+        restored = [F.col("_features").alias(c) if self.fourier and c == "features" else F.col(c) for c in kept]
         return result.withColumn("probabilities", probabilities).select(
-            *kept, "prediction", "scores", "probabilities"
+            *restored, "prediction", "scores", "probabilities"
         )
 
 

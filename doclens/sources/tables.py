@@ -26,12 +26,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def read_documents_csv(
-    spark: SparkSession, path: str | None, schema: T.StructType = DOCUMENTS_CSV_SCHEMA
+    spark: SparkSession, path: str | None, schema: T.StructType = DOCUMENTS_CSV_SCHEMA, multi_line: bool = True
 ) -> DataFrame:
-    """CSV with quoted multi-line text; the schema is declared, never inferred."""
+    """CSV with quoted text; the schema is declared, never inferred.
+
+    A multi-line CSV file cannot be split, so it is one task: turn ``multi_line``
+    off for files whose texts have no line breaks.
+    """
     if not path:
         raise ValueError("no data path given")
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
+    return spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
 
 
 def read_screening_table(
