@@ -6,7 +6,9 @@ import importlib
 
 from doclens.llm.base import ORACLES, QUERIES
 
-MODULES = ["jaccard_join"]
+MODULES = [
+    "jaccard_join", "mixing", "sharding", "token_counts", "quality",
+]
 
 
 def load() -> tuple[dict, dict]:

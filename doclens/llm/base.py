@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doclens.session import written
 
@@ -89,7 +90,7 @@ def with_starts(df: DataFrame, order: list[str], weight: str, group: str | None,
                 sums[key] = sums.get(key, 0) + (int(upto[-1]) if len(own) else 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts)], [*batch.schema.names, "_start"])
 
-    schema = ranged.schema.add("_start", "long")
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_start", T.LongType())])
     local = written(ranged.mapInArrow(running, schema), purpose)
     keys = [group] if group else []
     totals = local.groupBy("_task", *keys).agg(F.sum(weight).alias("_sum"))
