@@ -7,7 +7,7 @@ import importlib
 from doclens.llm.base import ORACLES, QUERIES
 
 MODULES = [
-    "jaccard_join", "mixing", "sharding", "token_counts", "quality",
+    "jaccard_join", "mixing", "toxicity", "warc", "sharding", "token_counts", "quality",
 ]
 
 

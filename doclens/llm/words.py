@@ -32,8 +32,10 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# everything but ASCII letters and digits and what is not ASCII
+PUNCTUATION = np.array([i < 0x80 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -68,10 +70,10 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
 class Words:
     """The words of some texts: byte positions, and how many each text has."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = SPACE):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
-        inside = ~_SPACE[self.data]
+        inside = ~between[self.data]
         size = len(inside)
         before = np.zeros(size + 1, bool)
         before[1:] = inside
