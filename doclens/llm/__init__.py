@@ -7,7 +7,8 @@ import importlib
 from doclens.llm.base import ORACLES, QUERIES
 
 MODULES = [
-    "jaccard_join", "mixing", "toxicity", "warc", "sharding", "token_counts", "quality",
+    "jaccard_join", "token_output", "line_dedup", "mixing", "toxicity", "warc", "sharding", "token_counts",
+    "quality", "decontamination",
 ]
 
 

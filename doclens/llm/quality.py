@@ -99,6 +99,24 @@ def _fertility(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarr
     return tokens, bytes_, entropy
 
 
+def _verdicts(column: pa.Array, langs: list | None, path: str, limits: dict) -> dict[str, np.ndarray]:
+    base = _base_columns(column)
+    tokens, fallback, entropy = _fertility(column.to_pylist(), path)
+    some = np.maximum(tokens, 1)
+    chars, share = base["_chars"] / some, fallback / some
+    level = entropy / np.maximum(np.log2(np.minimum(some, 4096)), 1)
+    failed = (base["n_words"] < 10) | (100 * base["n_repeat_words"] > 20 * base["n_words"])
+    latin = 2 * base["_latin"] >= base["_chars"]
+    band = [limits[x] if x in limits else limits["latin" if y else "other"] for x, y in zip(langs or [None] * len(column), latin)]
+    low, high = np.array([b[0][0] for b in band]), np.array([b[0][1] for b in band])
+    most, least = np.array([b[1] for b in band]), np.array([b[2] for b in band])
+    fits = (chars >= low) & (chars <= high) & (share <= most) & ((level >= least) | (tokens < MIN_TOKENS))
+    return base | {
+        "base_failed": failed, "n_tokens": tokens, "chars_per_token": chars, "byte_share": share,
+        "token_entropy": level, "kept": ~failed & fits,
+    }
+
+
 def quality_rules(
     docs: DataFrame,
     tokenizer: str = "piece_bpe_32k.model",
@@ -132,21 +150,9 @@ def quality_rules(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_column):
-            column = batch.column(text_column)
-            base = _base_columns(column)
-            tokens, fallback, entropy = _fertility(column.to_pylist(), path)
-            some = np.maximum(tokens, 1)
-            chars, share = base["_chars"] / some, fallback / some
-            level = entropy / np.maximum(np.log2(np.minimum(some, 4096)), 1)
-            failed = (base["n_words"] < 10) | (100 * base["n_repeat_words"] > 20 * base["n_words"])
-            latin = 2 * base["_latin"] >= base["_chars"]
-            langs = batch.column(lang_column).to_pylist() if has_lang else [None] * batch.num_rows
-            band = [limits[x] if x in limits else limits["latin" if y else "other"] for x, y in zip(langs, latin)]
-            low, high = np.array([b[0][0] for b in band]), np.array([b[0][1] for b in band])
-            most, least = np.array([b[1] for b in band]), np.array([b[2] for b in band])
-            fits = (chars >= low) & (chars <= high) & (share <= most) & ((level >= least) | (tokens < MIN_TOKENS))
-            values = [*(base[n] for n in names[:5]), failed, tokens, chars, share, level, ~failed & fits]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *map(pa.array, values)], [*others, *names])
+            langs = batch.column(lang_column).to_pylist() if has_lang else None
+            values = _verdicts(batch.column(text_column), langs, path, limits)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *(pa.array(values[n]) for n in names)], [*others, *names])
 
     schema = docs.select(*others).schema
     for name, kind in made:
@@ -154,6 +160,20 @@ def quality_rules(
     return docs.select(*others, F.col(text_column).cast("string").alias(text_column)).mapInArrow(judge, schema)
 
 
+def keep_good(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", text_column: str = "text", lang_column: str = "lang", bands: dict | None = None, path: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose texts :func:`quality_rules` keeps, with all their columns; nothing is shuffled."""
+    path = path or vocabulary(tokenizer)
+    limits = BANDS | (bands or {})
+    has_lang = lang_column in docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text_column):
+            langs = batch.column(lang_column).to_pylist() if has_lang else None
+            yield batch.filter(pa.array(_verdicts(batch.column(text_column), langs, path, limits)["kept"]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("lang")
