@@ -29,7 +29,7 @@ def host_of(url: Column) -> Column:
 def lines_of(html: Column) -> Column:
     """The shown lines of a page, trimmed, without empty ones; null has none."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "")
-    return F.filter(F.transform(F.split(bare, _BREAK), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(bare, _BREAK), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def drop_boilerplate(
@@ -81,15 +81,16 @@ WITH rows AS (
          list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''), '{_HIDDEN}', '', 'g'), '{_BREAK}'),
                                     lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
   FROM pages),
-lines AS (SELECT page_id, page, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM rows),
+lines AS (SELECT page, host, unnest(lines) AS line FROM rows),
 totals AS (SELECT host, count(*) AS pages FROM rows WHERE host IS NOT NULL GROUP BY host),
 gone AS (SELECT l.host, l.line FROM lines l JOIN totals t ON l.host = t.host
          GROUP BY l.host, l.line, t.pages HAVING count(DISTINCT page) >= 3 AND count(DISTINCT page) * 100 > t.pages * 20),
-kept AS (SELECT l.page, string_agg(l.line, chr(10) ORDER BY l.at) AS text, count(*) AS n
-         FROM lines l LEFT JOIN gone g ON l.host = g.host AND l.line = g.line WHERE g.line IS NULL GROUP BY l.page)
-SELECT r.page_id, r.host, CAST(len(r.lines) AS BIGINT) AS n_lines,
-       CAST(len(r.lines) - coalesce(k.n, 0) AS BIGINT) AS n_dropped, md5(coalesce(k.text, '')) AS text_md5
-FROM rows r LEFT JOIN kept k ON r.page = k.page
+listed AS (SELECT host, list(line) AS gone FROM gone GROUP BY host),
+kept AS (SELECT r.page_id, r.host, r.lines, list_filter(r.lines, lambda x: NOT coalesce(list_contains(l.gone, x), false)) AS held
+         FROM rows r LEFT JOIN listed l ON r.host = l.host)
+SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(held) AS BIGINT) AS n_dropped,
+       md5(coalesce(array_to_string(held, chr(10)), '')) AS text_md5
+FROM kept
 """
 
 

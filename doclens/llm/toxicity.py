@@ -29,6 +29,7 @@ PREFIXES = (4, 5, 6)  # bytes
 MAX_POSITIVE = 20_000  # rows of the training sample; everything else covers all rows
 MAX_UNLABELLED = 20_000
 MAX_FEATURES = 1000
+LEAST_G = 20.0  # G statistic that a feature needs: chance alone gives one in a hundred thousand
 
 _U = np.uint64
 
@@ -130,15 +131,18 @@ def fit_nnpu(
     return theta[:-1], float(theta[-1])
 
 
-def _threshold(logits: np.ndarray, prior: float) -> float:
-    """Where about the prior's share of the unlabelled rows is above: the widest gap of their scores near that rank."""
-    z = np.sort(logits)[::-1]
-    low, high = int(len(z) * prior * 0.7), int(len(z) * prior * 1.3) + 1
-    near = z[low : high + 1]
-    if len(near) < 2:
-        return float(z[0]) if len(z) else 0.0
-    at = int(np.argmax(near[:-1] - near[1:]))
-    return float((near[at] + near[at + 1]) / 2)
+def _threshold(toxic: np.ndarray, clean: np.ndarray, toxic_weight: float, clean_weight: float) -> float:
+    """The cut with the fewest weighted errors on reviewed training rows: the middle of the widest such stretch of scores."""
+    z = np.concatenate((toxic, clean))
+    order = np.argsort(z, kind="stable")
+    # cutting above the i lowest rows misses the toxic ones among them and takes the clean ones above them
+    change = np.where(order < len(toxic), toxic_weight, -clean_weight)
+    errors = clean_weight * len(clean) + np.concatenate(([0.0], np.cumsum(change)))
+    z = z[order]
+    edges = np.concatenate(([z[0] - 1.0], z, [z[-1] + 1.0]))
+    width = np.where(errors <= errors.min() + 1e-9, edges[1:] - edges[:-1], -1.0)
+    at = int(np.argmax(width))
+    return float((edges[at] + edges[at + 1]) / 2)
 
 
 def fold(id_column: Column) -> Column:
@@ -159,7 +163,8 @@ def fit(
 ) -> Model:
     """Train on at most ``max_positive`` toxic and ``max_unlabelled`` other texts outside the held-out fold, first in hash order.
 
-    The class prior is the toxic share of the labelled rows outside that fold. A text with several labels is toxic
+    The class prior is the toxic share of the labelled rows outside that fold. Reviewed texts without toxicity, as many
+    at most as unlabelled ones, place the cut between the classes but teach the weights nothing. A text with several labels is toxic
     if one says so; null labels and labels without a text teach nothing. Without toxic rows every text gets the prior.
     """
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")))
@@ -173,8 +178,10 @@ def fit(
     ids = docs.select(F.col(id_column).alias("id")).filter(F.col("id").isNotNull() & (fold(F.col("id")) != 0))
     toxic = known.filter("y = 1").select("id", h.alias("h")).orderBy("h").limit(max_positive)
     others = ids.select("id", h.alias("h")).orderBy("h").limit(max_unlabelled)
-    # at most max_positive + max_unlabelled ids
-    chosen = written(toxic.select("id", F.lit(1).alias("kind")).unionAll(others.select("id", F.lit(0).alias("kind"))), "sample")
+    reviewed = known.filter("y = 0").select("id", h.alias("h")).orderBy("h").limit(max_unlabelled)
+    # at most max_positive + 2 * max_unlabelled ids
+    samples = [s.select("id", F.lit(k).alias("kind")) for s, k in ((toxic, 1), (others, 0), (reviewed, 2))]
+    chosen = written(samples[0].unionAll(samples[1]).unionAll(samples[2]), "sample")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -198,10 +205,12 @@ def fit(
     best = (
         sample.select("kind", F.explode("places").alias("place"))
         .groupBy("place").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("p"), F.count(F.when(F.col("kind") == 0, 1)).alias("u"))
-        .filter(F.col("p") >= least)
+        .filter((F.col("p") >= least) & (telling * (2 * n_p) >= LEAST_G))
         .orderBy(telling.desc(), "place").limit(max_features).select("place").toArrow()
     )
     features = np.sort(best.column("place").to_numpy().astype(np.int64))
+    if not len(features):
+        return Model(features, np.zeros(0), float(np.log(prior / (1 - prior))))
     number = np.full(1 << FEATURE_BITS, -1, np.int32)
     number[features] = np.arange(len(features))
 
@@ -219,8 +228,11 @@ def fit(
     kinds = rows.column("kind").to_numpy()
     positive, unlabelled = [lists[i] for i in np.flatnonzero(kinds == 1)], [lists[i] for i in np.flatnonzero(kinds == 0)]
     weights, bias = fit_nnpu(positive, unlabelled, len(features), prior, seed=seed)
-    logits = np.array([weights[x].sum() for x in unlabelled]) + bias
-    return Model(features, weights, bias - _threshold(logits, prior))
+    seen = [np.array([weights[lists[i]].sum() for i in np.flatnonzero(kinds == k)]) for k in (1, 2)]
+    if not len(seen[1]):
+        return Model(features, weights, bias)
+    cut = _threshold(*seen, counts["p"] / len(seen[0]), (counts["n"] - counts["p"]) / len(seen[1]))
+    return Model(features, weights, -cut)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -135,10 +135,10 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarr
             own = np.sort(values[stops[i] - n : stops[i]])
             out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
         elif counts[i]:
-            whole = _U(counts[i])
-            for h in hashes[firsts[i] : firsts[i] + counts[i]]:
-                whole = whole * _SHINGLE_BASE + h
-            out.append(mix(np.array([whole], np.uint64)))
+            whole = np.array([counts[i]], np.uint64)
+            for k in range(firsts[i], firsts[i] + counts[i]):
+                whole = whole * _SHINGLE_BASE + hashes[k : k + 1]
+            out.append(mix(whole))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
