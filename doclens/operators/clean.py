@@ -19,20 +19,18 @@ def pick_column(df: DataFrame, candidates: list[str], what: str) -> str:
 
 
 def dedup_exact(df: DataFrame, text_column: str = "resume_text", id_column: str = "doc_id") -> DataFrame:
-    """Keep the row with the lowest id of each distinct text.
+    """Keep the row with the lowest id of each distinct text; ``id_column`` is a key.
 
-    The aggregate combines map-side, so a text that makes up a third of the
-    table reaches its reducer as one row per input task. Grouping is on a
-    SHA-256 digest to keep the shuffled and sorted keys short; NULL texts are
-    one group, as in a data-frame ``drop_duplicates``.
+    Only digests and ids are grouped, combined map-side, so a text that makes up a
+    third of the table reaches its reducer as one row per input task. Texts move
+    once, to meet the ids that stay. NULL texts are one group, as in a data-frame
+    ``drop_duplicates``.
     """
-    digest = F.coalesce(F.sha2(F.col(text_column), 256), F.lit("null"))
-    kept = (
-        df.select(digest.alias("digest"), F.struct(*df.columns).alias("row"), F.col(id_column).alias("rank"))
-        .groupBy("digest")
-        .agg(F.min_by("row", "rank").alias("row"))
-    )
-    return kept.select("row.*")
+    digest = F.coalesce(F.unhex(F.sha2(F.col(text_column), 256)), F.lit("null").cast("binary"))
+    ids = df.select(digest.alias("_digest"), F.col(id_column).alias("_id"))
+    kept = ids.groupBy(F.col("_digest").alias("_kept_digest")).agg(F.min("_id").alias("_kept_id"))
+    same = F.col("_digest").eqNullSafe(F.col("_kept_digest")) & F.col(id_column).eqNullSafe(F.col("_kept_id"))
+    return df.withColumn("_digest", digest).join(kept, same, "left_semi").drop("_digest")
 
 
 def clean_documents(

@@ -1,16 +1,12 @@
 """Exact top-k between two vector tables, without pairing all rows in a join.
 
-Each task multiplies a batch of one table with a block of the other as dense
-matrices and keeps only the best ``k`` per query, so a task emits at most
-``k`` rows per query and the pairs themselves never become rows. Three layouts:
+One side (jobs, or the items of a training set) is taken in blocks of bounded size; each block is
+broadcast and the other side streams past it. A task multiplies a batch with the block as dense
+matrices and keeps only the best ``k`` per query, so it emits at most ``k`` rows per query and the pairs
+themselves never become rows. Rows of the streamed side are never shuffled or copied, however
+many blocks there are; with more than one, its vectors are written once and scanned per block.
 
-* few queries (jobs): the query block is broadcast, items stream past it;
-* few items (a training set): the item block is broadcast, queries stream past it;
-* neither is small: both tables are dealt into hash blocks of bounded size and
-  every pair of blocks meets in one cell (``cogroup``), each cell again keeping
-  its best ``k``. Which layout applies is decided by a counted bound.
-
-The final ``row_number`` per query runs over these partial results only.
+The final ``row_number`` per query runs over these partial results only. Ids may be of any simple type.
 """
 
 from __future__ import annotations
@@ -18,17 +14,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.session import written
+
 BLOCK_ROWS = 10_000
 _MATRIX_CELLS = 4_000_000  # scores held at once by one task
 
 
-def is_small(df: DataFrame, rows: int = BLOCK_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+_ARROW = {
+    "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(),
+    "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "date": pa.date32(),
+}
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    kind = dict(df.dtypes)[column]
+    if kind not in _ARROW:
+        raise ValueError(f"column {column} has type {kind}; known: {sorted(_ARROW)}")
+    return _ARROW[kind]
+
+
+def sortable(column: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts as Spark sorts them."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return np.array(column.to_pylist(), dtype=str)
+    return column.to_numpy(zero_copy_only=False)
+
+
+def blocks_of(df: DataFrame, id_column: str, block_rows: int) -> Iterator[pa.Table]:
+    """The rows in hash blocks of about ``block_rows``, one after the other on the driver; one empty block for no rows."""
+    blocks = max(1, -(-df.count() // block_rows))
+    dealt = written(df, "blocks") if blocks > 1 else df
+    for block in range(blocks):
+        yield dealt.filter(F.pmod(F.xxhash64(F.col(id_column)), F.lit(blocks)) == block).toArrow()
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -44,13 +67,18 @@ def best_per_column(scores: np.ndarray, ids: np.ndarray, limits: np.ndarray) ->
     Ties go to the lowest id, so everything equal to the last kept score stays a
     candidate until the ids have been compared.
     """
-    rows, columns = scores.shape
-    keep = int(limits.max()) if columns else 0
-    if rows > keep:
-        edge = np.partition(scores, rows - keep, axis=0)[rows - keep]
-        row, column = np.nonzero(scores >= edge[None, :])
-    else:
-        row, column = (a.ravel() for a in np.indices(scores.shape))
+    rows = scores.shape[0]
+    found = []
+    for keep in np.unique(limits).tolist():  # a job that wants many rows doesn't widen the others
+        wanted = np.flatnonzero(limits == keep)
+        part = scores[:, wanted]
+        if rows > keep:
+            edge = np.partition(part, rows - keep, axis=0)[rows - keep]
+            row, column = np.nonzero(part >= edge[None, :])
+        else:
+            row, column = (x.ravel() for x in np.indices(part.shape))
+        found.append((row, wanted[column]))
+    row, column = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
     order = np.lexsort((ids[row], -scores[row, column], column))
     row, column = row[order], column[order]
     kept = place_in_run(column) < limits[column]
@@ -67,26 +95,22 @@ def place_in_run(keys: np.ndarray) -> np.ndarray:
 
 # -- jobs against documents -------------------------------------------------------------
 
-JOB_SCORES = (
-    "job_id long, doc_id long, top_n int, similarity_score double, skill_match_score double, "
-    "combined_score double, skill_ids array<int>"
-)
-_JOB_SCORES_ARROW = pa.schema(
-    [
-        ("job_id", pa.int64()), ("doc_id", pa.int64()), ("top_n", pa.int32()),
-        ("similarity_score", pa.float64()), ("skill_match_score", pa.float64()),
-        ("combined_score", pa.float64()), ("skill_ids", pa.list_(pa.int32())),
-    ]
-)
+_SCORES = {
+    "top_n": pa.int32(), "similarity_score": pa.float64(), "skill_match_score": pa.float64(), "combined_score": pa.float64(),
+    "skill_ids": pa.list_(pa.int32()),
+}
+_SCORES_SQL = "top_n int, similarity_score double, skill_match_score double, combined_score double, skill_ids array<int>"
 
 
 class JobBlock:
     """A block of jobs as matrices: token counts, skill flags and weights."""
 
-    def __init__(self, jobs: pd.DataFrame, vector_dim: int, skill_dim: int):
+    def __init__(self, jobs: pa.Table, vector_dim: int, skill_dim: int, schema: pa.Schema):
+        self.schema = schema
+        self.job_id = sortable(jobs.column("job_id"))
+        jobs = jobs.drop_columns("job_id").to_pandas()
         vectors = np.array(jobs["vector"].tolist(), dtype="float64").reshape(len(jobs), vector_dim + skill_dim)
         self.vector_dim = vector_dim
-        self.job_id = jobs["job_id"].to_numpy("int64")
         self.top_n = jobs["top_n"].to_numpy("int64")
         self.counts = vectors[:, :vector_dim].T
         self.flags = vectors[:, vector_dim:].T
@@ -120,42 +144,25 @@ class JobBlock:
             similarity, skill, combined = self.score(rows)
             at, job = best_per_column(combined, ids, self.top_n)
             flags = rows[:, self.vector_dim :]
-            parts.append(
-                pa.table(
-                    [
-                        self.job_id[job], ids[at].astype("int64"), self.top_n[job].astype("int32"),
-                        similarity[at, job], skill[at, job], combined[at, job],
-                        pa.array([np.flatnonzero(flags[i]).astype("int32") for i in at], pa.list_(pa.int32())),
-                    ],
-                    schema=_JOB_SCORES_ARROW,
-                )
-            )
-        return trim(parts)
-
-
-def trim(parts: list[pa.Table]) -> pa.Table:
+            columns = [
+                self.job_id[job], ids[at], self.top_n[job], similarity[at, job], skill[at, job], combined[at, job],
+                [np.flatnonzero(flags[i]).astype("int32") for i in at],
+            ]
+            parts.append(pa.table([pa.array(c).cast(f.type) if len(c) else pa.array([], f.type) for c, f in zip(columns, self.schema)], schema=self.schema))
+        return trim(parts, self.schema)
+
+
+def trim(parts: list[pa.Table], schema: pa.Schema) -> pa.Table:
     """Merge partial results and cut them back to ``top_n`` per job."""
     if not parts:
-        return _JOB_SCORES_ARROW.empty_table()
+        return schema.empty_table()
     merged = pa.concat_tables(parts)
-    job = merged.column("job_id").to_numpy()
-    order = np.lexsort((merged.column("doc_id").to_numpy(), -merged.column("combined_score").to_numpy(), job))
+    job = sortable(merged.column("job_id"))
+    order = np.lexsort((sortable(merged.column("doc_id")), -merged.column("combined_score").to_numpy(), job))
     kept = place_in_run(job[order]) < merged.column("top_n").to_numpy()[order]
     return merged.take(order[kept])
 
 
-def _deal(df: DataFrame, id_column: str, blocks: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.pmod(F.xxhash64(F.col(id_column)), F.lit(blocks)).cast("int"))
-
-
-def _copies(df: DataFrame, blocks: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-
-def _blocks(rows: int, block_rows: int) -> int:
-    return max(1, -(-rows // block_rows))
-
-
 def top_documents_per_job(
     jobs: DataFrame, documents: DataFrame, vector_dim: int, skill_dim: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -167,38 +174,25 @@ def top_documents_per_job(
     columns = ["job_id", "vector", "top_n", "is_blank", "similarity_weight", "skill_weight"]
     jobs, documents = jobs.select(*columns), documents.select("doc_id", "vector")
     width = vector_dim + skill_dim
-    if is_small(jobs, block_rows):
-        block = documents.sparkSession.sparkContext.broadcast(
-            JobBlock(jobs.toPandas(), vector_dim, skill_dim)
-        )
-
-        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("job_id", arrow_type(jobs, "job_id")), ("doc_id", arrow_type(documents, "doc_id")), *_SCORES.items()])
+    kinds = dict(jobs.dtypes)["job_id"], dict(documents.dtypes)["doc_id"]
+    partial = None
+    for number, table in enumerate(blocks_of(jobs, "job_id", block_rows)):
+        if number == 1:  # more than one block: the vectors are made once
+            documents = written(documents, "vectors")
+        block = documents.sparkSession.sparkContext.broadcast(JobBlock(table, vector_dim, skill_dim, schema))
+
+        def stream(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             known = block.value
             kept: list[pa.Table] = []
             for batch in batches:
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                kept.append(known.best(ids, matrix(batch.column("vector"), width)))
+                kept.append(known.best(sortable(batch.column("doc_id")), matrix(batch.column("vector"), width)))
                 if len(kept) >= 8:
-                    kept = [trim(kept)]
-            yield from trim(kept).to_batches()
-
-        partial = documents.mapInArrow(stream, JOB_SCORES)
-    else:
-        job_blocks = _blocks(jobs.count(), block_rows)
-        doc_blocks = _blocks(documents.count(), block_rows)
-        left = _copies(_deal(jobs, "job_id", job_blocks, "jb"), doc_blocks, "db")
-        right = _copies(_deal(documents, "doc_id", doc_blocks, "db"), job_blocks, "jb")
-
-        def cell(left_part: pa.Table, right_part: pa.Table) -> pa.Table:
-            if left_part.num_rows == 0 or right_part.num_rows == 0:
-                return trim([])
-            known = JobBlock(left_part.to_pandas(), vector_dim, skill_dim)
-            ids = right_part.column("doc_id").to_numpy()
-            return known.best(ids, matrix(right_part.column("vector"), width))
-
-        partial = (
-            left.groupBy("jb", "db").cogroup(right.groupBy("jb", "db")).applyInArrow(cell, JOB_SCORES)
-        )
+                    kept = [trim(kept, schema)]
+            yield from trim(kept, schema).to_batches()
+
+        part = documents.mapInArrow(stream, f"job_id {kinds[0]}, doc_id {kinds[1]}, {_SCORES_SQL}")
+        partial = part if partial is None else partial.unionAll(part)
     order = Window.partitionBy("job_id").orderBy(F.col("combined_score").desc(), F.col("doc_id"))
     return (
         partial.withColumn("rank", F.row_number().over(order))
@@ -213,36 +207,34 @@ def top_documents_per_job(
 class ItemBlock:
     """A block of labelled vectors."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, labels: pa.Array, vectors: np.ndarray):
         self.ids, self.labels, self.vectors = ids, labels, vectors
         self.norm2 = (vectors**2).sum(axis=1)
 
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, schema: pa.Schema) -> pa.Table:
         """``k`` nearest items of every query by Euclidean distance (ties by id).
 
         The matrix product only narrows the candidates, with a margin far above
         its rounding error; distances of the candidates are then computed directly.
         """
         step = max(1, _MATRIX_CELLS // max(len(self.ids), 1))
-        out: dict[str, list] = {"query_id": [], "item_id": [], "label": [], "distance": []}
-        for start in range(0, len(query_ids), step):
+        parts = []
+        for start in range(0, len(query_ids) if len(self.ids) else 0, step):
             part = queries[start : start + step]
             norm2 = (part**2).sum(axis=1)
             rough = norm2[:, None] + self.norm2[None, :] - 2.0 * (part @ self.vectors.T)
-            for i in range(len(part)):
-                row = rough[i]
-                if len(row) > k:
-                    margin = 1e-9 * (1.0 + norm2[i] + float(self.norm2.max()))
-                    candidates = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + margin)
-                else:
-                    candidates = np.arange(len(row))
-                gaps = np.sqrt(((self.vectors[candidates] - part[i]) ** 2).sum(axis=1))
-                order = np.lexsort((self.ids[candidates], gaps))[:k]
-                out["query_id"].extend([query_ids[start + i]] * len(order))
-                out["item_id"].extend(self.ids[candidates[order]])
-                out["label"].extend(self.labels[candidates[order]])
-                out["distance"].extend(gaps[order])
-        return pd.DataFrame(out).astype({"query_id": "int64", "item_id": "int64", "distance": "float64"})
+            if rough.shape[1] > k:
+                margin = 1e-9 * (1.0 + norm2 + float(self.norm2.max()))
+                query, item = np.nonzero(rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + margin)[:, None])
+            else:
+                query, item = (x.ravel() for x in np.indices(rough.shape))
+            gaps = np.sqrt(((self.vectors[item] - part[query]) ** 2).sum(axis=1))
+            order = np.lexsort((self.ids[item], gaps, query))
+            order = order[place_in_run(query[order]) < k]
+            query, item = query[order], item[order]
+            columns = [pa.array(query_ids[start + query]), pa.array(self.ids[item]), self.labels.take(pa.array(item)), pa.array(gaps[order])]
+            parts.append(pa.table([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
 
 
 def nearest_items(
@@ -252,46 +244,28 @@ def nearest_items(
 
     ``queries``: ``query_id, vector``; ``items``: ``item_id, label, vector``.
     """
-    label_type = dict(items.dtypes)["label"]
-    schema = f"query_id long, item_id long, label {label_type}, distance double"
-    out_type = pa.schema(
-        [("query_id", pa.int64()), ("item_id", pa.int64()),
-         ("label", pa.string() if label_type == "string" else pa.int64() if label_type == "bigint" else pa.int32()),
-         ("distance", pa.float64())]
-    )
     queries, items = queries.select("query_id", "vector"), items.select("item_id", "label", "vector")
-
-    def block_of(table: pa.Table) -> ItemBlock:
-        return ItemBlock(
-            table.column("item_id").to_numpy(),
-            np.array(table.column("label").to_pylist(), dtype=object),
-            matrix(table.column("vector"), dim),
+    kinds = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"], dict(items.dtypes)["label"]
+    schema = pa.schema(
+        [("query_id", arrow_type(queries, "query_id")), ("item_id", arrow_type(items, "item_id")),
+         ("label", arrow_type(items, "label")), ("distance", pa.float64())]
+    )
+    partial, many = None, False
+    for number, table in enumerate(blocks_of(items, "item_id", block_rows)):
+        if number == 1:
+            queries, many = written(queries, "vectors"), True
+        block = queries.sparkSession.sparkContext.broadcast(
+            ItemBlock(sortable(table.column("item_id")), table.column("label").combine_chunks(), matrix(table.column("vector"), dim))
         )
 
-    def found(block: ItemBlock, ids: np.ndarray, vectors: np.ndarray) -> pa.Table:
-        return pa.Table.from_pandas(block.nearest(ids, vectors, k), schema=out_type, preserve_index=False)
-
-    if is_small(items, block_rows):
-        shared = queries.sparkSession.sparkContext.broadcast(block_of(items.toArrow()))
-
-        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stream(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column("query_id").to_numpy(zero_copy_only=False)
-                yield from found(shared.value, ids, matrix(batch.column("vector"), dim)).to_batches()
-
-        return queries.mapInArrow(stream, schema)
-
-    query_blocks = _blocks(queries.count(), block_rows)
-    item_blocks = _blocks(items.count(), block_rows)
-    left = _copies(_deal(queries, "query_id", query_blocks, "qb"), item_blocks, "ib")
-    right = _copies(_deal(items, "item_id", item_blocks, "ib"), query_blocks, "qb")
-
-    def cell(left_part: pa.Table, right_part: pa.Table) -> pa.Table:
-        ids = left_part.column("query_id").to_numpy()
-        if len(ids) == 0 or right_part.num_rows == 0:
-            return out_type.empty_table()
-        return found(block_of(right_part), ids, matrix(left_part.column("vector"), dim))
+                found = block.value.nearest(sortable(batch.column("query_id")), matrix(batch.column("vector"), dim), k, schema)
+                yield from found.to_batches()
 
-    partial = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(cell, schema)
+        part = queries.mapInArrow(stream, f"query_id {kinds[0]}, item_id {kinds[1]}, label {kinds[2]}, distance double")
+        partial = part if partial is None else partial.unionAll(part)
+    if not many:
+        return partial
     order = Window.partitionBy("query_id").orderBy("distance", "item_id")
     return partial.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")

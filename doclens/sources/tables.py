@@ -17,12 +17,11 @@ DOCUMENTS_CSV_SCHEMA = T.StructType(
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a few files over all cores before per-row text work.
 
-    A Parquet file of one row group is one task, however many cores wait. With
-    at least as many files as cores the scan is parallel already and nothing is
-    shuffled.
+    A Parquet file of one row group is one task, however many cores wait. A scan of
+    at least half as many tasks as cores is parallel already and nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def read_documents_csv(
