@@ -123,22 +123,55 @@ def _(spark, d):
     )
 
 
+# Uploads: English documents as DOCX, a third of them sent twice; the others in a format that nobody reads.
+_SENT = f"(SELECT *, 'cv' || doc_id || '.' || {_SUFFIX} AS filename FROM {_PACKED}, (VALUES (1), (2)) AS c(copy) WHERE copy = 1 OR doc_id % 3 = 0)"
+_READ = f"""resumes AS (SELECT sha256(length(filename) || ':' || filename || text) || '-' || copy AS resume_id, filename,
+        text AS resume_text FROM {_SENT} WHERE text <> '' AND lang = 'en')"""
+
+
+def _screened(spark, d):
+    from doclens.plans import screen
+
+    docs = table(spark, d, "documents")
+    sent = docs.unionAll(docs.filter("doc_id % 3 = 0"))
+    return screen.screen_uploads(derived(spark, d, "jobs"), uploads_of(sent, _SUFFIX))
+
+
 @query(
     "screen_uploads",
     with_views(
-        f"""WITH resumes AS (SELECT doc_id AS resume_id, text AS resume_text FROM {_PACKED} WHERE text <> ''), {SQL_RANKED}
-        SELECT job_id, combined, n FROM (SELECT job_id, round(sum(combined_score), 5) AS combined, count(*) AS n
-        FROM ranked GROUP BY job_id)""",
+        f"""WITH {_READ}, {SQL_RANKED} SELECT job_id, rank, resume_id AS doc_id, filename, {_SCORES}, decision, matched_skills,
+        missing_skills, 'no classifier loaded' AS prediction_error FROM ranked JOIN resumes USING (resume_id)""",
         "jobs",
     ),
 )
 def _(spark, d):
-    from doclens.plans import screen
-
-    # ids of uploads come from their content, so ties may fall differently: compare the scores per job
-    result = screen.screen_uploads(derived(spark, d, "jobs"), uploads_of(table(spark, d, "documents")))
-    return result.groupBy("job_id").agg(
-        F.round(F.sum("combined_score"), 5).alias("combined"), F.count(F.lit(1)).alias("n")
+    return _flat(_screened(spark, d).rows).select(
+        "job_id", "rank", "doc_id", "filename", "similarity_score", "skill_match_score", "combined_score", "decision",
+        "matched_skills", "missing_skills", "prediction_error",
     )
 
 
+@query(
+    "screen_summary",
+    with_views(
+        f"""WITH {_READ}, {SQL_RANKED}
+        SELECT j.job_id, j.shortlist_threshold, j.review_threshold, j.top_n, CAST(NULL AS VARCHAR) AS reject_reason,
+               (SELECT count(*) FROM {_SENT} WHERE text <> '' OR lang <> 'en') AS total_documents,
+               (SELECT count(*) FROM {_SENT} WHERE lang <> 'en') AS failed_documents,
+               count(r.rank) AS ranked, count(*) FILTER (decision = 'Shortlist') AS shortlisted,
+               count(*) FILTER (decision = 'Further Review') AS further_review, count(*) FILTER (decision = 'Reject') AS rejected
+        FROM jobs j LEFT JOIN ranked r ON r.job_id = j.job_id GROUP BY ALL""",
+        "jobs",
+    ),
+)
+def _(spark, d):
+    return _screened(spark, d).summary
+
+
+@query(
+    "failed_uploads",
+    f"SELECT filename, 'unsupported file format: .odt' AS error FROM {_SENT} WHERE lang <> 'en'",
+)
+def _(spark, d):
+    return _screened(spark, d).failed

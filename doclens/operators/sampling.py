@@ -26,8 +26,8 @@ def hash_order(id_column: str | Column, seed: int = DEFAULT_SEED) -> Column:
 
 
 def class_sizes(df: DataFrame, class_column: str) -> DataFrame:
-    """``(class, n)``: one row per class, broadcast once proven small."""
-    sizes = df.groupBy(class_column).agg(F.count(F.lit(1)).alias("n"))
+    """``(class, n)``: one row per class, broadcast once proven small. NULL is no class: its rows count nowhere."""
+    sizes = df.filter(F.col(class_column).isNotNull()).groupBy(class_column).agg(F.count(F.lit(1)).alias("n"))
     return broadcast_if_small(sizes)
 
 
@@ -134,7 +134,8 @@ def train_test_split(
     """Add ``is_test``: a stratified share of rows, or a plain one when a class is too small.
 
     ``ceil(test_size * n)`` test rows are shared over the labels in proportion,
-    the remainder going to the largest fractional parts (ties by label).
+    the remainder going to the largest fractional parts (ties by label). Rows without a
+    label are train rows and count for no share.
     """
     sizes = class_sizes(df, label_column)
     facts = sizes.agg(
@@ -166,7 +167,7 @@ def oversample(
     """Raise every class to the size of the largest one; adds ``copy`` (0 = the original).
 
     Each row appears ``floor(N / n)`` times and the first ``N mod n`` rows of the
-    class in hash order once more, so every original is kept.
+    class in hash order once more, so every original is kept. Rows without a class leave.
     """
     sizes = class_sizes(df, class_column)
     largest = sizes.agg(F.max("n").alias("n")).first()["n"]
@@ -213,7 +214,7 @@ def oversample(
 def undersample(
     df: DataFrame, id_column: str = "doc_id", class_column: str = "category", seed: int = DEFAULT_SEED
 ) -> DataFrame:
-    """Cut every class to the size of the smallest one."""
+    """Cut every class to the size of the smallest one. Rows without a class leave."""
     sizes = class_sizes(df, class_column)
     smallest = sizes.agg(F.min("n").alias("n")).first()["n"] or 0
     quotas = broadcast_if_small(sizes.withColumn("quota", F.lit(smallest).cast("long")))

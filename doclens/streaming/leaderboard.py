@@ -3,15 +3,15 @@
 Each micro-batch is ranked by the batch operator, merged with the previous
 leaderboard (at most jobs x top_n rows) and written as a new version named after
 the batch. Replaying a batch rewrites its own version from the version before
-it, so a restart cannot count a document twice.
+it, so a restart cannot count a document twice. The last two versions are kept.
+A document that comes again with another text replaces its earlier row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,25 +23,36 @@ _COLUMNS = [
 ]
 
 
-def _versions(df: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return df.sparkSession.read.parquet(path)
-    except AnalysisException:  # nothing written yet
-        return None
+def _folder(spark: SparkSession, path: str):
+    """``(file system, path)`` of a folder, whatever store it is in."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _written_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions whose writing ended, from their names; an unreadable folder is an error."""
+    system, folder = _folder(spark, path)
+    if not system.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in system.listStatus(folder)]
+    found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return sorted(v for v in found if system.exists(_folder(spark, f"{path}/version={v}/_SUCCESS")[1]))
 
 
 def merge_batch(jobs: DataFrame, path: str, text_column: str, id_column: str) -> Callable[[DataFrame, int], None]:
-    limits = rank.with_job_defaults(jobs).select("job_id", "top_n")
+    usable = rank.valid_jobs(jobs)
+    limits = usable.select("job_id", "top_n")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = rank.rank_with_skills(jobs, batch, text_column, id_column).select(*_COLUMNS)
-        versions = _versions(batch, path)
-        if versions is not None:
-            earlier = versions.filter(F.col("version") < batch_id)
-            latest = earlier.agg(F.max("version")).first()[0]
-            if latest is not None:
-                new = new.unionByName(earlier.filter(F.col("version") == latest).select(*_COLUMNS))
-        best_copy = new.dropDuplicates(["job_id", "doc_id"])  # a document delivered twice scores the same
+        spark = batch.sparkSession
+        new = rank.rank_with_skills(usable, batch, text_column, id_column).select(*_COLUMNS, F.lit(batch_id).cast("long").alias("arrived"))
+        versions = _written_versions(spark, path)
+        earlier = [v for v in versions if v < batch_id]
+        if earlier:
+            board = spark.read.schema(new.schema).parquet(f"{path}/version={earlier[-1]}")
+            sent_again = batch.select(F.col(id_column).alias("doc_id")).distinct()
+            new = new.unionByName(board.join(sent_again, "doc_id", "left_anti").select(*new.columns))
+        best_copy = new.dropDuplicates(["job_id", "doc_id"])  # a document twice in a batch
         order = Window.partitionBy("job_id").orderBy(F.col("combined_score").desc(), F.col("doc_id"))
         board = (
             best_copy.withColumn("rank", F.row_number().over(order))
@@ -49,8 +60,10 @@ def merge_batch(jobs: DataFrame, path: str, text_column: str, id_column: str) ->
             .filter(F.col("rank") <= F.col("top_n"))
             .drop("top_n")
         )
-        # small table: one file per version
-        board.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        board.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        for old in [v for v in versions if v < batch_id][:-1]:
+            system, folder = _folder(spark, f"{path}/version={old}")
+            system.delete(folder, True)
 
     return merge
 
@@ -75,7 +88,8 @@ def screen_stream(
 
 def leaderboard(jobs: DataFrame, path: str) -> DataFrame:
     """Latest leaderboard with decisions."""
-    versions = jobs.sparkSession.read.parquet(path)
-    latest = versions.agg(F.max("version")).first()[0]
-    board = versions.filter(F.col("version") == latest).drop("version")
+    versions = _written_versions(jobs.sparkSession, path)
+    if not versions:
+        raise ValueError(f"no leaderboard in {path}")
+    board = jobs.sparkSession.read.parquet(f"{path}/version={versions[-1]}").drop("arrived")
     return rank.apply_decisions(board, jobs)

@@ -125,8 +125,24 @@ def test_uploads_and_screening(spark, jobs):
     kept = {r["filename"]: r for r in files.ingest_uploads(uploads, pdf_reader=lambda c: "java docker", keep_errors=True).collect()}
     assert kept["noext"]["file_type"] == "UNKNOWN" and kept["noext"]["text"] == "java docker"
     assert "unsupported" in kept["b.odt"]["error"]
-    result = screen.screen_uploads(jobs, uploads).filter("job_id = 1").collect()
-    assert [r["filename"] for r in result] == ["a.docx"] and result[0]["decision"] == "Shortlist"
+    answer = screen.screen_uploads(jobs, uploads.unionAll(uploads.filter("filename = 'a.docx'")))
+    result = answer.rows.filter("job_id = 1").collect()
+    assert [r["filename"] for r in result] == ["a.docx"] * 2 and result[0]["decision"] == "Shortlist"
+    assert sorted(r["rank"] for r in result) == [1, 2] and len({r["doc_id"] for r in result}) == 2
+    assert sorted(r["filename"] for r in answer.failed.collect()) == ["b.odt", "noext"]
+    totals = {(r["total_documents"], r["failed_documents"]) for r in answer.summary.collect()}
+    assert totals == {(4, 2)}
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from doclens.session import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(spark, "x")
 
 
 def test_csv_round_trip(spark, tmp_path):
