@@ -2,11 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doclens.functions import text as tx
-from doclens.session import broadcast_if_small
+from doclens.session import small_table
+
+
+def _with_forms(df: DataFrame, dictionary: DataFrame, words: Column, output: str, id_column: str) -> DataFrame:
+    """Add ``output``: the words of each row, replaced by their dictionary forms and joined by blanks.
+
+    A dictionary that is proven small goes to the tasks as two arrays, and whole batches are looked up
+    at once: nothing is exploded or shuffled. A larger one is joined by token, where AQE splits the
+    partitions of very common words.
+    """
+    pairs = small_table(dictionary.select("token", "norm").filter(F.col("token").isNotNull()))
+    if pairs is None:
+        return _with_joined_forms(df, dictionary, words, output, id_column)
+    known, forms = (pairs.column(c).combine_chunks() for c in ("token", "norm"))
+    kept = df.withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
+    names = df.columns
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_words")
+            tokens = lists.flatten()
+            normal = pc.coalesce(forms.take(pc.index_in(tokens, value_set=known)), tokens)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            joined = pc.binary_join(pa.ListArray.from_arrays(offsets, normal), " ")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), joined], [*names, output])
+
+    return kept.mapInArrow(replace, T.StructType([*df.schema.fields, T.StructField(output, T.StringType())]))
+
+
+def _with_joined_forms(df: DataFrame, dictionary: DataFrame, words: Column, output: str, id_column: str) -> DataFrame:
+    tokens = df.select(id_column, F.posexplode_outer(words).alias("pos", "token"))
+    looked_up = tokens.join(dictionary.select("token", "norm"), "token", "left")
+    word = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("norm", "token").alias("word")))
+    forms = looked_up.groupBy(id_column).agg(F.array_sort(F.collect_list(word)).alias("_words"))
+    joined = df.join(forms, id_column)
+    return joined.select(*df.columns, F.array_join(F.col("_words.word"), " ").alias(output))
 
 
 def normalize_tokens(
@@ -19,34 +61,14 @@ def normalize_tokens(
 ) -> DataFrame:
     """Replace each word by its dictionary form (lemma or stem), keeping the order.
 
-    ``dictionary`` is ``(token, norm)`` with one row per token. Documents are
-    partitioned by id once, as whole texts; exploding, the dictionary lookup and
-    putting the words back together then happen inside that partitioning. The
-    dictionary is broadcast only when proven small; a larger one is joined by
-    token, where AQE splits the partitions of very common words.
-
+    ``dictionary`` is ``(token, norm)`` with one row per token; a token without form stays.
     ``stop_words`` are dropped before the lookup. Returns ``(id, output)``.
     """
     source = tx.text_or_empty(text_column)
     if stop_words:
         source = tx.remove_stopwords(source, stop_words)
-    docs = df.select(F.col(id_column), source.alias("_text")).repartition(F.col(id_column))
-    tokens = docs.select(id_column, F.posexplode_outer(tx.words("_text")).alias("pos", "token"))
-    looked_up = tokens.join(broadcast_if_small(dictionary.select("token", "norm")), "token", "left")
-    return (
-        looked_up.groupBy(id_column)
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.when(
-                        F.col("token").isNotNull(),
-                        F.struct("pos", F.coalesce("norm", "token").alias("word")),
-                    )
-                )
-            ).alias("_words")
-        )
-        .select(id_column, F.array_join(F.col("_words.word"), " ").alias(output))
-    )
+    docs = df.select(F.col(id_column), source.alias("_text"))
+    return _with_forms(docs, dictionary, tx.words("_text"), output, id_column).select(id_column, output)
 
 
 def preprocess_documents(
@@ -59,18 +81,16 @@ def preprocess_documents(
     section_aware: bool = True,
     return_tokens: bool = False,
 ) -> DataFrame:
-    """Section weighting, cleaning, stop words, then the optional dictionary lookup.
+    """Section weighting, cleaning, stop words, then the optional dictionary lookup: one narrow pass.
 
-    Without a dictionary this is one narrow projection. ``return_tokens`` gives
-    an array of words instead of text.
+    ``return_tokens`` gives an array of words instead of text.
     """
     weighted = tx.section_weighted_text(text_column) if section_aware else tx.text_or_empty(text_column)
     cleaned = df.withColumn(output, tx.remove_stopwords(tx.clean_text(weighted), stop_words))
     if dictionary is not None:
-        forms = normalize_tokens(cleaned, dictionary, output, id_column, "_normalized")
         cleaned = (
-            cleaned.drop(output)
-            .join(forms, id_column)
+            _with_forms(cleaned, dictionary, tx.words(output), "_normalized", id_column)
+            .drop(output)
             .withColumnRenamed("_normalized", output)
             .select(*df.columns, output)
         )

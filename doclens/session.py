@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,13 +56,16 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> pa.Table | None:
+    """The rows of ``df`` when they are proven few; at most ``max_rows + 1`` rows reach the driver."""
+    table = df.limit(max_rows + 1).toArrow()
+    return table if table.num_rows <= max_rows and table.nbytes <= max_bytes else None
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Return ``df`` marked for broadcast when it is proven small, else ``df`` unchanged.
 
-    At most ``max_rows + 1`` rows reach the driver. A larger table stays a
-    distributed side of an ordinary (AQE, skew-aware) join.
+    A larger table stays a distributed side of an ordinary (AQE, skew-aware) join.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows <= max_rows and table.nbytes <= BROADCAST_MAX_BYTES:
-        return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
-    return df
+    table = small_table(df, max_rows)
+    return df if table is None else F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
