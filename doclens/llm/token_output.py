@@ -1,37 +1,43 @@
 """Token-ID output in training order.
 
-The tokens of all documents, in the order of their files and each followed by an end token, form one
-stream that is cut into sequences of equal length. A keyed Feistel permutation, walked until it
-lands inside the number of sequences, gives each sequence its slot: a fixed random order that
-needs no shuffle file and can be computed both ways for any slot. Shards are ranges of slots: the
-sequence of slot ``s`` lies in shard ``s // per_shard`` at byte ``(s % per_shard) * stride``, so a reader
-resumes anywhere with one seek.
-
-One total per scanned stretch of a file is gathered for the numbering. Tokens are then made once more and go
-straight to the task that writes their shard: texts are never shuffled, tokens once.
+Each scan task strings the tokens of its documents together, every document followed by an end token, and
+cuts the stream into sequences of equal length. A sequence has a number: its task's, and its place there. A
+keyed Feistel permutation of all possible numbers, walked until it lands inside them, gives each
+sequence its rank in the training order: a fixed random order that needs no random numbers, no sort of
+the corpus and no count before the tokens are there. Ranks are even over their domain, so equal ranges of
+them are equal shares of the sequences: each range partition writes its sequences, in order, into shards of
+fixed stride. Slots number the sequences through all shards without a gap; slot ``s`` lies in the shard with the
+last first slot not above ``s``, at byte ``(s - first slot) * stride``, so a reader resumes anywhere with one seek.
+
+Texts are never shuffled, tokens are made once and shuffled once.
 """
 
 from __future__ import annotations
 
+import bisect
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doclens.llm.base import query, table, tasks
 from doclens.llm.files import Whole, make_folder, opened
-from doclens.llm.tokenizers import byte_encoder, vocabulary
+from doclens.llm.tokenizers import byte_model, vocabulary
 from doclens.llm.words import chunks
 from doclens.session import DEFAULT_SEED, shared_folder, written
 
 _U = np.uint64
 ROUNDS = 6
+_TASK_BITS = 32  # sequences that a scan task may have, as a power of two
 
 
 def _round(values: np.ndarray, key: int, number: int) -> np.ndarray:
@@ -74,36 +80,13 @@ class Permutation:
 
 
 def _scanned(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(file, row, id, text)`` of a table of files; any other input is written to the shared folder first."""
+    """``(id, text)`` of a table of files, whose tasks read the same rows whenever they run; other input is written first."""
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     try:
-        place = docs.select(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
-            F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"),
-        )
-        place.schema  # noqa: B018  analysed here
-        return place
+        docs.select("_metadata.row_index").schema  # noqa: B018  analysed here: only a scan of files has it
     except AnalysisException:
-        return _scanned(written(narrow, "documents"), "id", "text")
-
-
-def _stretches(scan: DataFrame, path: str) -> DataFrame:
-    """``(file, row, tokens)``: for each stretch of a file that one task read, its first row and its tokens."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, expected, found = byte_encoder(path), None, -1, []
-        for batch in chunks(batches, "text"):
-            _, sizes = encoder.encode(batch.column("text"))
-            for file, row, n in zip(batch.column("file").to_pylist(), batch.column("row").to_pylist(), (sizes + 1).tolist()):
-                if file != at or row != expected:
-                    found.append([file, row, 0])
-                found[-1][2] += n
-                at, expected = file, row + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "row", "tokens"]
-        )
-
-    return scan.mapInArrow(count, "file string, row long, tokens long")
+        return written(narrow, "documents")
+    return narrow
 
 
 def write_training_order(
@@ -118,98 +101,104 @@ def write_training_order(
     key: int = DEFAULT_SEED,
     path: str | None = None,
 ) -> DataFrame:
-    """Write the shards into ``folder``; returns their pieces: ``(id, slot, shard, file, position, first_token, n_tokens)``.
+    """Write the shards into ``folder``; returns their pieces: ``(id, slot, shard, file, first_slot, position, first_token, n_tokens)``.
 
     A piece is the part of one document in one sequence: ``n_tokens`` tokens of the document from ``first_token`` on,
-    at ``position`` in the sequence. Token ids are little-endian 16-bit numbers, a sequence is ``length`` of them; the
-    last sequence of the stream is filled up with end tokens. Every document ends with one end token, which counts as its own.
+    at ``position`` in the sequence of ``slot``; ``file`` is its shard's, which begins with ``first_slot``. Token ids are
+    little-endian 16-bit numbers, a sequence is ``length`` of them; the last sequence of each scan task is filled up with
+    end tokens. Every document ends with one end token, which counts as its own. The order is the same whenever
+    the same files are cut into the same tasks.
 
-    The stream follows the files of ``docs`` by name and the rows in them, however tasks share them out. Null and
-    empty texts are an end token alone; null ids and rows that repeat an id or a text are rows like any other. An
-    empty table writes nothing. Other columns are not looked at. A text is held whole by one task.
+    Null and empty texts are an end token alone; null ids and rows that repeat an id or a text are rows like any other.
+    An empty table writes nothing. Other columns are not looked at. A text is held whole by one task.
     """
     spark = docs.sparkSession
     path = path or vocabulary(tokenizer)
     make_folder(folder)
     scan = _scanned(docs, id_column, text_column)
-    # one row per task and file
-    stretches = sorted(tuple(r) for r in written(_stretches(scan, path), "stretches").collect())
-    begins, total = {}, 0
-    for file, row, tokens in stretches:
-        begins[file, row] = total
-        total += tokens
-    size = -(-total // length)
-    order = Permutation(max(1, size), key)
+    kind = scan.schema["id"].dataType.simpleString()
+    order = Permutation(max(1, scan.rdd.getNumPartitions()) << _TASK_BITS, key)
+    parts = tasks(spark)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, expected, start = byte_encoder(path), None, -1, 0
+        model = byte_model(path)
+        first, at = TaskContext.get().partitionId() << _TASK_BITS, 0
         for batch in chunks(batches, "text"):
-            ids, sizes = encoder.encode(batch.column("text"))
-            stops = np.cumsum(sizes)
-            owners, slots, positions, firsts, counts, parts = [], [], [], [], [], []
-            for i, (file, row) in enumerate(zip(batch.column("file").to_pylist(), batch.column("row").to_pylist())):
-                if file != at or row != expected:
-                    start = begins[file, row]  # a scan that is cut otherwise than the first one ends here
-                own = np.append(ids[stops[i] - sizes[i] : stops[i]], end_token).astype("<u2")
-                stop = start + len(own)
-                inner = range((start // length + 1) * length, stop, length)
-                edges = [start, *inner, stop]
+            owners, numbers, positions, firsts, counts, parts_ = [], [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                own = array("H", model.encode_ordinary(text) if text else ())
+                own.append(end_token)
+                stop = at + len(own)
+                edges = [at, *range((at // length + 1) * length, stop, length), stop]
                 for a, b in zip(edges[:-1], edges[1:]):
                     owners.append(i)
-                    slots.append(a // length)
+                    numbers.append(first + a // length)
                     positions.append(a % length)
-                    firsts.append(a - start)
+                    firsts.append(a - at)
                     counts.append(b - a)
-                    parts.append(own[a - start : b - start].tobytes())
-                at, expected, start = file, row + 1, stop
-            placed = order.slots(np.array(slots, np.int64))
+                    parts_.append(own[a - at : b - at].tobytes())
+                at = stop
+            ranks = order.slots(np.array(numbers, np.int64))
+            # the share of the domain, in two steps that fit 64 bits
+            share = (ranks >> 20) * parts // (-(-order.size >> 20) or 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(owners, pa.int64())), pa.array(placed), pa.array(placed // per_shard),
-                 pa.array(positions, pa.int64()), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64()), pa.array(parts, pa.binary())],
-                ["id", "slot", "shard", "position", "first_token", "n_tokens", "tokens"],
+                [batch.column("id").take(pa.array(owners, pa.int64())), pa.array(ranks), pa.array(np.minimum(share, parts - 1).astype(np.int32)),
+                 pa.array(positions, pa.int64()), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64()), pa.array(parts_, pa.binary())],
+                ["id", "rank", "part", "position", "first_token", "n_tokens", "tokens"],
             )
 
-    kind = scan.schema["id"].dataType.simpleString()
-    cut = scan.mapInArrow(pieces, f"id {kind}, slot long, shard long, position long, first_token long, n_tokens long, tokens binary")
-    dealt = cut.repartitionByRange(tasks(spark), "shard").sortWithinPartitions("slot", "position")
     stride = 2 * length
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file = None
-        at = (-1, -1, 0)  # shard, next slot, filled bytes of the slot before
-        name = ""
+        file, name, place, shard, last = None, "", -1, -1, None
 
         def fill(missing: int) -> None:
             file.write(struct.pack("<H", end_token) * (missing // 2))
 
         for batch in batches:
-            names = []
-            rows = zip(batch.column("shard").to_pylist(), batch.column("slot").to_pylist(), batch.column("position").to_pylist(), batch.column("tokens"))
-            for shard, slot, position, tokens in rows:
-                if shard != at[0]:
-                    if file is not None:
+            places, shards, names = [], [], []
+            for rank, position, tokens in zip(batch.column("rank").to_pylist(), batch.column("position").to_pylist(), batch.column("tokens")):
+                if rank != last:
+                    last, place = rank, place + 1
+                    if place % per_shard == 0:
+                        if file is not None:
+                            fill(-file.size % stride)
+                            file.close()
+                        shard += 1
+                        name = f"part-{batch.column('part')[0].as_py():06d}-{shard:06d}-{uuid.uuid4().hex}.bin"  # this attempt's own
+                        file = Whole(folder, name)
+                    else:
                         fill(-file.size % stride)
-                        file.close()
-                    name = f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"  # the pieces name this attempt's own file
-                    file, at = Whole(folder, name), (shard, 0, 0)
-                place = (slot % per_shard) * stride + 2 * position
-                if place < file.size:
-                    raise ValueError("two pieces in one place")
-                fill(place - file.size)
+                if (place % per_shard) * stride + 2 * position != file.size:
+                    raise ValueError("a piece is missing or there twice")
                 file.write(tokens.as_buffer().to_pybytes())
+                places.append(place)
+                shards.append(shard)
                 names.append(name)
-            kept = batch.select(["id", "slot", "shard", "position", "first_token", "n_tokens"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string())], [*kept.schema.names, "file"])
+            kept = batch.select(["id", "part", "position", "first_token", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(places, pa.int64()), pa.array(shards, pa.int64()), pa.array(names, pa.string())],
+                [*kept.schema.names, "place", "in_part", "file"],
+            )
         if file is not None:
             fill(-file.size % stride)
             file.close()
 
-    return written(
-        dealt.mapInArrow(write, f"id {kind}, slot long, shard long, position long, first_token long, n_tokens long, file string"), "pieces"
+    cut = scan.mapInArrow(pieces, f"id {kind}, rank long, part int, position long, first_token long, n_tokens long, tokens binary")
+    dealt = cut.repartitionById(parts, "part").sortWithinPartitions("rank", "position")
+    local = written(
+        dealt.mapInArrow(write, f"id {kind}, part int, position long, first_token long, n_tokens long, place long, in_part long, file string"), "pieces"
+    )
+    # one row per range partition
+    held = local.groupBy("part").agg((F.max("place") + 1).alias("n"), (F.max("in_part") + 1).alias("s"))
+    before = held.select("part", F.expr("sum(n) OVER (ORDER BY part) - n").alias("slots"), F.expr("sum(s) OVER (ORDER BY part) - s").alias("shards"))
+    return local.join(F.broadcast(before), "part").select(
+        "id", (F.col("place") + F.col("slots")).alias("slot"), (F.col("in_part") + F.col("shards")).alias("shard"), "file",
+        (F.col("in_part") * per_shard + F.col("slots")).alias("first_slot"), "position", "first_token", "n_tokens",
     )
 
 
-def read_pieces(pieces: DataFrame, folder: str, length: int, per_shard: int) -> DataFrame:
+def read_pieces(pieces: DataFrame, folder: str, length: int) -> DataFrame:
     """``pieces`` with ``tokens_crc32``, the checksum of the bytes that the shard holds in the piece's place."""
     stride = 2 * length
 
@@ -218,43 +207,42 @@ def read_pieces(pieces: DataFrame, folder: str, length: int, per_shard: int) ->
         name, file = None, None
         for batch in batches:
             sums = []
-            for own, slot, position, n in zip(*(batch.column(c).to_pylist() for c in ("file", "slot", "position", "n_tokens"))):
+            columns = (batch.column(c).to_pylist() for c in ("file", "slot", "first_slot", "position", "n_tokens"))
+            for own, slot, first, position, n in zip(*columns):
                 if own != name:
                     if file is not None:
                         file.close()
                     name, file = own, system.open_input_file(f"{path}/{own}")
-                file.seek((slot % per_shard) * stride + 2 * position)
+                file.seek((slot - first) * stride + 2 * position)
                 sums.append(zlib.crc32(file.read(2 * n)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], [*batch.schema.names, "tokens_crc32"])
         if file is not None:
             file.close()
 
-    kind = pieces.schema["id"].dataType.simpleString()
-    return pieces.mapInArrow(
-        read, f"id {kind}, slot long, shard long, position long, first_token long, n_tokens long, file string, tokens_crc32 long"
-    )
+    return pieces.mapInArrow(read, T.StructType([*pieces.schema.fields, T.StructField("tokens_crc32", T.LongType())]))
 
 
-def read_sequences(folder: str, files: dict[int, str], first: int, count: int, length: int, per_shard: int) -> Iterator[np.ndarray]:
-    """The sequences of slots ``first`` to ``first + count - 1`` in training order; ``files`` names the file of each shard."""
+def read_sequences(folder: str, shards: list[tuple[int, str]], first: int, count: int, length: int) -> Iterator[np.ndarray]:
+    """The sequences of slots ``first`` to ``first + count - 1`` in training order; ``shards`` lists ``(first slot, file)`` in order."""
     system, path = opened(folder)
     stride, slot = 2 * length, first
+    starts = [s for s, _ in shards]
     while slot < first + count:
-        shard = slot // per_shard
-        many = min(first + count, (shard + 1) * per_shard) - slot
-        with system.open_input_file(f"{path}/{files[shard]}") as file:
-            file.seek((slot % per_shard) * stride)
-            for _ in range(many):
+        at = bisect.bisect_right(starts, slot) - 1
+        stop = min(first + count, starts[at + 1] if at + 1 < len(starts) else first + count)
+        with system.open_input_file(f"{path}/{shards[at][1]}") as file:
+            file.seek((slot - starts[at]) * stride)
+            for _ in range(stop - slot):
                 yield np.frombuffer(file.read(stride), "<u2")
-        slot += many
+        slot = stop
 
 
-def training_order(docs: DataFrame, length: int = 1024, per_shard: int = 2048, **options) -> DataFrame:
+def training_order(docs: DataFrame, length: int = 1024, **options) -> DataFrame:
     """Write the shards of ``docs`` into a new shared folder and read them back, piece by piece."""
     folder = shared_folder(docs.sparkSession, "shards")
-    pieces = write_training_order(docs, folder, length=length, per_shard=per_shard, **options)
+    pieces = write_training_order(docs, folder, length=length, **options)
     name = options.get("id_column", "doc_id")
-    return read_pieces(pieces, folder, length, per_shard).drop("file").withColumnRenamed("id", name)
+    return read_pieces(pieces, folder, length).drop("file", "first_slot").withColumnRenamed("id", name)
 
 
 @query("op2_training_order")

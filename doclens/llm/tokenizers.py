@@ -6,11 +6,6 @@ import base64
 import re
 from functools import lru_cache
 
-import numpy as np
-import pyarrow as pa
-
-from doclens.llm.words import SPACE, run_hashes, text_bytes
-
 PIECE_BYTES = 4096  # longer texts are cut at the first safe place after so many bytes
 
 
@@ -70,67 +65,3 @@ def piece_parts(text: str) -> list[str]:
 def byte_parts(text: str) -> list[str]:
     """The same for a byte-level model."""
     return cut(text, _BYTE_CUT)
-
-
-class ByteEncoder:
-    """Token ids of many texts under a byte-level model; equal stretches are encoded once.
-
-    A text is cut in front of every single white-space character between two characters that are surely not
-    white space: the model's own pre-split starts a new stretch there, so the ids of the stretches, joined,
-    are those of the text. Stretches are found and compared as bytes of the whole batch.
-    """
-
-    def __init__(self, path: str, memory: int = 400_000):
-        self.model, self.memory = byte_model(path), memory
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.sizes = np.zeros(0, np.int64)
-        self.stops = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        lists = [self.model.encode_ordinary(t) for t in texts]
-        for n, key in enumerate(keys, len(self.known)):
-            self.known[key] = n
-        self.sizes = np.concatenate((self.sizes, np.array([len(x) for x in lists], np.int64)))
-        self.stops = np.cumsum(self.sizes)
-        self.ids = np.concatenate((self.ids, np.array([i for x in lists for i in x], np.uint32)))
-
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids of all texts, how many each has)``; null is empty."""
-        data, offsets = text_bytes(column)
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
-        visible = (data > 0x20) & (data < 0x7F)
-        lead = (data >= 0xC3) & (data <= 0xDF)  # of two bytes; none of these characters is white space
-        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-        before[1:] = visible[:-1]
-        before[2:] |= lead[:-2]
-        after[:-1] = visible[1:] | lead[1:]
-        edge = SPACE[data] & before & after
-        edge[offsets[:-1][offsets[:-1] < len(data)]] = True
-        starts = np.flatnonzero(edge)
-        keys = run_hashes(data, starts)
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) > self.memory:
-            self._clear()
-        stops = np.append(starts[1:], len(data))
-        raw = data.tobytes()
-        listed = unique.tolist()
-        new = [i for i, k in enumerate(listed) if k not in self.known]
-        if new:
-            self._learn([listed[i] for i in new], [raw[starts[first[i]] : stops[first[i]]].decode() for i in new])
-        number = np.fromiter((self.known[k] for k in listed), np.int64, len(listed))[back]
-        sizes = self.sizes[number]
-        ends = np.cumsum(sizes)
-        place = np.arange(int(ends[-1])) + np.repeat(self.stops[number] - ends, sizes)
-        upto = np.concatenate(([0], ends))[np.searchsorted(starts, offsets)]
-        return self.ids[place], np.diff(upto)
-
-
-@lru_cache(maxsize=4)
-def byte_encoder(path: str) -> ByteEncoder:
-    """One per worker process."""
-    return ByteEncoder(path)

@@ -67,14 +67,6 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             start = stop
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One fingerprint per run of bytes; runs follow each other from ``starts[0] = 0`` to the end."""
-    lengths = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data)) - np.repeat(starts, lengths)
-    powers = np.cumprod(np.full(int(lengths.max()), _WORD_BASE, np.uint64))
-    return mix(np.add.reduceat(_BYTE_VALUES[data] * powers[place], starts) + lengths.astype(np.uint64))
-
-
 class Words:
     """The words of some texts: byte positions, and how many each text has."""
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from doclens.llm import token_counts, token_output, warc
 from doclens.llm.sharding import balanced_tree, shard_rows, weight
-from doclens.llm.tokenizers import ByteEncoder, byte_model, byte_parts, piece_model, piece_parts, vocabulary
+from doclens.llm.tokenizers import byte_model, byte_parts, piece_model, piece_parts, vocabulary
 from doclens.session import shared_folder
 
 BYTE = "byte_bpe_50k.tiktoken"
@@ -16,17 +16,6 @@ HARD = [
 ]
 
 
-def test_stretches_are_encoded_like_whole_texts():
-    import pyarrow as pa
-
-    model = byte_model(vocabulary(BYTE))
-    encoder = ByteEncoder(vocabulary(BYTE), memory=3)
-    for _ in range(2):
-        ids, sizes = encoder.encode(pa.array([*HARD, None]))
-        assert sizes.tolist() == [*(len(model.encode_ordinary(t)) for t in HARD), 0]
-        assert ids.tolist() == [i for t in HARD for i in model.encode_ordinary(t)]
-
-
 def test_cut_texts_keep_their_tokens():
     piece, byte = piece_model(vocabulary("piece_bpe_32k.model")), byte_model(vocabulary(BYTE))
     for text in HARD + ["  ".join(["Ab", "c\n d", "é f"] * 3000)]:
@@ -56,33 +45,47 @@ def test_permutation_is_a_bijection():
     assert (token_output.Permutation(1000, 7).slots(np.arange(1000)) != token_output.Permutation(1000, 8).slots(np.arange(1000))).any()
 
 
-def test_shards_hold_the_stream(spark, edge):
+def test_shards_hold_the_streams(spark, edge):
     folder = shared_folder(spark, "test-shards")
     pieces = token_output.write_training_order(edge, folder, length=64, per_shard=5)
     rows = pieces.collect()
     model = byte_model(vocabulary(BYTE))
-    files = {r["shard"]: r["file"] for r in rows}
-    total = sum(len(model.encode_ordinary(r["text"] or "")) + 1 for r in edge.collect())
-    sequences = -(-total // 64)
+    shards = sorted({(r["first_slot"], r["file"]) for r in rows})
+    assert sorted({r["shard"] for r in rows}) == list(range(len(shards)))
+    sequences = 1 + max(r["slot"] for r in rows)
     assert {r["slot"] for r in rows} == set(range(sequences))
-    read = list(token_output.read_sequences(folder, files, 0, sequences, 64, 5))
-    assert [x.tolist() for x in token_output.read_sequences(folder, files, 7, 3, 64, 5)] == [x.tolist() for x in read[7:10]]
-    order = token_output.Permutation(sequences, 42)
-    stream = np.concatenate([read[s] for s in order.slots(np.arange(sequences))])
-    assert (stream[total:] == 50256).all()
-    documents, start = [], 0
-    for stop in np.flatnonzero(stream[:total] == 50256).tolist():
-        documents.append(model.decode(stream[start:stop].tolist()))
-        start = stop + 1
-    assert sorted(documents) == sorted(r["text"] or "" for r in edge.collect())
+    read = [x.tolist() for x in token_output.read_sequences(folder, shards, 0, sequences, 64)]
+    assert [x.tolist() for x in token_output.read_sequences(folder, shards, 7, 9, 64)] == read[7:16]
+    assert all(len(x) == 64 for x in read)
     texts = {r["doc_id"]: model.encode_ordinary(r["text"] or "") + [50256] for r in edge.collect()}
-    checked = token_output.read_pieces(pieces, folder, 64, 5).collect()
-    for r in checked:
+    held = {}
+    filled = [0] * sequences
+    for r in sorted(rows, key=lambda r: (r["slot"], r["position"])):
+        assert r["position"] == filled[r["slot"]]
+        filled[r["slot"]] += r["n_tokens"]
+        own = read[r["slot"]][r["position"] : r["position"] + r["n_tokens"]]
+        assert own == texts[r["id"]][r["first_token"] : r["first_token"] + r["n_tokens"]]
+        held[r["id"]] = held.get(r["id"], 0) + r["n_tokens"]
+    # every token is there, once for each row
+    copies = {2: 2}
+    assert held == {i: len(t) * copies.get(i, 1) for i, t in texts.items()}
+    assert all(x[n:] == [50256] * (64 - n) for x, n in zip(read, filled))
+    for r in token_output.read_pieces(pieces, folder, 64).collect():
         own = np.array(texts[r["id"]][r["first_token"] : r["first_token"] + r["n_tokens"]], "<u2")
         assert r["tokens_crc32"] == zlib.crc32(own.tobytes())
     assert token_output.training_order(edge.limit(0)).count() == 0
 
 
+def test_order_is_fixed_by_the_key(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    place = lambda **o: {(r["doc_id"], r["first_token"]): r["slot"] for r in token_output.training_order(docs, length=128, **o).collect()}
+    once = place()
+    assert once == place() and once != place(key=7)
+    # neighbours in the table lie apart in the order
+    apart = [abs(once[i, 0] - once[i + 1, 0]) for i in range(150) if (i, 0) in once and (i + 1, 0) in once]
+    assert sorted(apart)[len(apart) // 2] > 0.1 * len(set(once.values()))
+
+
 def test_shards(spark, edge):
     rows = shard_rows(edge, balanced_tree(8), balanced_tree(9)).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in edge.collect()}
