@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,18 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def wide_rows(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Smaller Arrow batches for what is run inside: rows that carry whole sets are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 # --- membership bitmap -------------------------------------------------------
 BITMAP_BITS = 27  # 2**27 bits: 16 MB, whatever the size of the table
 

@@ -14,9 +14,12 @@ The plan never pairs up a bucket of equal signatures:
 2. Each node of a shared signature is compared with the smallest node of it. A parity
    sketch bounds the symmetric difference from below and drops most pairs; exact sets
    decide the rest. The links give components.
-3. Signatures whose nodes still lie in several components are looked at once more: blocks
-   of nodes compare sketches inside a task, and only pairs of different components that the
-   sketch can't exclude leave it, to be decided by exact sets. Then nothing is left to test.
+3. Signatures whose nodes still lie in several components are looked at once more. Those of a
+   handful of nodes give their pairs of different components, each pair once, which take the
+   same two tests. In larger ones blocks of nodes compare sketches inside a task, and only nodes
+   with a partner in another component that the sketch can't exclude go on, with their exact
+   sets; pairs never leave the task, but for links between components. Then nothing is
+   left to test.
 """
 
 from __future__ import annotations
@@ -29,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.base import Bitmap, bitmap, query, table, tasks
+from doclens.llm.base import Bitmap, bitmap, query, table, tasks, wide_rows
 from doclens.llm.components import components
 from doclens.llm.words import Words, chunks, mix, shingles, text_bytes
 from doclens.session import written
 
 _U = np.uint64
-BLOCK = 2048  # nodes of a signature that one task compares with another such block
+FEW = 8  # nodes of a signature whose pairs go on as rows, each pair once
+BLOCK = 2048  # nodes of a signature that a task compares with another such block,
+BLOCK_ELEMENTS = 1 << 20  # or as many as hold so many shingles together
 
 
 class Scheme:
@@ -77,7 +82,7 @@ class Scheme:
         return k // 2 + 1 + spare, 2, 1, spare
 
     def sketch_bits(self, band: int) -> int:
-        return max(64, 1 << (16 * self.bounds[band] - 1).bit_length())
+        return min(8192, max(64, 1 << (16 * self.bounds[band] - 1).bit_length()))
 
     def node(self, values: np.ndarray) -> tuple[int, int]:
         """Two independent fingerprints of a set; the first is the node."""
@@ -236,6 +241,47 @@ def _exact_test(scheme: Scheme):
     return emit
 
 
+def _likely(pairs: DataFrame, light: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs ``(a, b)`` whose sizes and sketches allow a link."""
+    tested = pairs.join(light.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").join(
+        light.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a"
+    )
+    return tested.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketch_test(scheme), "a long, b long")
+
+
+def _few_pairs(scheme: Scheme):
+    """Pairs of different components that share a signature of few nodes and whose sizes allow a link; rows come by signature."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.zeros((4, 0), np.int64)
+        found: list[np.ndarray] = []
+        held = 0
+        for batch in batches:
+            rows = np.concatenate((tail, np.stack([batch.column(c).to_numpy() for c in ("sig", "node", "component", "n")])), axis=1)
+            sig, node, component, n = rows
+            for step in range(1, FEW):
+                x = np.arange(max(0, rows.shape[1] - step))
+                # pairs inside what is carried over were found before
+                x = x[(x + step >= tail.shape[1]) & (sig[x] == sig[x + step])] if len(x) else x
+                y = x + step
+                low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                keep = (component[x] != component[y]) & (node[x] != node[y]) & (scheme.den * low >= scheme.num * high)
+                found.append(np.stack((np.minimum(node[x], node[y])[keep], np.maximum(node[x], node[y])[keep]), 1))
+                held += len(found[-1])
+            tail = rows[:, -(FEW - 1) :]
+            if held > 1_000_000:
+                yield _as_pairs(found)
+                found, held = [], 0
+        yield _as_pairs(found)
+
+    return emit
+
+
+def _as_pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """The pairs ``(a, b)`` whose exact sets link."""
     sets = nodes.select("node", "elements")
@@ -245,53 +291,126 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     return joined.select("a", "b", "ea", "eb").mapInArrow(_exact_test(scheme), "a long, b long")
 
 
-def _cross_pairs(scheme: Scheme):
-    """Pairs of different components within each (sig, left, right) run that sizes and sketches allow."""
-
-    def compare(run: list, left: int, right: int) -> np.ndarray:
-        node, comp, n, block = (np.array([r[i] for r in run], np.int64) for i in range(4))
-        words = min(len(r[4]) for r in run) // 8
-        sketch = np.stack([_fold(np.frombuffer(r[4], np.uint64), words) for r in run])
-        one, two = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        found = []
-        step = max(1, (1 << 21) // max(1, len(two) * words))
-        for at in range(0, len(one), step):
-            i = one[at : at + step]
-            near = (comp[i][:, None] != comp[two][None, :]) & (node[i][:, None] != node[two][None, :])
-            low, high = np.minimum(n[i][:, None], n[two][None, :]), np.maximum(n[i][:, None], n[two][None, :])
-            near &= scheme.den * low >= scheme.num * high
-            if not near.any():
-                continue
-            apart = np.zeros(near.shape, np.int64)
-            for w in range(words):
-                apart += np.bitwise_count(sketch[i, w][:, None] ^ sketch[two, w][None, :])
-            near &= apart <= scheme.allowed(low + high)
-            x, y = np.nonzero(near)
-            found.append(np.stack((np.minimum(node[i[x]], node[two[y]]), np.maximum(node[i[x]], node[two[y]])), 1))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+class _Block:
+    """Rows of signature buckets, in the order of (sig, lo, hi, node), with their sketches side by side."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.table = table
+        column = {c: table.column(c).to_numpy() for c in ("sig", "lo", "hi", "node", "component", "n", "block")}
+        self.node, self.component, self.n, self.block = (column[c] for c in ("node", "component", "n", "block"))
+        self.lo, self.hi = column["lo"], column["hi"]
+        keys = np.stack([column[c] for c in ("sig", "lo", "hi")])
+        self.edges = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True])))
+        sketches = table.column("sketch").chunk(0).cast(pa.large_binary()) if len(table) else pa.array([], pa.large_binary())
+        offsets = np.frombuffer(sketches.buffers()[1], np.int64)[sketches.offset : sketches.offset + len(table) + 1] if len(table) else np.zeros(1, np.int64)
+        self.words = np.diff(offsets) >> 3
+        self.flat = np.frombuffer(sketches.buffers()[2], np.uint64) if len(table) else np.zeros(0, np.uint64)
+        self.at = offsets[:-1] >> 3
+
+    def _sketches(self, rows: np.ndarray, words: int, width: int) -> np.ndarray:
+        full = self.flat[self.at[rows][:, None] + np.arange(words)]
+        return full if words == width else np.bitwise_xor.reduce(full.reshape(len(rows), -1, width), axis=1)
+
+    def near(self, scheme: Scheme, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row pairs of different components that sizes and sketches allow to link."""
+        keep = (self.component[x] != self.component[y]) & (self.node[x] != self.node[y])
+        low, high = np.minimum(self.n[x], self.n[y]), np.maximum(self.n[x], self.n[y])
+        keep &= scheme.den * low >= scheme.num * high
+        x, y = x[keep], y[keep]
+        limit = scheme.allowed(low[keep] + high[keep])
+        allowed = np.zeros(len(x), bool)
+        shapes = self.words[x] << 32 | self.words[y]
+        for shape in np.unique(shapes).tolist():
+            wx, wy = shape >> 32, shape & 0xFFFFFFFF
+            width = min(wx, wy)
+            own = np.flatnonzero(shapes == shape)
+            for part in np.array_split(own, max(1, len(own) * max(wx, wy) >> 20)):
+                apart = np.bitwise_count(self._sketches(x[part], wx, width) ^ self._sketches(y[part], wy, width)).sum(axis=1)
+                allowed[part] = apart <= limit[part]
+        return x[allowed], y[allowed]
+
+    def candidates(self, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All near pairs, a bounded number of compared pairs at a time; no pair of rows meets twice in a bucket."""
+        sizes = np.diff(self.edges)
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        few = sizes <= 32
+        rows = np.flatnonzero(few[bucket] & (self.lo == self.hi))
+        for step in range(1, 32):
+            x = rows[rows + step < len(bucket)]
+            x = x[bucket[x] == bucket[x + step]]
+            if not len(x):
+                break
+            yield self.near(scheme, x, x + step)
+        for i in np.flatnonzero(~few | (self.lo[self.edges[:-1]] != self.hi[self.edges[:-1]])).tolist():
+            own = np.arange(self.edges[i], self.edges[i + 1])
+            left, right = own[self.block[own] == self.lo[own[0]]], own[self.block[own] == self.hi[own[0]]]
+            same = self.lo[own[0]] == self.hi[own[0]]
+            step = max(1, (1 << 19) // max(1, len(right)))
+            for at in range(0, len(left), step):
+                x, y = np.repeat(left[at : at + step], len(right)), np.tile(right, len(left[at : at + step]))
+                if same:
+                    x, y = x[x < y], y[x < y]
+                yield self.near(scheme, x, y)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a task in tables of whole (sig, lo, hi) buckets."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "lo", "hi")])
+        last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut == 0 and held:  # maybe the same bucket as what is held: a bucket has a bounded number of rows
+            before = tuple(held[-1].column(c)[-1].as_py() for c in ("sig", "lo", "hi"))
+            if before != tuple(keys[:, 0].tolist()):
+                yield pa.Table.from_batches(held)
+                held = []
+        elif cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near_rows(scheme: Scheme):
+    """The rows of each bucket that have a near pair there."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, run, found, waiting = None, [], [], 0
+        for table in _buckets(batches):
+            block = _Block(table)
+            hit = np.zeros(len(table), bool)
+            for x, y in block.candidates(scheme):
+                hit[x] = hit[y] = True
+            yield from block.table.filter(pa.array(hit)).to_batches()
 
-        def packed() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+    return emit
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("sig", "lo", "hi", "node", "component", "n", "block", "sketch")]
-            for row in zip(*columns):
-                if row[:3] != key:
-                    if key is not None:
-                        found.append(compare(run, key[1], key[2]))
-                        waiting += len(found[-1])
-                        if waiting > 1_000_000:
-                            yield packed()
-                            found, waiting = [], 0
-                    key, run = row[:3], []
-                run.append(row[3:])
-        if key is not None:
-            found.append(compare(run, key[1], key[2]))
-        yield packed()
+
+def _linked_rows(scheme: Scheme):
+    """One link per pair of components and bucket at most, each by the exact sets; columns of the buckets and ``elements``."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _buckets(batches):
+            block = _Block(table)
+            elements = block.table.column("elements")
+            sets = [np.frombuffer(e.as_buffer(), np.uint64) for e in elements]
+            found = set()
+            for x, y in block.candidates(scheme):
+                for i, j in zip(x.tolist(), y.tolist()):
+                    pair = (int(min(block.component[i], block.component[j])), int(max(block.component[i], block.component[j])))
+                    if pair in found:
+                        continue
+                    both = np.concatenate((sets[i], sets[j]))
+                    both.sort()
+                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if scheme.den * shared >= scheme.num * (len(both) - shared):
+                        found.add(pair)
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     return emit
 
@@ -345,38 +464,54 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
     heavy = kept.select("node", "elements")
 
     star = members.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tested = star.join(light.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").join(
-        light.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a"
-    )
-    likely = written(tested.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketch_test(scheme), "a long, b long"), "likely")
-    links = written(_confirmed(likely, _needed(heavy, likely), scheme), "stars")
+    with wide_rows(spark):
+        likely = written(_likely(star, light, scheme), "likely")
+        links = written(_confirmed(likely, _needed(heavy, likely), scheme), "stars")
     first = written(components(links, "a", "b"), "components")
 
     placed = written(
-        members.select("sig", "node").join(first, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component")),
+        members.select("sig", "node")
+        .join(light.select("node", "n"), "node")
+        .join(first, "node", "left")
+        .select("sig", "node", "n", F.coalesce("component", "node").alias("component")),
         "placed",
     )
     still = (
         placed.groupBy("sig")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("held"))
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("held"), F.sum("n").alias("elements"))
         .filter("x != y")
-        .select("sig", F.ceil(F.col("held") / BLOCK).cast("long").alias("blocks"))
+        .select("sig", "held", F.ceil(F.greatest(F.col("held") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("long").alias("blocks"))
     )
+    open_rows = written(placed.join(still, "sig"), "open")
+    few = open_rows.filter(F.col("held") <= FEW).select("sig", "node", "component", "n")
+    few = few.repartition(tasks(spark), "sig").sortWithinPartitions("sig", "node")
+    pairs = written(few.mapInArrow(_few_pairs(scheme), "a long, b long").distinct(), "pairs")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    bucket = ["sig", "lo", "hi"]
     facing = (
-        placed.join(still, "sig")
-        .join(light, "node")
+        open_rows.filter(F.col("held") > FEW)
+        .join(light.drop("n"), "node")
         .select("sig", "node", "component", "n", "sketch", block.alias("block"), other)
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
         .select("sig", "lo", "hi", "node", "component", "n", "block", "sketch")
-        .repartition(tasks(spark), "sig", "lo", "hi")
-        .sortWithinPartitions("sig", "lo", "hi", "node")
+        .repartition(tasks(spark), *bucket)
+        .sortWithinPartitions(*bucket, "node")
     )
-    rest = written(facing.mapInArrow(_cross_pairs(scheme), "a long, b long").distinct(), "cross")
-    more = _confirmed(rest, _needed(heavy, rest), scheme)
-    last = components(links.select("a", "b").unionAll(more), "a", "b")
+    with wide_rows(spark):
+        likely = written(_likely(pairs, light, scheme), "likely")
+        more = written(_confirmed(likely, _needed(heavy, likely), scheme), "more")
+        rest = written(facing.mapInArrow(_near_rows(scheme), facing.schema), "near")
+        facing = (
+            rest.join(_needed(heavy, rest.select(F.col("node").alias("a"), F.col("node").alias("b"))), "node")
+            .select(*rest.columns, "elements")
+            .repartition(tasks(spark), *bucket)
+            .sortWithinPartitions(*bucket, "node")
+        )
+        # links between components: their names are nodes too
+        most = written(facing.mapInArrow(_linked_rows(scheme), "a long, b long"), "most")
+    last = components(links.unionAll(more).unionAll(most), "a", "b")
 
     # the smallest id of each node, then of each component
     named = (
