@@ -19,12 +19,12 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import scores as sc
 from doclens.operators import evaluate, nearest
-from doclens.operators.sampling import hash_order
+from doclens.operators.sampling import class_sizes, hash_order, mark_selected
 from doclens.session import DEFAULT_SEED, broadcast_if_small, written
 
 MODEL_TYPES = ["logistic", "random_forest", "gradient_boosting", "xgboost", "svm", "knn"]
@@ -32,6 +32,8 @@ COMPARED_MODELS = ["gradient_boosting", "random_forest", "logistic", "svm", "xgb
 _MIN_ROWS_TO_TUNE = 200
 _MIN_ROWS_TO_CALIBRATE = 30
 _FOLDS = 3
+MAX_FIT_ROWS = 20_000
+_SCORE_STEPS = 10_000
 
 
 # -- class weights -------------------------------------------------------------------
@@ -174,6 +176,27 @@ def estimator(model_type: str, rows: int, **params):
     raise ValueError(f"unknown model type {model_type!r}; known: {MODEL_TYPES}")
 
 
+def fit_sample(
+    df: DataFrame, id_column: str, label_column: str = "label", max_fit_rows: int = MAX_FIT_ROWS, seed: int = DEFAULT_SEED
+) -> DataFrame:
+    """At most about ``max_fit_rows`` labelled rows, the first of each class in hash order; all of them when there are no more.
+
+    Iterative fits take hundreds of passes; everything else (features, predictions, metrics) covers all rows.
+    """
+    rows = df.count()
+    if rows <= max_fit_rows:
+        return df
+    share = max_fit_rows / rows
+    quotas = class_sizes(df, label_column).withColumn("quota", F.greatest(F.lit(1), F.floor(F.col("n") * share)).cast("long"))
+    return mark_selected(df, id_column, label_column, quotas, "_fit", seed).filter("_fit").drop("_fit")
+
+
+def with_folds(df: DataFrame, id_column: str, label_column: str = "label", folds: int = _FOLDS, seed: int = DEFAULT_SEED) -> DataFrame:
+    """Add ``_fold``: rows of each class dealt round by hash rank. Meant for fit samples, whose rows are bounded."""
+    rank = F.row_number().over(Window.partitionBy(label_column).orderBy(hash_order(id_column, seed), id_column))
+    return df.withColumn("_fold", ((rank - 1) % folds).cast("int"))
+
+
 def fit_classifier(df: DataFrame, model_type: str = "logistic", **params) -> FittedClassifier:
     """Fit on ``features`` (ML vector) and ``label`` (class code as double)."""
     rows = df.count()
@@ -216,15 +239,19 @@ def tuning_grid(model_type: str, rows: int) -> list[dict]:
 
 def tune(
     df: DataFrame, model_type: str = "logistic", grid: list[dict] | None = None, parallelism: int = 4,
-    min_rows: int = _MIN_ROWS_TO_TUNE,
+    min_rows: int = _MIN_ROWS_TO_TUNE, id_column: str = "doc_id",
 ) -> tuple[dict, list[tuple[dict, float]]]:
-    """Best parameters by 3-fold macro F1, and the score of every set tried."""
+    """Best parameters by 3-fold macro F1, and the score of every set tried.
+
+    Folds are dealt by hash inside each class, so they don't depend on the partitioning.
+    """
     rows = df.count()
     grid = tuning_grid(model_type, rows) if grid is None else grid
     if rows < min_rows or len(grid) < 2:
         return (grid[0] if len(grid) == 1 else {}), []
-    weighted = with_class_weight(df)
-    candidates = [estimator(model_type, rows, **params) for params in grid]
+    weighted = written(with_folds(with_class_weight(df), id_column), "folds")
+    # penalties scale with the rows that a fold's model is fitted on
+    candidates = [estimator(model_type, rows * (_FOLDS - 1) // _FOLDS, **params) for params in grid]
     base = candidates[0]
     builder = ParamGridBuilder()
     if isinstance(base, OneVsRest):
@@ -235,7 +262,7 @@ def tune(
         ]
     search = CrossValidator(
         estimator=base, estimatorParamMaps=maps, evaluator=MacroF1(), numFolds=_FOLDS, parallelism=parallelism,
-        seed=DEFAULT_SEED,
+        foldCol="_fold",
     )
     scores = [float(m) for m in search.fit(weighted).avgMetrics]
     best = max(range(len(grid)), key=lambda i: scores[i])
@@ -295,16 +322,16 @@ def calibrate(
     df: DataFrame, model_type: str, id_column: str = "doc_id", classes: int | None = None,
     min_rows: int = _MIN_ROWS_TO_CALIBRATE, **params,
 ) -> FittedClassifier | CalibratedClassifier:
-    """Isotonic calibration over 3 hash folds; a plain fit when there are too few rows.
+    """Isotonic calibration over 3 stratified hash folds; a plain fit when there are too few rows.
 
     Each fold's model is fitted on the other folds and scores its own; those
-    scores are written once, then every class gets its isotonic curve.
+    scores are written once, then every class gets its isotonic curve, from scores
+    binned to ten thousand steps so that the pooled points stay bounded.
     """
     if df.count() < min_rows:
         return fit_classifier(df, model_type, **params)
     classes = classes or int(df.agg(F.max("label")).first()[0]) + 1
-    fold = F.pmod(F.conv(F.left(hash_order(id_column), F.lit(7)), 16, 10).cast("long"), F.lit(_FOLDS))
-    numbered = df.withColumn("_fold", fold)
+    numbered = written(with_folds(df, id_column), "folds")
     folds = []
     for f in range(_FOLDS):
         base = fit_classifier(numbered.filter(F.col("_fold") != f).drop("_fold"), model_type, **dict(params))
@@ -314,12 +341,16 @@ def calibrate(
         targets = [1] if classes == 2 else range(classes)
         curves = []
         for c in targets:
-            pairs = scored.select(
-                _class_score("scores", c).alias("_x"), (F.col("label") == c).cast("double").alias("_t")
-            )
-            curves.append(
-                (c, IsotonicRegression(featuresCol="_x", labelCol="_t", predictionCol="_y").fit(pairs))
-            )
+            pairs = scored.select(_class_score("scores", c).alias("_x"), (F.col("label") == c).cast("double").alias("_t"))
+            span = pairs.agg(F.min("_x").alias("low"), F.max("_x").alias("high")).first()
+            step = ((span["high"] or 0.0) - (span["low"] or 0.0)) / _SCORE_STEPS
+            if step > 0:
+                step_of = F.floor((F.col("_x") - span["low"]) / step)
+                pairs = pairs.groupBy(step_of.alias("_b"), "_t").agg(F.avg("_x").alias("_x"), F.count(F.lit(1)).cast("double").alias("_w"))
+            else:
+                pairs = pairs.withColumn("_w", F.lit(1.0))
+            isotonic = IsotonicRegression(featuresCol="_x", labelCol="_t", predictionCol="_y", weightCol="_w")
+            curves.append((c, isotonic.fit(pairs)))
         folds.append((base, curves))
     return CalibratedClassifier(folds, classes)
 

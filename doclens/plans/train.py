@@ -253,17 +253,22 @@ def prepare_training(
 
 
 def fit_prepared(
-    data: TrainingData, model_type: str = "logistic", calibrate: bool = True, tune: bool = True, **params
+    data: TrainingData, model_type: str = "logistic", calibrate: bool = True, tune: bool = True,
+    max_fit_rows: int = classify.MAX_FIT_ROWS, **params
 ) -> TrainingResult:
-    """Tune, fit or calibrate one model type, then predict the test split and the holdout."""
+    """Tune, fit or calibrate one model type, then predict the test split and the holdout.
+
+    Fits see at most ``max_fit_rows`` rows of the train split; predictions and metrics cover all.
+    """
     tuned: dict = {}
+    sample = classify.fit_sample(data.train, data.id_column, max_fit_rows=max_fit_rows).coalesce(-(-max_fit_rows // _ROWS_PER_TASK))
     if tune and not params:
-        tuned, _ = classify.tune(data.train, model_type)
+        tuned, _ = classify.tune(sample, model_type, id_column=data.id_column)
     chosen = {**tuned, **params}
     if calibrate:
-        fitted = classify.calibrate(data.train, model_type, data.id_column, len(data.classes), **chosen)
+        fitted = classify.calibrate(sample, model_type, data.id_column, len(data.classes), **chosen)
     else:
-        fitted = classify.fit_classifier(data.train, model_type, **chosen)
+        fitted = classify.fit_classifier(sample, model_type, **chosen)
     names = F.array(*[F.lit(c) for c in data.classes])
 
     def predicted(part: DataFrame) -> DataFrame:
