@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doclens.llm.base import tasks
 from doclens.session import written
 
 _MAX_ROUNDS = 60
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """Fewer and larger files for tables of links, which are small next to what they come from."""
+    return df.coalesce(max(1, tasks(df.sparkSession) // 4))
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, component)`` for every node that has a link; ``component`` is its smallest reachable node.
 
@@ -18,10 +24,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     one row per node and neighbour, rounds grow with the logarithm of the longest chain. Every
     round is written to the shared folder. Loops and nulls are left out.
     """
-    edges = written(
+    edges = written(compact(
         links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
         .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .distinct(),
+        .distinct()),
         "links",
     )
     for _ in range(_MAX_ROUNDS):
@@ -34,15 +40,15 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
             .distinct()
         )
-        large = written(large, "links")
+        large = written(compact(large), "links")
         # small star: the neighbours below a node move to the smallest of them
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(least, "hi")
-        small = written(
+        small = written(compact(
             joined.filter(F.col("lo") != F.col("m"))
             .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .unionAll(least.select("hi", F.col("m").alias("lo")))
-            .distinct(),
+            .distinct()),
             "links",
         )
         # done when every node has one neighbour below it and no node is both

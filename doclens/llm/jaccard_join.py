@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.llm.base import Bitmap, bitmap, query, table, tasks, wide_rows
-from doclens.llm.components import components
+from doclens.llm.components import compact, components
 from doclens.llm.words import Words, chunks, mix, shingles, text_bytes
 from doclens.session import written
 
 _U = np.uint64
+SMALL_WORDS = 32  # of the sketches that go to every large signature of a node
 FEW = 8  # nodes of a signature whose pairs go on as rows, each pair once
 BLOCK = 2048  # nodes of a signature that a task compares with another such block,
 BLOCK_ELEMENTS = 1 << 20  # or as many as hold so many shingles together
@@ -188,23 +189,25 @@ def _membership(docs: DataFrame, scheme: Scheme, id_column: str, text: str, only
             rows = []
             for values in scheme.sets(part, text):
                 if not len(values):
-                    rows.append((None, None, 0, None, None))
+                    rows.append((None, None, 0, None, None, None))
                     continue
                 node, check = scheme.node(values)
                 want = node not in seen and only.has(np.array([node], np.int64))[0]
                 if want:
                     seen.add(node)
-                rows.append((node, check, len(values), scheme.sketch(values).tobytes() if want else None, values.tobytes() if want else None))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                full = scheme.sketch(values) if want else None
+                small = _fold(full, min(len(full), SMALL_WORDS)).tobytes() if want else None
+                rows.append((node, check, len(values), full.tobytes() if want else None, small, values.tobytes() if want else None))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(id_column), *(pa.array(c, t) for c, t in zip(columns, types))],
-                ["id", "node", "check", "n", "sketch", "elements"],
+                ["id", "node", "check", "n", "sketch", "small", "elements"],
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, text).mapInArrow(
-        emit, f"id {kind}, node long, `check` long, n long, sketch binary, elements binary"
+        emit, f"id {kind}, node long, `check` long, n long, sketch binary, small binary, elements binary"
     )
 
 
@@ -460,14 +463,14 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
         return None
     # one row per node: the tasks that met a copy of it wrote the same sketch and set
     kept = filled.filter(F.col("sketch").isNotNull())
-    light = written(kept.select("node", "n", "sketch").dropDuplicates(["node"]), "nodes")
+    light = written(compact(kept.select("node", "n", "sketch", "small").dropDuplicates(["node"])), "nodes")
     heavy = kept.select("node", "elements")
 
     star = members.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     with wide_rows(spark):
-        likely = written(_likely(star, light, scheme), "likely")
-        links = written(_confirmed(likely, _needed(heavy, likely), scheme), "stars")
-    first = written(components(links, "a", "b"), "components")
+        likely = written(compact(_likely(star, light, scheme)), "likely")
+        links = written(compact(_confirmed(likely, _needed(heavy, likely), scheme)), "stars")
+    first = written(compact(components(links, "a", "b")), "components")
 
     placed = written(
         members.select("sig", "node")
@@ -485,13 +488,13 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
     open_rows = written(placed.join(still, "sig"), "open")
     few = open_rows.filter(F.col("held") <= FEW).select("sig", "node", "component", "n")
     few = few.repartition(tasks(spark), "sig").sortWithinPartitions("sig", "node")
-    pairs = written(few.mapInArrow(_few_pairs(scheme), "a long, b long").distinct(), "pairs")
+    pairs = written(compact(few.mapInArrow(_few_pairs(scheme), "a long, b long").distinct()), "pairs")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     bucket = ["sig", "lo", "hi"]
     facing = (
         open_rows.filter(F.col("held") > FEW)
-        .join(light.drop("n"), "node")
+        .join(light.select("node", F.col("small").alias("sketch")), "node")
         .select("sig", "node", "component", "n", "sketch", block.alias("block"), other)
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
@@ -500,8 +503,8 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
         .sortWithinPartitions(*bucket, "node")
     )
     with wide_rows(spark):
-        likely = written(_likely(pairs, light, scheme), "likely")
-        more = written(_confirmed(likely, _needed(heavy, likely), scheme), "more")
+        likely = written(compact(_likely(pairs, light, scheme)), "likely")
+        more = written(compact(_confirmed(likely, _needed(heavy, likely), scheme)), "more")
         rest = written(facing.mapInArrow(_near_rows(scheme), facing.schema), "near")
         facing = (
             rest.join(_needed(heavy, rest.select(F.col("node").alias("a"), F.col("node").alias("b"))), "node")
@@ -520,7 +523,7 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
         .withColumn("component", F.coalesce("component", "node"))
     )
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labelled = written(named.join(names, "component").select("node", "component_id"), "labels")
+    labelled = written(compact(named.join(names, "component").select("node", "component_id")), "labels")
     return (
         every.select("id", "node", F.col("n").alias("n_shingles"))
         .join(labelled, "node", "left")
