@@ -19,7 +19,7 @@ HEADLINE = [
     "extract_skills", "clean_text", "preprocess_documents", "parse_sections", "embed_documents", "tfidf",
     "dedup_exact", "clean_documents", "adapt_screening_table", "assign_stratified_holdout", "train_test_split",
     "oversample", "profile_dataset", "profile_dataset_lineitem", "normalize_tokens_lemma", "ingest_uploads",
-    "classification_report", "calibration_error",
+    "classification_report", "calibration_error", "fit_logistic", "screen_stream",
 ]
 
 
