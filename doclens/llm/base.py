@@ -49,6 +49,11 @@ def wide_rows(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles of finished steps nobody refers to any more, so that it deletes their files."""
+    spark._jvm.System.gc()
+
+
 # --- membership bitmap -------------------------------------------------------
 BITMAP_BITS = 27  # 2**27 bits: 16 MB, whatever the size of the table
 

@@ -32,13 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.base import Bitmap, bitmap, query, table, tasks, wide_rows
+from doclens.llm.base import Bitmap, bitmap, query, release_shuffles, table, tasks, wide_rows
 from doclens.llm.components import compact, components
 from doclens.llm.words import Words, chunks, mix, shingles, text_bytes
 from doclens.session import written
 
 _U = np.uint64
-SMALL_WORDS = 32  # of the sketches that go to every large signature of a node
 FEW = 8  # nodes of a signature whose pairs go on as rows, each pair once
 BLOCK = 2048  # nodes of a signature that a task compares with another such block,
 BLOCK_ELEMENTS = 1 << 20  # or as many as hold so many shingles together
@@ -189,25 +188,23 @@ def _membership(docs: DataFrame, scheme: Scheme, id_column: str, text: str, only
             rows = []
             for values in scheme.sets(part, text):
                 if not len(values):
-                    rows.append((None, None, 0, None, None, None))
+                    rows.append((None, None, 0, None, None))
                     continue
                 node, check = scheme.node(values)
                 want = node not in seen and only.has(np.array([node], np.int64))[0]
                 if want:
                     seen.add(node)
-                full = scheme.sketch(values) if want else None
-                small = _fold(full, min(len(full), SMALL_WORDS)).tobytes() if want else None
-                rows.append((node, check, len(values), full.tobytes() if want else None, small, values.tobytes() if want else None))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                rows.append((node, check, len(values), scheme.sketch(values).tobytes() if want else None, values.tobytes() if want else None))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(id_column), *(pa.array(c, t) for c, t in zip(columns, types))],
-                ["id", "node", "check", "n", "sketch", "small", "elements"],
+                ["id", "node", "check", "n", "sketch", "elements"],
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, text).mapInArrow(
-        emit, f"id {kind}, node long, `check` long, n long, sketch binary, small binary, elements binary"
+        emit, f"id {kind}, node long, `check` long, n long, sketch binary, elements binary"
     )
 
 
@@ -454,8 +451,10 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
         .select("sig", "centre"),
         "signatures",
     )
+    release_shuffles(spark)
     again = _signature_rows(docs, scheme, "text", bitmap(shared, "sig"))
     members = written(again.join(shared, "sig").distinct(), "members")
+    release_shuffles(spark)
     every = written(_membership(docs, scheme, "id", "text", bitmap(members.select("node").distinct(), "node")), "sets")
     filled = every.filter(F.col("node").isNotNull())
     clash = filled.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x != y")
@@ -463,7 +462,7 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
         return None
     # one row per node: the tasks that met a copy of it wrote the same sketch and set
     kept = filled.filter(F.col("sketch").isNotNull())
-    light = written(compact(kept.select("node", "n", "sketch", "small").dropDuplicates(["node"])), "nodes")
+    light = written(compact(kept.select("node", "n", "sketch").dropDuplicates(["node"])), "nodes")
     heavy = kept.select("node", "elements")
 
     star = members.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
@@ -486,6 +485,7 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
         .select("sig", "held", F.ceil(F.greatest(F.col("held") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("long").alias("blocks"))
     )
     open_rows = written(placed.join(still, "sig"), "open")
+    release_shuffles(spark)
     few = open_rows.filter(F.col("held") <= FEW).select("sig", "node", "component", "n")
     few = few.repartition(tasks(spark), "sig").sortWithinPartitions("sig", "node")
     pairs = written(compact(few.mapInArrow(_few_pairs(scheme), "a long, b long").distinct()), "pairs")
@@ -494,7 +494,7 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
     bucket = ["sig", "lo", "hi"]
     facing = (
         open_rows.filter(F.col("held") > FEW)
-        .join(light.select("node", F.col("small").alias("sketch")), "node")
+        .join(light.select("node", "sketch"), "node")
         .select("sig", "node", "component", "n", "sketch", block.alias("block"), other)
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
