@@ -1,5 +1,7 @@
+import base64
 import math
 import random
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -195,6 +197,24 @@ def test_quality_rules(spark, edge, sf):
     assert quality.quality_rules(edge.limit(0)).count() == 0
 
 
+def test_debris_lies_outside_the_figures_of_its_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(9)
+    some = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 10)))
+    kinds = {
+        "base64": lambda: base64.b64encode(rng.randbytes(9)).decode(), "punctuation": lambda: some(string.punctuation),
+        "printable": lambda: some([chr(i) for i in range(33, 127)]), "letters": lambda: some(string.ascii_lowercase),
+        "urls": lambda: f"https://{some(string.ascii_lowercase + string.digits)}.com/{rng.getrandbits(32):x}",
+    }
+    cases = [(kind, lang) for kind in kinds for lang in ("en", "fr", "de", "es", "xx", None)]
+    rows = [(-1 - i, " ".join(kinds[kind]() for _ in range(200)), lang) for i, (kind, lang) in enumerate(cases)]
+    rows += [(-100, " ".join(some([chr(i) for i in range(0x430, 0x450)]) for _ in range(200)), "de")]
+    got = quality.quality_rules(docs.unionAll(spark.createDataFrame(rows, docs.schema))).select("doc_id", "base_failed", "kept").collect()
+    assert [r["doc_id"] for r in got if r["doc_id"] < 0 and (r["base_failed"] or r["kept"])] == []
+    assert [r["doc_id"] for r in got if r["doc_id"] >= 0 and r["kept"] == r["base_failed"]] == []
+    assert len(got) == 10_000 + len(rows)
+
+
 # --- decontamination ----------------------------------------------------------
 def _similarity_by_hand(item, window):
     a, b = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (item, window))
