@@ -1,13 +1,12 @@
 """Token-ID output in training order.
 
-Each scan task strings the tokens of its documents together, every document followed by an end token, and
-cuts the stream into sequences of equal length. A sequence has a number: its task's, and its place there. A
-keyed Feistel permutation of all possible numbers, walked until it lands inside them, gives each
-sequence its rank in the training order: a fixed random order that needs no random numbers, no sort of
-the corpus and no count before the tokens are there. Ranks are even over their domain, so equal ranges of
-them are equal shares of the sequences: each range partition writes its sequences, in order, into shards of
-fixed stride. Slots number the sequences through all shards without a gap; slot ``s`` lies in the shard with the
-last first slot not above ``s``, at byte ``(s - first slot) * stride``, so a reader resumes anywhere with one seek.
+The tokens of all documents, each followed by an end token, form one stream in the order of the files and the rows in
+them; it is cut into sequences of equal length. Tokens are made once and written to the shared folder, with the place
+of every document in its stretch: the rows of one file that a task read one after the other. One sum per
+stretch gives every stretch its start and the number of sequences, however the scan was cut. A keyed Feistel permutation
+of the sequence numbers, walked until it lands inside them, gives each sequence its slot: a fixed
+random order that needs no random numbers and no sort of the corpus, and that a reader can invert. Slot ``s`` lies in shard
+``s // per_shard``, at byte ``(s % per_shard) * stride``, so a reader resumes anywhere with one seek.
 
 Texts are never shuffled, tokens are made once and shuffled once.
 """
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ from doclens.session import DEFAULT_SEED, shared_folder, written
 
 _U = np.uint64
 ROUNDS = 6
-_TASK_BITS = 32  # sequences that a scan task may have, as a power of two
+MAX_STRETCHES = 100_000  # a scan has one for each task and file; more are put in order by a shuffle
 
 
 def _round(values: np.ndarray, key: int, number: int) -> np.ndarray:
@@ -80,13 +79,53 @@ class Permutation:
 
 
 def _scanned(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(id, text)`` of a table of files, whose tasks read the same rows whenever they run; other input is written first."""
+    """``(file, row, id, text)`` of a table of files; other input is written first."""
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     try:
-        docs.select("_metadata.row_index").schema  # noqa: B018  analysed here: only a scan of files has it
+        place = docs.select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
+            F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"),
+        )
+        place.schema  # noqa: B018  analysed here: only a scan of files has the metadata
+        return place
     except AnalysisException:
-        return written(narrow, "documents")
-    return narrow
+        return _scanned(written(narrow, "documents"), "id", "text")
+
+
+def _placed(rows: DataFrame, purpose: str) -> DataFrame:
+    """Write ``(file, row, id, tokens)`` with ``stretch``, the first row of its stretch, and ``start``, the tokens before it there."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, stretch, last, start = None, -1, -1, 0
+        for batch in batches:
+            stretches, starts = [], []
+            for own, row, n in zip(batch.column("file").to_pylist(), batch.column("row").to_pylist(), pc.binary_length(batch.column("tokens")).to_pylist()):
+                if own != file or row < last:
+                    file, stretch, start = own, row, 0
+                stretches.append(stretch)
+                starts.append(start)
+                last, start = row, start + n // 2
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(stretches, pa.int64()), pa.array(starts, pa.int64())], [*batch.schema.names, "stretch", "start"]
+            )
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("stretch", T.LongType()), T.StructField("start", T.LongType())])
+    path = shared_folder(rows.sparkSession, purpose)
+    rows.mapInArrow(place, schema).write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def _begins(placed: DataFrame) -> tuple[dict, int] | None:
+    """The start of every stretch in the whole stream, and the stream's tokens; None where stretches overlap or are many."""
+    held = placed.groupBy("file", "stretch").agg(F.max("row"), F.sum(F.octet_length("tokens") / 2).cast("long"), F.sum(F.expr("int(start = 0)")))
+    rows = sorted(tuple(r) for r in held.limit(MAX_STRETCHES + 1).collect())
+    if len(rows) > MAX_STRETCHES or any(r[4] > 1 for r in rows) or any(a[0] == b[0] and b[1] <= a[2] for a, b in zip(rows, rows[1:])):
+        return None
+    begins, total = {}, 0
+    for file, stretch, _, tokens, _ in rows:
+        begins[file, stretch] = total
+        total += tokens
+    return begins, total
 
 
 def write_training_order(
@@ -105,9 +144,10 @@ def write_training_order(
 
     A piece is the part of one document in one sequence: ``n_tokens`` tokens of the document from ``first_token`` on,
     at ``position`` in the sequence of ``slot``; ``file`` is its shard's, which begins with ``first_slot``. Token ids are
-    little-endian 16-bit numbers, a sequence is ``length`` of them; the last sequence of each scan task is filled up with
-    end tokens. Every document ends with one end token, which counts as its own. The order is the same whenever
-    the same files are cut into the same tasks.
+    little-endian 16-bit numbers, a sequence is ``length`` of them; the last sequence of the stream is filled up with
+    end tokens. Every document ends with one end token, which counts as its own. Sequence ``n`` of the stream has slot
+    ``Permutation(number of sequences, key).slots(n)``. The order follows the files by name and the rows in them, however
+    tasks share them out; input that isn't read from files is taken in the order of its partitions.
 
     Null and empty texts are an end token alone; null ids and rows that repeat an id or a text are rows like any other.
     An empty table writes nothing. Other columns are not looked at. A text is held whole by one task.
@@ -117,85 +157,85 @@ def write_training_order(
     make_folder(folder)
     scan = _scanned(docs, id_column, text_column)
     kind = scan.schema["id"].dataType.simpleString()
-    order = Permutation(max(1, scan.rdd.getNumPartitions()) << _TASK_BITS, key)
     parts = tasks(spark)
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_model(path)
-        first, at = TaskContext.get().partitionId() << _TASK_BITS, 0
         for batch in chunks(batches, "text"):
+            own = [array("H", [*(model.encode_ordinary(text) if text else ()), end_token]).tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "row", "id")), pa.array(own, pa.binary())], ["file", "row", "id", "tokens"])
+
+    placed = _placed(scan.mapInArrow(encode, f"file string, row long, id {kind}, tokens binary"), "tokens")
+    found = _begins(placed)
+    if found is None:  # the rows of a file were dealt out before: its tokens are put in order
+        dealt = placed.drop("stretch", "start").repartitionByRange(parts, "file", "row").sortWithinPartitions("file", "row", "id", "tokens")
+        placed = _placed(dealt, "tokens")
+        found = _begins(placed)
+        if found is None:
+            raise ValueError("the order of the rows in their files can't be told")
+    begins, total = found
+    order = Permutation(max(1, -(-total // length)), key)
+    n_shards = -(-order.size // per_shard)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             owners, numbers, positions, firsts, counts, parts_ = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                own = array("H", model.encode_ordinary(text) if text else ())
-                own.append(end_token)
-                stop = at + len(own)
+            columns = (batch.column(c).to_pylist() for c in ("file", "stretch", "start", "tokens"))
+            for i, (file, stretch, start, own) in enumerate(zip(*columns)):
+                at = begins[file, stretch] + start
+                stop = at + len(own) // 2
                 edges = [at, *range((at // length + 1) * length, stop, length), stop]
                 for a, b in zip(edges[:-1], edges[1:]):
                     owners.append(i)
-                    numbers.append(first + a // length)
+                    numbers.append(a // length)
                     positions.append(a % length)
                     firsts.append(a - at)
                     counts.append(b - a)
-                    parts_.append(own[a - at : b - at].tobytes())
-                at = stop
-            ranks = order.slots(np.array(numbers, np.int64))
-            # the share of the domain, in two steps that fit 64 bits
-            share = (ranks >> 20) * parts // (-(-order.size >> 20) or 1)
+                    parts_.append(own[2 * (a - at) : 2 * (b - at)])
+            slots = order.slots(np.array(numbers, np.int64))
+            part = slots // per_shard * parts // n_shards  # whole shards, equally many for each task
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(owners, pa.int64())), pa.array(ranks), pa.array(np.minimum(share, parts - 1).astype(np.int32)),
+                [batch.column("id").take(pa.array(owners, pa.int64())), pa.array(slots), pa.array(part.astype(np.int32)),
                  pa.array(positions, pa.int64()), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64()), pa.array(parts_, pa.binary())],
-                ["id", "rank", "part", "position", "first_token", "n_tokens", "tokens"],
+                ["id", "slot", "part", "position", "first_token", "n_tokens", "tokens"],
             )
 
     stride = 2 * length
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, name, place, shard, last = None, "", -1, -1, None
+        file, name, shard, last = None, "", -1, -1
 
         def fill(missing: int) -> None:
             file.write(struct.pack("<H", end_token) * (missing // 2))
 
         for batch in batches:
-            places, shards, names = [], [], []
-            for rank, position, tokens in zip(batch.column("rank").to_pylist(), batch.column("position").to_pylist(), batch.column("tokens")):
-                if rank != last:
-                    last, place = rank, place + 1
-                    if place % per_shard == 0:
+            names = []
+            for slot, position, tokens in zip(batch.column("slot").to_pylist(), batch.column("position").to_pylist(), batch.column("tokens")):
+                if slot != last:
+                    last = slot
+                    if file is not None:
+                        fill(-file.size % stride)
+                    if slot // per_shard != shard:
                         if file is not None:
-                            fill(-file.size % stride)
                             file.close()
-                        shard += 1
-                        name = f"part-{batch.column('part')[0].as_py():06d}-{shard:06d}-{uuid.uuid4().hex}.bin"  # this attempt's own
+                        shard = slot // per_shard
+                        name = f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"  # the pieces name this attempt's own file
                         file = Whole(folder, name)
-                    else:
-                        fill(-file.size % stride)
-                if (place % per_shard) * stride + 2 * position != file.size:
+                if (slot % per_shard) * stride + 2 * position != file.size:
                     raise ValueError("a piece is missing or there twice")
                 file.write(tokens.as_buffer().to_pybytes())
-                places.append(place)
-                shards.append(shard)
                 names.append(name)
-            kept = batch.select(["id", "part", "position", "first_token", "n_tokens"])
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(places, pa.int64()), pa.array(shards, pa.int64()), pa.array(names, pa.string())],
-                [*kept.schema.names, "place", "in_part", "file"],
-            )
+            kept = batch.select(["id", "slot", "position", "first_token", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string())], [*kept.schema.names, "file"])
         if file is not None:
             fill(-file.size % stride)
             file.close()
 
-    cut = scan.mapInArrow(pieces, f"id {kind}, rank long, part int, position long, first_token long, n_tokens long, tokens binary")
-    dealt = cut.repartitionById(parts, "part").sortWithinPartitions("rank", "position")
-    local = written(
-        dealt.mapInArrow(write, f"id {kind}, part int, position long, first_token long, n_tokens long, place long, in_part long, file string"), "pieces"
-    )
-    # one row per range partition
-    held = local.groupBy("part").agg((F.max("place") + 1).alias("n"), (F.max("in_part") + 1).alias("s"))
-    before = held.select("part", F.expr("sum(n) OVER (ORDER BY part) - n").alias("slots"), F.expr("sum(s) OVER (ORDER BY part) - s").alias("shards"))
-    return local.join(F.broadcast(before), "part").select(
-        "id", (F.col("place") + F.col("slots")).alias("slot"), (F.col("in_part") + F.col("shards")).alias("shard"), "file",
-        (F.col("in_part") * per_shard + F.col("slots")).alias("first_slot"), "position", "first_token", "n_tokens",
-    )
+    cut = placed.mapInArrow(pieces, f"id {kind}, slot long, part int, position long, first_token long, n_tokens long, tokens binary")
+    dealt = cut.repartitionById(parts, "part").sortWithinPartitions("slot", "position")
+    local = written(dealt.mapInArrow(write, f"id {kind}, slot long, position long, first_token long, n_tokens long, file string"), "pieces")
+    shard = F.floor(F.col("slot") / per_shard).cast("long")
+    return local.select("id", "slot", shard.alias("shard"), "file", (shard * per_shard).alias("first_slot"), "position", "first_token", "n_tokens")
 
 
 def read_pieces(pieces: DataFrame, folder: str, length: int) -> DataFrame:

@@ -86,6 +86,29 @@ def test_order_is_fixed_by_the_key(spark, sf):
     assert sorted(apart)[len(apart) // 2] > 0.1 * len(set(once.values()))
 
 
+def test_slots_are_the_permutation_of_the_stream_however_it_is_read(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(3).write.option("parquet.block.size", 65_536).parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    model = byte_model(vocabulary(BYTE))
+    ordered = docs.select("doc_id", "text", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()
+    stream = np.concatenate([[*model.encode_ordinary(r["text"] or ""), 50256] for r in ordered]).astype("<u2")
+    n = -(-len(stream) // 128)
+    stream = np.append(stream, np.full(n * 128 - len(stream), 50256)).astype("<u2").reshape(n, 128)
+    slots = token_output.Permutation(n, 42).slots(np.arange(n))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size, rows in (("128m", docs), ("60k", docs), ("128m", docs.repartition(5))):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        folder = shared_folder(spark, "test-order")
+        try:
+            got = token_output.write_training_order(rows, folder, length=128, per_shard=40).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        shards = sorted({(r["first_slot"], r["file"]) for r in got})
+        assert [s for s, _ in shards] == list(range(0, n, 40))
+        read = np.array(list(token_output.read_sequences(folder, shards, 0, n, 128)))
+        assert (read[slots] == stream).all()
+
+
 def test_shards(spark, edge):
     rows = shard_rows(edge, balanced_tree(8), balanced_tree(9)).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in edge.collect()}
