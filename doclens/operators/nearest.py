@@ -1,16 +1,17 @@
 """Exact top-k between two vector tables, without pairing all rows in a join.
 
-One side (jobs, or the items of a training set) is taken in blocks of bounded size; each block is
-broadcast and the other side streams past it. A task multiplies a batch with the block as dense
+One side is taken in blocks of bounded size and the other side streams past them. Blocks of jobs are
+broadcast; the items of a training set grow with the data, so executors write them into block files and read those. A task multiplies a batch with the block as dense
 matrices and keeps only the best ``k`` per query, so it emits at most ``k`` rows per query and the pairs
 themselves never become rows. Rows of the streamed side are never shuffled or copied, however
-many blocks there are; with more than one, its vectors are written once and scanned per block.
+many blocks there are; with more than one block of jobs, the documents' vectors are written once and scanned per block.
 
-The final ``row_number`` per query runs over these partial results only. Ids may be of any simple type.
+The final ``row_number`` per job runs over these partial results only; a task has all items of its queries. Ids may be of any simple type.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclens.session import written
+from doclens.files import Whole, make_folder, opened
+from doclens.session import shared_folder, written
 
 BLOCK_ROWS = 10_000
 _MATRIX_CELLS = 4_000_000  # scores held at once by one task
@@ -237,35 +239,72 @@ class ItemBlock:
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
 
+def _write_blocks(items: DataFrame, folder: str, block_rows: int) -> list[str]:
+    """Executors write the items into files of at most ``block_rows`` rows; only the files' names reach the driver."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def close() -> pa.RecordBatch:
+            name = f"block-{uuid.uuid4().hex}.arrow"  # this attempt's own
+            file = Whole(folder, name)
+            with pa.ipc.new_stream(file.stream, held[0].schema) as out:
+                for part in held:
+                    out.write_batch(part)
+            file.close()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+
+        for batch in batches:
+            start = 0
+            while start < batch.num_rows:
+                held.append(batch.slice(start, block_rows - sum(b.num_rows for b in held)))
+                start += held[-1].num_rows
+                if sum(b.num_rows for b in held) >= block_rows:
+                    yield close()
+        if held:
+            yield close()
+
+    make_folder(folder)
+    return sorted(r["file"] for r in items.mapInArrow(write, "file string").collect())
+
+
 def nearest_items(
     queries: DataFrame, items: DataFrame, k: int, dim: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """``(query_id, item_id, label, distance)``: the ``k`` nearest items of each query.
 
-    ``queries``: ``query_id, vector``; ``items``: ``item_id, label, vector``.
+    ``queries``: ``query_id, vector``; ``items``: ``item_id, label, vector``. Executors write the items into block
+    files of the shared folder. A task takes its queries a batch at a time, reads one block after the other and keeps the
+    ``k`` best per query, so no vector passes through the driver, nothing is shuffled and the plan has one branch.
     """
     queries, items = queries.select("query_id", "vector"), items.select("item_id", "label", "vector")
     kinds = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"], dict(items.dtypes)["label"]
-    schema = pa.schema(
-        [("query_id", arrow_type(queries, "query_id")), ("item_id", arrow_type(items, "item_id")),
-         ("label", arrow_type(items, "label")), ("distance", pa.float64())]
+    names = ["query_id", "item_id", "label", "distance"]
+    arrow_type(queries, "query_id")
+    found = pa.schema(
+        [("query", pa.int64()), ("item_id", arrow_type(items, "item_id")), ("label", arrow_type(items, "label")), ("distance", pa.float64())]
     )
-    partial, many = None, False
-    for number, table in enumerate(blocks_of(items, "item_id", block_rows)):
-        if number == 1:
-            queries, many = written(queries, "vectors"), True
-        block = queries.sparkSession.sparkContext.broadcast(
-            ItemBlock(sortable(table.column("item_id")), table.column("label").combine_chunks(), matrix(table.column("vector"), dim))
-        )
-
-        def stream(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = block.value.nearest(sortable(batch.column("query_id")), matrix(batch.column("vector"), dim), k, schema)
-                yield from found.to_batches()
-
-        part = queries.mapInArrow(stream, f"query_id {kinds[0]}, item_id {kinds[1]}, label {kinds[2]}, distance double")
-        partial = part if partial is None else partial.unionAll(part)
-    if not many:
-        return partial
-    order = Window.partitionBy("query_id").orderBy("distance", "item_id")
-    return partial.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+    folder = shared_folder(queries.sparkSession, "blocks")
+    files = _write_blocks(items, folder, block_rows)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = opened(folder)
+        for batch in batches:
+            vectors, places, best = matrix(batch.column("vector"), dim), np.arange(batch.num_rows), found.empty_table()
+            for name in files if batch.num_rows else []:
+                with system.open_input_file(f"{path}/{name}") as file:
+                    table = pa.ipc.open_stream(file).read_all()
+                block = ItemBlock(sortable(table.column("item_id")), table.column("label").combine_chunks(), matrix(table.column("vector"), dim))
+                best = _best(pa.concat_tables([best, block.nearest(places, vectors, k, found)]), k)
+            own = [batch.column("query_id").take(best.column("query").combine_chunks()), *(best.column(c).combine_chunks() for c in names[1:])]
+            yield pa.RecordBatch.from_arrays(own, names)
+
+    return queries.mapInArrow(stream, f"query_id {kinds[0]}, item_id {kinds[1]}, label {kinds[2]}, distance double")
+
+
+def _best(found: pa.Table, k: int) -> pa.Table:
+    """The ``k`` nearest of every query, ties by id."""
+    query = found.column("query").to_numpy()
+    order = np.lexsort((sortable(found.column("item_id")), found.column("distance").to_numpy(), query))
+    return found.take(pa.array(order[place_in_run(query[order]) < k]))

@@ -91,6 +91,18 @@ def test_neighbours_equal_brute_force_in_both_layouts(spark, block_rows):
     assert len(knn) == 10 and knn[20]["prediction"] == 0 and knn[20]["confidence"] == 1.0
 
 
+def test_items_never_pass_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "blocks_of", lambda *a: pytest.fail("items are taken to the driver"))
+    items = spark.range(300).selectExpr("id AS item_id", "int(id % 3) AS label", "array(float(id), float(0)) AS vector")
+    rows = spark.range(40).selectExpr("concat('q', id) AS query_id", "array(float(id * 7 + 0.25), float(0)) AS vector")
+    near = nearest.nearest_items(rows, items, 3, 2, block_rows=9)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["query_id"], set()).add(r["item_id"])
+    assert got == {f"q{i}": {i * 7 - 1, i * 7, i * 7 + 1} if i else {0, 1, 2} for i in range(40)}
+    assert nearest.nearest_items(rows, items.limit(0), 3, 2).count() == 0
+
+
 def test_stream_equals_batch_and_replay_changes_nothing(spark, jobs, docs, tmp_path):
     source = str(tmp_path / "in")
     docs.repartition(4).write.parquet(source)
