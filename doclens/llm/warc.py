@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import gzip
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator
@@ -86,7 +87,10 @@ def _record(row: dict) -> bytes:
 
 
 def parse_record(data: bytes) -> dict:
-    """The fields of one uncompressed record; ``payload`` is what the record itself holds."""
+    """The fields of one uncompressed record; ``payload`` is what the record itself holds.
+
+    A response whose payload has not the length and SHA-1 that its header names raises an error.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -94,6 +98,10 @@ def parse_record(data: bytes) -> dict:
     fields = dict(line.split(": ", 1) for line in lines[1:])
     content = rest[: int(fields["Content-Length"])]
     payload = content.partition(b"\r\n\r\n")[2]
+    if fields["WARC-Type"] == "response":
+        named = int(fields["X-Payload-Bytes"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        if (len(payload), hashlib.sha1(payload).hexdigest()) != named:
+            raise ValueError(f"the payload of {fields['WARC-Record-ID']} is not the one that was written")
     name = lambda x: json.loads(x.removeprefix("<urn:page:").removesuffix(">"))
     return {
         "page_id": name(fields["WARC-Record-ID"]),

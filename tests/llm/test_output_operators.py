@@ -176,6 +176,16 @@ def test_archives(spark):
     assert warc.read_archives(empty[1], empty[3], empty[2]).count() == 0
 
 
+def test_payloads_read_back_are_compared_with_their_headers(spark, tmp_path):
+    rows = warc.write_archives(spark.createDataFrame([(1, "http://a.b/", "payload" * 9)], "page_id long, url string, html string"), f"file://{tmp_path}/w").collect()
+    data = (tmp_path / "w" / rows[0]["file"]).read_bytes()
+    record = gzip.decompress(data[rows[0]["start"] : rows[0]["start"] + rows[0]["length"]])
+    assert warc.parse_record(record)["payload"] == b"payload" * 9
+    for damaged in (record.replace(b"payloadpay", b"payl0adpay"), record[:-8]):
+        with pytest.raises(ValueError):
+            warc.parse_record(damaged)
+
+
 def test_archives_are_plain_members(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, file int").coalesce(1)
     rows = warc.write_archives(pages, f"file://{tmp_path}/w").collect()
