@@ -8,7 +8,7 @@ from doclens.llm.base import ORACLES, QUERIES
 
 MODULES = [
     "jaccard_join", "token_output", "line_dedup", "mixing", "toxicity", "warc", "sharding", "token_counts",
-    "quality", "decontamination", "periodic_runs", "lexical_search",
+    "quality", "decontamination", "periodic_runs", "lexical_search", "url_filter",
 ]
 
 
