@@ -17,11 +17,15 @@ DOCUMENTS_CSV_SCHEMA = T.StructType(
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a few files over all cores before per-row text work.
 
-    A Parquet file of one row group is one task, however many cores wait. A scan of
-    at least half as many tasks as cores is parallel already and nothing is shuffled.
+    A row group is read by one task, however many byte ranges its file is cut into. Of many files nothing is
+    shuffled; of few, the tasks that get rows are counted from the footers, and the rows are dealt when these
+    tasks are less than half as many as the cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if 2 * len(df.inputFiles()) >= cores:
+        return df
+    filled = df.select(F.spark_partition_id().alias("task")).distinct().count()
+    return df if 2 * filled >= cores else df.repartition(cores)
 
 
 def read_documents_csv(
