@@ -81,19 +81,42 @@ def _(spark, d):
     return _fit_and_score(spark, d, "svm")
 
 
+def _tuned(spark, d, model_type):
+    rows = _embedded(spark, d)
+    sample = classify.fit_sample(rows.filter("NOT is_test"), "vec_id").coalesce(1)
+    best, scores = classify.tune(sample, model_type, parallelism=8, id_column="vec_id")
+    top = max(s for _, s in scores)
+    return [(p, 0 <= s <= 1, next(t for q, t in scores if q == best) == top) for p, s in scores]
+
+
 @query(
     "tune",
     "SELECT CAST(c AS DOUBLE) AS c, true AS in_range, true AS best_is_best FROM (VALUES (0.1), (0.5), (1.0), (2.0), (5.0)) AS g(c)",
 )
 def _(spark, d):
-    rows = _embedded(spark, d)
-    sample = classify.fit_sample(rows.filter("NOT is_test"), "vec_id").coalesce(1)
-    best, scores = classify.tune(sample, "logistic", parallelism=8, id_column="vec_id")
-    top = max(s for _, s in scores)
-    return spark.createDataFrame(
-        [(p["c"], 0 <= s <= 1, dict((q["c"], t) for q, t in scores)[best["c"]] == top) for p, s in scores],
-        "c double, in_range boolean, best_is_best boolean",
-    )
+    rows = [(p["c"], *facts) for p, *facts in _tuned(spark, d, "logistic")]
+    return spark.createDataFrame(rows, "c double, in_range boolean, best_is_best boolean")
+
+
+@query(
+    "tune_random_forest",
+    """SELECT CAST(t AS INTEGER) AS trees, CAST(d AS INTEGER) AS depth, CAST(s AS INTEGER) AS min_split, true AS in_range, true AS best_is_best
+    FROM (VALUES (100), (200)) AS a(t), (VALUES (10), (20), (NULL)) AS b(d), (VALUES (2), (5)) AS c(s)""",
+)
+def _(spark, d):
+    rows = [(p["trees"], p["depth"], p["min_split"], *facts) for p, *facts in _tuned(spark, d, "random_forest")]
+    return spark.createDataFrame(rows, "trees int, depth int, min_split int, in_range boolean, best_is_best boolean")
+
+
+@query(
+    "tune_boosted_softprob",
+    """SELECT CAST(n AS INTEGER) AS rounds, CAST(d AS INTEGER) AS depth, CAST(r AS DOUBLE) AS rate, CAST(s AS DOUBLE) AS row_share,
+           true AS in_range, true AS best_is_best
+    FROM (VALUES (100), (200)) AS a(n), (VALUES (4), (6), (8)) AS b(d), (VALUES (0.05), (0.1)) AS c(r), (VALUES (0.7), (0.9)) AS e(s)""",
+)
+def _(spark, d):
+    rows = [(p["rounds"], p["depth"], p["rate"], p["row_share"], *facts) for p, *facts in _tuned(spark, d, "xgboost")]
+    return spark.createDataFrame(rows, "rounds int, depth int, rate double, row_share double, in_range boolean, best_is_best boolean")
 
 
 @query("calibrate", _FACTS.replace("true AS fits_train", "true AS three_folds"))

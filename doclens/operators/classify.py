@@ -8,26 +8,21 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import scores as sc
-from doclens.operators import evaluate, nearest
+from doclens.operators import evaluate, nearest, trees
 from doclens.operators.sampling import class_sizes, hash_order, mark_selected
 from doclens.session import DEFAULT_SEED, broadcast_if_small, written
 
 MODEL_TYPES = ["logistic", "random_forest", "gradient_boosting", "xgboost", "svm", "knn"]
+TREE_MODELS = ["random_forest", "gradient_boosting", "xgboost"]
 COMPARED_MODELS = ["gradient_boosting", "random_forest", "logistic", "svm", "xgboost"]
 _MIN_ROWS_TO_TUNE = 200
 _MIN_ROWS_TO_CALIBRATE = 30
@@ -64,23 +59,13 @@ def logistic(rows: int, c: float = 1.0, max_iter: int = 2000, tol: float = 1e-4)
     )
 
 
-def random_forest(trees: int = 200, depth: int = 20, min_leaf: int = 2) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, weightCol="class_weight",
-        featureSubsetStrategy="sqrt", seed=DEFAULT_SEED,
-    )
-
-
-def boosted_trees(
-    rounds: int = 150, rate: float = 0.1, depth: int = 7, row_share: float = 0.8, column_share: float | None = None,
-    parallelism: int = 4,
-) -> OneVsRest:
-    """One boosted binary model per class; ``column_share`` samples features per split."""
-    trees = GBTClassifier(
-        maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=row_share, minInstancesPerNode=2,
-        featureSubsetStrategy="all" if column_share is None else str(column_share), seed=DEFAULT_SEED,
-    )
-    return OneVsRest(classifier=trees, parallelism=parallelism)
+def tree_params(model_type: str, **params) -> trees.Forest | trees.Boosting:
+    """Parameters of a tree ensemble: the defaults of its type with ``params`` over them."""
+    if model_type == "random_forest":
+        return trees.Forest(**params)
+    if model_type == "gradient_boosting":
+        return trees.Boosting(**{"rounds": 150, "newton": False, "min_split": 5, "min_leaf": 2, **params})
+    return trees.Boosting(**{"column_share": 0.8, **params})
 
 
 def linear_svm(
@@ -140,12 +125,16 @@ class FittedClassifier:
     """A fitted model that adds ``prediction``, class ``scores`` and ``probabilities``."""
 
     model_type: str
-    model: Model | Transformer
+    model: Model | Transformer | trees.Ensemble
     fourier: FourierMap | None = None
     params: dict = field(default_factory=dict)
     calibrated: bool = False
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if isinstance(self.model, trees.Ensemble):
+            kept = df.drop("prediction", "scores", "probabilities").withColumn("probabilities", self.model.column(df.sparkSession))
+            best = (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("double")
+            return kept.select(*kept.columns[:-1], best.alias("prediction"), F.col("probabilities").alias("scores"), "probabilities")
         source = df
         if self.fourier:
             # the model reads the projected features; the caller gets its own back
@@ -165,12 +154,6 @@ class FittedClassifier:
 def estimator(model_type: str, rows: int, **params):
     if model_type == "logistic":
         return logistic(rows, **params)
-    if model_type == "random_forest":
-        return random_forest(**params)
-    if model_type == "gradient_boosting":
-        return boosted_trees(**params)
-    if model_type == "xgboost":
-        return boosted_trees(**{"rounds": 200, "column_share": 0.8, **params})
     if model_type == "svm":
         return linear_svm(rows, **params)
     raise ValueError(f"unknown model type {model_type!r}; known: {MODEL_TYPES}")
@@ -199,6 +182,10 @@ def with_folds(df: DataFrame, id_column: str, label_column: str = "label", folds
 
 def fit_classifier(df: DataFrame, model_type: str = "logistic", **params) -> FittedClassifier:
     """Fit on ``features`` (ML vector) and ``label`` (class code as double)."""
+    if model_type in TREE_MODELS:
+        sample, chosen = trees.sample_of(df, MAX_FIT_ROWS), tree_params(model_type, **params)
+        fit = trees.fit_forest if model_type == "random_forest" else trees.fit_boosting
+        return FittedClassifier(model_type, fit(df.sparkSession, sample, chosen), params=params)
     rows = df.count()
     weighted = with_class_weight(df)
     fourier = None
@@ -227,8 +214,7 @@ def tuning_grid(model_type: str, rows: int) -> list[dict]:
     if model_type == "logistic":
         return [{"c": c} for c in (0.1, 0.5, 1.0, 2.0, 5.0)]
     if model_type == "random_forest":
-        # no depth limit becomes 30, the deepest tree Spark grows
-        return [{"trees": t, "depth": d} for t in (100, 200) for d in (10, 20, 30)]
+        return [{"trees": t, "depth": d, "min_split": s} for t in (100, 200) for d in (10, 20, None) for s in (2, 5)]
     if model_type == "xgboost":
         return [
             {"rounds": n, "depth": d, "rate": r, "row_share": s}
@@ -249,17 +235,16 @@ def tune(
     grid = tuning_grid(model_type, rows) if grid is None else grid
     if rows < min_rows or len(grid) < 2:
         return (grid[0] if len(grid) == 1 else {}), []
+    if model_type in TREE_MODELS:
+        sample = trees.sample_of(df, MAX_FIT_ROWS)
+        search = trees.tune_forest if model_type == "random_forest" else trees.tune_boosting
+        scores = search(df.sparkSession, sample, grid, tree_params(model_type), _FOLDS)
+        return grid[max(range(len(grid)), key=lambda i: scores[i])], list(zip(grid, scores))
     weighted = written(with_folds(with_class_weight(df), id_column), "folds")
     # penalties scale with the rows that a fold's model is fitted on
     candidates = [estimator(model_type, rows * (_FOLDS - 1) // _FOLDS, **params) for params in grid]
     base = candidates[0]
-    builder = ParamGridBuilder()
-    if isinstance(base, OneVsRest):
-        maps = builder.addGrid(base.classifier, [c.getClassifier() for c in candidates]).build()
-    else:
-        maps = [
-            {base.getParam(p.name): v for p, v in c.extractParamMap().items() if c.isSet(p)} for c in candidates
-        ]
+    maps = [{base.getParam(p.name): v for p, v in c.extractParamMap().items() if c.isSet(p)} for c in candidates]
     search = CrossValidator(
         estimator=base, estimatorParamMaps=maps, evaluator=MacroF1(), numFolds=_FOLDS, parallelism=parallelism,
         foldCol="_fold",
@@ -384,7 +369,7 @@ def predict_category(
     named = predict(fitted, df, classes)
     one_vs_rest = isinstance(getattr(fitted, "model", None), Transformer) and getattr(
         fitted, "model_type", ""
-    ) in ("gradient_boosting", "xgboost", "svm")
+    ) == "svm"
     confidence: Column = F.col("confidence")
     if one_vs_rest:
         confidence = sc.margin_confidence("scores")

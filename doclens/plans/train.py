@@ -5,27 +5,17 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.ml.classification import (
-    LogisticRegressionModel,
-    OneVsRestModel,
-    RandomForestClassificationModel,
-)
+from pyspark.ml.classification import LogisticRegressionModel, OneVsRestModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens import lexicon as lx
 from doclens.functions import text as tx
-from doclens.operators import classify, evaluate, sampling, tokens, vectors
+from doclens.operators import classify, evaluate, sampling, tokens, trees, vectors
 from doclens.session import DEFAULT_SEED, written
 
-_MODEL_CLASSES = {
-    "logistic": LogisticRegressionModel,
-    "random_forest": RandomForestClassificationModel,
-    "gradient_boosting": OneVsRestModel,
-    "xgboost": OneVsRestModel,
-    "svm": OneVsRestModel,
-}
+_MODEL_CLASSES = {"logistic": LogisticRegressionModel, "svm": OneVsRestModel}
 _ROWS_PER_TASK = 20_000
 
 
@@ -110,6 +100,8 @@ class DocumentClassifier:
                 {
                     "model_type": base.model_type,
                     "fourier": vars(base.fourier) if base.fourier else None,
+                    "trees": {"classes": base.model.classes, "start": base.model.start, "boosted": base.model.boosted}
+                    if isinstance(base.model, trees.Ensemble) else None,
                     "curves": [c for c, _ in curves],
                 }
                 for base, curves in folds
@@ -124,7 +116,10 @@ class DocumentClassifier:
                 list(zip(range(len(model.terms)), model.terms, model.idf)), "position int, term string, idf double"
             ).write.mode("overwrite").parquet(f"{path}/vocabulary")
         for i, (base, curves) in enumerate(folds):
-            base.model.write().overwrite().save(f"{path}/fold{i}/model")
+            if isinstance(base.model, trees.Ensemble):
+                base.model.save(spark, f"{path}/fold{i}/model")
+            else:
+                base.model.write().overwrite().save(f"{path}/fold{i}/model")
             for c, curve in curves:
                 curve.write().overwrite().save(f"{path}/fold{i}/curve{c}")
         return path
@@ -142,7 +137,8 @@ def load_classifier(spark: SparkSession, path: str) -> DocumentClassifier:
         features.tfidf = vectors.TfidfModel([r["term"] for r in terms], [r["idf"] for r in terms])
     folds = []
     for i, part in enumerate(config["folds"]):
-        model = _MODEL_CLASSES[part["model_type"]].load(f"{path}/fold{i}/model")
+        place = f"{path}/fold{i}/model"
+        model = trees.Ensemble.load(spark, place, **part["trees"]) if part["trees"] else _MODEL_CLASSES[part["model_type"]].load(place)
         fourier = classify.FourierMap(**part["fourier"]) if part["fourier"] else None
         curves = [(c, IsotonicRegressionModel.load(f"{path}/fold{i}/curve{c}")) for c in part["curves"]]
         folds.append((classify.FittedClassifier(part["model_type"], model, fourier), curves))
