@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import scores as sc
-from doclens.operators import evaluate, nearest, trees
+from doclens.operators import evaluate, kernels, nearest, trees
 from doclens.operators.sampling import class_sizes, hash_order, mark_selected
 from doclens.session import DEFAULT_SEED, broadcast_if_small, written
 
@@ -125,13 +125,13 @@ class FittedClassifier:
     """A fitted model that adds ``prediction``, class ``scores`` and ``probabilities``."""
 
     model_type: str
-    model: Model | Transformer | trees.Ensemble
+    model: Model | Transformer | trees.Ensemble | kernels.KernelMachine
     fourier: FourierMap | None = None
     params: dict = field(default_factory=dict)
     calibrated: bool = False
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if isinstance(self.model, trees.Ensemble):
+        if isinstance(self.model, (trees.Ensemble, kernels.KernelMachine)):
             kept = df.drop("prediction", "scores", "probabilities").withColumn("probabilities", self.model.column(df.sparkSession))
             best = (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("double")
             return kept.select(*kept.columns[:-1], best.alias("prediction"), F.col("probabilities").alias("scores"), "probabilities")
@@ -181,16 +181,22 @@ def with_folds(df: DataFrame, id_column: str, label_column: str = "label", folds
 
 
 def fit_classifier(df: DataFrame, model_type: str = "logistic", **params) -> FittedClassifier:
-    """Fit on ``features`` (ML vector) and ``label`` (class code as double)."""
+    """Fit on ``features`` (ML vector) and ``label`` (class code as double).
+
+    A ``svm`` has the RBF kernel; with ``dims`` the kernel is approximated by so many random features and the fit is
+    distributed, which takes any number of rows.
+    """
     if model_type in TREE_MODELS:
         sample, chosen = trees.sample_of(df, MAX_FIT_ROWS), tree_params(model_type, **params)
         fit = trees.fit_forest if model_type == "random_forest" else trees.fit_boosting
         return FittedClassifier(model_type, fit(df.sparkSession, sample, chosen), params=params)
+    if model_type == "svm" and "dims" not in params:
+        return FittedClassifier(model_type, kernels.fit_machine(df.sparkSession, *kernels.sample_of(df, MAX_FIT_ROWS), **params), params=params)
     rows = df.count()
     weighted = with_class_weight(df)
     fourier = None
     if model_type == "svm":
-        fourier = fit_fourier_map(weighted, dims=params.pop("dims", 512))
+        fourier = fit_fourier_map(weighted, dims=params.pop("dims"))
         weighted = fourier.transform(weighted)
     model = estimator(model_type, rows, **params).fit(weighted)
     return FittedClassifier(model_type, model, fourier, params)

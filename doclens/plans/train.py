@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from doclens import lexicon as lx
 from doclens.functions import text as tx
-from doclens.operators import classify, evaluate, sampling, tokens, trees, vectors
+from doclens.operators import classify, evaluate, kernels, sampling, tokens, trees, vectors
 from doclens.session import DEFAULT_SEED, written
 
 _MODEL_CLASSES = {"logistic": LogisticRegressionModel, "svm": OneVsRestModel}
@@ -102,6 +102,8 @@ class DocumentClassifier:
                     "fourier": vars(base.fourier) if base.fourier else None,
                     "trees": {"classes": base.model.classes, "start": base.model.start, "boosted": base.model.boosted}
                     if isinstance(base.model, trees.Ensemble) else None,
+                    "machine": {"gamma": base.model.gamma, "classes": base.model.classes, "features": base.model.rows.shape[1]}
+                    if isinstance(base.model, kernels.KernelMachine) else None,
                     "curves": [c for c, _ in curves],
                 }
                 for base, curves in folds
@@ -116,7 +118,7 @@ class DocumentClassifier:
                 list(zip(range(len(model.terms)), model.terms, model.idf)), "position int, term string, idf double"
             ).write.mode("overwrite").parquet(f"{path}/vocabulary")
         for i, (base, curves) in enumerate(folds):
-            if isinstance(base.model, trees.Ensemble):
+            if isinstance(base.model, (trees.Ensemble, kernels.KernelMachine)):
                 base.model.save(spark, f"{path}/fold{i}/model")
             else:
                 base.model.write().overwrite().save(f"{path}/fold{i}/model")
@@ -138,7 +140,12 @@ def load_classifier(spark: SparkSession, path: str) -> DocumentClassifier:
     folds = []
     for i, part in enumerate(config["folds"]):
         place = f"{path}/fold{i}/model"
-        model = trees.Ensemble.load(spark, place, **part["trees"]) if part["trees"] else _MODEL_CLASSES[part["model_type"]].load(place)
+        if part["trees"]:
+            model = trees.Ensemble.load(spark, place, **part["trees"])
+        elif part["machine"]:
+            model = kernels.KernelMachine.load(spark, place, **part["machine"])
+        else:
+            model = _MODEL_CLASSES[part["model_type"]].load(place)
         fourier = classify.FourierMap(**part["fourier"]) if part["fourier"] else None
         curves = [(c, IsotonicRegressionModel.load(f"{path}/fold{i}/curve{c}")) for c in part["curves"]]
         folds.append((classify.FittedClassifier(part["model_type"], model, fourier), curves))
