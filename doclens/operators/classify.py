@@ -132,9 +132,13 @@ class FittedClassifier:
 
     def transform(self, df: DataFrame) -> DataFrame:
         if isinstance(self.model, (trees.Ensemble, kernels.KernelMachine)):
-            kept = df.drop("prediction", "scores", "probabilities").withColumn("probabilities", self.model.column(df.sparkSession))
-            best = (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("double")
-            return kept.select(*kept.columns[:-1], best.alias("prediction"), F.col("probabilities").alias("scores"), "probabilities")
+            kept = [c for c in df.columns if c not in ("prediction", "scores", "probabilities")]
+            judged = df.select(*kept, self.model.column(df.sparkSession).alias("probabilities")).withColumn("scores", F.col("probabilities"))
+            if isinstance(self.model, kernels.KernelMachine):  # classes are told by pairs won, not by probability
+                n = self.model.classes
+                judged = judged.withColumns({"scores": F.slice("scores", 1, n), "probabilities": F.slice("probabilities", n + 1, n)})
+            best = (F.array_position("scores", F.array_max("scores")) - 1).cast("double")
+            return judged.select(*kept, best.alias("prediction"), "scores", "probabilities")
         source = df
         if self.fourier:
             # the model reads the projected features; the caller gets its own back

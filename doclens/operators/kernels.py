@@ -178,18 +178,32 @@ class KernelMachine:
         out[:, seen] = coupled(pairwise)
         return out
 
+    def decisions(self, values: np.ndarray) -> np.ndarray:
+        """Pairs won by each class, plus less than half for the sum of its margins; -1 for classes without rows in the fit."""
+        margins = self.margins(values)
+        won, summed = (np.zeros((len(values), self.classes)) for _ in range(2))
+        for at, (one, other) in enumerate(self.pairs.tolist()):
+            won[:, one] += margins[:, at] > 0
+            won[:, other] += margins[:, at] <= 0
+            summed[:, one] += margins[:, at]
+            summed[:, other] -= margins[:, at]
+        out = won + summed / (3.0 * (np.abs(summed) + 1.0))
+        seen = np.unique(self.pairs) if len(self.pairs) else [self.classes - 1]
+        out[:, np.setdiff1d(np.arange(self.classes), seen)] = -1.0
+        return out
+
     def column(self, spark: SparkSession, features: str = "features") -> Column:
-        """Class probabilities of the feature vector; executors get the support rows once."""
+        """Class scores and then class probabilities of the feature vector; executors get the support rows once."""
         model = spark.sparkContext.broadcast(self)
 
         @F.arrow_udf("array<double>")
-        def probabilities(column: pa.Array) -> pa.Array:
+        def judged(column: pa.Array) -> pa.Array:
             known = model.value
             values = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, known.rows.shape[1]))
-            found = known.probabilities(values)
-            return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * known.classes), pa.array(found.ravel()))
+            found = np.concatenate((known.decisions(values), known.probabilities(values)), 1)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * 2 * known.classes), pa.array(found.ravel()))
 
-        return probabilities(vector_to_array(features))
+        return judged(vector_to_array(features))
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Two tables: support rows, and pairs with their weights."""

@@ -115,3 +115,16 @@ def test_classes_without_rows_and_alone(spark):
     assert all(len(r["probabilities"]) == 3 and r["probabilities"][1] == 0 for r in got)
     alone = classify.fit_classifier(_frame(spark, x, np.ones(60, int)), "svm").transform(_frame(spark, x, y)).first()
     assert alone["probabilities"] == [0.0, 1.0] and alone["prediction"] == 1.0
+
+
+def test_classes_are_told_by_pairs_won(spark):
+    x, y = _clouds(150, 3, noise=0.7)
+    machine = kernels.fit_machine(spark, x, y)
+    margins = machine.margins(x)
+    won = np.zeros((150, 3))
+    for at, (one, other) in enumerate(machine.pairs):
+        won[np.arange(150), np.where(margins[:, at] > 0, one, other)] += 1
+    assert (np.floor(machine.decisions(x) + 0.5) == won).all()
+    got = classify.FittedClassifier("svm", machine).transform(_frame(spark, x, y)).orderBy("doc_id").collect()
+    assert [r["prediction"] for r in got] == machine.decisions(x).argmax(1).tolist()
+    assert np.allclose([r["probabilities"] for r in got], machine.probabilities(x))
