@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from doclens.catalog.base import AS_OF_YEAR, derived, query, table, with_views
+from doclens.catalog.evaluation import _KNN
 from doclens.catalog.ranking import _SCORES, SQL_RANKED, _flat
 from doclens.operators import classify, evaluate, sampling
 from doclens.plans import screen as screening
@@ -81,6 +82,23 @@ def _(spark, d):
     return _fit_and_score(spark, d, "svm")
 
 
+@query(
+    "fit_knn",
+    f"WITH {_KNN} SELECT query_id, CAST(prediction AS DOUBLE) AS prediction, round(confidence, 6) AS confidence, true AS sum_to_one FROM knn",
+)
+def _(spark, d):
+    """Trained on all rows of the split, saved, loaded, and asked for the others."""
+    rows = _embedded(spark, d)
+    fitted = classify.fit_classifier(rows.filter("NOT is_test"), "knn")
+    whole = train.DocumentClassifier(train.FeaturePlan(use_structured=False), [str(i) for i in range(10)], fitted)
+    loaded = train.load_classifier(spark, whole.save(spark, shared_folder(spark, "model"))).fitted
+    scored = loaded.transform(rows.filter("is_test"))
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    return scored.select(
+        F.col("vec_id").alias("query_id"), "prediction", F.round(F.array_max("probabilities"), 6).alias("confidence"), (F.abs(total - 1) < 1e-9).alias("sum_to_one")
+    )
+
+
 def _tuned(spark, d, model_type):
     rows = _embedded(spark, d)
     sample = classify.fit_sample(rows.filter("NOT is_test"), "vec_id").coalesce(1)

@@ -7,19 +7,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import scores as sc
 from doclens.operators import evaluate, kernels, nearest, trees
 from doclens.operators.sampling import class_sizes, hash_order, mark_selected
-from doclens.session import DEFAULT_SEED, broadcast_if_small, written
+from doclens.session import DEFAULT_SEED, broadcast_if_small, shared_folder, written
 
 MODEL_TYPES = ["logistic", "random_forest", "gradient_boosting", "xgboost", "svm", "knn"]
 TREE_MODELS = ["random_forest", "gradient_boosting", "xgboost"]
@@ -125,13 +126,13 @@ class FittedClassifier:
     """A fitted model that adds ``prediction``, class ``scores`` and ``probabilities``."""
 
     model_type: str
-    model: Model | Transformer | trees.Ensemble | kernels.KernelMachine
+    model: Model | Transformer | trees.Ensemble | kernels.KernelMachine | NearestModel
     fourier: FourierMap | None = None
     params: dict = field(default_factory=dict)
     calibrated: bool = False
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if isinstance(self.model, (trees.Ensemble, kernels.KernelMachine)):
+        if isinstance(self.model, (trees.Ensemble, kernels.KernelMachine, NearestModel)):
             kept = [c for c in df.columns if c not in ("prediction", "scores", "probabilities")]
             judged = df.select(*kept, self.model.column(df.sparkSession).alias("probabilities")).withColumn("scores", F.col("probabilities"))
             if isinstance(self.model, kernels.KernelMachine):  # classes are told by pairs won, not by probability
@@ -194,6 +195,8 @@ def fit_classifier(df: DataFrame, model_type: str = "logistic", **params) -> Fit
         sample, chosen = trees.sample_of(df, MAX_FIT_ROWS), tree_params(model_type, **params)
         fit = trees.fit_forest if model_type == "random_forest" else trees.fit_boosting
         return FittedClassifier(model_type, fit(df.sparkSession, sample, chosen), params=params)
+    if model_type == "knn":
+        return FittedClassifier(model_type, fit_nearest(df, **params), params=params)
     if model_type == "svm" and "dims" not in params:
         return FittedClassifier(model_type, kernels.fit_machine(df.sparkSession, *kernels.sample_of(df, MAX_FIT_ROWS), **params), params=params)
     rows = df.count()
@@ -396,6 +399,53 @@ def predict_category(
 # -- nearest neighbours ----------------------------------------------------------------------------
 
 
+@dataclass
+class NearestModel:
+    """Distance-weighted votes of the ``k`` nearest rows of the fit, which lie in an index of block files."""
+
+    index: nearest.MetricIndex
+    k: int
+    classes: int
+
+    def probabilities(self, values: np.ndarray) -> np.ndarray:
+        """Vote shares; where a row of the fit is at distance 0, only such rows vote."""
+        near, _ = self.index.near(values, self.k)
+        query, label, distance = (near.column(c).to_numpy() for c in ("query", "label", "distance"))
+        exact = np.bincount(query, distance == 0, len(values)) > 0
+        with np.errstate(divide="ignore"):
+            votes = np.where(exact[query], distance == 0, 1.0 / distance)
+        out = np.bincount(query * self.classes + label, votes, len(values) * self.classes).reshape(-1, self.classes)
+        return out / np.maximum(out.sum(1, keepdims=True), 1e-300)
+
+    def column(self, spark: SparkSession, features: str = "features") -> Column:
+        @F.arrow_udf("array<double>")
+        def shares(column: pa.Array) -> pa.Array:
+            values = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), self.index.dim)
+            offsets = np.arange(len(column) + 1, dtype=np.int32) * self.classes
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.probabilities(values).ravel()))
+
+        return shares(vector_to_array(features))
+
+    def save(self, spark: SparkSession, path: str) -> dict:
+        """Index the rows in ``path``; returns what :meth:`load` takes."""
+        index = nearest.build_index(self.index.items(spark), path, self.index.dim)
+        return {"index": {k: v for k, v in vars(index).items() if k != "folder"}, "k": self.k, "classes": self.classes}
+
+    @staticmethod
+    def load(path: str, index: dict, k: int, classes: int) -> NearestModel:
+        return NearestModel(nearest.MetricIndex(folder=path, **index), k, classes)
+
+
+def fit_nearest(df: DataFrame, k: int = 7, block_rows: int = nearest.BLOCK_ROWS) -> NearestModel:
+    """Index all rows of ``df``; a fit takes any number of them."""
+    rows = df.select(F.col("label").cast("int").alias("label"), vector_to_array("features").alias("vector"))
+    facts = rows.agg(F.max("label").alias("label"), F.max(F.size("vector")).alias("dim")).first()
+    # equal distances go by a hash of the contents, whatever the partitions are; rows alike in both are alike in their votes
+    numbered = rows.withColumn("item_id", F.xxhash64("vector", "label"))
+    index = nearest.build_index(written(numbered, "nearest-rows"), shared_folder(df.sparkSession, "nearest"), facts["dim"] or 0, block_rows)
+    return NearestModel(index, k, (facts["label"] if facts["label"] is not None else -1) + 1)
+
+
 def predict_knn(
     train: DataFrame, rows: DataFrame, dim: int, k: int = 7, block_rows: int = nearest.BLOCK_ROWS
 ) -> DataFrame:

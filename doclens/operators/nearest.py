@@ -1,7 +1,8 @@
 """Exact top-k between two vector tables, without pairing all rows in a join.
 
 One side is taken in blocks of bounded size and the other side streams past them. Blocks of jobs are
-broadcast; the items of a training set grow with the data, so executors write them into block files and read those. A task multiplies a batch with the block as dense
+broadcast; the items of a training set grow with the data, so executors write them into block files around pivots, and tasks read
+those blocks that may hold a neighbour. A task multiplies a batch with the block as dense
 matrices and keeps only the best ``k`` per query, so it emits at most ``k`` rows per query and the pairs
 themselves never become rows. Rows of the streamed side are never shuffled or copied, however
 many blocks there are; with more than one block of jobs, the documents' vectors are written once and scanned per block.
@@ -13,10 +14,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.files import Whole, make_folder, opened
@@ -239,68 +242,213 @@ class ItemBlock:
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
 
-def _write_blocks(items: DataFrame, folder: str, block_rows: int) -> list[str]:
-    """Executors write the items into files of at most ``block_rows`` rows; only the files' names reach the driver."""
+# -- an index of blocks around pivots ---------------------------------------------------------
+
+MAX_PIVOTS = 1024
+HELD_QUERIES = 50_000  # queries that a task holds while it goes through the blocks
+
+
+def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    squares = (vectors**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2.0 * (vectors @ pivots.T)
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
+def _save_table(folder: str, name: str, table: pa.Table) -> None:
+    file = Whole(folder, name)
+    with pa.ipc.new_stream(file.stream, table.schema) as out:
+        out.write_table(table)
+    file.close()
+
+
+def _load_table(folder: str, name: str) -> pa.Table:
+    system, path = opened(folder)
+    with system.open_input_file(f"{path}/{name}") as file:
+        return pa.ipc.open_stream(file).read_all().combine_chunks()
+
+
+@lru_cache(maxsize=2)
+def _directory(folder: str, name: str, dim: int) -> tuple:
+    """Pivots, and file, cell, least and largest distance from the pivot of every block."""
+    blocks = _load_table(folder, f"{name}-directory.arrow")
+    pivots = matrix(_load_table(folder, f"{name}-pivots.arrow").column("vector"), dim)
+    return pivots, blocks.column("file").to_pylist(), *(blocks.column(c).to_numpy() for c in ("cell", "low", "high"))
+
+
+@lru_cache(maxsize=4)
+def _block(folder: str, file: str, dim: int) -> ItemBlock:
+    table = _load_table(folder, file)
+    return ItemBlock(sortable(table.column("item_id")), table.column("label").combine_chunks(), matrix(table.column("vector"), dim))
+
+
+@dataclass(frozen=True)
+class MetricIndex:
+    """Labelled vectors in block files: each block holds items of one pivot's cell within a range of distances from the pivot.
+
+    A query reads the blocks that may hold a neighbour: by the triangle inequality an item is at least as far as
+    the gap between the query's and the block's distances from the pivot.
+    """
+
+    folder: str
+    name: str
+    dim: int
+    blocks: int
+    item_kind: str
+    label_kind: str
+
+    def schema(self) -> pa.Schema:
+        return pa.schema([("query", pa.int64()), ("item_id", _ARROW[self.item_kind]), ("label", _ARROW[self.label_kind]), ("distance", pa.float64())])
+
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        return _distances(vectors, _directory(self.folder, self.name, self.dim)[0]).argmin(1)
+
+    def near(self, vectors: np.ndarray, k: int) -> tuple[pa.Table, np.ndarray]:
+        """The ``k`` nearest items of each vector as ``(query, item_id, label, distance)``, and the blocks compared per vector."""
+        pivots, files, cell, low, high = _directory(self.folder, self.name, self.dim)
+        schema, compared = self.schema(), np.zeros(len(vectors), np.int64)
+        best, farthest = schema.empty_table(), np.full(len(vectors), np.inf)
+        if not len(vectors) or not files:
+            return best, compared
+        away = _distances(vectors, pivots)
+        slack = 1e-9 * (1.0 + float(away.max()))  # far above the rounding of the distances
+        gap = lambda b: np.maximum(np.maximum(away[:, cell[b]] - high[b], low[b] - away[:, cell[b]]) - slack, 0.0)
+        for b in np.argsort([gap(b).mean() for b in range(len(files))], kind="stable"):
+            asking = np.flatnonzero(gap(b) <= farthest)
+            if not len(asking):
+                continue
+            compared[asking] += 1
+            best = _best(pa.concat_tables([best, _block(self.folder, files[b], self.dim).nearest(asking, vectors[asking], k, schema)]), k)
+            query = best.column("query").to_numpy()
+            last = np.flatnonzero(place_in_run(query) == k - 1)
+            farthest[query[last]] = best.column("distance").to_numpy()[last]
+        return best, compared
+
+    def items(self, spark: SparkSession) -> DataFrame:
+        """``(item_id, label, vector)`` as they were indexed."""
+        folder, dim, name = self.folder, self.dim, self.name
+        numbers = spark.range(0, self.blocks, 1, max(1, self.blocks))
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number in batch.column("id").to_pylist():
+                    yield from _load_table(folder, _directory(folder, name, dim)[1][number]).to_batches()
+
+        return numbers.mapInArrow(read, f"item_id {self.item_kind}, label {self.label_kind}, vector array<double>")
+
+
+def build_index(items: DataFrame, folder: str, dim: int, block_rows: int = BLOCK_ROWS) -> MetricIndex:
+    """Index ``items`` (``item_id, label, vector``) in ``folder``.
+
+    Pivots are at most 1,024 items, the first in hash order. Executors sort the items by cell and distance and write blocks of
+    ``block_rows``; a cell with very many items has many blocks. Only pivots and counts reach the driver.
+    """
+    items = items.select("item_id", "label", F.col("vector").cast("array<double>").alias("vector"))
+    spark, name = items.sparkSession, uuid.uuid4().hex
+    kinds = dict(items.dtypes)
+    for column in ("item_id", "label"):
+        arrow_type(items, column)  # an error for other types
+    make_folder(folder)
+    rows = items.count()
+    wanted = min(MAX_PIVOTS, max(1, -(-rows // block_rows)))
+    chosen = items.select("vector", F.xxhash64("vector", "item_id").alias("h")).orderBy("h").limit(wanted).toArrow().combine_chunks()
+    pivots = matrix(chosen.column("vector"), dim)
+    _save_table(folder, f"{name}-pivots.arrow", pa.table({"vector": pa.array(list(pivots), pa.list_(pa.float64()))}))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away = _distances(matrix(batch.column("vector"), dim), pivots) if batch.num_rows else np.zeros((0, 1))
+            cell = away.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(away[np.arange(len(cell)), cell])], [*batch.schema.names, "cell", "away"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size = 0
 
         def close() -> pa.RecordBatch:
-            name = f"block-{uuid.uuid4().hex}.arrow"  # this attempt's own
-            file = Whole(folder, name)
-            with pa.ipc.new_stream(file.stream, held[0].schema) as out:
-                for part in held:
-                    out.write_batch(part)
-            file.close()
+            table = pa.Table.from_batches(held)
+            file, away = f"block-{uuid.uuid4().hex}.arrow", table.column("away").to_numpy()  # this attempt's own
+            _save_table(folder, file, table.select(["item_id", "label", "vector"]))
+            cell = held[0].column("cell")[0].as_py()
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([cell], pa.int32()), pa.array([away.min()]), pa.array([away.max()])], ["file", "cell", "low", "high"])
 
         for batch in batches:
+            cells = batch.column("cell").to_numpy()
             start = 0
             while start < batch.num_rows:
-                held.append(batch.slice(start, block_rows - sum(b.num_rows for b in held)))
-                start += held[-1].num_rows
-                if sum(b.num_rows for b in held) >= block_rows:
+                if held and held[0].column("cell")[0].as_py() != cells[start]:
+                    yield close()
+                    size = 0
+                same = int(np.searchsorted(cells, cells[start], "right"))
+                stop = min(same, start + block_rows - size)
+                held.append(batch.slice(start, stop - start))
+                size += stop - start
+                start = stop
+                if size >= block_rows:
                     yield close()
+                    size = 0
         if held:
             yield close()
 
-    make_folder(folder)
-    return sorted(r["file"] for r in items.mapInArrow(write, "file string").collect())
+    def list_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = pa.schema([("file", pa.string()), ("cell", pa.int32()), ("low", pa.float64()), ("high", pa.float64())]).empty_table()
+        table = pa.concat_tables([empty, *(pa.Table.from_batches([b]) for b in batches)]).sort_by([("cell", "ascending"), ("low", "ascending"), ("file", "ascending")])
+        _save_table(folder, f"{name}-directory.arrow", table)
+        yield pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int64())], ["blocks"])
+
+    order = ["cell", "away", "item_id"]
+    assigned = items.mapInArrow(assign, f"item_id {kinds['item_id']}, label {kinds['label']}, vector array<double>, cell int, away double")
+    dealt = assigned.repartitionByRange(max(1, -(-rows // (4 * block_rows))), *order).sortWithinPartitions(*order)
+    listed = written(dealt.mapInArrow(write, "file string, cell int, low double, high double"), "block-list")
+    # a row per block: one task lists them
+    blocks = listed.coalesce(1).mapInArrow(list_blocks, "blocks long").agg(F.sum("blocks")).first()[0] or 0
+    if not blocks:
+        list(list_blocks(iter([])))
+    return MetricIndex(folder, name, dim, blocks, kinds["item_id"], kinds["label"])
 
 
 def nearest_items(
-    queries: DataFrame, items: DataFrame, k: int, dim: int, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, items: DataFrame, k: int, dim: int, block_rows: int = BLOCK_ROWS, index: MetricIndex | None = None
 ) -> DataFrame:
     """``(query_id, item_id, label, distance)``: the ``k`` nearest items of each query.
 
-    ``queries``: ``query_id, vector``; ``items``: ``item_id, label, vector``. Executors write the items into block
-    files of the shared folder. A task takes its queries a batch at a time, reads one block after the other and keeps the
-    ``k`` best per query, so no vector passes through the driver, nothing is shuffled and the plan has one branch.
+    ``queries``: ``query_id, vector``; ``items``: ``item_id, label, vector``, or an ``index`` of them. With more than one block
+    the queries are sorted by the cell that they lie in, so that those of a task ask for the same blocks; a task holds many
+    queries at a time and reads a block once for all that need it. No vector but the pivots passes through the driver.
     """
-    queries, items = queries.select("query_id", "vector"), items.select("item_id", "label", "vector")
-    kinds = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"], dict(items.dtypes)["label"]
-    names = ["query_id", "item_id", "label", "distance"]
-    arrow_type(queries, "query_id")
-    found = pa.schema(
-        [("query", pa.int64()), ("item_id", arrow_type(items, "item_id")), ("label", arrow_type(items, "label")), ("distance", pa.float64())]
-    )
-    folder = shared_folder(queries.sparkSession, "blocks")
-    files = _write_blocks(items, folder, block_rows)
+    queries = queries.select("query_id", "vector")
+    kinds = dict(queries.dtypes)["query_id"]
+    query_type = arrow_type(queries, "query_id")
+    if index is None:
+        index = build_index(items, shared_folder(queries.sparkSession, "blocks"), dim, block_rows)
+    if index.blocks > 1:
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = index.cells(matrix(batch.column("vector"), dim)) if batch.num_rows else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], [*batch.schema.names, "cell"])
+
+        placed = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place, f"query_id {kinds}, vector array<double>, cell int")
+        tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        queries = placed.repartitionByRange(tasks, "cell", "query_id").sortWithinPartitions("cell", "query_id").select("query_id", "vector")
+
+    def search(ids: list[pa.Array], vectors: list[np.ndarray]) -> pa.RecordBatch:
+        best, _ = index.near(np.concatenate(vectors), k)
+        own = pa.concat_arrays(ids).take(best.column("query").combine_chunks())
+        names = ["item_id", "label", "distance"]
+        return pa.RecordBatch.from_arrays([own, *(best.column(c).combine_chunks() for c in names)], ["query_id", *names])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = opened(folder)
+        ids, vectors = [], []
         for batch in batches:
-            vectors, places, best = matrix(batch.column("vector"), dim), np.arange(batch.num_rows), found.empty_table()
-            for name in files if batch.num_rows else []:
-                with system.open_input_file(f"{path}/{name}") as file:
-                    table = pa.ipc.open_stream(file).read_all()
-                block = ItemBlock(sortable(table.column("item_id")), table.column("label").combine_chunks(), matrix(table.column("vector"), dim))
-                best = _best(pa.concat_tables([best, block.nearest(places, vectors, k, found)]), k)
-            own = [batch.column("query_id").take(best.column("query").combine_chunks()), *(best.column(c).combine_chunks() for c in names[1:])]
-            yield pa.RecordBatch.from_arrays(own, names)
-
-    return queries.mapInArrow(stream, f"query_id {kinds[0]}, item_id {kinds[1]}, label {kinds[2]}, distance double")
+            ids.append(batch.column("query_id").cast(query_type))
+            vectors.append(matrix(batch.column("vector"), dim))
+            if sum(map(len, ids)) >= HELD_QUERIES:
+                yield search(ids, vectors)
+                ids, vectors = [], []
+        if ids:
+            yield search(ids, vectors)
+
+    return queries.mapInArrow(stream, f"query_id {kinds}, item_id {index.item_kind}, label {index.label_kind}, distance double")
 
 
 def _best(found: pa.Table, k: int) -> pa.Table:

@@ -88,6 +88,10 @@ class DocumentClassifier:
         folds = (
             self.fitted.folds if isinstance(self.fitted, classify.CalibratedClassifier) else [(self.fitted, [])]
         )
+        indexes = [
+            base.model.save(spark, f"{path}/fold{i}/model") if isinstance(base.model, classify.NearestModel) else None
+            for i, (base, _) in enumerate(folds)
+        ]
         config = {
             "backend": self.features.backend,
             "use_structured": self.features.use_structured,
@@ -104,9 +108,10 @@ class DocumentClassifier:
                     if isinstance(base.model, trees.Ensemble) else None,
                     "machine": {"gamma": base.model.gamma, "classes": base.model.classes, "features": base.model.rows.shape[1]}
                     if isinstance(base.model, kernels.KernelMachine) else None,
+                    "nearest": index,
                     "curves": [c for c, _ in curves],
                 }
-                for base, curves in folds
+                for (base, curves), index in zip(folds, indexes)
             ],
         }
         spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.mode("overwrite").text(
@@ -120,7 +125,7 @@ class DocumentClassifier:
         for i, (base, curves) in enumerate(folds):
             if isinstance(base.model, (trees.Ensemble, kernels.KernelMachine)):
                 base.model.save(spark, f"{path}/fold{i}/model")
-            else:
+            elif not isinstance(base.model, classify.NearestModel):
                 base.model.write().overwrite().save(f"{path}/fold{i}/model")
             for c, curve in curves:
                 curve.write().overwrite().save(f"{path}/fold{i}/curve{c}")
@@ -144,6 +149,8 @@ def load_classifier(spark: SparkSession, path: str) -> DocumentClassifier:
             model = trees.Ensemble.load(spark, place, **part["trees"])
         elif part["machine"]:
             model = kernels.KernelMachine.load(spark, place, **part["machine"])
+        elif part["nearest"]:
+            model = classify.NearestModel.load(place, **part["nearest"])
         else:
             model = _MODEL_CLASSES[part["model_type"]].load(place)
         fourier = classify.FourierMap(**part["fourier"]) if part["fourier"] else None
