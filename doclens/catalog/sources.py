@@ -102,8 +102,12 @@ def _(spark, d):
     return spark.read.schema(row.schema).json(tables.write_metrics(row, shared_folder(spark, "metrics")))
 
 
+# Documents in two batches: a third is sent again with the text of another document, some of them twice in a batch.
+_RESENT = """resumes AS (
+    SELECT d.doc_id AS resume_id, CASE WHEN d.doc_id % 3 = 0 THEN coalesce(o.text, d.text) ELSE d.text END AS resume_text
+    FROM documents d LEFT JOIN documents o ON d.doc_id % 3 = 0 AND o.doc_id = d.doc_id + 1)"""
 _STREAM_TWIN = with_views(
-    f"""WITH resumes AS (SELECT doc_id AS resume_id, text AS resume_text FROM documents), {SQL_RANKED}
+    f"""WITH {_RESENT}, {SQL_RANKED}
     SELECT job_id, rank, resume_id AS doc_id, {_SCORES}, decision FROM ranked""",
     "jobs",
 )
@@ -112,12 +116,25 @@ _STREAM_TWIN = with_views(
 @query("screen_stream", _STREAM_TWIN)
 def _(spark, d):
     jobs = derived(spark, d, "jobs")
-    schema = table(spark, d, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    again = docs.filter("doc_id % 3 = 0").join(other, "doc_id", "left")
+    changed = again.select("doc_id", F.coalesce("other", "text").alias("text"))
     root = shared_folder(spark, "leaderboard")
-    board.screen_stream(
-        jobs, arriving, f"{root}/board", f"{root}/checkpoint", available_now=True
-    ).awaitTermination()
+    older = again.filter("doc_id % 2 = 0").select("doc_id", "text")
+    batches = [
+        docs.filter("doc_id % 2 = 0").withColumn("version", F.lit(1)),
+        # the last versions, older ones in the same batch, and first versions that come late
+        changed.withColumn("version", F.lit(3)).unionByName(older.withColumn("version", F.lit(2))).unionByName(
+            docs.filter("doc_id % 2 = 1").withColumn("version", F.lit(1))
+        ),
+    ]
+    for batch in batches:  # one run of the stream for each, from the same checkpoint
+        batch.write.mode("append").parquet(f"{root}/arriving")
+        arriving = spark.readStream.schema(batch.schema).parquet(f"{root}/arriving")
+        board.screen_stream(
+            jobs, arriving, f"{root}/board", f"{root}/checkpoint", available_now=True, version_column="version"
+        ).awaitTermination()
     return _flat(board.leaderboard(jobs, f"{root}/board")).select(
         "job_id", "rank", "doc_id", "similarity_score", "skill_match_score", "combined_score", "decision"
     )
