@@ -390,26 +390,56 @@ def _near_rows(scheme: Scheme):
     return emit
 
 
+class _Forest:
+    """What a task has found to be connected."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, node: int) -> int:
+        top = node
+        while (up := self.parent.get(top, top)) != top:
+            top = up
+        while (up := self.parent.get(node, node)) != top:
+            self.parent[node] = top
+            node = up
+        return top
+
+    def join(self, a: int, b: int) -> None:
+        self.parent[a] = b
+
+
 def _linked_rows(scheme: Scheme):
-    """One link per pair of components and bucket at most, each by the exact sets; columns of the buckets and ``elements``."""
+    """Links between components by the exact sets: a spanning forest of a task's, so one link fewer than components at most.
+
+    Pairs that are connected by links found before need no test. Columns of the buckets and ``elements``.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
         for table in _buckets(batches):
             block = _Block(table)
             elements = block.table.column("elements")
             sets = [np.frombuffer(e.as_buffer(), np.uint64) for e in elements]
-            found = set()
-            for x, y in block.candidates(scheme):
-                for i, j in zip(x.tolist(), y.tolist()):
-                    pair = (int(min(block.component[i], block.component[j])), int(max(block.component[i], block.component[j])))
-                    if pair in found:
-                        continue
-                    both = np.concatenate((sets[i], sets[j]))
-                    both.sort()
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if scheme.den * shared >= scheme.num * (len(both) - shared):
-                        found.add(pair)
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            names, place = np.unique(block.component, return_inverse=True)
+            root = np.array([forest.root(c) for c in names.tolist()], np.int64)[place]
+            links = []
+            for xs, ys in block.candidates(scheme):
+                for at in range(0, len(xs), 1024):
+                    x, y = xs[at : at + 1024], ys[at : at + 1024]
+                    apart = root[x] != root[y]
+                    for i, j in zip(x[apart].tolist(), y[apart].tolist()):
+                        a, b = root[i], root[j]
+                        if a == b:
+                            continue
+                        both = np.concatenate((sets[i], sets[j]))
+                        both.sort()
+                        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                        if scheme.den * shared >= scheme.num * (len(both) - shared):
+                            links.append((int(block.component[i]), int(block.component[j])))
+                            forest.join(int(a), int(b))
+                            root[root == a] = b
+            pairs = np.array(links, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     return emit
