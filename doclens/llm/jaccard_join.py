@@ -578,7 +578,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame
     Of rows that share the id of the component (repeated rows), all stay: they are told apart by nothing.
     Rows with a null id stay if they are alone.
     """
-    found = jaccard_components(docs, id_column, **options)
+    with wide_rows(docs.sparkSession, 1000):  # workers hold the models of the stage before, and few texts at a time
+        found = jaccard_components(docs, id_column, **options)
     keep = found.filter(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("_kept")).distinct()
     return docs.join(keep, docs[id_column].eqNullSafe(keep["_kept"]), "left_semi")
 
