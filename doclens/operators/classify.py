@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,6 @@ from pyspark.ml import Model, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -270,11 +270,35 @@ def tune(
 # -- calibration ------------------------------------------------------------------------------
 
 
+@dataclass
+class Curve:
+    """A rising curve through the ends of its pooled blocks; straight between them, level outside."""
+
+    x: list[float]
+    y: list[float]
+
+    def values(self, scores: np.ndarray) -> np.ndarray:
+        return np.interp(scores, self.x, self.y)
+
+
+def pooled(x: np.ndarray, hits: np.ndarray, weights: np.ndarray) -> Curve:
+    """Isotonic fit of the share of hits: neighbouring points that fall are pooled until none does. ``x`` rises."""
+    blocks: list[list[float]] = []  # first x, last x, hits, weight
+    for point in zip(x.tolist(), x.tolist(), hits.tolist(), weights.tolist()):
+        blocks.append(list(point))
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            _, last, more, weight = blocks.pop()
+            blocks[-1][1], blocks[-1][2], blocks[-1][3] = last, blocks[-1][2] + more, blocks[-1][3] + weight
+    ends = [(first, last, h / w) for first, last, h, w in blocks]
+    points = [q for first, last, y in ends for q in ([(first, y)] if first == last else [(first, y), (last, y)])]
+    return Curve([q[0] for q in points], [q[1] for q in points])
+
+
 @dataclass
 class CalibratedClassifier:
     """Average over folds of isotonic one-versus-rest calibrated probabilities."""
 
-    folds: list[tuple[FittedClassifier, list]]
+    folds: list[tuple[FittedClassifier, list[tuple[int, Curve]]]]
     classes: int
     calibrated: bool = True
 
@@ -282,8 +306,8 @@ class CalibratedClassifier:
         kept = [c for c in df.columns if c not in ("prediction", "scores", "probabilities")]
         work = df
         for i, (base, curves) in enumerate(self.folds):
-            work = base.transform(work).withColumnRenamed("scores", "_s").drop("prediction", "probabilities")
-            work = _calibrated(work, curves, self.classes, f"_p{i}")
+            work = base.transform(work).withColumn(f"_p{i}", sc.normalise_sum(_calibrated("scores", curves, self.classes)))
+            work = work.drop("prediction", "scores", "probabilities")
         summed = [
             sum((F.get(F.col(f"_p{i}"), F.lit(c)) for i in range(len(self.folds))), F.lit(0.0)) / len(self.folds)
             for c in range(self.classes)
@@ -300,20 +324,47 @@ def _class_score(scores: str, c: int) -> Column:
     return F.coalesce(F.get(F.col(scores), F.lit(c)), F.lit(0.0))
 
 
-def _calibrated(df: DataFrame, curves: list, classes: int, output: str) -> DataFrame:
-    """Add the normalised calibrated probabilities of one fold from its class scores ``_s``."""
-    work = df
-    names = []
-    for c, curve in curves:
-        name = f"_c{c}"
-        work = curve.transform(work.withColumn("_x", _class_score("_s", c))).withColumnRenamed("_y", name)
-        names.append((c, name))
-    if classes == 2 and len(names) == 1:
-        values = [1.0 - F.col(names[0][1]), F.col(names[0][1])]
-    else:
-        by_class = dict(names)
-        values = [F.col(by_class[c]) if c in by_class else F.lit(0.0) for c in range(classes)]
-    return work.withColumn(output, sc.normalise_sum(F.array(*values))).drop("_s", "_x", *[n for _, n in names])
+def _calibrated(scores: str, curves: list[tuple[int, Curve]], classes: int) -> Column:
+    """The calibrated score of every class, not yet normalised; of two classes the first has what the second leaves."""
+
+    @F.arrow_udf("array<double>")
+    def curved(column: pa.Array) -> pa.Array:
+        given = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+        out = np.zeros((len(column), classes))
+        for c, curve in curves:
+            out[:, c] = curve.values(given[:, c] if c < given.shape[1] else np.zeros(len(given)))
+        if classes == 2 and len(curves) == 1:
+            out[:, 0] = 1.0 - out[:, 1]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * classes), pa.array(out.ravel()))
+
+    return curved(F.col(scores))
+
+
+def fit_curves(scored: DataFrame, classes: int) -> dict[int, list[tuple[int, Curve]]]:
+    """The curves of every fold from ``(fold, label, scores)``, all of them in one job.
+
+    Scores are binned to ten thousand steps per fold and class, so that what is pooled together stays bounded.
+    """
+    targets = [1] if classes == 2 else list(range(classes))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), _class_score("scores", c).alias("x")) for c in targets))).alias("s")
+    long = scored.select("fold", "label", each).select("fold", "s.c", "s.x", (F.col("label") == F.col("s.c")).cast("double").alias("t"))
+    spans = long.groupBy("fold", "c").agg(F.min("x").alias("low"), F.max("x").alias("high"))  # a row per fold and class
+    step = F.when(F.col("high") > F.col("low"), F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * _SCORE_STEPS)).otherwise(0)
+    binned = (
+        long.join(F.broadcast(spans), ["fold", "c"]).groupBy("fold", "c", step.alias("step"))
+        .agg(F.avg("x").alias("x"), F.sum("t").alias("hits"), F.count(F.lit(1)).cast("double").alias("weight"))
+    )
+
+    def pool(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("x")
+        curve = pooled(*(rows[n].to_numpy() for n in ("x", "hits", "weight")))
+        return pd.DataFrame({"fold": [key[0]], "c": [key[1]], "x": [curve.x], "y": [curve.y]})
+
+    found: dict[int, list[tuple[int, Curve]]] = {}
+    rows = binned.groupBy("fold", "c").applyInPandas(pool, "fold int, c int, x array<double>, y array<double>")
+    for r in sorted(rows.collect(), key=lambda r: (r["fold"], r["c"])):  # a curve per fold and class
+        found.setdefault(r["fold"], []).append((r["c"], Curve(list(r["x"]), list(r["y"]))))
+    return found
 
 
 def calibrate(
@@ -322,35 +373,20 @@ def calibrate(
 ) -> FittedClassifier | CalibratedClassifier:
     """Isotonic calibration over 3 stratified hash folds; a plain fit when there are too few rows.
 
-    Each fold's model is fitted on the other folds and scores its own; those
-    scores are written once, then every class gets its isotonic curve, from scores
-    binned to ten thousand steps so that the pooled points stay bounded.
+    Each fold's model is fitted on the other folds and scores its own; those scores are written once, and all
+    curves of all folds come from them in one job.
     """
     if df.count() < min_rows:
         return fit_classifier(df, model_type, **params)
     classes = classes or int(df.agg(F.max("label")).first()[0]) + 1
     numbered = written(with_folds(df, id_column), "folds")
-    folds = []
-    for f in range(_FOLDS):
-        base = fit_classifier(numbered.filter(F.col("_fold") != f).drop("_fold"), model_type, **dict(params))
-        scored = written(
-            base.transform(numbered.filter(F.col("_fold") == f)).select("label", "scores"), "fold-scores"
-        )
-        targets = [1] if classes == 2 else range(classes)
-        curves = []
-        for c in targets:
-            pairs = scored.select(_class_score("scores", c).alias("_x"), (F.col("label") == c).cast("double").alias("_t"))
-            span = pairs.agg(F.min("_x").alias("low"), F.max("_x").alias("high")).first()
-            step = ((span["high"] or 0.0) - (span["low"] or 0.0)) / _SCORE_STEPS
-            if step > 0:
-                step_of = F.floor((F.col("_x") - span["low"]) / step)
-                pairs = pairs.groupBy(step_of.alias("_b"), "_t").agg(F.avg("_x").alias("_x"), F.count(F.lit(1)).cast("double").alias("_w"))
-            else:
-                pairs = pairs.withColumn("_w", F.lit(1.0))
-            isotonic = IsotonicRegression(featuresCol="_x", labelCol="_t", predictionCol="_y", weightCol="_w")
-            curves.append((c, isotonic.fit(pairs)))
-        folds.append((base, curves))
-    return CalibratedClassifier(folds, classes)
+    bases = [fit_classifier(numbered.filter(F.col("_fold") != f).drop("_fold"), model_type, **dict(params)) for f in range(_FOLDS)]
+    held = [
+        base.transform(numbered.filter(F.col("_fold") == f)).select(F.lit(f).cast("int").alias("fold"), "label", "scores")
+        for f, base in enumerate(bases)
+    ]
+    curves = fit_curves(written(reduce(DataFrame.unionByName, held), "fold-scores"), classes)
+    return CalibratedClassifier([(base, curves.get(f, [])) for f, base in enumerate(bases)], classes)
 
 
 # -- prediction ---------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.operators.numbering import number_rows
 from doclens.session import DEFAULT_SEED, broadcast_if_small
 
 _BIN_DIGITS = 4  # 65,536 bins per class
@@ -151,13 +152,9 @@ def train_test_split(
     shared = sizes.withColumn("base", F.floor(share / F.lit(rows)).cast("long")).withColumn(
         "rest", share - F.col("base") * F.lit(rows)
     )
-    # the class table has one row per label, so one ordered pass over it is small
-    order = Window.orderBy(F.col("rest").desc(), F.col(label_column))
-    over_all = Window.partitionBy()
-    quotas = shared.withColumn("left_over", F.lit(n_test) - F.sum("base").over(over_all)).select(
-        label_column,
-        (F.col("base") + (F.row_number().over(order) <= F.col("left_over")).cast("long")).alias("quota"),
-    )
+    left_over = n_test - (shared.agg(F.sum("base")).first()[0] or 0)
+    ranked = number_rows(shared.withColumn("_less", -F.col("rest")).select(label_column, "base", "_less"), ["_less", label_column], "_place")
+    quotas = ranked.select(label_column, (F.col("base") + (F.col("_place") < left_over).cast("long")).alias("quota"))
     return mark_selected(df, id_column, label_column, broadcast_if_small(quotas), flag, seed)
 
 

@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclens import lexicon as lx
 from doclens.functions import features as ft
 from doclens.functions import text as tx
-from doclens.session import broadcast_if_small
+from doclens.operators.numbering import number_rows
 
 # -- default encoder -----------------------------------------------------------------
 
@@ -226,9 +226,7 @@ def assemble_features(
 def label_codes(df: DataFrame, label_column: str = "category") -> DataFrame:
     """``(label, code)``: codes 0.. over the sorted class names."""
     names = df.select(label_column).filter(F.col(label_column).isNotNull()).distinct()
-    # one row per class: the ordered numbering runs over the class list, not over the table
-    coded = names.withColumn("code", (F.row_number().over(Window.orderBy(label_column)) - 1).cast("long"))
-    return broadcast_if_small(coded)
+    return number_rows(names, [label_column])
 
 
 def encode_labels(df: DataFrame, label_column: str = "category", codes: DataFrame | None = None) -> DataFrame:

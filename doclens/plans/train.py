@@ -6,7 +6,6 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegressionModel, OneVsRestModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +108,7 @@ class DocumentClassifier:
                     "machine": {"gamma": base.model.gamma, "classes": base.model.classes, "features": base.model.rows.shape[1]}
                     if isinstance(base.model, kernels.KernelMachine) else None,
                     "nearest": index,
-                    "curves": [c for c, _ in curves],
+                    "curves": [[c, curve.x, curve.y] for c, curve in curves],
                 }
                 for (base, curves), index in zip(folds, indexes)
             ],
@@ -122,13 +121,11 @@ class DocumentClassifier:
             spark.createDataFrame(
                 list(zip(range(len(model.terms)), model.terms, model.idf)), "position int, term string, idf double"
             ).write.mode("overwrite").parquet(f"{path}/vocabulary")
-        for i, (base, curves) in enumerate(folds):
+        for i, (base, _) in enumerate(folds):
             if isinstance(base.model, (trees.Ensemble, kernels.KernelMachine)):
                 base.model.save(spark, f"{path}/fold{i}/model")
             elif not isinstance(base.model, classify.NearestModel):
                 base.model.write().overwrite().save(f"{path}/fold{i}/model")
-            for c, curve in curves:
-                curve.write().overwrite().save(f"{path}/fold{i}/curve{c}")
         return path
 
 
@@ -154,7 +151,7 @@ def load_classifier(spark: SparkSession, path: str) -> DocumentClassifier:
         else:
             model = _MODEL_CLASSES[part["model_type"]].load(place)
         fourier = classify.FourierMap(**part["fourier"]) if part["fourier"] else None
-        curves = [(c, IsotonicRegressionModel.load(f"{path}/fold{i}/curve{c}")) for c in part["curves"]]
+        curves = [(c, classify.Curve(x, y)) for c, x, y in part["curves"]]
         folds.append((classify.FittedClassifier(part["model_type"], model, fourier), curves))
     if config["calibrated"]:
         fitted = classify.CalibratedClassifier(folds, len(config["classes"]))
