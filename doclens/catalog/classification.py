@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from doclens.catalog.base import AS_OF_YEAR, derived, query, table, with_views
 from doclens.catalog.evaluation import _KNN
 from doclens.catalog.ranking import _SCORES, SQL_RANKED, _flat
+from doclens.catalog.text import SQL_PREPROCESSED
 from doclens.operators import classify, evaluate, sampling
+from doclens.plans import prepare
 from doclens.plans import screen as screening
 from doclens.plans import train
 from doclens.session import shared_folder, written
@@ -145,6 +147,31 @@ def _(spark, d):
     return _facts(fitted.transform(rows), F.col("is_test")).drop("fits_train").withColumn("three_folds", F.lit(len(fitted.folds) == 3))
 
 
+@query(
+    "prepare_training_table",
+    with_views(
+        f"""WITH {SQL_PREPROCESSED},
+        usable AS (SELECT resume_id, category FROM resumes WHERE regexp_matches(resume_text, '\\S') AND regexp_matches(category, '\\S')
+                   QUALIFY row_number() OVER (PARTITION BY resume_text ORDER BY resume_id) = 1),
+        tagged AS (SELECT resume_id, category, cleaned_text, CASE WHEN row_number() OVER (ORDER BY md5('42|' || resume_id))
+                     <= greatest(1, floor(count(*) OVER () * CAST(0.2 AS DOUBLE))) THEN 'holdout' ELSE 'train' END AS data_source
+                   FROM usable JOIN preprocessed USING (resume_id)),
+        sizes AS (SELECT category, data_source, count(*) AS ids, min(md5(cleaned_text)) AS first_text, max(md5(cleaned_text)) AS last_text
+                  FROM tagged GROUP BY category, data_source)
+        SELECT category, data_source, CASE WHEN data_source = 'train' THEN (SELECT max(ids) FROM sizes WHERE data_source = 'train') ELSE ids END AS rows,
+               ids, first_text, last_text FROM sizes""",
+        "resumes",
+    ),
+)
+def _(spark, d):
+    raw = derived(spark, d, "resumes").select("resume_id", "category", "resume_text")
+    done = prepare.prepare_training_table(raw, "resume_id")
+    text = F.md5("cleaned_text")
+    return done.groupBy("category", "data_source").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("resume_id").alias("ids"), F.min(text).alias("first_text"), F.max(text).alias("last_text")
+    )
+
+
 def _training_table(spark, d):
     resumes = derived(spark, d, "resumes").select("resume_id", "category", "data_source", "resume_text")
     return resumes.filter("resume_text IS NOT NULL")

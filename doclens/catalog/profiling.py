@@ -28,27 +28,22 @@ def _profile_twin(source: str, columns: list[str], category: str | None) -> str:
     return " UNION ALL ".join(parts)
 
 
-_TEXTS = "(SELECT text AS resume_text, lang AS category, source FROM documents)"
+_TEXTS = "(SELECT doc_id, text AS resume_text, lang AS category, source, n_chars FROM documents)"
 
 
-@query("profile_dataset", _profile_twin(_TEXTS, ["resume_text", "category", "source"], "category"))
+@query("profile_dataset", _profile_twin(_TEXTS, ["doc_id", "resume_text", "category", "source", "n_chars"], "category"))
 def _(spark, d):
-    texts = table(spark, d, "documents").select(
-        F.col("text").alias("resume_text"), F.col("lang").alias("category"), "source"
-    )
-    return profile.profile_dataset(texts)
+    return profile.profile_dataset(table(spark, d, "documents").withColumnsRenamed({"text": "resume_text", "lang": "category"}))
 
 
-_LINEITEM = "(SELECT l_orderkey, l_partkey, l_quantity, l_returnflag FROM lineitem)"
+_LINEITEM = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+]
 
 
-@query(
-    "profile_dataset_lineitem",
-    _profile_twin(_LINEITEM, ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag"], "l_returnflag"),
-)
+@query("profile_dataset_lineitem", _profile_twin("lineitem", _LINEITEM, "l_returnflag"))
 def _(spark, d):
-    items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
-    return profile.profile_dataset(items, "l_returnflag")
+    return profile.profile_dataset(table(spark, d, "lineitem"), "l_returnflag")
 
 
 @query(

@@ -169,6 +169,24 @@ def _(spark, d):
     return _flat(_decided(spark, d)).drop("shortlist_threshold", "review_threshold")
 
 
+@query(
+    "rank_with_fallback_texts",
+    with_views(
+        f"""WITH resumes AS (SELECT doc_id AS resume_id, CASE WHEN doc_id % 3 = 2 THEN lower(text) WHEN doc_id % 2 = 0 THEN text
+          ELSE 'python sql ' || text END AS resume_text FROM documents),
+        {SQL_RANKED} SELECT job_id, rank, resume_id AS doc_id, {_SCORES} FROM ranked""",
+        "jobs",
+    ),
+)
+def _(spark, d):
+    docs = table(spark, d, "documents").selectExpr(
+        "doc_id", "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE lower(text) END AS cleaned_text",
+        "CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS text", "'python sql ' || text AS resume_text",
+    )
+    ranked = rank.rank_with_skills(derived(spark, d, "jobs"), docs, ("cleaned_text", "text", "body", "resume_text"))
+    return _flat(ranked).select("job_id", "rank", "doc_id", "similarity_score", "skill_match_score", "combined_score")
+
+
 @query(
     "rank_with_cleaned_text",
     with_views(

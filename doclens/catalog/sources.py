@@ -6,11 +6,13 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from doclens.catalog.base import derived, query, table, with_views
 from doclens.catalog.ranking import _SCORES, SQL_RANKED, _flat
 from doclens.catalog.text import sql_strip
+from doclens.files import Whole, make_folder
 from doclens.session import shared_folder
 from doclens.sources import files, tables
 from doclens.streaming import leaderboard as board
@@ -58,6 +60,37 @@ def _(spark, d):
     return files.ingest_uploads(uploads).select("filename", "file_type", "text")
 
 
+def _as_files(uploads, folder: str) -> int:
+    """Executors write each upload as a file of its name; returns how many there are."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("filename").to_pylist(), batch.column("content").to_pylist()):
+                file = Whole(folder, name)
+                file.write(content)
+                file.close()
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    make_folder(folder)
+    return uploads.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+@query(
+    "ingest_document_files",
+    f"""SELECT 'cv' || doc_id || '.docx' AS filename, 'DOCX' AS file_type, text FROM {_PACKED}
+    WHERE text <> '' AND lang = 'en'""",
+)
+def _(spark, d):
+    folder = shared_folder(spark, "document-files")
+    _as_files(uploads_of(table(spark, d, "documents"), _SUFFIX), folder)  # files of another format are left out
+    return files.ingest_document_files(spark, folder).select("filename", "file_type", "text")
+
+
+@query("read_screening_table_rows", "SELECT doc_id, text, lang FROM documents ORDER BY doc_id LIMIT 100")
+def _(spark, d):
+    return tables.read_screening_table(spark, f"{d.rstrip('/')}/documents.parquet", 100, "doc_id").select("doc_id", "text", "lang")
+
+
 _SUFFIX = "CASE WHEN lang = 'en' THEN 'docx' ELSE 'odt' END"
 
 

@@ -255,6 +255,27 @@ def _(spark, d):
     return tokens.preprocess_documents(resumes, "resume_text", "resume_id").select("resume_id", "cleaned_text")
 
 
+@query(
+    "preprocess_documents_lemma",
+    with_views(
+        f"""WITH {SQL_PREPROCESSED},
+        plain AS MATERIALIZED (SELECT {sql_clean('text')} AS t FROM documents),
+        corpus_words AS MATERIALIZED (SELECT DISTINCT token FROM (SELECT unnest({sql_words('t')}) AS token FROM plain)),
+        dictionary AS MATERIALIZED ({_LEMMAS}),
+        tokens AS (SELECT resume_id, unnest(w) AS token, unnest(generate_series(1, len(w))) AS pos
+                   FROM (SELECT resume_id, {sql_words('cleaned_text')} AS w FROM preprocessed)),
+        joined AS (SELECT resume_id, string_agg(coalesce(norm, token), ' ' ORDER BY pos) AS n
+                   FROM tokens LEFT JOIN dictionary USING (token) GROUP BY resume_id)
+        SELECT resume_id, coalesce(n, '') AS cleaned_text FROM preprocessed LEFT JOIN joined USING (resume_id)""",
+        "resumes",
+    ),
+)
+def _(spark, d):
+    resumes = derived(spark, d, "resumes").select("resume_id", "resume_text")
+    done = tokens.preprocess_documents(resumes, "resume_text", "resume_id", dictionary=_dictionary(spark, d, _LEMMAS))
+    return done.select("resume_id", "cleaned_text")
+
+
 @query(
     "preprocess_documents_tokens",
     with_views(

@@ -142,22 +142,30 @@ def _job_vectors(jobs: DataFrame, with_skills: bool) -> DataFrame:
     return ranking_vectors(jobs, text, skills).withColumn("is_blank", text == "")
 
 
-def document_features(documents: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
+def _document_text(documents: DataFrame, text_column: str | tuple[str, ...]) -> Column:
+    """The text of a document: the column, or the first of several that exists and is not empty."""
+    if isinstance(text_column, str):
+        return tx.text_or_empty(text_column)
+    return tx.coalesce_texts(*[F.nullif(F.col(c), F.lit("")) for c in text_column if c in documents.columns])
+
+
+def document_features(documents: DataFrame, text_column: str | tuple[str, ...] = "text", id_column: str = "doc_id") -> DataFrame:
     """``(doc_id, vector)``: everything ranking needs, computed once per document."""
-    base = documents.select(F.col(id_column).alias("doc_id"), tx.text_or_empty(text_column).alias("_raw"))
+    base = documents.select(F.col(id_column).alias("doc_id"), _document_text(documents, text_column).alias("_raw"))
     return ranking_vectors(base, tx.strip("_raw"), tx.extract_skills("_raw")).select("doc_id", "vector")
 
 
 def rank_with_skills(
     jobs: DataFrame,
     documents: DataFrame,
-    text_column: str = "text",
+    text_column: str | tuple[str, ...] = "text",
     id_column: str = "doc_id",
     with_cleaned_text: bool = False,
     block_rows: int = nearest.BLOCK_ROWS,
 ) -> DataFrame:
     """Best ``top_n`` documents of each job by weighted similarity and skill match.
 
+    ``text_column`` may name several columns: the first that exists and is not empty is the document's text.
     The survivors carry their skills out of the scoring pass. Only the cleaned
     text, on request, needs the document table again, and only for survivors.
     """
@@ -177,7 +185,7 @@ def rank_with_skills(
     ]
     result = survivors.select(*columns)
     if with_cleaned_text:
-        raw = documents.select(F.col(id_column).alias("doc_id"), tx.text_or_empty(text_column).alias("_raw"))
+        raw = documents.select(F.col(id_column).alias("doc_id"), _document_text(documents, text_column).alias("_raw"))
         cleaned = tx.remove_stopwords(tx.clean_text(tx.section_weighted_text("_raw")))
         result = (
             raw.join(broadcast_if_small(result), "doc_id")

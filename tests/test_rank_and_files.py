@@ -169,3 +169,12 @@ def test_report_defaults(spark):
     ranked = spark.createDataFrame([(1, 1, 0.123456)], "job_id long, rank int, combined_score double")
     row = tables.shortlist_report(ranked).first()
     assert row["candidate_name"] == "Unknown" and row["decision"] == "Unknown" and row["combined_score"] == 0.1235
+
+
+def test_ranking_takes_the_first_text_that_is_there(spark, jobs):
+    rows = [(1, None, "python sql machine learning"), (2, "", "java docker"), (3, "python sql machine learning", "java")]
+    docs = spark.createDataFrame(rows, "doc_id long, cleaned_text string, text string")
+    plain = spark.createDataFrame([(i, c or t) for i, c, t in rows], "doc_id long, text string")
+    key = lambda r: (r["job_id"], r["rank"], r["doc_id"], r["combined_score"])
+    got = rank.rank_with_skills(jobs, docs, ("cleaned_text", "body", "text")).collect()
+    assert sorted(map(key, got)) == sorted(map(key, rank.rank_with_skills(jobs, plain).collect()))

@@ -2,7 +2,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from doclens.sources.tables import spread
+from doclens.sources.tables import read_screening_table, spread
 
 
 def _tasks(df):
@@ -33,3 +33,11 @@ def test_spread_counts_tasks_that_have_rows(spark, tmp_path):
 def test_spread_of_an_empty_table(spark, tmp_path):
     spark.range(0).write.parquet(str(tmp_path / "none"))
     assert spread(spark.read.parquet(str(tmp_path / "none"))).count() == 0
+
+
+def test_screening_table_rows(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(50).repartition(3).write.parquet(path)
+    read = lambda *a: [r["id"] for r in read_screening_table(spark, path, *a).collect()]
+    assert sorted(read()) == sorted(read(0)) == sorted(read(-1)) == list(range(50))
+    assert read(7, "id") == list(range(7)) and len(read(7)) == 7 and len(read(99)) == 50
