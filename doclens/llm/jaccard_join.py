@@ -500,7 +500,6 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
         likely = written(compact(_likely(star, light, scheme)), "likely")
         links = written(compact(_confirmed(likely, _needed(heavy, likely), scheme)), "stars")
     first = written(compact(components(links, "a", "b")), "components")
-    release_shuffles(spark)
 
     placed = written(
         members.select("sig", "node")
@@ -536,7 +535,6 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
     with wide_rows(spark):
         likely = written(compact(_likely(pairs, light, scheme)), "likely")
         more = written(compact(_confirmed(likely, _needed(heavy, likely), scheme)), "more")
-        release_shuffles(spark)
         rest = written(facing.mapInArrow(_near_rows(scheme), facing.schema), "near")
         facing = (
             rest.join(_needed(heavy, rest.select(F.col("node").alias("a"), F.col("node").alias("b"))), "node")
