@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from doclens.llm.base import query, table
 from doclens.llm.tokenizers import piece_model, piece_parts, vocabulary
 from doclens.llm.words import Words, chunks, text_bytes, windows
-from doclens.session import written
+from doclens.session import shared_folder, written
 
 REPEAT_WORDS = 5
 
@@ -300,7 +300,10 @@ def keep_good(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", text_colu
             yield batch.filter(pa.array(_inside(batch, _OWN, limits, fixed, found))).select(docs_columns)
 
     with_lang = docs.withColumn(_OWN + "lang", lang)
-    measured = written(with_lang.mapInArrow(measure, _with(with_lang.schema, [(_OWN + n, kinds[n]) for n in names])), "quality")
+    figures = with_lang.mapInArrow(measure, _with(with_lang.schema, [(_OWN + n, kinds[n]) for n in names]))
+    folder = shared_folder(docs.sparkSession, "quality")  # whole texts: packed more tightly than tables of numbers
+    figures.write.option("compression", "zstd").parquet(folder)
+    measured = docs.sparkSession.read.schema(figures.schema).parquet(folder)
     found = derived_bands(measured.select(*(_OWN + n for n in [*names, "lang"])), _OWN)
     return measured.mapInArrow(keep, schema)
 
