@@ -510,8 +510,13 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
     )
     still = (
         placed.groupBy("sig")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("held"), F.sum("n").alias("elements"))
+        .agg(
+            F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("held"), F.sum("n").alias("elements"),
+            F.bit_xor(F.xxhash64("node")).alias("set"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("again"),
+        )
         .filter("x != y")
+        # signatures of the same nodes pose the same pairs: one of them is enough
+        .groupBy("held", "elements", "set", "again").agg(F.min("sig").alias("sig"))
         .select("sig", "held", F.ceil(F.greatest(F.col("held") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("long").alias("blocks"))
     )
     open_rows = written(placed.join(still, "sig"), "open")
