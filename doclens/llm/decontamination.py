@@ -3,34 +3,40 @@
 Every window of a text that is as long as a benchmark item gets a 64-bit SimHash of its word pairs. A fingerprint
 within the radius of an item's must, in one of four 16-bit blocks, differ from it in at most a quarter of
 the radius; each item is therefore filed in each block under all values so near to its own, and a window looks
-up its four blocks. That finds all fingerprints within the radius. The exact weighted similarity of word
-shingles decides.
+up its four blocks. That finds all fingerprints within the radius. Around a hit, the exact weighted similarity of word
+shingles decides over the windows of every length, so words may be put in or left out.
 
 Item sizes are rounded down to a grid, so the number of window sizes grows with the logarithm of the longest
 item only; an item longer than its grid size is looked for by its first and its last words. Windows of all
 places of all texts are made from sums of the pair bits over 1, 2, 4, ... neighbours. The pass is narrow: documents are never
-shuffled; the items go to the tasks in blocks of bounded size.
+shuffled. Items never reach the driver: Spark counts over the whole benchmark how many items hold a shingle and files the
+items in blocks of bounded size in the shared folder, which the tasks read one by one.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclens.files import opened
 from doclens.llm.base import query, table
 from doclens.llm.words import Words, chunks, mix, text_bytes, windows
+from doclens.session import shared_folder, written
 
 SHINGLE = 5
 RADIUS = 11
 # Window sizes in words.
 GRID = (5, 6, 8, 10, 12, 15, 19, 24, 30, 38, 48, 60)
-BLOCK_ITEMS = 20_000  # benchmark items that one pass looks for
+BLOCK_ITEMS = 10_000  # benchmark items that a task holds at once
+HELD_BYTES = 64 << 20  # texts that a task holds while it goes through several blocks of items
 _SPAN = 16_384  # windows made at once
 _U = np.uint64
 
@@ -67,21 +73,39 @@ def _block(marks: np.ndarray, number: int) -> np.ndarray:
     return ((marks >> _U(16 * number)) & _U(0xFFFF)).astype(np.uint16)
 
 
+def _split(values: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(held)[:-1]) if len(held) else []
+
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(values, return_counts=True)
+
+
+def _looked_up(values: np.ndarray, keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The number of each value among sorted keys, else one."""
+    if not len(keys):
+        return np.ones(len(values))
+    place = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return np.where(keys[place] == values, numbers[place], 1).astype(float)
+
+
 class Items:
     """Benchmark items and, per window size, the table of their fingerprints' blocks."""
 
-    def __init__(self, ids: list, texts: list[str | None], radius: int = RADIUS):
+    def __init__(self, ids: Sequence, texts: Sequence[str | None], radius: int = RADIUS, holders: list[tuple[np.ndarray, np.ndarray]] | None = None):
+        """``holders`` lists per item the shingles that other items hold, too, and the number of items; else it is counted on these items."""
         self.ids, self.radius = ids, radius
         data, offsets = text_bytes(pa.array(texts, pa.string()))
         words = Words(data, offsets, lower=True)
         hashes = words.hashes()
         self.lengths = words.counts
-        values, held = windows(hashes, words.counts, SHINGLE)
-        stops = np.cumsum(held)
-        own = [values[s - n : s].tolist() for s, n in zip(stops.tolist(), held.tolist())]
-        holders = Counter(x for v in own for x in set(v))
-        self.weight = {x: 1.0 / n for x, n in holders.items() if n > 1}  # a shingle that many items share says little
-        self.shingles = [Counter(v) for v in own]
+        self.own = [_counted(v) for v in _split(*windows(hashes, words.counts, SHINGLE))]  # shingles, their counts
+        if holders is None:
+            every, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *(v for v, _ in self.own)]), return_counts=True)
+            holders = [(every, held)] * len(self.own)
+        # a shingle that many items share says little
+        self.weights = [1.0 / _looked_up(v, *h) for (v, _), h in zip(self.own, holders)]
+        self.totals = [float((n * w).sum()) for (_, n), w in zip(self.own, self.weights)]
         prints: dict[int, list[tuple[int, int, int]]] = {}
         for i, n in enumerate(words.counts.tolist()):
             if n < SHINGLE:
@@ -126,26 +150,51 @@ class Items:
         both = np.unique(np.concatenate(windows_) * len(own) + np.concatenate(prints))
         return both // len(own), both % len(own)
 
-    def similarity(self, item: int, shingles: np.ndarray) -> float:
-        """Weighted Jaccard similarity of an item and the shingles of a window, with their counts."""
-        mine, other = self.shingles[item], Counter(shingles.tolist())
-        shared = sum(min(n, mine[x]) * self.weight.get(x, 1.0) for x, n in other.items() if x in mine)
-        total = sum(n * self.weight.get(x, 1.0) for c in (mine, other) for x, n in c.items())
-        return shared / (total - shared) if total > shared else 1.0
+    def best_window(self, item: int, shingles: np.ndarray, threshold: float) -> tuple[float, int]:
+        """Similarity and first shingle of the best stretch of ``shingles``, of any length; (0, 0) if none reaches the threshold.
+
+        The similarity is weighted Jaccard of shingles with their counts; shingles that the item hasn't weigh one. A best
+        stretch begins and ends with shingles of the item, since others only lower it.
+        """
+        (keys, counts), weights, total = self.own[item], self.weights[item], self.totals[item]
+        place = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        hits = np.flatnonzero(keys[place] == shingles)
+        which = place[hits]
+        least = threshold * total - 1e-9
+        if (np.minimum(np.bincount(which, minlength=len(keys)), counts) * weights).sum() < least:
+            return 0.0, 0
+        load = np.ones(len(shingles))
+        load[hits] = weights[which]
+        upto = np.concatenate(([0.0], np.cumsum(load)))
+        order = np.argsort(which, kind="stable")
+        rank = np.empty(len(hits), np.int64)  # of each hit among those of the same shingle
+        rank[order] = np.arange(len(hits)) - np.searchsorted(which[order], which[order])
+        gone = np.zeros(len(keys), np.int64)
+        left = np.cumsum(weights[which][::-1])[::-1]
+        best, first = 0.0, 0
+        for s, begin in enumerate(hits.tolist()):
+            if left[s] < least or best >= 1.0 - 1e-12:
+                break
+            stop = int(np.searchsorted(upto[hits + 1], upto[begin] + total / threshold + 1e-9, "right"))
+            own = which[s:stop]
+            shared = np.cumsum(np.where(rank[s:stop] - gone[own] < counts[own], weights[own], 0.0))
+            near = shared / (total + upto[hits[s:stop] + 1] - upto[begin] - shared)
+            if len(near) and near.max() > best + 1e-12:
+                best, first = float(near.max()), begin
+            gone[which[s]] += 1
+        return (best, first) if best >= threshold - 1e-9 else (0.0, 0)
 
     def search(self, column: pa.Array, threshold: float) -> dict[tuple[int, int], tuple[float, int]]:
         """``(text, item) -> (similarity, first word)`` of the best window, for all pairs that reach the threshold."""
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        if not self.tables:
+            return best
         data, offsets = text_bytes(column)
         words = Words(data, offsets, lower=True)
         hashes = words.hashes()
         pairs = _pairs(hashes)
         owner = words.text_of_word()
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        if not self.tables:
-            return best
-        values, held = windows(hashes, words.counts, SHINGLE)
-        base = np.cumsum(held) - held
-        tried: set[tuple[int, int]] = set()
+        spots = []  # text, item, and the word of the text at which the item would begin
         longest = max(self.tables)
         for begin in range(0, len(hashes), _SPAN):
             end = min(len(hashes), begin + _SPAN + longest - 1)
@@ -155,31 +204,84 @@ class Items:
                 if starts <= 0:
                     continue
                 inside = owner[begin : begin + starts] == owner[begin + size - 1 : begin + size - 1 + starts]
-                marks = _simhashes(sums, size)[:starts]
-                window, found = self.near(size, marks)
-                for w, p in zip(window[inside[window]].tolist(), found[inside[window]].tolist()):
-                    item, at = int(item_of[p]), begin + w - int(at_of[p])
-                    text = int(owner[begin + w])
-                    low = max(int(words.first[text]), at)
-                    high = min(int(words.first[text + 1]), at + int(self.lengths[item]))
-                    if (item, low) in tried or high - low < SHINGLE:
-                        continue
-                    tried.add((item, low))
-                    place = base[text] + low - words.first[text]
-                    near = self.similarity(item, values[place : place + high - low - SHINGLE + 1])
-                    first = low - int(words.first[text])
-                    if near >= threshold - 1e-9 and (near, -first) > (lambda b: (b[0], -b[1]))(best.get((text, item), (0.0, 0))):
-                        best[text, item] = (near, first)
+                window, found = self.near(size, _simhashes(sums, size)[:starts])
+                window, found = window[inside[window]], found[inside[window]]
+                text = owner[begin + window]
+                spots.append(np.stack((text, item_of[found], begin + window - at_of[found] - words.first[text])))
+        if not spots or not sum(s.shape[1] for s in spots):
+            return best
+        text, item, low = np.unique(np.concatenate(spots, axis=1), axis=1)
+        # so many words may lie before or behind the place that the hit tells
+        pad = np.ceil(self.lengths[item] * (1 / threshold - 1)).astype(np.int64) + 1
+        reach = self.lengths[item] + 2 * pad
+        apart = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (low[1:] - low[:-1] > reach[:-1])
+        heads = np.flatnonzero(np.concatenate(([True], apart)))
+        tails = np.concatenate((heads[1:], [len(low)])) - 1
+        values, held = windows(hashes, words.counts, SHINGLE)
+        base = np.cumsum(held) - held
+        for a, b in zip(heads.tolist(), tails.tolist()):
+            t, i = int(text[a]), int(item[a])
+            first = max(0, int(low[a] - pad[a]))
+            stop = min(int(held[t]), int(low[b] + self.lengths[i] + pad[b]) - SHINGLE + 1)
+            near, at = self.best_window(i, values[base[t] + first : base[t] + stop], threshold)
+            if near > best.get((t, i), (0.0, 0))[0] + 1e-12:
+                best[t, i] = (near, first + at)
         return best
 
 
-def _blocks(benchmark: DataFrame, item_column: str, text_column: str, radius: int) -> Iterator[Items]:
-    """The items in blocks of at most about BLOCK_ITEMS, dealt by hash."""
-    items = benchmark.select(F.col(item_column).alias("item"), F.col(text_column).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    parts = max(1, -(-items.count() // BLOCK_ITEMS))
-    for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).orderBy("item", "text").collect()
-        yield Items([r["item"] for r in rows], [r["text"] for r in rows], radius)
+def _filed(benchmark: DataFrame, item_column: str, text_column: str) -> tuple[str, int, pa.DataType]:
+    """Write the items in blocks, each with the shingles it shares with other items; the folder, the blocks, and the type of the ids."""
+    named = benchmark.select(F.col(item_column).alias("item"), F.col(text_column).cast("string").alias("text"))
+    items = written(named.filter(F.col("text").isNotNull()).withColumn("row", F.monotonically_increasing_id()), "items")
+    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            words = Words(*text_bytes(batch.column("text")), lower=True)
+            own = [np.unique(v) for v in _split(*windows(words.hashes(), words.counts, SHINGLE))]
+            rows = np.repeat(batch.column("row").to_numpy(), [len(v) for v in own])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(own).view(np.int64))], ["row", "shingle"])
+
+    held = items.select("row", "text").mapInArrow(shingled, "row long, shingle long")
+    shared = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    of_item = held.join(shared, "shingle").groupBy("row").agg(F.collect_list(F.struct("shingle", "holders")).alias("shared"))
+    folder = shared_folder(benchmark.sparkSession, "blocks")
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")
+    items.join(of_item, "row", "left").select("item", "text", "shared", block).repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, blocks, named.select("item").limit(0).toArrow().schema.field(0).type
+
+
+@lru_cache(maxsize=1)
+def _block_items(folder: str, number: int, kind: pa.DataType, radius: int) -> Items:
+    """The items of one block; a worker keeps the last block it read."""
+    system, path = opened(folder)
+    files = system.get_file_info(fs.FileSelector(f"{path}/block={number}", allow_not_found=True))
+    names = sorted(f.path for f in files if f.base_name.endswith(".parquet"))
+    parts = [pq.ParquetFile(system.open_input_file(n)).read(["item", "text", "shared"]) for n in names]
+    if not parts:
+        return Items(pa.array([], kind), [], radius, [])
+    rows = pa.concat_tables(parts).combine_chunks()
+    holders = []
+    for shared in rows.column("shared").to_pylist():
+        keys = np.array([s["shingle"] for s in shared or []], np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        holders.append((keys[order], np.array([s["holders"] for s in shared or []], np.int64)[order]))
+    ids = rows.column("item").cast(kind).combine_chunks()
+    return Items(ids, rows.column("text").to_pylist(), radius, holders)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], column: str, blocks: int) -> Iterator[list[pa.RecordBatch]]:
+    """Chunks of texts; several at once if there are several blocks to go through."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in chunks(batches, column):
+        held.append(batch)
+        size += len(text_bytes(batch.column(column))[0])
+        if blocks == 1 or size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def contaminated(
@@ -194,50 +296,52 @@ def contaminated(
 ) -> DataFrame:
     """``(id, item, similarity, first_word)``: the best window of each text and item that reach the threshold.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` in lower case (A-Z); shingles have five of them and count as often as they occur, with
-    weight one over the number of items that hold them. Null and empty texts and items, and items of fewer than five
-    words, match nothing. Rows or items that repeat an id give one row with the best window; of equal windows
-    the first. Null ids are ids. An empty table on either side gives no rows; other columns are not looked at.
+    Words are ``[^\\x20\\x09-\\x0D]+`` in lower case (A-Z); shingles have five of them and count as often as they occur. A
+    shingle of the item weighs one over the number of items of the benchmark that hold it, others weigh one. Windows of
+    every length are compared. Null and empty texts and items, and items of fewer than five words, match nothing. Rows or items
+    that repeat an id give one row with the best window; of equal windows the first. Null ids are ids, of any type. An
+    empty table on either side gives no rows; other columns are not looked at. A very long text is held whole by one task.
     """
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     kind, item_kind = texts.schema["id"].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
-    found = None
-    for items in _blocks(benchmark, item_column, item_text_column, radius):
-
-        def look(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, "text"):
-                best = items.search(batch.column("text"), threshold)
-                rows = sorted(best.items())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").take(pa.array([t for (t, _), _ in rows], pa.int64())),
-                        pa.array([items.ids[i] for (_, i), _ in rows], item_type),
-                        pa.array([s for _, (s, _) in rows], pa.float64()),
-                        pa.array([w for _, (_, w) in rows], pa.int64()),
-                    ],
-                    ["id", "item", "similarity", "first_word"],
-                )
-
-        item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
-        part = texts.mapInArrow(look, f"id {kind}, item {item_kind}, similarity double, first_word long")
-        found = part if found is None else found.unionAll(part)
+    folder, blocks, item_type = _filed(benchmark, item_column, item_text_column)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(batches, "text", blocks):
+            for number in range(blocks):
+                items = _block_items(folder, number, item_type, radius)
+                for batch in held:
+                    rows = sorted(items.search(batch.column("text"), threshold).items())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("id").take(pa.array([t for (t, _), _ in rows], pa.int64())),
+                            items.ids.take(pa.array([i for (_, i), _ in rows], pa.int64())),
+                            pa.array([s for _, (s, _) in rows], pa.float64()),
+                            pa.array([w for _, (_, w) in rows], pa.int64()),
+                        ],
+                        ["id", "item", "similarity", "first_word"],
+                    )
+
+    found = texts.mapInArrow(look, f"id {kind}, item {item_kind}, similarity double, first_word long")
     best = found.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("back"))).alias("b"))
     return best.select(F.col("id").alias(id_column), F.col("item").alias(item_column), "b.similarity", (-F.col("b.back")).alias("first_word"))
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", threshold: float = 0.8, radius: int = RADIUS, **columns: str) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns; nothing is shuffled."""
-    kept = docs
-    for items in _blocks(benchmark, columns.get("item_column", "item_id"), columns.get("item_text_column", "text"), radius):
-
-        def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, text_column):
-                clean = np.ones(batch.num_rows, bool)
-                clean[[t for t, _ in items.search(batch.column(text_column), threshold)]] = False
-                yield batch.filter(pa.array(clean))
-
-        kept = kept.mapInArrow(keep, docs.schema)
-    return kept
+    folder, blocks, item_type = _filed(benchmark, columns.get("item_column", "item_id"), columns.get("item_text_column", "text"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(batches, text_column, blocks):
+            clean = [np.ones(batch.num_rows, bool) for batch in held]
+            for number in range(blocks):
+                items = _block_items(folder, number, item_type, radius)
+                for batch, own in zip(held, clean):
+                    own[[t for t, _ in items.search(batch.column(text_column), threshold)]] = False
+            for batch, own in zip(held, clean):
+                yield batch.filter(pa.array(own))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 @query("op10_benchmark_decontamination")

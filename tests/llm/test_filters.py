@@ -222,6 +222,14 @@ def _similarity_by_hand(item, window):
     return shared / (sum(a.values()) + sum(b.values()) - shared) if b else 0.0
 
 
+def _best_by_hand(item, words):
+    """The best of the windows of every length that can be similar enough."""
+    known = {tuple(item[i : i + 5]) for i in range(len(item) - 4)}
+    starts = [s for s in range(len(words) - 4) if tuple(words[s : s + 5]) in known]  # other edges only lower it
+    reach = range(math.floor(0.8 * (len(item) - 4)) + 4, math.ceil(1.25 * (len(item) - 4)) + 5)
+    return max((_similarity_by_hand(item, words[s : e + 5]) for s in starts for e in starts if e + 5 - s in reach), default=0)
+
+
 def test_passages_are_found(spark):
     rng = random.Random(2)
     items = {i: [f"w{rng.randrange(4000)}" for _ in range(n)] for i, n in enumerate([5, 7, 11, 14, 18, 23, 29, 37, 47, 59, 80, 140])}
@@ -236,7 +244,7 @@ def test_passages_are_found(spark):
         words[at:at] = passage if n % 3 else []
         docs.append((n, " ".join(words).upper() if n % 5 == 0 else " ".join(words)))
         for i, own in items.items():
-            best = max((_similarity_by_hand(own, words[s : s + len(own)]) for s in range(max(1, len(words) - 4))), default=0)
+            best = _best_by_hand(own, words)
             if best >= 0.8:
                 want[n, i] = best
     benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(90, None), (91, ""), (92, "only four words here")], "item_id long, text string")
@@ -248,6 +256,62 @@ def test_passages_are_found(spark):
     assert clean == set(range(150)) - {d for d, _ in want}
 
 
+def test_passages_with_words_put_in_or_left_out_are_found():
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(4000)}"
+    for size in (20, 48, 60, 100, 150):
+        for change in ("put in", "left out", "changed"):
+            found = wanted = 0
+            for _ in range(40):
+                item = [word() for _ in range(size)]
+                passage = list(item)
+                for _ in range(rng.randrange(1, 5)):
+                    at = rng.randrange(len(passage))
+                    passage[at : at + (change != "put in")] = [] if change == "left out" else [word()]
+                text = [word() for _ in range(rng.randrange(50))] + passage + [word() for _ in range(rng.randrange(50))]
+                best = _best_by_hand(item, text)
+                got = decontamination.Items([0], [" ".join(item)]).search(pa.array([" ".join(text)]), 0.8)
+                if best >= 0.8:
+                    wanted += 1
+                    found += (0, 0) in got
+                    assert (0, 0) not in got or got[0, 0][0] == pytest.approx(best)
+                else:
+                    assert not got
+            print(size, change, found, wanted)
+            assert found >= 0.9 * wanted
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(12)]
+    items = [shared + [f"w{rng.randrange(500)}" for _ in range(rng.randrange(8, 40))] for _ in range(12)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").repartition(2)
+    docs = spark.createDataFrame([(i, " ".join(["x"] * 9 + w[1:] + ["y"] * 9)) for i, w in enumerate(items)], "doc_id long, text string")
+    results = []
+    for size in (1, 4, 20_000):
+        monkeypatch.setattr(decontamination, "BLOCK_ITEMS", size)
+        rows = {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"]) for r in decontamination.contaminated(docs, benchmark, threshold=0.3).collect()}
+        results.append(rows)
+        assert decontamination.clean_rows(docs, benchmark).count() == 0
+    assert results[0] == results[1] == results[2] and {(i, i) for i in range(12)} <= set(results[0])
+    own = {tuple(w[k : k + 5]): 0 for w in items for k in range(len(w) - 4)}
+    for w in items:
+        for x in {tuple(w[k : k + 5]) for k in range(len(w) - 4)}:
+            own[x] += 1
+    for i, w in enumerate(items):  # the document lacks the item's first shingle
+        weights = [1 / own[tuple(w[k : k + 5])] for k in range(len(w) - 4)]
+        assert results[0][i, i] == (pytest.approx(sum(weights[1:]) / sum(weights)), 9)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "string", "date", "binary", "double"])
+def test_items_have_ids_of_any_type(spark, edge, kind):
+    one = {"date": "DATE'2024-01-02'", "binary": "X'01'"}.get(kind, f"CAST(1 AS {kind})")
+    benchmark = spark.createDataFrame([(prose(1, 60),)], "text string").selectExpr(f"{one} AS item_id", "text")
+    got = decontamination.contaminated(edge, benchmark)
+    assert got.schema["item_id"].dataType == benchmark.schema["item_id"].dataType
+    assert [r["item_id"] for r in got.collect()] == [benchmark.first()["item_id"]] * 3
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     items = decontamination.Items(list(range(40)), [prose(i, 19) for i in range(40)])
     marks, _, _, _ = items.tables[19]
