@@ -7,10 +7,13 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doclens.files import opened
 from doclens.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +57,15 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def block_rows(folder: str, number: int, columns: list[str]) -> pa.Table | None:
+    """Inside a task: the rows of one block of a table that was written by ``block``; None if it has none."""
+    system, path = opened(folder)
+    files = system.get_file_info(fs.FileSelector(f"{path}/block={number}", allow_not_found=True))
+    names = sorted(f.path for f in files if f.base_name.endswith(".parquet"))
+    parts = [pq.ParquetFile(system.open_input_file(n)).read(columns) for n in names]
+    return pa.concat_tables(parts).combine_chunks() if parts else None
+
+
 # --- membership bitmap -------------------------------------------------------
 BITMAP_BITS = 27  # 2**27 bits: 16 MB, whatever the size of the table
 

@@ -21,13 +21,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.files import opened
-from doclens.llm.base import query, table
+from doclens.llm.base import block_rows, query, table
 from doclens.llm.words import Words, chunks, mix, text_bytes, windows
 from doclens.session import shared_folder, written
 
@@ -254,13 +251,9 @@ def _filed(benchmark: DataFrame, item_column: str, text_column: str) -> tuple[st
 @lru_cache(maxsize=1)
 def _block_items(folder: str, number: int, kind: pa.DataType, radius: int) -> Items:
     """The items of one block; a worker keeps the last block it read."""
-    system, path = opened(folder)
-    files = system.get_file_info(fs.FileSelector(f"{path}/block={number}", allow_not_found=True))
-    names = sorted(f.path for f in files if f.base_name.endswith(".parquet"))
-    parts = [pq.ParquetFile(system.open_input_file(n)).read(["item", "text", "shared"]) for n in names]
-    if not parts:
+    rows = block_rows(folder, number, ["item", "text", "shared"])
+    if rows is None:
         return Items(pa.array([], kind), [], radius, [])
-    rows = pa.concat_tables(parts).combine_chunks()
     holders = []
     for shared in rows.column("shared").to_pylist():
         keys = np.array([s["shingle"] for s in shared or []], np.int64).view(np.uint64)

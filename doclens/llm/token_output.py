@@ -2,13 +2,14 @@
 
 The tokens of all documents, each followed by an end token, form one stream in the order of the files and the rows in
 them; it is cut into sequences of equal length. Tokens are made once and written to the shared folder, with the place
-of every document in its stretch: the rows of one file that a task read one after the other. One sum per
-stretch gives every stretch its start and the number of sequences, however the scan was cut. A keyed Feistel permutation
+of every document in its stretch: the rows of one file that a task read one after the other. Prefix sums over the
+stretches, made by Spark and looked up in the shared folder, give every stretch its start and the number of sequences, however
+the scan was cut and however many files there are. A keyed Feistel permutation
 of the sequence numbers, walked until it lands inside them, gives each sequence its slot: a fixed
 random order that needs no random numbers and no sort of the corpus, and that a reader can invert. Slot ``s`` lies in shard
 ``s // per_shard``, at byte ``(s % per_shard) * stride``, so a reader resumes anywhere with one seek.
 
-Texts are never shuffled, tokens are made once and shuffled once.
+Texts are never shuffled; tokens are made once and shuffled once, each piece compressed.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclens.llm.base import query, table, tasks
-from doclens.llm.files import Whole, make_folder, opened
+from doclens.files import Whole, make_folder, opened
+from doclens.llm.base import block_rows, query, table, tasks, with_starts
 from doclens.llm.tokenizers import byte_model, vocabulary
 from doclens.llm.words import chunks
 from doclens.session import DEFAULT_SEED, shared_folder, written
 
 _U = np.uint64
 ROUNDS = 6
-MAX_STRETCHES = 100_000  # a scan has one for each task and file; more are put in order by a shuffle
+BLOCK_STRETCHES = 10_000  # stretches whose starts a task holds at once
 
 
 def _round(values: np.ndarray, key: int, number: int) -> np.ndarray:
@@ -111,21 +113,39 @@ def _placed(rows: DataFrame, purpose: str) -> DataFrame:
 
     schema = T.StructType([*rows.schema.fields, T.StructField("stretch", T.LongType()), T.StructField("start", T.LongType())])
     path = shared_folder(rows.sparkSession, purpose)
-    rows.mapInArrow(place, schema).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(place, schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 6).parquet(path)
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 
-def _begins(placed: DataFrame) -> tuple[dict, int] | None:
-    """The start of every stretch in the whole stream, and the stream's tokens; None where stretches overlap or are many."""
-    held = placed.groupBy("file", "stretch").agg(F.max("row"), F.sum(F.octet_length("tokens") / 2).cast("long"), F.sum(F.expr("int(start = 0)")))
-    rows = sorted(tuple(r) for r in held.limit(MAX_STRETCHES + 1).collect())
-    if len(rows) > MAX_STRETCHES or any(r[4] > 1 for r in rows) or any(a[0] == b[0] and b[1] <= a[2] for a, b in zip(rows, rows[1:])):
-        return None
-    begins, total = {}, 0
-    for file, stretch, _, tokens, _ in rows:
-        begins[file, stretch] = total
-        total += tokens
-    return begins, total
+def _stretches(placed: DataFrame) -> DataFrame:
+    """``(file, stretch, rows, last, heads, tokens)``, one row per stretch."""
+    held = placed.groupBy("file", "stretch").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("row").alias("last"), F.sum(F.expr("int(start = 0)")).alias("heads"),
+        F.sum(F.octet_length("tokens") / 2).cast("long").alias("tokens"),
+    )
+    return written(held, "stretches")
+
+
+def _block_of(file: str, stretch: int, blocks: int) -> int:
+    return zlib.crc32(f"{file}|{stretch}".encode()) % blocks
+
+
+def _begins(stretches: DataFrame) -> tuple[str, int, int]:
+    """Write the start of every stretch in the whole stream, in blocks; their folder and number, and the stream's tokens."""
+    sums = stretches.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")).first()
+    blocks = max(1, -(-sums["n"] // BLOCK_STRETCHES))
+    begins = with_starts(stretches.select("file", "stretch", "tokens"), ["file", "stretch"], "tokens", None, "starts")
+    folder = shared_folder(stretches.sparkSession, "begins")
+    block = (F.crc32(F.concat_ws("|", "file", "stretch")) % blocks).cast("int").alias("block")
+    begins.select("file", "stretch", F.col("start").alias("begin"), block).repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, blocks, sums["tokens"] or 0
+
+
+@lru_cache(maxsize=4)
+def _begins_of(folder: str, number: int) -> dict[tuple[str, int], int]:
+    """One block of starts; a worker keeps the last few it read."""
+    rows = block_rows(folder, number, ["file", "stretch", "begin"])
+    return {} if rows is None else {(f, s): b for f, s, b in zip(*(rows.column(c).to_pylist() for c in rows.column_names))}
 
 
 def write_training_order(
@@ -147,7 +167,8 @@ def write_training_order(
     little-endian 16-bit numbers, a sequence is ``length`` of them; the last sequence of the stream is filled up with
     end tokens. Every document ends with one end token, which counts as its own. Sequence ``n`` of the stream has slot
     ``Permutation(number of sequences, key).slots(n)``. The order follows the files by name and the rows in them, however
-    tasks share them out; input that isn't read from files is taken in the order of its partitions.
+    tasks share them out; input that isn't read from files is taken in the order of its partitions. Rows that were filtered,
+    dealt out or doubled after the scan cost one more shuffle of their tokens.
 
     Null and empty texts are an end token alone; null ids and rows that repeat an id or a text are rows like any other.
     An empty table writes nothing. Other columns are not looked at. A text is held whole by one task.
@@ -166,23 +187,24 @@ def write_training_order(
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "row", "id")), pa.array(own, pa.binary())], ["file", "row", "id", "tokens"])
 
     placed = _placed(scan.mapInArrow(encode, f"file string, row long, id {kind}, tokens binary"), "tokens")
-    found = _begins(placed)
-    if found is None:  # the rows of a file were dealt out before: its tokens are put in order
+    stretches = _stretches(placed)
+    # rows of a stretch that follow each other without a gap lie in no other stretch
+    if not stretches.filter("heads > 1 OR rows != last - stretch + 1").isEmpty():
+        # rows were dealt out, left out or doubled after the scan: the tokens are put in order
         dealt = placed.drop("stretch", "start").repartitionByRange(parts, "file", "row").sortWithinPartitions("file", "row", "id", "tokens")
         placed = _placed(dealt, "tokens")
-        found = _begins(placed)
-        if found is None:
-            raise ValueError("the order of the rows in their files can't be told")
-    begins, total = found
+        stretches = _stretches(placed)
+    starts, blocks, total = _begins(stretches)
     order = Permutation(max(1, -(-total // length)), key)
     n_shards = -(-order.size // per_shard)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
             owners, numbers, positions, firsts, counts, parts_ = [], [], [], [], [], []
             columns = (batch.column(c).to_pylist() for c in ("file", "stretch", "start", "tokens"))
             for i, (file, stretch, start, own) in enumerate(zip(*columns)):
-                at = begins[file, stretch] + start
+                at = _begins_of(starts, _block_of(file, stretch, blocks))[file, stretch] + start
                 stop = at + len(own) // 2
                 edges = [at, *range((at // length + 1) * length, stop, length), stop]
                 for a, b in zip(edges[:-1], edges[1:]):
@@ -191,7 +213,7 @@ def write_training_order(
                     positions.append(a % length)
                     firsts.append(a - at)
                     counts.append(b - a)
-                    parts_.append(own[2 * (a - at) : 2 * (b - at)])
+                    parts_.append(codec.compress(own[2 * (a - at) : 2 * (b - at)], asbytes=True))
             slots = order.slots(np.array(numbers, np.int64))
             part = slots // per_shard * parts // n_shards  # whole shards, equally many for each task
             yield pa.RecordBatch.from_arrays(
@@ -204,13 +226,15 @@ def write_training_order(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, name, shard, last = None, "", -1, -1
+        codec = pa.Codec("zstd")
 
         def fill(missing: int) -> None:
             file.write(struct.pack("<H", end_token) * (missing // 2))
 
         for batch in batches:
             names = []
-            for slot, position, tokens in zip(batch.column("slot").to_pylist(), batch.column("position").to_pylist(), batch.column("tokens")):
+            columns = (batch.column(c).to_pylist() for c in ("slot", "position", "n_tokens", "tokens"))
+            for slot, position, n, tokens in zip(*columns):
                 if slot != last:
                     last = slot
                     if file is not None:
@@ -223,7 +247,7 @@ def write_training_order(
                         file = Whole(folder, name)
                 if (slot % per_shard) * stride + 2 * position != file.size:
                     raise ValueError("a piece is missing or there twice")
-                file.write(tokens.as_buffer().to_pybytes())
+                file.write(codec.decompress(tokens, 2 * n, asbytes=True))
                 names.append(name)
             kept = batch.select(["id", "slot", "position", "first_token", "n_tokens"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string())], [*kept.schema.names, "file"])

@@ -109,6 +109,27 @@ def test_slots_are_the_permutation_of_the_stream_however_it_is_read(spark, sf, t
         assert (read[slots] == stream).all()
 
 
+def test_starts_of_many_files_are_looked_up_in_blocks(spark, sf, tmp_path, monkeypatch):
+    spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60").repartition(9).write.parquet(str(tmp_path / "d"))
+    scan = spark.read.parquet(str(tmp_path / "d"))
+    model = byte_model(vocabulary(BYTE))
+    for docs in (scan, scan.filter("doc_id % 3 > 0"), scan.unionAll(scan).repartition(3), scan.selectExpr("*", "explode(array(1, 2)) AS copy")):
+        rows = docs.select("doc_id", "text").collect()
+        want = sorted(tuple(model.encode_ordinary(r["text"] or "")) + (50256,) for r in rows)
+        results = []
+        for size in (2, 10_000):
+            monkeypatch.setattr(token_output, "BLOCK_STRETCHES", size)
+            folder = shared_folder(spark, "test-many")
+            got = token_output.write_training_order(docs, folder, length=64, per_shard=40).collect()
+            shards = sorted({(r["first_slot"], r["file"]) for r in got})
+            n = 1 + max(r["slot"] for r in got)
+            read = np.array(list(token_output.read_sequences(folder, shards, 0, n, 64)))
+            stream = read[token_output.Permutation(n, 42).slots(np.arange(n))].ravel()
+            ends = np.flatnonzero(stream == 50256)[: len(rows)] + 1
+            results.append([tuple(x.tolist()) for x in np.split(stream, ends)[:-1]])
+        assert sorted(results[0]) == want and results[0] == results[1]
+
+
 def test_shards(spark, edge):
     rows = shard_rows(edge, balanced_tree(8), balanced_tree(9)).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in edge.collect()}
