@@ -39,6 +39,8 @@ from doclens.session import DEFAULT_SEED, shared_folder, written
 _U = np.uint64
 ROUNDS = 6
 BLOCK_STRETCHES = 10_000  # stretches whose starts a task holds at once
+# tokens are packed over pages so large that copies of texts meet in one
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 
 
 def _round(values: np.ndarray, key: int, number: int) -> np.ndarray:
@@ -113,7 +115,7 @@ def _placed(rows: DataFrame, purpose: str) -> DataFrame:
 
     schema = T.StructType([*rows.schema.fields, T.StructField("stretch", T.LongType()), T.StructField("start", T.LongType())])
     path = shared_folder(rows.sparkSession, purpose)
-    rows.mapInArrow(place, schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 6).parquet(path)
+    rows.mapInArrow(place, schema).write.options(**PACKED).parquet(path)
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 
