@@ -5,9 +5,10 @@ classes, so the risk of the negatives is what they have beyond the class prior's
 ``prior * R(P, +) + max(0, R(U, -) - prior * R(P, -))``. Where the second part falls below zero,
 its gradient is climbed instead of descended, which stops the classifier from learning the positives by heart.
 
-Features are hashed words and their first letters. Spark counts in how many texts of the training sample each
-occurs and keeps the most telling ones, so only their few places per text reach the driver. Scoring is
-one narrow pass over whole texts.
+Features are hashed words and their first letters. Spark counts in how many of all texts, and in how many of all toxic
+ones, each occurs and keeps the most telling ones, so only their few places per text of the training sample reach the
+driver. The cut between the classes is placed on a histogram of the scores of all reviewed texts. Scoring is one narrow
+pass over whole texts.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.base import query, table
+from doclens.llm.base import bitmap, query, table
 from doclens.llm.words import PUNCTUATION, Words, chunks, mix, text_bytes
 from doclens.session import DEFAULT_SEED, written
 
 FEATURE_BITS = 20
 PREFIXES = (4, 5, 6)  # bytes
-MAX_POSITIVE = 20_000  # rows of the training sample; everything else covers all rows
+MAX_POSITIVE = 20_000  # rows of the sample that the gradient steps see; everything else covers all rows
 MAX_UNLABELLED = 20_000
+CUT_STEP = 0.01  # width of the bins of scores, in logits
 MAX_FEATURES = 1000
 LEAST_G = 20.0  # G statistic that a feature needs: chance alone gives one in a hundred thousand
 
@@ -96,6 +98,26 @@ class _Rows:
         return (np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)), sizes
 
 
+def risk_slope(theta: np.ndarray, positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float) -> np.ndarray:
+    """Gradient of the non-negative risk; where the part of the negatives is below zero, the way that raises it.
+
+    Rows are ``(places, places per row)``; the last entry of ``theta`` is the bias.
+    """
+    (pc, pn), (uc, un) = positive, unlabelled
+    p_own, u_own = np.repeat(np.arange(len(pn)), pn), np.repeat(np.arange(len(un)), un)
+    p = _sigmoid(np.bincount(p_own, theta[pc], len(pn)) + theta[-1])
+    u = _sigmoid(np.bincount(u_own, theta[uc], len(un)) + theta[-1])
+    as_negative = -np.log(1 - u + 1e-9).mean() + prior * np.log(1 - p + 1e-9).mean()
+    p_slope, u_slope = -prior * p / len(p), u / len(u)
+    if as_negative >= 0:
+        p_slope = p_slope + prior * (p - 1) / len(p)
+    else:
+        p_slope, u_slope = -p_slope, -u_slope
+    slope = np.bincount(pc, p_slope[p_own], len(theta)) + np.bincount(uc, u_slope[u_own], len(theta))
+    slope[-1] = p_slope.sum() + u_slope.sum()
+    return slope
+
+
 def fit_nnpu(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features: int, prior: float,
     epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, batches: int = 5, seed: int = DEFAULT_SEED,
@@ -112,35 +134,20 @@ def fit_nnpu(
     for _ in range(epochs):
         p_order, u_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
         for k in range(batches):
-            (pc, pn), (uc, un) = p_rows.take(p_order[k::batches]), u_rows.take(u_order[k::batches])
-            p_own, u_own = np.repeat(np.arange(len(pn)), pn), np.repeat(np.arange(len(un)), un)
-            p = _sigmoid(np.bincount(p_own, theta[pc], len(pn)) + theta[-1])
-            u = _sigmoid(np.bincount(u_own, theta[uc], len(un)) + theta[-1])
-            as_negative = -np.log(1 - u + 1e-9).mean() + prior * np.log(1 - p + 1e-9).mean()
-            p_slope, u_slope = -prior * p / len(p), u / len(u)
-            if as_negative >= 0:
-                p_slope = p_slope + prior * (p - 1) / len(p)
-            else:
-                p_slope, u_slope = -p_slope, -u_slope
-            slope = np.bincount(pc, p_slope[p_own], n_features + 1) + np.bincount(uc, u_slope[u_own], n_features + 1)
+            slope = risk_slope(theta, p_rows.take(p_order[k::batches]), u_rows.take(u_order[k::batches]), prior)
             slope[:-1] += decay * theta[:-1]
-            slope[-1] = p_slope.sum() + u_slope.sum()
             step += 1
             first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
             theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 
-def _threshold(toxic: np.ndarray, clean: np.ndarray, toxic_weight: float, clean_weight: float) -> float:
-    """The cut with the fewest weighted errors on reviewed training rows: the middle of the widest such stretch of scores."""
-    z = np.concatenate((toxic, clean))
-    order = np.argsort(z, kind="stable")
-    # cutting above the i lowest rows misses the toxic ones among them and takes the clean ones above them
-    change = np.where(order < len(toxic), toxic_weight, -clean_weight)
-    errors = clean_weight * len(clean) + np.concatenate(([0.0], np.cumsum(change)))
-    z = z[order]
+def _threshold(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The cut with the fewest errors among scores ``z``, which rise and have so many rows each: the middle of the widest such stretch."""
+    # cutting above the i lowest scores misses the toxic rows among them and takes the clean ones above them
+    errors = clean.sum() + np.concatenate(([0], np.cumsum(toxic - clean)))
     edges = np.concatenate(([z[0] - 1.0], z, [z[-1] + 1.0]))
-    width = np.where(errors <= errors.min() + 1e-9, edges[1:] - edges[:-1], -1.0)
+    width = np.where(errors == errors.min(), edges[1:] - edges[:-1], -1.0)
     at = int(np.argmax(width))
     return float((edges[at] + edges[at + 1]) / 2)
 
@@ -150,6 +157,33 @@ def fold(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % 5
 
 
+def frequencies(texts: DataFrame) -> DataFrame:
+    """``(place, n)``: in how many texts each feature occurs, added up in the tasks first; place -1 has the number of texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = np.zeros(1 << FEATURE_BITS, np.int64), 0
+        for batch in chunks(batches, "text"):
+            rows += batch.num_rows
+            held += np.bincount(_distinct(batch.column("text"))[1], minlength=len(held))
+        places = np.flatnonzero(held)
+        places, n = np.append(places, -1), np.append(held[places], rows)
+        for at in range(0, len(places), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(places[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["place", "n"])
+
+    return texts.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+
+
+def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id may be among ``ids``, and all of those that are: what a join needn't shuffle goes."""
+    wanted = bitmap(ids.select(F.xxhash64("id").alias("key")), "key")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.has(batch.column("key").to_numpy()))).select(["id", "text"])
+
+    return texts.withColumn("key", F.xxhash64("id")).mapInArrow(keep, texts.schema)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -163,25 +197,26 @@ def fit(
 ) -> Model:
     """Train on at most ``max_positive`` toxic and ``max_unlabelled`` other texts outside the held-out fold, first in hash order.
 
-    The class prior is the toxic share of the labelled rows outside that fold. Reviewed texts without toxicity, as many
-    at most as unlabelled ones, place the cut between the classes but teach the weights nothing. A text with several labels is toxic
-    if one says so; null labels and labels without a text teach nothing. Without toxic rows every text gets the prior.
+    The class prior is the toxic share of the labelled rows outside that fold. Features are chosen by their counts over all texts
+    and all toxic texts outside it. Reviewed texts, all of them, place the cut between the classes; those without toxicity teach the
+    weights nothing. A text with several labels is toxic if one says so; null labels and labels without a text
+    teach nothing. Without toxic rows every text gets the prior. A very long text is held whole by one task.
     """
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")))
+    kind = docs.schema[id_column].dataType.simpleString()
     known = (
-        labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("y"))
+        labels.select(F.col(id_column).cast(kind).alias("id"), F.col(label_column).cast("int").alias("y"))
         .filter(F.col("y").isNotNull() & F.col("id").isNotNull() & (fold(F.col("id")) != 0))
         .groupBy("id").agg(F.max("y").alias("y"))
     )
     counts = known.agg(F.count(F.when(F.col("y") == 1, 1)).alias("p"), F.count(F.lit(1)).alias("n")).first()
     prior = min(0.5, max(0.001, counts["p"] / counts["n"])) if counts["n"] else 0.001
-    ids = docs.select(F.col(id_column).alias("id")).filter(F.col("id").isNotNull() & (fold(F.col("id")) != 0))
-    toxic = known.filter("y = 1").select("id", h.alias("h")).orderBy("h").limit(max_positive)
-    others = ids.select("id", h.alias("h")).orderBy("h").limit(max_unlabelled)
-    reviewed = known.filter("y = 0").select("id", h.alias("h")).orderBy("h").limit(max_unlabelled)
-    # at most max_positive + 2 * max_unlabelled ids
-    samples = [s.select("id", F.lit(k).alias("kind")) for s, k in ((toxic, 1), (others, 0), (reviewed, 2))]
-    chosen = written(samples[0].unionAll(samples[1]).unionAll(samples[2]), "sample")
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    texts = texts.filter(F.col("id").isNotNull() & (fold(F.col("id")) != 0))
+    toxic = known.filter("y = 1").select("id")
+    # at most max_positive + max_unlabelled ids
+    first = lambda ids, n, k: ids.select("id", h.alias("h")).orderBy("h").limit(n).select("id", F.lit(k).alias("kind"))
+    chosen = written(first(toxic, max_positive, 1).unionAll(first(texts, max_unlabelled, 0)), "sample")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -190,22 +225,20 @@ def fit(
             lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(place, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("kind"), lists], ["id", "kind", "places"])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     sample = written(
         texts.join(F.broadcast(chosen), "id").select("id", "kind", "text").mapInArrow(places, f"id {kind}, kind int, places array<int>"), "features"
     )
-    sizes = sample.agg(F.count(F.when(F.col("kind") == 1, 1)).alias("p"), F.count(F.when(F.col("kind") == 0, 1)).alias("u")).first()
-    n_p, n_u = sizes["p"], sizes["u"]
-    if not n_p or not n_u:
+    of_toxic = frequencies(_among(texts, toxic).join(toxic, "id")).withColumnRenamed("n", "p")
+    counted = written(frequencies(texts).withColumnRenamed("n", "u").join(of_toxic, "place"), "frequencies")
+    sizes = counted.filter("place = -1").first()
+    n_p, n_u = (sizes["p"], sizes["u"]) if sizes else (0, 0)
+    if not n_p:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     least = max(1, min(5, n_p // 3))
     a, b = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1)
     telling = a * F.log(a / b) + (1 - a) * F.log((1 - a) / (1 - b))
     best = (
-        sample.select("kind", F.explode("places").alias("place"))
-        .groupBy("place").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("p"), F.count(F.when(F.col("kind") == 0, 1)).alias("u"))
-        .filter((F.col("p") >= least) & (telling * (2 * n_p) >= LEAST_G))
+        counted.filter((F.col("place") >= 0) & (F.col("p") >= least) & (telling * (2 * n_p) >= LEAST_G))
         .orderBy(telling.desc(), "place").limit(max_features).select("place").toArrow()
     )
     features = np.sort(best.column("place").to_numpy().astype(np.int64))
@@ -228,18 +261,27 @@ def fit(
     kinds = rows.column("kind").to_numpy()
     positive, unlabelled = [lists[i] for i in np.flatnonzero(kinds == 1)], [lists[i] for i in np.flatnonzero(kinds == 0)]
     weights, bias = fit_nnpu(positive, unlabelled, len(features), prior, seed=seed)
-    seen = [np.array([weights[lists[i]].sum() for i in np.flatnonzero(kinds == k)]) for k in (1, 2)]
-    if not len(seen[1]):
+    model = Model(features, weights, 0.0)
+    among = model.table()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.clip(model.logits(batch.column("text"), among), -30, 30))], ["id", "z"])
+
+    judged = _among(texts, known).mapInArrow(judge, f"id {kind}, z double").join(known, "id")
+    bins = judged.groupBy(F.floor(F.col("z") / CUT_STEP).alias("bin")).agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+    cells = bins.orderBy("bin").toArrow()  # as many as the logits' range has bins
+    z, toxic_rows, clean_rows = (cells.column(c).to_numpy() for c in ("bin", "toxic", "clean"))
+    if not clean_rows.sum():
         return Model(features, weights, bias)
-    cut = _threshold(*seen, counts["p"] / len(seen[0]), (counts["n"] - counts["p"]) / len(seen[1]))
-    return Model(features, weights, -cut)
+    return Model(features, weights, -_threshold((z + 0.5) * CUT_STEP, toxic_rows, clean_rows))
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, held_out, score, predicted)`` per row: whole texts, nothing but the text enters the score.
 
     Null and empty texts have the score of a text without any telling word. Equal texts score equal; an empty
-    table gives no rows; other columns are not looked at.
+    table gives no rows; other columns are not looked at. A very long text is held whole by one task.
     """
     among = model.table()
 

@@ -151,6 +151,59 @@ def test_risk_never_learns_positives_by_heart():
     assert np.isfinite(weights).all() and abs(weights).max() < 20
 
 
+def test_slope_is_the_numeric_gradient():
+    rng = np.random.default_rng(3)
+
+    def sides(theta, rows):
+        z = np.array([theta[r].sum() + theta[-1] for r in rows])
+        return np.log1p(np.exp(-z)).mean(), np.log1p(np.exp(z)).mean()  # as positives, as negatives
+
+    def part(theta, p, u, prior):
+        return sides(theta, u)[1] - prior * sides(theta, p)[1]
+
+    signs = set()
+    for trial in range(20):
+        odd = trial % 2  # unlabelled rows lie far below the positive ones
+        p, u = ([np.unique(rng.integers(low, 12 - 6 * odd + low, 5)) for _ in range(n)] for n, low in ((6, 0), (11, 6 * odd)))
+        theta, prior = rng.normal(0, 1, 13), rng.uniform(0.2, 0.9)
+        theta[6:12] -= 4 * odd
+        below = part(theta, p, u, prior) < 0
+        signs.add(below)
+        risk = (lambda t: -part(t, p, u, prior)) if below else (lambda t: part(t, p, u, prior) + prior * sides(t, p)[0])
+        want = [(risk(theta + e) - risk(theta - e)) / 2e-6 for e in np.eye(13) * 1e-6]
+        packed = [(np.concatenate(r), np.array([len(x) for x in r])) for r in (p, u)]
+        assert toxicity.risk_slope(theta, *packed, prior) == pytest.approx(want, abs=1e-6)
+    assert {bool(x) for x in signs} == {True, False}
+
+
+def test_counts_cut_and_scores_equal_a_plain_loop(spark):
+    rows = [(i, _toxic(i) if i % 8 == 0 else prose(i, 60) if i % 5 else None) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(0, 700, 2)], "doc_id int, toxic int")
+    own = {i: set(toxicity._distinct(pa.array([t], pa.string()))[1].tolist()) for i, t in rows}
+    counts = Counter(x for places in own.values() for x in places)
+    assert {r["place"]: r["n"] for r in toxicity.frequencies(docs).collect()} == {**counts, -1: 700}
+
+    taught = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    model = toxicity.fit(docs, labels, max_unlabelled=100)
+    toxic = [i for i in taught if i % 8 == 0]
+    p, u = (Counter(x for i in ids for x in own[i]) for ids in (toxic, taught))
+
+    def telling(x):
+        a, b = (p[x] + 0.5) / (len(toxic) + 1), (u[x] + 0.5) / (len(taught) + 1)
+        return a * math.log(a / b) + (1 - a) * math.log((1 - a) / (1 - b))
+
+    good = [x for x in p if p[x] >= 5 and 2 * len(toxic) * telling(x) >= toxicity.LEAST_G]
+    assert model.features.tolist() == sorted(sorted(good, key=lambda x: (-telling(x), x))[: toxicity.MAX_FEATURES])
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    logit = {i: sum(weight.get(x, 0.0) for x in own[i]) for i in own}
+    for r in toxicity.score(docs, model).collect():
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, logit[r["doc_id"]] + model.bias)))))
+    reviewed = [(logit[i], i % 8 == 0) for i in taught if i % 2 == 0]
+    wrong = lambda cut: sum((z >= cut) != y for z, y in reviewed)
+    assert wrong(-model.bias) == min(wrong(z + d) for z, _ in reviewed for d in (-1e-3, 1e-3))
+
+
 # --- quality ------------------------------------------------------------------
 def _rules_by_hand(text):
     words = WORD.findall(text or "")
