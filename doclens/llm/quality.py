@@ -39,7 +39,6 @@ SPREADS = 6
 LEAST = {"chars": 0.2, "share": 0.09, "level": 0.15}  # chars: in natural logarithms
 STEPS = {"chars": 0.01, "share": 0.002, "level": 0.004}  # widths of the histograms' bins
 MIN_DOCS = 50  # languages, scripts and lengths with fewer documents have no figures of their own
-MAX_LANGS = 200  # the most frequent ones have their own figures
 EXTRA_TOKENS = 48  # a key or some numbers in a short text of prose may add so many tokens
 REPEAT_TOKENS = 16  # tokens that a repeated phrase may take from the variety of a short text
 
@@ -116,7 +115,14 @@ _MEASURED = [
     ("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"),
     ("base_failed", "boolean"), ("n_tokens", "long"), ("chars_per_token", "double"), ("byte_share", "double"), ("token_entropy", "double"),
 ]
-_OWN = "_quality_"  # prefix of columns of figures beside columns of the caller
+
+
+def _prefix(columns: list[str]) -> str:
+    """Of columns of figures beside columns of the caller: none of those begins with it."""
+    own = "_quality_"
+    while any(c.lower().startswith(own) for c in columns):
+        own = "_" + own
+    return own
 
 
 def _with(schema: T.StructType, made: list[tuple[str, str]]) -> T.StructType:
@@ -151,12 +157,12 @@ def derived_bands(measured: DataFrame, prefix: str = "") -> dict:
 
     Keys are ``(group, figure)`` or ``(group, figure, octave of tokens)``; a group is ``("lang", code)`` or ``("script", name)``.
     Characters per token hardly depend on length and spread with one over the root of the tokens; entropy and byte share have
-    figures per octave. ``("script", name)`` alone lists the groups that texts of rare and unknown languages may fit. Counted on histograms: what reaches the driver doesn't grow with the rows.
+    figures per octave. ``("script", name)`` alone lists the groups that texts of rare and unknown languages may fit. Counted on histograms: what reaches the driver grows with the languages of MIN_DOCS documents, not with the rows.
     """
     col = lambda n: F.col(prefix + n)
     rows = measured.filter(~col("base_failed") & (col("n_tokens") >= MIN_TOKENS))
     known = rows.filter(col("lang").isNotNull()).groupBy(col("lang").alias("lang")).count().filter(F.col("count") >= MIN_DOCS)
-    langs = [r["lang"] for r in known.orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    langs = [r["lang"] for r in known.orderBy(F.desc("count"), "lang").collect()]
     bins = F.array(*(
         F.struct(F.lit(name).alias("figure"), F.floor(value / STEPS[name]).alias("bin"))
         for name, value in (("chars", F.log(col("chars_per_token"))), ("share", col("byte_share")), ("level", col("token_entropy")))
@@ -246,32 +252,32 @@ def quality_rules(
     Null and empty texts have 0 everywhere and fail the base rules. A null, rare or unknown language has to fit
     one of its script's; a script of under MIN_DOCS documents has its fixed band only. Texts of under 32 tokens have no
     entropy rule and no derived band. Equal rows get equal verdicts. An empty table gives no rows. Columns with
-    the names of the results are replaced. The figures are written to the shared folder, without the texts.
+    the names of the results are replaced. A very long text is held whole by one task. The figures are written to the shared folder, without the texts.
     """
     path = path or vocabulary(tokenizer)
-    limits, fixed = BANDS | (bands or {}), bands or {}
+    limits, fixed, mark = BANDS | (bands or {}), bands or {}, _prefix(docs.columns)
     names = [n for n, _ in _MEASURED]
     others = [c for c in docs.columns if c != text_column and c not in names and c != "kept"]
-    carried = [(_OWN + n, "string" if n == "lang" else "boolean") for n in ("lang", "latin")]
+    carried = [(mark + n, "string" if n == "lang" else "boolean") for n in ("lang", "latin")]
     has_lang = lang_column is not None and lang_column in others
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_column):
             values = _measures(batch.column(text_column), path)
-            own = [*(batch.column(c) for c in others), *(pa.array(values[n]) for n in names), batch.column(_OWN + "lang"), pa.array(values["latin"])]
+            own = [*(batch.column(c) for c in others), *(pa.array(values[n]) for n in names), batch.column(mark + "lang"), pa.array(values["latin"])]
             yield pa.RecordBatch.from_arrays(own, [*others, *names, *(n for n, _ in carried)])
 
     schema = _with(docs.select(*others).schema, _MEASURED + carried)
     lang = F.col(lang_column).cast("string") if has_lang else F.lit(None).cast("string")
     measured = written(
-        docs.select(*others, F.col(text_column).cast("string").alias(text_column), lang.alias(_OWN + "lang")).mapInArrow(measure, schema), "quality"
+        docs.select(*others, F.col(text_column).cast("string").alias(text_column), lang.alias(mark + "lang")).mapInArrow(measure, schema), "quality"
     )
-    found = derived_bands(measured.select(*(F.col(n).alias(_OWN + n) for n in names), *(n for n, _ in carried)), _OWN)
+    found = derived_bands(measured.select(*(F.col(n).alias(mark + n) for n in names), *(n for n, _ in carried)), mark)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.RecordBatch.from_arrays([batch.column(c) for c in [*names, *(n for n, _ in carried)]], [*(_OWN + n for n in names), *(n for n, _ in carried)])
-            kept = pa.array(_inside(own, _OWN, limits, fixed, found))
+            own = pa.RecordBatch.from_arrays([batch.column(c) for c in [*names, *(n for n, _ in carried)]], [*(mark + n for n in names), *(n for n, _ in carried)])
+            kept = pa.array(_inside(own, mark, limits, fixed, found))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*others, *names]), kept], [*others, *names, "kept"])
 
     return measured.mapInArrow(judge, _with(docs.select(*others).schema, [*_MEASURED, ("kept", "boolean")]))
@@ -283,7 +289,7 @@ def keep_good(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", text_colu
     The rows that pass the base rules are written to the shared folder once, so that no text is tokenised twice.
     """
     path = path or vocabulary(tokenizer)
-    limits, fixed = BANDS | (bands or {}), bands or {}
+    limits, fixed, mark = BANDS | (bands or {}), bands or {}, _prefix(docs.columns)
     names = ["base_failed", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "latin"]
     kinds = dict(_MEASURED) | {"latin": "boolean"}
     docs_columns, schema = docs.columns, docs.schema
@@ -292,19 +298,19 @@ def keep_good(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", text_colu
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_column):
             values = _measures(batch.column(text_column), path)
-            whole = pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(values[n]) for n in names)], [*batch.schema.names, *(_OWN + n for n in names)])
+            whole = pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(values[n]) for n in names)], [*batch.schema.names, *(mark + n for n in names)])
             yield whole.filter(pa.array(~values["base_failed"]))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_inside(batch, _OWN, limits, fixed, found))).select(docs_columns)
+            yield batch.filter(pa.array(_inside(batch, mark, limits, fixed, found))).select(docs_columns)
 
-    with_lang = docs.withColumn(_OWN + "lang", lang)
-    figures = with_lang.mapInArrow(measure, _with(with_lang.schema, [(_OWN + n, kinds[n]) for n in names]))
+    with_lang = docs.withColumn(mark + "lang", lang)
+    figures = with_lang.mapInArrow(measure, _with(with_lang.schema, [(mark + n, kinds[n]) for n in names]))
     folder = shared_folder(docs.sparkSession, "quality")  # whole texts: packed more tightly than tables of numbers
     figures.write.option("compression", "zstd").parquet(folder)
     measured = docs.sparkSession.read.schema(figures.schema).parquet(folder)
-    found = derived_bands(measured.select(*(_OWN + n for n in [*names, "lang"])), _OWN)
+    found = derived_bands(measured.select(*(mark + n for n in [*names, "lang"])), mark)
     return measured.mapInArrow(keep, schema)
 
 
