@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from doclens import lexicon as lx
 from doclens.catalog.base import derived, fold, query, quoted, table, with_views
 from doclens.functions import text as tx
-from doclens.operators import tokens
+from doclens.operators import sentences, tokens
 
 
 def sql_replace(expression: str, pattern: str, replacement: str) -> str:
@@ -131,6 +131,44 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.sentence_lines("text").alias("lines"))
 
 
+_TOKEN = quoted(f"^{sentences.OPENING}({sentences.WORD})(\\.?){sentences.CLOSING}$")
+_LETTERS = "CAST(length(replace(word, '.', '')) AS DOUBLE)"
+_ABBREVIATIONS = f"""
+tokens AS (SELECT unnest(regexp_extract_all(lower(resume_text), '\\S+')) AS token FROM resumes),
+counted AS (SELECT regexp_extract(token, {_TOKEN}, 1) AS word,
+                   CAST(sum(CASE WHEN regexp_extract(token, {_TOKEN}, 2) = '.' THEN 1 ELSE 0 END) AS BIGINT) AS with_stop,
+                   CAST(sum(CASE WHEN regexp_extract(token, {_TOKEN}, 2) = '.' THEN 0 ELSE 1 END) AS BIGINT) AS without_stop
+            FROM tokens WHERE regexp_matches(token, {_TOKEN}) GROUP BY 1),
+total AS (SELECT sum(with_stop) / sum(with_stop + without_stop) AS share FROM counted),
+scored AS (SELECT word, with_stop, without_stop,
+    -2 * (with_stop * ln(share / {sentences.CLINGS}) + without_stop * ln((1 - share) / (1 - {sentences.CLINGS})))
+    * exp(-{_LETTERS}) * (length(word) - {_LETTERS} + 1) * pow({_LETTERS}, -without_stop) AS score FROM counted, total WHERE with_stop > 0),
+known AS (SELECT * FROM scored WHERE score >= {sentences.THRESHOLD})"""
+_LAST_WORD = f"lower(regexp_extract(p, {quoted(sentences.LAST_WORD)}, 1))"
+_LEARNED_LINES = f"""
+WITH {_ABBREVIATIONS},
+listed AS (SELECT coalesce(list(word), []) AS words FROM known),
+broken AS (SELECT resume_id, array_to_string(list_transform(regexp_extract_all(coalesce(resume_text, ''), {quoted(sentences.PIECE)}),
+             lambda p: p || CASE WHEN list_contains(words, {_LAST_WORD}) THEN '' ELSE chr(10) END), '') AS joined FROM resumes, listed)
+SELECT resume_id, array_to_string(list_filter(list_transform(string_split(joined, chr(10)), lambda s: {sql_strip('s')}),
+                                              lambda s: s <> ''), chr(10)) AS lines FROM broken"""
+
+
+@query(
+    "abbreviations",
+    with_views(f"WITH {_ABBREVIATIONS} SELECT word, with_stop, without_stop, round(score, 6) AS score FROM known", "resumes"),
+)
+def _(spark, d):
+    found = sentences.abbreviations(derived(spark, d, "resumes"), "resume_text")
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("sentence_lines_abbreviations", with_views(_LEARNED_LINES, "resumes"))
+def _(spark, d):
+    resumes = derived(spark, d, "resumes")
+    return sentences.sentence_lines(resumes, sentences.abbreviations(resumes, "resume_text"), "resume_text", "resume_id")
+
+
 # The dictionaries come from the corpus: a word maps to a shorter form of itself that also occurs.
 _WORDS = "SELECT DISTINCT unnest({words}) AS token FROM documents"
 _LEMMAS = """
