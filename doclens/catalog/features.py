@@ -9,7 +9,7 @@ from doclens.catalog.cleaning import SQL_HASH
 from doclens.catalog.text import SQL_SECTIONS, SQL_STOP_WORDS, sql_aliases, sql_skills, sql_words
 from doclens.functions import features as ft
 from doclens.functions import text as tx
-from doclens.operators import vectors
+from doclens.operators import semantic, vectors
 
 _LOWER = fold("lower(coalesce(resume_text, ''))")
 
@@ -250,6 +250,47 @@ def _(spark, d):
     return model.long_form(docs, "text", "doc_id").withColumn("weight", F.round("weight", 6))
 
 
+# With as many dimensions as terms, embeddings have the cosines of the TF-IDF vectors they come from: each document's
+# with the one of the smallest id that has a term.
+_FULL_TERMS = 32
+_FULL_COSINES = _SQL_TFIDF.replace(f"LIMIT {lx.TFIDF_MAX_TERMS}", f"LIMIT {_FULL_TERMS}").replace(
+    "SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weighted",
+    """, unit AS MATERIALIZED (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM weighted),
+    first AS (SELECT term, w AS v FROM unit WHERE doc_id = (SELECT min(doc_id) FROM unit))
+    SELECT d.doc_id, round(coalesce(sum(w * v), 0) + 0.0, 3) AS cosine
+    FROM documents d LEFT JOIN unit USING (doc_id) LEFT JOIN first USING (term) GROUP BY d.doc_id""",
+)
+
+
+@query("embed_documents_semantic", _FULL_COSINES)
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = semantic.fit_semantic(docs, "text", dims=_FULL_TERMS, max_terms=_FULL_TERMS)
+    embedded = model.transform(docs, "text").select("doc_id", F.col("embedding").cast("array<double>").alias("e"))
+    some = embedded.filter(F.exists("e", lambda x: x != 0)).orderBy("doc_id").limit(1).collect()
+    first = F.array(*[F.lit(x) for x in (some[0]["e"] if some else [0.0] * _FULL_TERMS)])
+    product = F.aggregate(F.zip_with("e", first, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return embedded.select("doc_id", (F.round(product, 3) + 0.0).alias("cosine"))
+
+
+# documents with a term have unit length, others are zero
+_UNIT_LENGTHS = _SQL_TFIDF.replace(
+    "SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weighted",
+    f"""SELECT CAST({lx.EMBEDDING_DIM} AS BIGINT) AS dims, count(*) AS documents,
+    count(CASE WHEN doc_id IN (SELECT doc_id FROM weighted) THEN 1 END) AS unit FROM documents""",
+)
+
+
+@query("fit_semantic", _UNIT_LENGTHS)
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    embedded = semantic.fit_semantic(docs, "text").transform(docs, "text")
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return embedded.select(F.size("embedding").cast("long").alias("dims"), norm.alias("n")).groupBy("dims").agg(
+        F.count(F.lit(1)).alias("documents"), F.count(F.when(F.abs(F.col("n") - 1) < 1e-4, 1)).alias("unit")
+    )
+
+
 @query(
     "encode_labels",
     with_views(
