@@ -3,7 +3,7 @@
 Every page becomes a record, compressed on its own. The index has one line per record, sorted by the
 URL key with the host reversed (``com,example,www)/path``); runs of lines form compressed blocks, and a
 sparse directory keeps the first key and the place of each block. A lookup searches the directory,
-reads one block, and then reads the record's own range of the archive.
+reads one block, and then reads the record's own range of the archive. Tables of keys are looked up by the tasks, sorted.
 
 Tasks write archives and index parts straight into the shared folder. Each attempt of a task has files of its
 own, and only the rows of the attempt that counts name them; what a lost attempt left is never read. The
@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.base import query, table, tasks
-from doclens.llm.files import Whole, make_folder, opened, read_range
+from doclens.files import Whole, make_folder, opened, read_range
+from doclens.llm.base import block_rows, query, table, tasks
+from doclens.llm.words import chunks
 from doclens.session import shared_folder, written
 
 DEDUP_BYTES = 1000  # payloads of fewer bytes are stored each time
 BLOCK_LINES = 1000  # index lines of a block
+READ_RECORDS = 1000  # index lines whose records are read one after the other
 _DATE = "2024-01-01T00:00:00Z"  # captures carry no time of their own
 
 
@@ -118,10 +120,12 @@ def write_archives(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
     """Write one archive per task into ``folder``; returns the written index rows ``(key, page_id, file, start, length)``."""
     make_folder(folder)
     rows = captures(pages, **columns).withColumn("key", url_key(F.col("url"))).withColumn("file", F.spark_partition_id().cast("long"))
+    if rows.schema["page_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        rows = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # records name ids of other types by their text
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = name = None
-        for batch in batches:
+        for batch in chunks(batches, "html", 1 << 22):
             starts, lengths = [], []
             for row in batch.to_pylist():
                 if archive is None:
@@ -184,37 +188,37 @@ def _block_lines(folder: str, file: str, start: int, length: int) -> list[list]:
     return [json.loads(x) for x in gzip.decompress(read_range(system, f"{path}/{file}", start, length)).decode().splitlines()]
 
 
-def read_archives(directory: DataFrame, index_folder: str, archive_folder: str, id_type: str = "bigint") -> DataFrame:
-    """Every record, found through the blocks of the index: ``(page_id, url, payload_bytes, payload_digest, record_type, refers_to, stored_bytes)``."""
+def _records(folder: str, places: list[list]) -> Iterator[tuple[list, dict]]:
+    """``(index line, record)``: ranges are read by file, then in order of their place; each file is opened once."""
+    system, path = opened(folder)
+    name = file = None
+    try:
+        for line in sorted(places, key=lambda x: (x[2], x[3])):
+            if line[2] != name:
+                if file is not None:
+                    file.close()
+                name, file = line[2], system.open_input_file(f"{path}/{line[2]}")
+            file.seek(line[3])
+            yield line, parse_record(gzip.decompress(file.read(line[4])))
+    finally:
+        if file is not None:
+            file.close()
+
+
+def _search(directory: list[tuple[str, str, str, int, int]], firsts: list[str], key: str, lines) -> Iterator[list]:
+    """The index lines of a key: binary search in the directory, then in each block that may hold it."""
+    # the block before the first one that begins with the key may end with it
+    at = max(0, bisect.bisect_left(firsts, key) - 1)
+    while at < len(directory) and firsts[at] <= key:
+        if directory[at][1] >= key:
+            found, keys = lines(*directory[at][2:5])
+            yield from found[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+        at += 1
+
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = opened(archive_folder)
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        for batch in batches:
-            for block in batch.to_pylist():
-                # neighbours in the index lie anywhere in the archives: by file, then in order of their place
-                wanted = sorted(_block_lines(index_folder, block["file"], block["start"], block["length"]), key=lambda x: (x[2], x[3]))
-                rows, file, opened_file = [], None, None
-                for _, _, name, start, length in wanted:
-                    if name != file:
-                        if opened_file is not None:
-                            opened_file.close()
-                        file, opened_file = name, system.open_input_file(f"{path}/{name}")
-                    opened_file.seek(start)
-                    rows.append(parse_record(gzip.decompress(opened_file.read(length))))
-                if opened_file is not None:
-                    opened_file.close()
-                made = pa.RecordBatch.from_pylist([{n: r[n] for n in names} | {"stored_bytes": len(r["payload"])} for r in rows], schema=arrow)
-                yield made
-
-    schema = f"page_id {id_type}, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to {id_type}, stored_bytes bigint"
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    arrow = pa.schema(
-        [("page_id", id_arrow), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-         ("record_type", pa.string()), ("refers_to", id_arrow), ("stored_bytes", pa.int64())]
-    )
-    blocks = directory.repartition(tasks(directory.sparkSession), "file", "start")
-    return blocks.mapInArrow(read, schema)
+def _keyed_block(folder: str, file: str, start: int, length: int) -> tuple[list[list], list[str]]:
+    found = _block_lines(folder, file, start, length)
+    return found, [x[0] for x in found]
 
 
 def lookup(directory: list[tuple[str, str, str, int, int]], key: str, index_folder: str, archive_folder: str) -> list[dict]:
@@ -222,36 +226,95 @@ def lookup(directory: list[tuple[str, str, str, int, int]], key: str, index_fold
 
     ``directory`` holds ``(first_key, last_key, file, start, length)`` in the order of ``first_key``.
     """
-    system, path = opened(archive_folder)
-    found = []
-    # the block before the first one that begins with the key may end with it
-    at = max(0, bisect.bisect_left([d[0] for d in directory], key) - 1)
-    while at < len(directory) and directory[at][0] <= key:
-        if directory[at][1] >= key:
-            lines = _block_lines(index_folder, *directory[at][2:5])
-            keys = [x[0] for x in lines]
-            for line in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                _, _, file, start, length = line
-                found.append(parse_record(gzip.decompress(read_range(system, f"{path}/{file}", start, length))))
-        at += 1
-    return found
+    found = list(_search(directory, [d[0] for d in directory], key, lambda *place: _keyed_block(index_folder, *place)))
+    return [record for _, record in _records(archive_folder, found)]
+
+
+def find_records(keys: DataFrame, directory: DataFrame, index_folder: str, archive_folder: str, id_type: str = "bigint") -> DataFrame:
+    """Every record of the URL keys in ``keys`` (column ``key``), found by binary search; repeated keys count once, unknown ones give no row.
+
+    Columns ``(key, page_id, url, payload_bytes, payload_digest, record_type, refers_to, stored_bytes)``. Index files hold ranges of keys, and
+    the driver knows the first and last key of each file, of which there are as many as tasks that wrote them. A key goes to every file whose range
+    it is in, so one that very many captures share is searched by as many tasks as wrote it. There, the sorted keys of a file search its part of the
+    sparse directory, each block is read once, and records are read in the order of their place.
+    """
+    spark = keys.sparkSession
+    part_of = F.substring("file", 7, 8).cast("int")  # files are named by the range of keys that they hold
+    parts = directory.groupBy(part_of.alias("part")).agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).orderBy("part").toArrow()
+    # ranges follow each other; neighbours share at most the key at their border
+    numbers, lows, highs = (parts.column(c).to_pylist() for c in ("part", "low", "high"))
+    folder = shared_folder(spark, "directory")
+    directory.withColumn("block", part_of).repartition(tasks(spark), "block").sortWithinPartitions("block", "start").write.partitionBy("block").parquet(folder)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            for key in batch.column("key").to_pylist():
+                for part in range(bisect.bisect_left(highs, key), bisect.bisect_right(lows, key)):
+                    out[0].append(numbers[part])
+                    out[1].append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.string())], ["part", "key"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        part, entries, firsts, places = None, [], [], []
+        block: dict[tuple, tuple] = {}
 
+        def lines(*place):
+            if place not in block:
+                block.clear()  # keys come sorted: a block that is left isn't needed again
+                block[place] = _keyed_block(index_folder, *place)
+            return block[place]
 
-def archive(pages: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame, str, str]:
+        def rows() -> pa.RecordBatch:
+            found = [{n: r[n] for n in names} | {"key": line[0], "stored_bytes": len(r["payload"])} for line, r in _records(archive_folder, places)]
+            places.clear()
+            return pa.RecordBatch.from_pylist(found, schema=arrow)
+
+        for batch in batches:
+            for number, key in zip(batch.column("part").to_pylist(), batch.column("key").to_pylist()):
+                if number != part:
+                    part = number
+                    table_ = block_rows(folder, part, ["first_key", "last_key", "file", "start", "length"])
+                    entries = sorted(zip(*(c.to_pylist() for c in table_.columns)), key=lambda d: d[3])
+                    firsts = [d[0] for d in entries]
+                for line in _search(entries, firsts, key, lines):
+                    places.append(line)
+                    if len(places) >= READ_RECORDS:
+                        yield rows()
+        if places:
+            yield rows()
+
+    whole = id_type in ("tinyint", "smallint", "int", "bigint")
+    id_arrow, id_read = (pa.int64(), "bigint") if whole else (pa.string(), "string")
+    kinds = {"key": pa.string(), "page_id": id_arrow, "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(),
+             "record_type": pa.string(), "refers_to": id_arrow, "stored_bytes": pa.int64()}
+    arrow = pa.schema(list(kinds.items()))
+    schema = f"key string, page_id {id_read}, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to {id_read}, stored_bytes bigint"
+    wanted = keys.select(F.col("key").cast("string").alias("key")).filter(F.col("key").isNotNull()).distinct()
+    dealt = wanted.mapInArrow(assign, "part int, key string").repartition(tasks(spark), "part").sortWithinPartitions("part", "key")
+    found = dealt.mapInArrow(search, schema)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
+
+
+def archive(pages: DataFrame, lines: int = BLOCK_LINES, **columns: str) -> tuple[DataFrame, DataFrame, str, str]:
     """Write archives and index; ``(index rows, directory, archive folder, index folder)``.
 
     One record per row. Null pages have an empty payload, null URLs the key ``)/``, null ids a record of
     that name that nothing refers to. Of payloads of 1000 bytes or more that occur under several ids, the rows with the
     largest id are responses and the others revisits; repeated rows with that id are responses each.
-    An empty table writes no archive. Other columns are not looked at. A record is held whole by one task.
+    An empty table writes no archive. Other columns are not looked at. A record is held whole by one task, so a very long page is, too.
+    Ids may be of any type that Spark writes as text and reads back.
     """
     spark = pages.sparkSession
     archives, blocks = shared_folder(spark, "archives"), shared_folder(spark, "index")
     index = write_archives(pages, archives, **columns)
-    return index, write_index(index, blocks), archives, blocks
+    return index, write_index(index, blocks, lines), archives, blocks
 
 
 @query("op6_warc")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, directory, archives, blocks = archive(table(spark, sf_dir, "pages"))
-    return read_archives(directory, blocks, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    _, directory, archives, blocks = archive(pages)
+    found = find_records(pages.select(url_key(F.col("url")).alias("key")), directory, blocks, archives)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ from doclens.llm import token_counts, token_output, warc
 from doclens.llm.sharding import balanced_tree, shard_rows, weight
 from doclens.llm.tokenizers import byte_model, byte_parts, piece_model, piece_parts, vocabulary
 from doclens.session import shared_folder
+from pyspark.sql import functions as F
 
 BYTE = "byte_bpe_50k.tiktoken"
 HARD = [
@@ -143,6 +145,36 @@ def test_shards(spark, edge):
     assert shard_rows(edge.limit(0), balanced_tree(8)).count() == 0
 
 
+def _place_by_hand(key, tree, path="root"):
+    def draw(name, share):
+        uniform = (int(hashlib.md5(f"{path}/{name}|{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return -math.log(uniform) / share
+
+    children = [(n, c) for n, c in tree.items() if weight(c) > 0]
+    name, child = children[0] if len(children) == 1 else min(children, key=lambda x: draw(x[0], weight(x[1])))
+    return _place_by_hand(key, child, f"{path}/{name}") if isinstance(child, dict) else name
+
+
+def test_shards_and_slots_equal_a_plain_loop(spark, sf, edge):
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for docs in (documents, edge.select("doc_id", "text")):
+        held = {}
+        for r in docs.collect():
+            key = "k" + ("" if r["doc_id"] is None else str(r["doc_id"])) + str(r["doc_id"] is None).lower()
+            data = (r["text"] or "").encode()
+            shard, more = _place_by_hand(key, balanced_tree(8)), _place_by_hand(key, balanced_tree(9))
+            row = (hashlib.md5(key.encode()).hexdigest(), zlib.crc32(data), len(data) + 1, r["doc_id"], more)
+            held.setdefault(shard, []).append(row)
+        # equal rows tie in everything but the slot
+        want = [
+            (doc, size, crc, "key", shard, slot, more)
+            for shard, rows in held.items()
+            for slot, (_, crc, size, doc, more) in enumerate(sorted(rows, key=lambda x: x[:3]))
+        ]
+        got = [tuple(r) for r in shard_rows(docs, balanced_tree(8), balanced_tree(9)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_shares_follow_weights_and_movement_stays_in_the_changed_subtree(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
     tree = {"a": {"r0": {0: 1.0, 1: 3.0}, "r1": {2: 2.0}}, "b": {"r2": {3: 2.0}}}
@@ -174,7 +206,8 @@ PAGES = [
 def test_archives(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, file int")
     _, directory, archives, index = warc.archive(pages)
-    rows = warc.read_archives(directory, index, archives).collect()
+    keys = pages.select(warc.url_key(F.col("url")).alias("key"))
+    rows = warc.find_records(keys, directory, index, archives).collect()
     assert sorted((r["page_id"] or 0, r["url"] or "") for r in rows) == sorted((p[0] or 0, p[1] or "") for p in PAGES)
     owners = {}
     for i, _, html, _ in PAGES:
@@ -194,7 +227,27 @@ def test_archives(spark):
     assert warc.lookup(sparse, "com,ex,www)/p", index, archives) == []
     assert warc.lookup(sparse, ")/", index, archives)[0]["page_id"] == 1
     empty = warc.archive(pages.limit(0))
-    assert warc.read_archives(empty[1], empty[3], empty[2]).count() == 0
+    assert warc.find_records(keys, empty[1], empty[3], empty[2]).count() == 0
+    assert warc.find_records(keys.limit(0), directory, index, archives).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["bigint", "smallint", "string", "decimal(20,0)"])
+def test_tables_of_keys_are_searched_through_many_blocks(spark, kind):
+    urls = [f"http://h{i % 7}.ex/p{i % 90}" for i in range(300)] + ["http://hot.ex/"] * 150 + [None] * 20
+    rows = [(i, u, f"page {i % 40} " * (1 + i % 200)) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("page_id", F.col("page_id").cast(kind)).repartition(5)
+    _, directory, archives, index = warc.archive(pages, lines=2)
+    assert directory.count() > 100 and directory.select("file").distinct().count() > 1
+    key = warc.url_key(F.col("url")).alias("key")
+    found = warc.find_records(pages.select(key), directory, index, archives, kind)
+    assert found.schema["page_id"].dataType == pages.schema["page_id"].dataType == found.schema["refers_to"].dataType
+    whole = pages.select("page_id", "url", key, F.sha1("html").alias("payload_digest"))
+    columns = ["page_id", "url", "key", "payload_digest"]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
+    some = spark.createDataFrame([("ex,hot)/",), ("ex,hot)/",), ("ex,h3)/p3",), ("aa)/",), ("zz)/",), ("ex,h3)/p3x",), (None,)], "key string")
+    got = warc.find_records(some, directory, index, archives, kind)
+    want = whole.join(some.distinct(), "key")
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect())) and got.count() > 150
 
 
 def test_payloads_read_back_are_compared_with_their_headers(spark, tmp_path):
