@@ -44,6 +44,21 @@ def lengths(name: str, path: str):
     raise ValueError(f"unknown kind of vocabulary: {name}")
 
 
+def byte_batches(texts: list[str], parts_of) -> Iterator[tuple[list[str], list[int]]]:
+    """``(parts, numbers of their texts)`` in batches of about ``BATCH_BYTES`` of UTF-8: a batch is full with the part that reaches them."""
+    parts, owners, held = [], [], 0
+    for i, text in enumerate(texts):
+        for part in parts_of(text) if text else []:
+            parts.append(part)
+            owners.append(i)
+            held += len(part) if part.isascii() else len(part.encode())
+            if held >= BATCH_BYTES:
+                yield parts, owners
+                parts, owners, held = [], [], 0
+    if parts:
+        yield parts, owners
+
+
 def token_counts(
     docs: DataFrame,
     tokenizer: str = "piece_bpe_32k.model",
@@ -55,7 +70,7 @@ def token_counts(
 
     Counts are those of the library for the vocabulary file, without begin, end or other added tokens; strings of
     special tokens inside a text are text. Null texts count as empty: 0 bytes, 0 tokens. Equal rows are counted
-    each. An empty table gives no rows. Columns of these three names are replaced.
+    each. An empty table gives no rows. Columns of these three names are replaced. A very long text is held whole by one task.
     """
     path = path or vocabulary(tokenizer)
     others = [c for c in docs.columns if c not in (text_column, "n_bytes", "n_tokens", "over_limit")]
@@ -64,18 +79,8 @@ def token_counts(
         parts_of, count_parts = lengths(tokenizer, path)
         for batch in chunks(batches, text_column, 1 << 22):
             texts = [t or "" for t in batch.column(text_column).to_pylist()]
-            counts, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            parts, owners, held = [], [], 0
-            for i, text in enumerate(texts):
-                sizes[i] = len(text.encode())
-                for part in parts_of(text) if text else []:
-                    parts.append(part)
-                    owners.append(i)
-                    held += len(part)
-                    if held >= BATCH_BYTES:
-                        np.add.at(counts, owners, count_parts(parts))
-                        parts, owners, held = [], [], 0
-            if parts:
+            counts, sizes = np.zeros(len(texts), np.int64), np.array([len(t.encode()) for t in texts], np.int64)
+            for parts, owners in byte_batches(texts, parts_of):
                 np.add.at(counts, owners, count_parts(parts))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in others), pa.array(sizes), pa.array(counts), pa.array(counts > limit)],

@@ -38,6 +38,20 @@ def test_token_counts(spark, edge, name):
     assert token_counts.token_counts(edge.limit(0), name).count() == 0
 
 
+def test_batches_are_balanced_by_bytes():
+    texts = ["word " * 900, "日本語 " * 900, "", "é ü ß " * 900, "the end of it " * 40_000] * 40
+    batches = list(token_counts.byte_batches(texts, piece_parts))
+    sizes = [[len(p.encode()) for p in parts] for parts, _ in batches]
+    assert all(sum(s[:-1]) < token_counts.BATCH_BYTES for s in sizes) and all(sum(s) >= token_counts.BATCH_BYTES for s in sizes[:-1])
+    assert max(map(sum, sizes)) < 1.5 * token_counts.BATCH_BYTES  # long texts are cut
+    joined = [""] * len(texts)
+    for parts, owners in batches:
+        for part, i in zip(parts, owners):
+            joined[i] += part
+    # a blank at a cut may be left to the tokenizer, which puts one before every part
+    assert [t.replace(" ", "") for t in joined] == [t.replace(" ", "") for t in texts]
+
+
 def test_permutation_is_a_bijection():
     for size in (1, 2, 3, 16, 17, 1000, 65_537):
         order = token_output.Permutation(size, 7)
