@@ -16,7 +16,7 @@ from doclens.llm.base import query, table, with_starts
 from doclens.session import DEFAULT_SEED, broadcast_if_small, written
 
 _BIN_DIGITS = 4  # 65,536 bins of the hash per source
-_MAX_ROUNDS = 10_000
+
 
 def word_count(text: str) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+``; null has 0."""
@@ -36,10 +36,11 @@ def cyclic_weights(sources: DataFrame, source: str, cycle: tuple[float, ...] = (
 
 def water_fill(sources: DataFrame, max_epochs: float, share: float) -> DataFrame:
     """``sources`` (``source_size``, ``weight``) with ``target``; two sums per round reach the driver, not the sources."""
-    budget = share * float(sources.agg(F.sum("source_size")).first()[0] or 0)
+    whole = sources.agg(F.sum("source_size").alias("size"), F.count(F.lit(1)).alias("n")).first()
+    budget = share * float(whole["size"] or 0)
     cap = F.col("source_size") * F.lit(float(max_epochs))
     level, full = 0.0, -1
-    for _ in range(_MAX_ROUNDS):
+    for _ in range(whole["n"] + 2):  # a round clamps one more source at least, or is the last
         above = cap <= F.col("weight") * F.lit(level) if level else F.lit(False)
         state = sources.agg(
             F.coalesce(F.sum(F.when(above, cap)), F.lit(0.0)).alias("capped"),
@@ -50,6 +51,8 @@ def water_fill(sources: DataFrame, max_epochs: float, share: float) -> DataFrame
             break
         full = state["full"]
         level = max(0.0, budget - state["capped"]) / state["open"]
+    else:
+        raise RuntimeError("the targets don't settle")
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)))
 
 
@@ -68,12 +71,21 @@ def source_plan(
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
     """``(p, source_size, target, whole, end)`` per source ``p``: every row ``whole`` times, those up to hash ``end`` once more."""
-    rows = written(
+    return _plan(_sizes(docs, id_column, source_column, text_column, seed), cycle, max_epochs, share)
+
+
+def _sizes(docs: DataFrame, id_column: str, source_column: str, text_column: str, seed: int) -> DataFrame:
+    """``(id, own, source, size, h)`` per row: its id, source as it is and as text, words and hash, from one pass over the texts."""
+    return written(
         docs.select(
-            F.col(source_column).cast("string").alias("source"), word_count(text_column).alias("size"), _hash(id_column, seed).alias("h")
+            F.col(id_column).alias("id"), F.col(source_column).alias("own"), F.col(source_column).cast("string").alias("source"),
+            word_count(text_column).alias("size"), _hash(id_column, seed).alias("h"),
         ),
         "sizes",
     )
+
+
+def _plan(rows: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, share: float = 1.0) -> DataFrame:
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = water_fill(written(cyclic_weights(sources, "source", cycle), "sources"), max_epochs, share)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -113,9 +125,9 @@ def source_plan(
     )
 
 
-def _with_copies(docs: DataFrame, plan: DataFrame, id_column: str, source_column: str, seed: int) -> DataFrame:
-    copies = F.col("whole") + F.coalesce((_hash(id_column, seed) <= F.col("end")).cast("long"), F.lit(0).cast("long"))
-    return docs.join(broadcast_if_small(plan), F.col(source_column).cast("string").eqNullSafe(F.col("p"))).withColumn("_copies", copies)
+def _with_copies(rows: DataFrame, plan: DataFrame, source: Column, h: Column) -> DataFrame:
+    copies = F.col("whole") + F.coalesce((h <= F.col("end")).cast("long"), F.lit(0).cast("long"))
+    return rows.join(broadcast_if_small(plan), source.cast("string").eqNullSafe(F.col("p"))).withColumn("_copies", copies)
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", seed: int = DEFAULT_SEED, **options) -> DataFrame:
@@ -126,11 +138,10 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     Null or wordless texts have size 0, and are taken neither more nor less for it. A null source is a source,
     after all others; a null id hashes like an empty one. An empty table gives no rows; other columns are not looked at.
     """
-    plan = source_plan(docs, id_column, source_column, text_column, seed=seed, **options)
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), word_count(text_column).alias("_size"))
-    return _with_copies(rows, plan, "_id", "_source", seed).select(
-        F.col("_id").alias(id_column), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target",
-        (F.col("_size") * F.col("_copies")).alias("taken"),
+    rows = _sizes(docs, id_column, source_column, text_column, seed)
+    taken = _with_copies(rows, _plan(rows, **options), F.col("source"), F.col("h"))
+    return taken.select(
+        F.col("id").alias(id_column), F.col("own").alias("source"), "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken")
     )
 
 
@@ -139,7 +150,7 @@ def mixed_rows(docs: DataFrame, id_column: str = "doc_id", source_column: str =
     names = docs.columns
     plan = source_plan(docs, id_column, source_column, text_column, seed=seed, **options)
     packed = docs.select(F.struct(*(docs[c] for c in names)).alias("_row"), docs[id_column].alias("_id"), docs[source_column].alias("_source"))
-    taken = _with_copies(packed, plan, "_id", "_source", seed).filter("_copies > 0")
+    taken = _with_copies(packed, plan, F.col("_source"), _hash("_id", seed)).filter("_copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select("_row.*")
 
 
