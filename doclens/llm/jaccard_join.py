@@ -38,6 +38,7 @@ from doclens.llm.words import Words, chunks, mix, shingles, text_bytes
 from doclens.session import written
 
 _U = np.uint64
+TEXT_BYTES = 1 << 18  # of texts whose sets and signatures a task makes at once; their signatures take many times as much
 FEW = 8  # nodes of a signature whose pairs go on as rows, each pair once
 BLOCK = 2048  # nodes of a signature that a task compares with another such block,
 BLOCK_ELEMENTS = 1 << 20  # or as many as hold so many shingles together
@@ -154,7 +155,7 @@ def _signature_rows(docs: DataFrame, scheme: Scheme, text: str, only: Bitmap | N
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in chunks(batches, text):
+        for part in chunks(batches, text, TEXT_BYTES):
             sets, nodes = [], []
             for values in scheme.sets(part, text):
                 if not len(values):
@@ -184,7 +185,7 @@ def _membership(docs: DataFrame, scheme: Scheme, id_column: str, text: str, only
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in chunks(batches, text):
+        for part in chunks(batches, text, TEXT_BYTES):
             rows = []
             for values in scheme.sets(part, text):
                 if not len(values):
