@@ -57,6 +57,15 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def discard(done: DataFrame) -> None:
+    """Delete the files of a table made by ``written`` that no later step reads; what was made from it is written, too."""
+    files = done.inputFiles()
+    if files:
+        jvm = done.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0].rsplit("/", 1)[0]))
+        folder.getFileSystem(done.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def block_rows(folder: str, number: int, columns: list[str]) -> pa.Table | None:
     """Inside a task: the rows of one block of a table that was written by ``block``; None if it has none."""
     system, path = opened(folder)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.base import Bitmap, bitmap, query, release_shuffles, table, tasks, wide_rows
+from doclens.llm.base import Bitmap, bitmap, discard, query, release_shuffles, table, tasks, wide_rows
 from doclens.llm.components import compact, components
 from doclens.llm.words import Words, chunks, mix, shingles, text_bytes
 from doclens.session import written
@@ -521,6 +521,8 @@ def _components(docs: DataFrame, scheme: Scheme) -> DataFrame | None:
         .select("sig", "held", F.ceil(F.greatest(F.col("held") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("long").alias("blocks"))
     )
     open_rows = written(placed.join(still, "sig"), "open")
+    for done in (shared, members, first, placed):
+        discard(done)
     release_shuffles(spark)
     few = open_rows.filter(F.col("held") <= FEW).select("sig", "node", "component", "n")
     few = few.repartition(tasks(spark), "sig").sortWithinPartitions("sig", "node")
