@@ -17,6 +17,8 @@ _HIDDEN = (
     "(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|"
     "</?(?:a|abbr|b|code|em|font|i|mark|small|span|strong|sub|sup|u)(?:\\s[^>]*)?>"
 )
+# The same with the first character outside, so that every other place is passed at once.
+_HIDDEN_AHEAD = "(?is)<(?:" + _HIDDEN.removeprefix("(?is)<").replace("|<", "|") + ")"
 _BREAK = "(?:<[^>]*>|[\\r\\n])+"
 
 
@@ -28,7 +30,7 @@ def host_of(url: Column) -> Column:
 
 def lines_of(html: Column) -> Column:
     """The shown lines of a page, trimmed, without empty ones; null has none."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "")
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN_AHEAD, "")
     return F.filter(F.transform(F.split(bare, _BREAK), lambda x: F.trim(x)), lambda x: x != "")
 
 
