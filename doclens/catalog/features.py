@@ -10,6 +10,7 @@ from doclens.catalog.text import SQL_SECTIONS, SQL_STOP_WORDS, sql_aliases, sql_
 from doclens.functions import features as ft
 from doclens.functions import text as tx
 from doclens.operators import semantic, vectors
+from doclens.session import written
 
 _LOWER = fold("lower(coalesce(resume_text, ''))")
 
@@ -139,6 +140,10 @@ def _(spark, d):
     )
 
 
+def _featured(spark, d):
+    return vectors.structured_features(_resumes(spark, d), as_of_year=AS_OF_YEAR)
+
+
 def _rounded(columns):
     return [F.round(c, 6).alias(c) for c in columns]
 
@@ -151,8 +156,7 @@ def _rounded(columns):
     ),
 )
 def _(spark, d):
-    featured = vectors.structured_features(_resumes(spark, d), as_of_year=AS_OF_YEAR)
-    return featured.select("resume_id", *_rounded(lx.FEATURE_COLUMNS))
+    return _featured(spark, d).select("resume_id", *_rounded(lx.FEATURE_COLUMNS))
 
 
 _SCALED = ", ".join(
@@ -170,7 +174,8 @@ _SCALED = ", ".join(
     ),
 )
 def _(spark, d):
-    featured = vectors.structured_features(_resumes(spark, d), as_of_year=AS_OF_YEAR)
+    featured = _featured(spark, d).select("resume_id", *lx.FEATURE_COLUMNS)
+    featured = written(featured, "featured")  # read by the fit and by the scaling
     scaled = vectors.scale_features(featured, vectors.fit_scaler(featured))
     # adding zero turns a negative zero into a plain one
     return scaled.select("resume_id", *[(F.round(c, 6) + 0.0).alias(c) for c in lx.FEATURE_COLUMNS])
@@ -217,7 +222,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    featured = vectors.structured_features(_resumes(spark, d), as_of_year=AS_OF_YEAR)
+    featured = written(_featured(spark, d).select("resume_id", "resume_text", *lx.FEATURE_COLUMNS), "featured")
     scaled = vectors.scale_features(featured, vectors.fit_scaler(featured))
     assembled = vectors.assemble_features(vectors.embed_documents(scaled), "embedding", lx.FEATURE_COLUMNS)
     slots = assembled.select("resume_id", F.posexplode(vector_to_array("features")).alias("slot", "value"))

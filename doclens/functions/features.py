@@ -34,16 +34,22 @@ def years_experience(text: ColumnLike, as_of_year: int | None = None) -> Column:
     now = F.lit(_year(as_of_year))
 
     def longest(t: Column) -> Column:
-        starts = F.regexp_extract_all(t, F.lit(UNICODE + lx.YEARS_RANGE), F.lit(1))
-        ends = F.regexp_extract_all(t, F.lit(UNICODE + lx.YEARS_RANGE), F.lit(2))
-        spans = F.zip_with(
-            starts,
-            ends,
-            lambda a, b: F.coalesce(b.try_cast("int"), now) - a.try_cast("int"),
+        none = F.array().cast("array<int>")
+        named = t.contains("year") | t.contains("yr")
+        range_pattern = UNICODE + lx.YEARS_RANGE
+        # the ranges are cut out in one scan and read from the short pieces
+        pieces = F.when(
+            t.contains("19") | t.contains("20"), F.regexp_extract_all(t, F.lit(range_pattern), F.lit(0))
+        ).otherwise(F.array().cast("array<string>"))
+        spans = F.transform(
+            pieces,
+            lambda p: F.coalesce(F.regexp_extract(p, range_pattern, 2).try_cast("int"), now)
+            - F.regexp_extract(p, range_pattern, 1).try_cast("int"),
         )
+        least = named & (t.contains("over") | t.contains("more than") | t.contains("at least"))
         years = F.concat(
-            _all_numbers(t, lx.YEARS_PHRASE),
-            _all_numbers(t, lx.YEARS_AT_LEAST),
+            F.when(named, _all_numbers(t, lx.YEARS_PHRASE)).otherwise(none),
+            F.when(least, _all_numbers(t, lx.YEARS_AT_LEAST)).otherwise(none),
             F.filter(spans, lambda s: s >= 0),
         )
         return F.coalesce(F.array_max(years), F.lit(0)).cast("double")
@@ -51,18 +57,31 @@ def years_experience(text: ColumnLike, as_of_year: int | None = None) -> Column:
     return bind(F.lower(text_or_empty(text)), longest)
 
 
-def education_level(text: ColumnLike) -> Column:
-    """Highest education level whose keyword occurs as a whole word; 0 when there is none."""
-    levels = sorted(set(lx.EDUCATION_LEVELS.values()), reverse=True)
+_SIGNALS = UNICODE + lx.signal_pattern()
+
+
+def signal_words(text: ColumnLike) -> Column:
+    """Keywords of education levels and job titles that occur as whole words, found in one scan.
+
+    This is exact because no keyword contains or overlaps another one.
+    """
+    return F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(_SIGNALS), F.lit(0)))
+
+
+def _has(found: Column, keywords: list[str]) -> Column:
+    return F.arrays_overlap(found, F.array(*[F.lit(k) for k in keywords]))
 
-    def highest(t: Column) -> Column:
-        chain = F.lit(0)
-        for level in reversed(levels):
-            keywords = [k for k, v in lx.EDUCATION_LEVELS.items() if v == level]
-            chain = F.when(t.rlike(UNICODE + lx.any_word(keywords)), F.lit(level)).otherwise(chain)
-        return chain.cast("int")
 
-    return bind(F.lower(text_or_empty(text)), highest)
+def _education(found: Column) -> Column:
+    chain = F.lit(0)
+    for level in sorted(set(lx.EDUCATION_LEVELS.values())):
+        chain = F.when(_has(found, [k for k, v in lx.EDUCATION_LEVELS.items() if v == level]), F.lit(level)).otherwise(chain)
+    return chain.cast("int")
+
+
+def education_level(text: ColumnLike) -> Column:
+    """Highest education level whose keyword occurs as a whole word; 0 when there is none."""
+    return bind(signal_words(text), _education)
 
 
 def skill_count(skills: ColumnLike) -> Column:
@@ -83,16 +102,18 @@ def recency_score(text: ColumnLike, as_of_year: int | None = None) -> Column:
         gap = F.greatest(F.lit(_year(as_of_year)) - latest, F.lit(0))
         return F.when(latest.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(1.0) - gap / F.lit(15.0), F.lit(0.0)))
 
-    return bind(F.array_max(_all_numbers(text_or_empty(text), lx.YEAR_TOKEN)), score)
+    t = text_or_empty(text)
+    years = F.when(t.contains("19") | t.contains("20"), _all_numbers(t, lx.YEAR_TOKEN))
+    return bind(F.array_max(years), score)
 
 
 def job_title_signals(text: ColumnLike) -> dict[str, Column]:
     """One 0/1 column per job family."""
-    lowered = F.lower(text_or_empty(text))
-    return {
-        f"job_title_{family}": lowered.rlike(UNICODE + lx.any_word(keywords)).cast("double")
-        for family, keywords in lx.JOB_TITLES.items()
-    }
+    return _titles(signal_words(text))
+
+
+def _titles(found: Column) -> dict[str, Column]:
+    return {f"job_title_{family}": _has(found, keywords).cast("double") for family, keywords in lx.JOB_TITLES.items()}
 
 
 def _section_words(sections: Column, name: str) -> Column:
@@ -123,16 +144,18 @@ def structured_features(
     as_of_year: int | None = None,
     use_sections: bool = False,
     skills: ColumnLike | None = None,
+    signals: ColumnLike | None = None,
 ) -> list[Column]:
     """The 14 numeric features in their fixed order.
 
-    ``skills`` is a column already holding the extracted skills, if there is one.
+    ``skills`` is a column already holding the extracted skills, if there is one; ``signals`` one with the keywords found.
 
     Without ``use_sections`` both section ratios are 0, as in the table form of
     the feature extractor.
     """
     t = as_column(text)
     known = extract_skills(t) if skills is None else as_column(skills)
+    found = signal_words(t) if signals is None else as_column(signals)
     if use_sections:
         ratios = section_ratios(t)
         experience, skills = ratios["experience"], ratios["skills"]
@@ -140,12 +163,12 @@ def structured_features(
         experience = skills = F.lit(0.0)
     by_name = {
         "years_experience": years_experience(t, as_of_year),
-        "education_level": education_level(t).cast("double"),
+        "education_level": _education(found).cast("double"),
         "skill_count": skill_count(known),
         "skill_density": skill_density(t, known),
         "recency_score": recency_score(t, as_of_year),
         "experience_section_ratio": experience,
         "skills_section_ratio": skills,
-        **job_title_signals(t),
+        **_titles(found),
     }
     return [by_name[name].alias(name) for name in lx.FEATURE_COLUMNS]

@@ -104,10 +104,23 @@ _EMAIL_RUN = r"(?<!\S)\S[^\s@]*+@\S+"
 
 
 def expand_aliases(text: ColumnLike) -> Column:
-    """Lower-case, then spell out the short names. Rules run only where one can match."""
+    """Lower-case, then spell out the short names.
+
+    One scan collects the short names that occur, and only their rules run: no rule makes a short name of another.
+    """
+
+    def expanded(t: Column, found: Column) -> Column:
+        for word, pattern, replacement in _ALIAS_RULES:
+            present = F.array_contains(found, word)
+            t = bind(t, lambda x: F.when(present, F.regexp_replace(x, UNICODE + pattern, replacement)).otherwise(x))  # noqa: B023
+        return t
+
     return bind(
         F.lower(text_or_empty(text)),
-        lambda t: F.when(t.rlike(_ALIAS_PROBE), _apply_where_present(t, _ALIAS_RULES)).otherwise(t),
+        lambda t: bind(
+            F.regexp_extract_all(t, F.lit(_ALIAS_PROBE), F.lit(0)),
+            lambda found: F.when(F.size(found) > 0, expanded(t, found)).otherwise(t),
+        ),
     )
 
 
@@ -118,15 +131,17 @@ def protect_terms(text: ColumnLike) -> Column:
 
 def strip_contacts(text: ColumnLike) -> Column:
     """Replace URLs, e-mail addresses and phone numbers with a blank."""
-    no_urls = _apply(text_or_empty(text), [(lx.URL_PATTERN, " ")])
+    no_urls = bind(
+        text_or_empty(text),
+        lambda t: F.when(t.contains("http") | t.contains("www"), _apply(t, [(lx.URL_PATTERN, " ")])).otherwise(t),
+    )
     no_mails = _apply_where_present(no_urls, [("@", _EMAIL_RUN, " ")])
     return _apply(no_mails, [(lx.PHONE_PATTERN, " ")])
 
 
 def fold_charset(text: ColumnLike) -> Column:
     """Keep ``a-z 0-9`` and single blanks."""
-    kept = F.regexp_replace(text_or_empty(text), rf"{UNICODE}[^a-z0-9\s]", " ")
-    return F.trim(F.regexp_replace(kept, rf"{UNICODE}\s+", " "))
+    return F.trim(F.regexp_replace(text_or_empty(text), "[^a-z0-9]+", " "))  # other characters and blanks in one run
 
 
 def clean_text(text: ColumnLike, keep_terms: bool = True) -> Column:
@@ -139,10 +154,11 @@ def default_stop_words() -> list[str]:
     return list(lx.STOP_WORDS)
 
 
-def remove_stopwords(text: ColumnLike, stop_words: list[str] | None = None) -> Column:
-    """Drop stop words from whitespace-separated text."""
+def remove_stopwords(text: ColumnLike, stop_words: list[str] | None = None, folded: bool = False) -> Column:
+    """Drop stop words from whitespace-separated text; ``folded`` text comes from ``fold_charset``."""
     stop = stop_words or default_stop_words()  # a long list: the optimizer makes it a hash set
-    return F.array_join(F.filter(words(text_or_empty(text)), lambda w: ~w.isin(stop)), " ")
+    split = F.split(text_or_empty(text), " ") if folded else words(text_or_empty(text))
+    return F.array_join(F.filter(split, lambda w: ~w.isin(stop)), " ")
 
 
 def sentence_lines(text: ColumnLike, max_chars: int | None = None) -> Column:

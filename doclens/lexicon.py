@@ -300,17 +300,29 @@ def skill_pattern() -> str:
     Spellings are grouped by first character (order kept inside a group), which
     cuts the alternatives tried at a word start from all spellings to a few.
     """
-    by_first: dict[str, list[str]] = {}
+    tails = []
     for spellings in SKILLS.values():
         for spelling in spellings:
             stop = NOT_FOLLOWED_BY.get(spelling)
-            head = escaped(spelling[0])
-            tail = spelling_pattern(spelling)[len(head):] + (f"(?!{stop})" if stop else "")
-            by_first.setdefault(head, []).append(tail)
+            tails.append((spelling, spelling_pattern(spelling) + (f"(?!{stop})" if stop else "")))
+    return _grouped(tails)
+
+
+def _grouped(patterns: list[tuple[str, str]]) -> str:
+    """Whole-word alternation of ``(spelling, pattern)``, grouped by the spellings' first characters."""
+    by_first: dict[str, list[str]] = {}
+    for spelling, pattern in patterns:
+        head = escaped(spelling[0])
+        by_first.setdefault(head, []).append(pattern[len(head):])
     groups = [head + "(?:" + "|".join(tails) + ")" for head, tails in sorted(by_first.items())]
     return r"\b(?:" + "|".join(groups) + r")\b"
 
 
+def signal_pattern() -> str:
+    """One whole-word alternation over all keywords of education levels and job titles."""
+    return _grouped([(w, escaped(w)) for w in dict.fromkeys([*EDUCATION_LEVELS, *(w for words in JOB_TITLES.values() for w in words)])])
+
+
 def any_word(words: list[str]) -> str:
     """Whole-word alternation of literals."""
     return r"\b(?:" + "|".join(escaped(w) for w in words) + r")\b"

@@ -156,9 +156,9 @@ def structured_features(
     as_of_year: int | None = None,
     use_sections: bool = False,
 ) -> DataFrame:
-    """Add the 14 numeric feature columns. Skills are extracted once for count and density."""
-    prepared = df.withColumn("_skills", tx.extract_skills(text_column))
-    columns = ft.structured_features(text_column, as_of_year, use_sections, skills="_skills")
+    """Add the 14 numeric feature columns. Skills and keywords are extracted once."""
+    prepared = df.withColumns({"_skills": tx.extract_skills(text_column), "_signals": ft.signal_words(text_column)})
+    columns = ft.structured_features(text_column, as_of_year, use_sections, "_skills", "_signals")
     return prepared.select(*[F.col(c) for c in df.columns], *columns)
 
 
