@@ -6,6 +6,7 @@ from doclens import lexicon as lx
 from doclens.catalog.base import derived, fold, query, quoted, table, with_views
 from doclens.functions import text as tx
 from doclens.operators import sentences, tokens
+from doclens.session import written
 
 
 def sql_replace(expression: str, pattern: str, replacement: str) -> str:
@@ -186,7 +187,7 @@ WHERE length(norm) >= 2 GROUP BY token
 
 def _dictionary(spark, d, text: str):
     cleaned = table(spark, d, "documents").select(tx.words(tx.clean_text("text")).alias("w"))
-    words = cleaned.select(F.explode("w").alias("token")).distinct()
+    words = written(cleaned.select(F.explode("w").alias("token")).distinct(), "corpus-words")  # joined with itself
     return spark.sql(text.replace("corpus_words", "{corpus_words}"), corpus_words=words)
 
 

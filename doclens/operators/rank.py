@@ -186,7 +186,7 @@ def rank_with_skills(
     result = survivors.select(*columns)
     if with_cleaned_text:
         raw = documents.select(F.col(id_column).alias("doc_id"), _document_text(documents, text_column).alias("_raw"))
-        cleaned = tx.remove_stopwords(tx.clean_text(tx.section_weighted_text("_raw")))
+        cleaned = tx.remove_stopwords(tx.clean_text(tx.section_weighted_text("_raw")), folded=True)
         result = (
             raw.join(broadcast_if_small(result), "doc_id")
             .withColumn("cleaned_text", cleaned)

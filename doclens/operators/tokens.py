@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doclens.batches import slices
 from doclens.functions import text as tx
 from doclens.session import small_table
 
+_WORDS_AT_ONCE = 1 << 17
+
 
 def _with_forms(df: DataFrame, dictionary: DataFrame, words: Column, output: str, id_column: str) -> DataFrame:
     """Add ``output``: the words of each row, replaced by their dictionary forms and joined by blanks.
@@ -29,8 +32,11 @@ def _with_forms(df: DataFrame, dictionary: DataFrame, words: Column, output: str
     kept = df.withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
     names = df.columns
 
+    def word_counts(batch: pa.RecordBatch) -> np.ndarray:
+        return pc.list_value_length(batch.column("_words")).to_numpy(zero_copy_only=False)
+
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, word_counts, _WORDS_AT_ONCE):
             lists = batch.column("_words")
             tokens = lists.flatten()
             normal = pc.coalesce(forms.take(pc.index_in(tokens, value_set=known)), tokens)
@@ -86,7 +92,7 @@ def preprocess_documents(
     ``return_tokens`` gives an array of words instead of text.
     """
     weighted = tx.section_weighted_text(text_column) if section_aware else tx.text_or_empty(text_column)
-    cleaned = df.withColumn(output, tx.remove_stopwords(tx.clean_text(weighted), stop_words))
+    cleaned = df.withColumn(output, tx.remove_stopwords(tx.clean_text(weighted), stop_words, folded=True))
     if dictionary is not None:
         cleaned = (
             _with_forms(cleaned, dictionary, tx.words(output), "_normalized", id_column)

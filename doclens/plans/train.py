@@ -74,7 +74,7 @@ class DocumentClassifier:
         self, df: DataFrame, text_column: str = "text", temperature: float = 0.85, unknown_below: float | None = None
     ) -> DataFrame:
         """Add ``cleaned_text``, ``category``, ``confidence`` and ``backend`` to raw documents."""
-        cleaned = tx.remove_stopwords(tx.clean_text(tx.section_weighted_text(text_column)))
+        cleaned = tx.remove_stopwords(tx.clean_text(tx.section_weighted_text(text_column)), folded=True)
         work = self.vectorise(df.withColumn("cleaned_text", cleaned), text_column)
         scored = classify.predict_category(self.fitted, work, self.classes, temperature, unknown_below)
         return scored.withColumn("backend", F.lit(self.features.backend)).drop(
