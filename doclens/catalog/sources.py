@@ -5,10 +5,10 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from doclens.batches import SLICE_BYTES, byte_sizes, slices
 from doclens.catalog.base import derived, query, table, with_views
 from doclens.catalog.ranking import _SCORES, SQL_RANKED, _flat
 from doclens.catalog.text import sql_strip
@@ -35,14 +35,13 @@ def docx_bytes(text: str) -> bytes:
 def uploads_of(df, suffix: str = "'DOCX'"):
     """Pack every document text as an uploaded DOCX blob; ``suffix`` is a SQL expression."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                {"filename": batch["filename"], "content": [docx_bytes(t) for t in batch["text"]]}
-            )
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, lambda b: byte_sizes(b.column("text")), SLICE_BYTES):
+            packed = [docx_bytes(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("filename"), pa.array(packed, pa.binary())], ["filename", "content"])
 
     name = F.concat(F.lit("cv"), F.col("doc_id").cast("string"), F.lit("."), F.expr(suffix))
-    return df.select(name.alias("filename"), "text").mapInPandas(pack, "filename string, content binary")
+    return df.select(name.alias("filename"), "text").mapInArrow(pack, "filename string, content binary")
 
 
 _KEPT = (

@@ -1,7 +1,7 @@
 """Text extraction from document files and uploaded blobs, one Spark job each.
 
 Reading a zip container cannot be written as a column expression, so a small
-per-row helper runs under ``mapInPandas``; Spark distributes the files.
+per-row helper runs under ``mapInArrow``; Spark distributes the files.
 """
 
 from __future__ import annotations
@@ -11,15 +11,18 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclens.batches import SLICE_BYTES, byte_sizes, slices
 from doclens.functions import text as tx
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _EXTRACTED = "filename string, filepath string, text string, file_type string, error string"
 
+_FILE_BYTES = 4096  # what a file counts besides its content
+
 Reader = Callable[[bytes], str]
 
 
@@ -58,16 +61,16 @@ def _default_pdf_reader() -> Reader | None:
 def _extract(rows: DataFrame, pdf_reader: Reader | None) -> DataFrame:
     """``rows``: ``filename, filepath, suffix, file_type, content``. A failing row keeps its error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers = {".docx": read_docx, ".pdf": pdf_reader or _default_pdf_reader()}
-        for batch in batches:
+        for batch in slices(batches, lambda b: byte_sizes(b.column("content")) + _FILE_BYTES, SLICE_BYTES):
             texts, errors = [], []
-            for suffix, content in zip(batch["suffix"], batch["content"]):
+            for suffix, content in zip(batch.column("suffix").to_pylist(), batch.column("content")):
                 text, error = None, None
                 try:
                     reader = readers.get(suffix)
                     if reader is not None:
-                        text = reader(bytes(content))
+                        text = reader(content.as_py())
                     elif suffix in readers:
                         error = f"no reader for {suffix} on this executor"
                     else:
@@ -76,11 +79,10 @@ def _extract(rows: DataFrame, pdf_reader: Reader | None) -> DataFrame:
                     error = f"{type(problem).__name__}: {problem}"
                 texts.append(text)
                 errors.append(error)
-            yield batch[["filename", "filepath", "file_type"]].assign(text=texts, error=errors)[
-                ["filename", "filepath", "text", "file_type", "error"]
-            ]
+            columns = [*(batch.column(c) for c in ("filename", "filepath")), pa.array(texts, pa.string()), batch.column("file_type"), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["filename", "filepath", "text", "file_type", "error"])
 
-    return rows.select("filename", "filepath", "suffix", "file_type", "content").mapInPandas(run, _EXTRACTED)
+    return rows.select("filename", "filepath", "suffix", "file_type", "content").mapInArrow(run, _EXTRACTED)
 
 
 def _finished(extracted: DataFrame, keep_errors: bool, split_sentences: bool) -> DataFrame:
