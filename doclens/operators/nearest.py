@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from doclens.batches import slices
 from doclens.files import Whole, make_folder, opened
 from doclens.session import shared_folder, written
 
 BLOCK_ROWS = 10_000
 _MATRIX_CELLS = 4_000_000  # scores held at once by one task
+_DOCUMENTS = 1024  # documents whose vectors a task widens and scores at once,
+_JOB_CELLS = 1 << 19  # or as many as have so many scores: there are several such matrices side by side
 
 
 _ARROW = {
@@ -142,7 +145,7 @@ class JobBlock:
 
     def best(self, doc_ids: np.ndarray, documents: np.ndarray) -> pa.Table:
         """Best ``top_n`` documents of the batch for every job."""
-        step = max(1, _MATRIX_CELLS // max(len(self.job_id), 1))
+        step = max(1, _JOB_CELLS // max(len(self.job_id), 1))
         parts = []
         for start in range(0, len(doc_ids), step):
             ids, rows = doc_ids[start : start + step], documents[start : start + step]
@@ -168,6 +171,16 @@ def trim(parts: list[pa.Table], schema: pa.Schema) -> pa.Table:
     return merged.take(order[kept])
 
 
+def best_documents(jobs: JobBlock, batches: Iterator[pa.RecordBatch], width: int) -> pa.Table:
+    """Best ``top_n`` of a task's documents for every job, few documents at a time however large the batches are."""
+    kept: list[pa.Table] = []
+    for batch in slices(batches, lambda b: np.ones(b.num_rows, np.int64), _DOCUMENTS):
+        kept.append(jobs.best(sortable(batch.column("doc_id")), matrix(batch.column("vector"), width)))
+        if len(kept) >= 8:
+            kept = [trim(kept, jobs.schema)]
+    return trim(kept, jobs.schema)
+
+
 def top_documents_per_job(
     jobs: DataFrame, documents: DataFrame, vector_dim: int, skill_dim: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -188,13 +201,7 @@ def top_documents_per_job(
         block = documents.sparkSession.sparkContext.broadcast(JobBlock(table, vector_dim, skill_dim, schema))
 
         def stream(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            known = block.value
-            kept: list[pa.Table] = []
-            for batch in batches:
-                kept.append(known.best(sortable(batch.column("doc_id")), matrix(batch.column("vector"), width)))
-                if len(kept) >= 8:
-                    kept = [trim(kept, schema)]
-            yield from trim(kept, schema).to_batches()
+            yield from best_documents(block.value, batches, width).to_batches()
 
         part = documents.mapInArrow(stream, f"job_id {kinds[0]}, doc_id {kinds[1]}, {_SCORES_SQL}")
         partial = part if partial is None else partial.unionAll(part)

@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from doclens.catalog.sources import docx_bytes
@@ -178,3 +180,23 @@ def test_ranking_takes_the_first_text_that_is_there(spark, jobs):
     key = lambda r: (r["job_id"], r["rank"], r["doc_id"], r["combined_score"])
     got = rank.rank_with_skills(jobs, docs, ("cleaned_text", "body", "text")).collect()
     assert sorted(map(key, got)) == sorted(map(key, rank.rank_with_skills(jobs, plain).collect()))
+
+
+def test_a_task_scores_few_documents_at_a_time():
+    """An Arrow batch of 10,000 vectors was widened and scored at once, in matrices of documents by jobs."""
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 3, (3000, 4)).astype(np.float32)
+    schema = pa.schema([("job_id", pa.int64()), ("doc_id", pa.int64()), *nearest._SCORES.items()])
+    wanted = pa.table({
+        "job_id": list(range(600)), "vector": [[1.0, j % 5, j % 3, 1.0] for j in range(600)], "top_n": [3] * 600, "is_blank": [False] * 600,
+        "similarity_weight": [0.5] * 600, "skill_weight": [0.5] * 600,
+    })
+    jobs = nearest.JobBlock(wanted, 3, 1, schema)
+    similarity, skill, combined = jobs.score(counts.astype(float))
+    order = [np.lexsort((np.arange(3000), -combined[:, j]))[:3].tolist() for j in range(600)]
+    sizes, score = [], jobs.score
+    jobs.score = lambda documents: sizes.append(len(documents)) or score(documents)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(counts.tolist(), pa.list_(pa.float32()))], ["doc_id", "vector"])
+    found = nearest.best_documents(jobs, iter([batch]), 4).sort_by([("job_id", "ascending"), ("combined_score", "descending"), ("doc_id", "ascending")])
+    assert sum(sizes) == 3000 and max(sizes) <= 1024
+    assert found.column("doc_id").to_pylist() == [d for docs in order for d in docs]
