@@ -200,3 +200,9 @@ def test_a_task_scores_few_documents_at_a_time():
     found = nearest.best_documents(jobs, iter([batch]), 4).sort_by([("job_id", "ascending"), ("combined_score", "descending"), ("doc_id", "ascending")])
     assert sum(sizes) == 3000 and max(sizes) <= 1024
     assert found.column("doc_id").to_pylist() == [d for docs in order for d in docs]
+
+
+def test_survivors_are_found_without_shuffling_the_texts(spark, jobs, docs):
+    plan = screen.screen(jobs, docs)._jdf.queryExecution().optimizedPlan().toString()
+    semi = [line for line in plan.splitlines() if "Join LeftSemi" in line]
+    assert len(semi) == 1 and "rightHint=(strategy=broadcast)" in semi[0]
