@@ -420,22 +420,26 @@ class Ensemble:
     _joined: tuple | None = field(default=None, repr=False)
 
     def _arrays(self) -> tuple:
+        """All trees end to end: roots, features, thresholds, left children (of a leaf: its place among the values), values of the leaves."""
         if self._joined is None:
             sizes = np.array([len(t.feature) for t in self.trees])
             roots = np.cumsum(sizes) - sizes
+            feature = np.concatenate([t.feature for t in self.trees]).astype(np.int32)
+            left = np.concatenate([t.left + r for t, r in zip(self.trees, roots)])
+            leaf = feature < 0
             self._joined = (
                 roots.astype(np.int32),
-                np.concatenate([t.feature for t in self.trees]).astype(np.int32),
+                feature,
                 np.concatenate([t.threshold for t in self.trees]),
-                np.concatenate([t.left + r for t, r in zip(self.trees, roots)]).astype(np.int32),
-                np.concatenate([t.value for t in self.trees]),
+                np.where(leaf, np.cumsum(leaf) - 1, left).astype(np.int32),
+                np.concatenate([t.value[t.feature < 0] for t in self.trees]),
             )
         return self._joined
 
     def raw(self, values: np.ndarray) -> np.ndarray:
         """Scores (boosted) or mean class shares of rows of feature values."""
         out = np.tile(np.array(self.start), (len(values), 1)) if self.boosted else np.zeros((len(values), self.classes))
-        if not self.trees:
+        if not self.trees and self._joined is None:
             return out
         roots, feature, threshold, left, value = self._arrays()
         step = max(1, 1_000_000 // len(roots))
@@ -449,7 +453,7 @@ class Ensemble:
                 at = left[at] + (some[row[going], feature[at]] > threshold[at])
                 node[going] = at
                 going = going[feature[at] >= 0]
-            node = node.reshape(len(some), len(roots))
+            node = left[node].reshape(len(some), len(roots))
             if self.boosted:
                 out[begin : begin + step] += value[node, 0].reshape(len(some), -1, self.classes).sum(1)
             else:
@@ -463,7 +467,9 @@ class Ensemble:
 
     def column(self, spark: SparkSession, features: str = "features") -> Column:
         """Class probabilities of the feature vector; executors get the trees once."""
-        model = spark.sparkContext.broadcast(self)
+        # a worker holds the joined arrays, not the trees as well
+        joined = self._arrays() if self.trees else None
+        model = spark.sparkContext.broadcast(Ensemble([], self.classes, self.start, self.boosted, joined))
 
         @F.arrow_udf("array<double>")
         def probabilities(column: pa.Array) -> pa.Array:

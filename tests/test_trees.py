@@ -179,3 +179,31 @@ def test_bounds(spark):
         trees.sample_of(_frame(spark, x, y), 20)
     constant = classify.fit_classifier(_frame(spark, np.ones((30, 2)), y), "xgboost", rounds=2)
     assert constant.transform(_frame(spark, np.ones((3, 2)), y[:3])).select(F.size("probabilities")).first()[0] == 3
+
+
+@pytest.mark.parametrize("boosted", [False, True])
+def test_workers_get_leaf_values_once(spark, monkeypatch, boosted):
+    """A worker held the trees and their joined arrays, with a value of every class for inner nodes, too."""
+    x, y = _rows(200, 4, 6)
+    sample = trees.sample_of(_frame(spark, x, y), 1000)
+    fit, params = (trees.fit_boosting, trees.Boosting(rounds=3)) if boosted else (trees.fit_forest, trees.Forest(trees=5))
+    model = fit(spark, sample, params)
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    got = _frame(spark, x, y).select("doc_id", model.column(spark).alias("p")).orderBy("doc_id").collect()
+    leaves = sum(int((t.feature < 0).sum()) for t in model.trees)
+    assert sent[0].trees == [] and len(sent[0]._joined[-1]) == leaves < sum(len(t.feature) for t in model.trees)
+
+    def walk(tree, row):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.left[at] + (row[tree.feature[at]] > tree.threshold[at])
+        return tree.value[at]
+
+    if boosted:
+        raw = np.array([[model.start[c] + sum(walk(t, row)[0] for t in model.trees[c :: model.classes]) for c in range(model.classes)] for row in x])
+        want = trees.softmax(raw)
+    else:
+        want = np.array([np.mean([walk(t, row) for t in model.trees], axis=0) for row in x])
+    np.testing.assert_allclose([r["p"] for r in got], want, rtol=1e-12)
