@@ -272,6 +272,7 @@ def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     model = semantic.fit_semantic(docs, "text", dims=_FULL_TERMS, max_terms=_FULL_TERMS)
     embedded = model.transform(docs, "text").select("doc_id", F.col("embedding").cast("array<double>").alias("e"))
+    embedded = written(embedded, "embedded")  # read for the first document and for all
     some = embedded.filter(F.exists("e", lambda x: x != 0)).orderBy("doc_id").limit(1).collect()
     first = F.array(*[F.lit(x) for x in (some[0]["e"] if some else [0.0] * _FULL_TERMS)])
     product = F.aggregate(F.zip_with("e", first, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)

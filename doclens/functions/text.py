@@ -341,21 +341,27 @@ def encoder_tokens(text: ColumnLike) -> Column:
     return bind(tokens, lambda t: F.when(F.size(t) == 0, F.array(F.lit("empty"))).otherwise(t))
 
 
-def tfidf_terms(text: ColumnLike, stop_words: list[str] | None = None) -> Column:
-    """Uni- and bigrams over tokens, built after stop words are dropped."""
+def tfidf_words(text: ColumnLike, stop_words: list[str] | None = None) -> Column:
+    """The tokens of TF-IDF terms, without stop words."""
     stop = stop_words or default_stop_words()
-    tokens = F.filter(
+    return F.filter(
         F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(UNICODE + lx.TFIDF_TOKEN), F.lit(0)),
         lambda t: ~t.isin(stop),
     )
-    return bind(
-        tokens,
-        lambda t: F.concat(
-            t,
-            F.zip_with(
-                F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))),
-                F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
-                lambda a, b: F.concat(a, F.lit(" "), b),
-            ),
-        ),
+
+
+def bigrams(tokens: Column, only: list[str] | None = None) -> Column:
+    """Neighbours joined by a blank; with ``only``, those of two tokens that are in it."""
+    rest = F.greatest(F.size(tokens) - 1, F.lit(0))
+    joined = lambda a, b: F.concat(a, F.lit(" "), b)
+    if only is None:
+        return F.zip_with(F.slice(tokens, 1, rest), F.slice(tokens, 2, rest), joined)
+    known = F.transform(tokens, lambda t: F.when(t.isin(only), t))  # a pair with NULL is NULL
+    return F.filter(
+        bind(known, lambda t: F.zip_with(F.slice(t, 1, rest), F.slice(t, 2, rest), joined)), lambda pair: pair.isNotNull()
     )
+
+
+def tfidf_terms(text: ColumnLike, stop_words: list[str] | None = None) -> Column:
+    """Uni- and bigrams over tokens, built after stop words are dropped."""
+    return bind(tfidf_words(text, stop_words), lambda t: F.concat(t, bigrams(t)))

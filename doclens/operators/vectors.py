@@ -16,6 +16,9 @@ from doclens import lexicon as lx
 from doclens.functions import features as ft
 from doclens.functions import text as tx
 from doclens.operators.numbering import number_rows
+from doclens.session import small_table, written
+
+_FEW_TERMS = 1000  # a vocabulary of at most so many terms has its tokens counted before its bigrams
 
 # -- default encoder -----------------------------------------------------------------
 
@@ -109,6 +112,17 @@ class TfidfModel:
         return pairs.select(id_column, F.get(vocabulary, F.col("i")).alias("term"), "weight")
 
 
+def _term_counts(df: DataFrame, terms: Column) -> DataFrame:
+    """``(term, cf, df)``: occurrences, and rows that have the term. In a row equal terms lie side by side and the first is marked."""
+
+    def marked(t: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), t)  # one longer
+        return F.zip_with(t, F.slice(before, 1, F.size(t)), lambda a, b: F.struct(a.alias("term"), F.when(a == b, 0).otherwise(1).alias("first")))
+
+    rows = df.select(F.inline(tx.bind(F.sort_array(terms), marked)))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("cf"), F.sum("first").alias("df"))
+
+
 def fit_tfidf(
     df: DataFrame,
     text_column: str,
@@ -119,25 +133,31 @@ def fit_tfidf(
 ) -> TfidfModel:
     """Count terms and documents per term in one aggregation keyed by term only.
 
-    Every document contributes its terms once for the corpus count and its
-    distinct terms once for the document count, so there is no shuffle by
+    Every document contributes each occurrence of a term once, so there is no shuffle by
     ``(document, term)``, and a very common term combines map-side. Only the
     ``max_terms`` best terms reach the driver.
+
+    For few terms the single tokens are counted first. No bigram is more frequent than its tokens, so those with a token
+    that is rarer than the ``max_terms`` best tokens are not among the best terms and need no count.
     """
-    marked = tx.bind(
-        tx.tfidf_terms(text_column, stop_words),
-        lambda terms: F.concat(
-            F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))),
-            F.transform(
-                F.array_distinct(terms),
-                lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df")),
-            ),
-        ),
-    )
     rows = df.count()
-    counts = df.select(F.inline(marked)).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+
+    def usable(counts: DataFrame) -> DataFrame:
+        return counts.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * rows)))
+
+    counts = None
+    if 0 < max_terms <= _FEW_TERMS:
+        single = written(_term_counts(df, tx.tfidf_words(text_column, stop_words)), "tokens")
+        best = usable(single).orderBy(F.col("cf").desc()).limit(max_terms).agg(F.min("cf").alias("least"), F.count("cf").alias("n")).first()
+        frequent = single.filter(F.col("cf") >= (best["least"] if best["n"] == max_terms else 0))
+        names = small_table(frequent.select("term"), 2 * _FEW_TERMS)
+        if names is not None:
+            pairs = tx.bind(tx.tfidf_words(text_column, stop_words), lambda t: tx.bigrams(t, names.column("term").to_pylist()))
+            counts = frequent.unionByName(_term_counts(df, pairs))
+    if counts is None:
+        counts = _term_counts(df, tx.tfidf_terms(text_column, stop_words))
     best = (
-        counts.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * rows)))
+        usable(counts)
         .orderBy(F.col("cf").desc(), "term")
         .limit(max_terms)
         .withColumn("idf", F.ln(F.lit(1.0 + rows) / (1 + F.col("df"))) + 1)
