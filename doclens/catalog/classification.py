@@ -1,7 +1,6 @@
 """Queries of model fits, tuning, calibration, training and prediction.
 
-Fits run with the library defaults on samples of at most ``classify.MAX_FIT_ROWS`` labelled rows; everything else
-covers whole tables. A fit has no SQL form; what is determined about its result has: row counts, classes, ranges,
+Fits run with the library defaults on all labelled rows of the train split. A fit has no SQL form; what is determined about its result has: row counts, classes, ranges,
 and that the model fits the rows it was trained on.
 """
 
@@ -54,9 +53,8 @@ _FACTS = """SELECT CAST(ceil(0.2 * count(*)) AS BIGINT) AS test_rows, true AS kn
 
 def _fit_and_score(spark, d, model_type):
     rows = _embedded(spark, d)
-    # the sample is bounded, and a fit runs a job per step: one task each
-    sample = classify.fit_sample(rows.filter("NOT is_test"), "vec_id").coalesce(1)
-    return _facts(classify.fit_classifier(sample, model_type).transform(rows), F.col("is_test"))
+    fitted = classify.fit_classifier(classify.fit_rows(rows.filter("NOT is_test")), model_type)
+    return _facts(fitted.transform(rows), F.col("is_test"))
 
 
 @query("fit_logistic", _FACTS)
@@ -103,8 +101,7 @@ def _(spark, d):
 
 def _tuned(spark, d, model_type):
     rows = _embedded(spark, d)
-    sample = classify.fit_sample(rows.filter("NOT is_test"), "vec_id").coalesce(1)
-    best, scores = classify.tune(sample, model_type, parallelism=8, id_column="vec_id")
+    best, scores = classify.tune(classify.fit_rows(rows.filter("NOT is_test")), model_type, parallelism=8, id_column="vec_id")
     top = max(s for _, s in scores)
     return [(p, 0 <= s <= 1, next(t for q, t in scores if q == best) == top) for p, s in scores]
 
@@ -142,8 +139,7 @@ def _(spark, d):
 @query("calibrate", _FACTS.replace("true AS fits_train", "true AS three_folds"))
 def _(spark, d):
     rows = _embedded(spark, d)
-    sample = classify.fit_sample(rows.filter("NOT is_test"), "vec_id").coalesce(1)
-    fitted = classify.calibrate(sample, "logistic", "vec_id")
+    fitted = classify.calibrate(classify.fit_rows(rows.filter("NOT is_test")), "logistic", "vec_id")
     return _facts(fitted.transform(rows), F.col("is_test")).drop("fits_train").withColumn("three_folds", F.lit(len(fitted.folds) == 3))
 
 

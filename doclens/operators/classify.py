@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import scores as sc
-from doclens.operators import evaluate, kernels, nearest, trees
+from doclens.operators import blocks, evaluate, kernels, nearest, trees
 from doclens.operators.sampling import class_sizes, hash_order, mark_selected
 from doclens.session import DEFAULT_SEED, broadcast_if_small, shared_folder, written
 
@@ -28,7 +28,8 @@ COMPARED_MODELS = ["gradient_boosting", "random_forest", "logistic", "svm", "xgb
 _MIN_ROWS_TO_TUNE = 200
 _MIN_ROWS_TO_CALIBRATE = 30
 _FOLDS = 3
-MAX_FIT_ROWS = 20_000
+LOCAL_ROWS = 20_000  # fits of trees and kernels hold so many rows in a task; more stay in block files
+_BIN_DIGITS = 3  # 4,096 bins of hashes per class
 _SCORE_STEPS = 10_000
 
 
@@ -165,7 +166,7 @@ def estimator(model_type: str, rows: int, **params):
 
 
 def fit_sample(
-    df: DataFrame, id_column: str, label_column: str = "label", max_fit_rows: int = MAX_FIT_ROWS, seed: int = DEFAULT_SEED
+    df: DataFrame, id_column: str, label_column: str = "label", max_fit_rows: int = LOCAL_ROWS, seed: int = DEFAULT_SEED
 ) -> DataFrame:
     """At most about ``max_fit_rows`` labelled rows, the first of each class in hash order; all of them when there are no more.
 
@@ -179,26 +180,48 @@ def fit_sample(
     return mark_selected(df, id_column, label_column, quotas, "_fit", seed).filter("_fit").drop("_fit")
 
 
+def fit_rows(df: DataFrame, label_column: str = "label") -> DataFrame:
+    """All rows that have a label, in few tasks: an iterative fit runs a job per step, a small table must not pay for near-empty tasks."""
+    labelled = df.filter(F.col(label_column).isNotNull())
+    return labelled.coalesce(max(1, -(-labelled.count() // LOCAL_ROWS)))
+
+
 def with_folds(df: DataFrame, id_column: str, label_column: str = "label", folds: int = _FOLDS, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Add ``_fold``: rows of each class dealt round by hash rank. Meant for fit samples, whose rows are bounded."""
-    rank = F.row_number().over(Window.partitionBy(label_column).orderBy(hash_order(id_column, seed), id_column))
-    return df.withColumn("_fold", ((rank - 1) % folds).cast("int"))
+    """Add ``_fold``: rows of each class dealt round by hash rank.
+
+    Rows are ranked inside the bins of their class's leading hash digits; ranks go on after the rows of the bins before.
+    """
+    names = df.columns
+    keyed = df.withColumn("_h", hash_order(id_column, seed)).withColumn("_bin", F.left("_h", F.lit(_BIN_DIGITS)))
+    bins = keyed.groupBy(F.col(label_column).alias("_class"), F.col("_bin").alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_class").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,097 rows
+    offsets = broadcast_if_small(bins.select("_class", "_in", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    same_bin = F.col(label_column).eqNullSafe(F.col("_class")) & F.col("_bin").eqNullSafe(F.col("_in"))
+    rank = F.col("_offset") + F.row_number().over(Window.partitionBy(label_column, "_bin").orderBy("_h", id_column))
+    return keyed.join(offsets, same_bin).select(*names, ((rank - 1) % folds).cast("int").alias("_fold"))
 
 
 def fit_classifier(df: DataFrame, model_type: str = "logistic", **params) -> FittedClassifier:
     """Fit on ``features`` (ML vector) and ``label`` (class code as double).
 
-    A ``svm`` has the RBF kernel; with ``dims`` the kernel is approximated by so many random features and the fit is
-    distributed, which takes any number of rows.
+    Every fit takes all rows of ``df``, any number of them. A ``svm`` has the RBF kernel; with ``dims`` the kernel is
+    approximated by so many random features.
     """
     if model_type in TREE_MODELS:
-        sample, chosen = trees.sample_of(df, MAX_FIT_ROWS), tree_params(model_type, **params)
+        sample, chosen = _tree_rows(df), tree_params(model_type, **params)
         fit = trees.fit_forest if model_type == "random_forest" else trees.fit_boosting
-        return FittedClassifier(model_type, fit(df.sparkSession, sample, chosen), params=params)
+        fitted = FittedClassifier(model_type, fit(df.sparkSession, sample, chosen), params=params)
+        sample.delete()
+        return fitted
     if model_type == "knn":
         return FittedClassifier(model_type, fit_nearest(df, **params), params=params)
     if model_type == "svm" and "dims" not in params:
-        return FittedClassifier(model_type, kernels.fit_machine(df.sparkSession, *kernels.sample_of(df, MAX_FIT_ROWS), **params), params=params)
+        if df.count() <= LOCAL_ROWS:
+            return FittedClassifier(model_type, kernels.fit_machine(df.sparkSession, *kernels.sample_of(df, LOCAL_ROWS), **params), params=params)
+        values, labels = blocks.stored(df, by_label=True)
+        fitted = FittedClassifier(model_type, kernels.fit_machine_stored(df.sparkSession, values, labels, **params), params=params)
+        values.delete()
+        return fitted
     rows = df.count()
     weighted = with_class_weight(df)
     fourier = None
@@ -209,6 +232,10 @@ def fit_classifier(df: DataFrame, model_type: str = "logistic", **params) -> Fit
     return FittedClassifier(model_type, model, fourier, params)
 
 
+def _tree_rows(df: DataFrame) -> trees.Sample:
+    return trees.sample_of(df, LOCAL_ROWS) if df.count() <= LOCAL_ROWS else trees.stored_sample(df)
+
+
 # -- tuning --------------------------------------------------------------------------------
 
 
@@ -249,9 +276,10 @@ def tune(
     if rows < min_rows or len(grid) < 2:
         return (grid[0] if len(grid) == 1 else {}), []
     if model_type in TREE_MODELS:
-        sample = trees.sample_of(df, MAX_FIT_ROWS)
+        sample = _tree_rows(df)
         search = trees.tune_forest if model_type == "random_forest" else trees.tune_boosting
         scores = search(df.sparkSession, sample, grid, tree_params(model_type), _FOLDS)
+        sample.delete()
         return grid[max(range(len(grid)), key=lambda i: scores[i])], list(zip(grid, scores))
     weighted = written(with_folds(with_class_weight(df), id_column), "folds")
     # penalties scale with the rows that a fold's model is fitted on

@@ -1,7 +1,9 @@
 """Support vector machines with the RBF kernel: one against one, with pairwise probabilities.
 
-A fit sample is bounded (``classify.MAX_FIT_ROWS`` rows). Every pair of classes is a problem of its own; a task solves
-it with all kernel values it needs computed from the rows of the two classes. The dual is solved by pairs of
+Every pair of classes is a problem of its own; a task solves
+it with all kernel values it needs computed from the rows of the two classes. More rows than ``classify.LOCAL_ROWS`` stay in
+block files, sorted by class; then a task solves one problem of a pair, that of all its rows or that of a fold, and holds
+some numbers a row and the kernel rows used last, whatever the features. The dual is solved by pairs of
 variables that violate optimality most (second-order choice of the partner), until the violation is below the
 tolerance or the iterations are used up. Margins become probabilities by a sigmoid fitted with Newton steps on
 margins of held-out folds; the probabilities of all pairs are coupled into those of the classes.
@@ -18,9 +20,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.session import DEFAULT_SEED
+from doclens.files import make_folder, opened
+from doclens.operators import blocks
+from doclens.operators.blocks import Blocks
+from doclens.session import DEFAULT_SEED, shared_folder
 
-_KEPT_ROWS = 2_000  # kernel rows that a problem keeps
+_KEPT_ROWS = 2_000  # kernel rows that a problem keeps,
+_KEPT_BYTES = 1 << 27  # or as many as have so many bytes
 
 
 def kernel(one: np.ndarray, other: np.ndarray, gamma: float) -> np.ndarray:
@@ -28,20 +34,50 @@ def kernel(one: np.ndarray, other: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(gaps, 0.0))
 
 
-def solve(x: np.ndarray, y: np.ndarray, bounds: np.ndarray, gamma: float, tol: float, max_iter: int) -> tuple[np.ndarray, float]:
+class PairRows:
+    """The rows of two classes, which are two stretches of rows sorted by class, in block files."""
+
+    def __init__(self, values: Blocks, spans: list[tuple[int, int]]):
+        self.values, self.spans = values, spans
+        self.rows = np.concatenate([np.arange(a, b) for a, b in spans])
+        self.squares = self._each(lambda block: np.einsum("ij,ij->i", block, block))
+
+    def _each(self, of) -> np.ndarray:
+        out, at = np.empty(len(self.rows)), 0
+        for a, b in self.spans:
+            for _, block in self.values.pieces(a, b):
+                out[at : at + len(block)] = of(block)
+                at += len(block)
+        return out
+
+    def kernel_row(self, i: int, gamma: float) -> np.ndarray:
+        own = self.values.take(self.rows[i : i + 1])[0]
+        gaps = self._each(lambda block: block @ own)
+        gaps *= -2.0
+        gaps += self.squares + self.squares[i]
+        return np.exp(-gamma * np.maximum(gaps, 0.0))
+
+
+def solve(x: np.ndarray | PairRows, y: np.ndarray, bounds: np.ndarray, gamma: float, tol: float, max_iter: int) -> tuple[np.ndarray, float]:
     """``(alpha * y, bias)`` of the soft-margin dual; ``y`` is 1 or -1, ``bounds`` the largest alpha of each row.
 
     ``max_iter`` below 0 means no limit.
     """
+    return solved(x, y, bounds, gamma, tol, max_iter)[:2]
+
+
+def solved(x: np.ndarray | PairRows, y: np.ndarray, bounds: np.ndarray, gamma: float, tol: float, max_iter: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """As ``solve``, and the margin of every row; rows of bound 0 have no part in the problem."""
     n = len(y)
+    most = max(2, min(_KEPT_ROWS, _KEPT_BYTES // (8 * max(n, 1))))
     alpha, gradient = np.zeros(n), -np.ones(n)
     kept: dict[int, np.ndarray] = {}
 
     def row(i: int) -> np.ndarray:
         if i not in kept:
-            if len(kept) >= _KEPT_ROWS:
+            if len(kept) >= most:
                 kept.pop(next(iter(kept)))
-            kept[i] = kernel(x[i : i + 1], x, gamma)[0]
+            kept[i] = x.kernel_row(i, gamma) if isinstance(x, PairRows) else kernel(x[i : i + 1], x, gamma)[0]
         return kept[i]
 
     done = 0
@@ -71,10 +107,12 @@ def solve(x: np.ndarray, y: np.ndarray, bounds: np.ndarray, gamma: float, tol: f
     free = (alpha > 0) & (alpha < bounds)
     steep = -y * gradient
     if free.any():
-        return alpha * y, float(steep[free].mean())
-    up, down = np.where(y > 0, alpha < bounds, alpha > 0), np.where(y > 0, alpha > 0, alpha < bounds)
-    ends = [steep[up].max()] * bool(up.any()) + [steep[down].min()] * bool(down.any())
-    return alpha * y, float(np.mean(ends)) if ends else 0.0
+        bias = float(steep[free].mean())
+    else:
+        up, down = np.where(y > 0, alpha < bounds, alpha > 0), np.where(y > 0, alpha > 0, alpha < bounds)
+        ends = [steep[up].max()] * bool(up.any()) + [steep[down].min()] * bool(down.any())
+        bias = float(np.mean(ends)) if ends else 0.0
+    return alpha * y, bias, (gradient + 1.0) * y + bias
 
 
 def objective(coefficients: np.ndarray, x: np.ndarray, y: np.ndarray, gamma: float) -> float:
@@ -225,10 +263,10 @@ class KernelMachine:
 
 
 def sample_of(df: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature values and labels of a fit sample, in an order of their contents; more than ``max_rows`` rows are an error."""
+    """Feature values and labels of a fit on the driver, in an order of their contents; more than ``max_rows`` rows are an error."""
     rows = df.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y")).limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        raise ValueError(f"a fit takes at most {max_rows} rows: sample them with fit_sample")
+        raise ValueError(f"a fit on the driver takes at most {max_rows} rows: take fit_machine_stored")
     labels = rows.column("y").to_numpy().astype(np.int64)
     values = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(labels), -1) if len(labels) else np.zeros((0, 0))
     order = np.lexsort((*values.T, labels))
@@ -295,6 +333,98 @@ def fit_machine(
     )
 
 
+def fit_machine_stored(
+    spark: SparkSession, values: Blocks, labels: np.ndarray, c: float = 10.0, gamma: float | None = None, tol: float = 1e-3,
+    max_iter: int = 2000, folds: int = 5, seed: int = DEFAULT_SEED,
+) -> KernelMachine:
+    """As ``fit_machine`` over rows in block files, sorted by class: a task for each pair of classes and fold, and for each pair.
+
+    The support rows reach the driver: at most two for every step of a pair's solver.
+    """
+    counts = np.bincount(labels)
+    seen = np.flatnonzero(counts)
+    ends = np.cumsum(counts)
+    gamma = gamma or _stored_gamma(spark, values)
+    weight = len(labels) / (len(seen) * np.maximum(counts, 1))
+    pairs = [(int(a), int(b)) for i, a in enumerate(seen) for b in seen[i + 1 :]]
+    folder = shared_folder(spark, "margins")
+    make_folder(folder)
+
+    def sides(at: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+        """Stretches of rows, their sides and bounds, and the fold of each row."""
+        one, other = pairs[at]
+        y = np.repeat([1.0, -1.0], [counts[one], counts[other]])
+        bounds = c * np.repeat([weight[one], weight[other]], [counts[one], counts[other]])
+        dealt = (np.random.default_rng([seed, at]).permutation(len(y)) % folds).astype(np.int16)
+        return [(int(ends[k] - counts[k]), int(ends[k])) for k in (one, other)], y, bounds, dealt
+
+    def one_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit in batch.column("id").to_pylist():
+                at, fold = divmod(unit, folds + 1)
+                spans, y, bounds, dealt = sides(at)
+                if fold == folds:  # all rows
+                    x = PairRows(values, spans)
+                    coefficients, bias = solve(x, y, bounds, gamma, tol, max_iter)
+                    used = np.flatnonzero(coefficients)
+                    yield pa.RecordBatch.from_pylist([{"pair": at, "rows": x.rows[used].tolist(), "w": coefficients[used].tolist(), "bias": bias, "a": 0.0, "b": 0.0}], schema=_PAIR)
+                    continue
+                # the sigmoid sees margins of rows that their solver run did not
+                rest, held = dealt != fold, dealt == fold
+                if not held.any():
+                    continue
+                if len(np.unique(y[rest])) < 2:
+                    margins = np.full(len(y), y[rest][0] if rest.any() else 0.0)
+                else:
+                    margins = solved(PairRows(values, spans), y, np.where(rest, bounds, 0.0), gamma, tol, max_iter)[2]
+                blocks.write(folder, f"{at}-{fold}", margins[held])
+
+    def one_sigmoid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                _, y, _, dealt = sides(at)
+                margins = np.zeros(len(y))
+                for fold in range(folds):
+                    held = dealt == fold
+                    if held.any():
+                        margins[held] = blocks.mapped(f"{folder}/{at}-{fold}", "float64", (int(held.sum()),))
+                a, b = fit_sigmoid(margins, y)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([a], pa.float64()), pa.array([b], pa.float64())], ["pair", "a", "b"])
+
+    found, sigmoids = [], []
+    if pairs:
+        units = len(pairs) * (folds + 1)
+        fields = "pair long, rows array<long>, w array<double>, bias double, a double, b double"
+        found = spark.range(0, units, 1, units).mapInArrow(one_run, fields).toArrow().sort_by("pair").to_pylist()
+        sigmoids = spark.range(0, len(pairs), 1, len(pairs)).mapInArrow(one_sigmoid, "pair long, a double, b double").toArrow().sort_by("pair").to_pylist()
+    system, path = opened(folder)
+    system.delete_dir(path)
+    support = np.unique(np.concatenate([np.array(f["rows"], np.int64) for f in found])) if found else np.zeros(0, np.int64)
+    weights = np.zeros((len(pairs), len(support)))
+    for at, f in enumerate(found):
+        weights[at, np.searchsorted(support, f["rows"])] = f["w"]
+    return KernelMachine(
+        gamma, len(counts), values.take(support), np.array(pairs, np.int64).reshape(-1, 2), weights, np.array([f["bias"] for f in found]),
+        np.array([[s["a"], s["b"]] for s in sigmoids]).reshape(-1, 2),
+    )
+
+
+def _stored_gamma(spark: SparkSession, values: Blocks) -> float:
+    """1 over the number of features times the variance of all values."""
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                own = values.block(at)
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.float64()) for v in (own.size, own.mean(), own.var())], ["n", "mean", "var"])
+
+    files = len(values.names)
+    found = spark.range(0, files, 1, files).mapInArrow(moments, "n double, mean double, var double").toArrow()
+    n, mean, var = (found.column(c).to_numpy() for c in ("n", "mean", "var"))
+    variance = float((n * (var + (mean - (n * mean).sum() / n.sum()) ** 2)).sum() / n.sum())
+    return 1.0 / (values.width * variance) if variance > 0 else 1.0
+
+
 _PAIR = pa.schema(
     [("pair", pa.int64()), ("rows", pa.list_(pa.int64())), ("w", pa.list_(pa.float64())), ("bias", pa.float64()), ("a", pa.float64()), ("b", pa.float64())]
 )

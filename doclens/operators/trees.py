@@ -1,10 +1,12 @@
 """Tree ensembles on binned features: boosting of all classes at once, and forests.
 
-Features are cut into bins at quantiles once, one byte per value. A fit sample is bounded (``classify.MAX_FIT_ROWS``
-rows), and so are its bins, which tasks get as a broadcast. A round of boosting is one job: every class's tree is
+Features are cut into bins at quantiles once, one byte per value. Up to ``classify.LOCAL_ROWS`` rows reach the driver and
+the tasks as a broadcast; more stay in block files of the shared folder, which tasks map into memory, and so do the
+scores of boosted rows. A round of boosting is one job: every class's tree is
 grown by a task, from the gradients and curvatures of the softmax loss that follow from the scores of the rounds before.
 A forest is one job, each tree a row. Trees grow level by level; a level takes sums per node, feature and bin, and
-the best cut of every node from them. Tuning runs one job for all parameter sets and folds.
+the best cut of every node from them. Tuning runs one job for all parameter sets and folds. A task that grows a tree
+holds its rows' numbers, some 100 bytes a row, whatever the features.
 """
 
 from __future__ import annotations
@@ -15,14 +17,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.session import DEFAULT_SEED
+from doclens.files import make_folder, opened
+from doclens.operators import blocks
+from doclens.operators.blocks import Blocks, take
+from doclens.session import DEFAULT_SEED, shared_folder, written
 
 MAX_BINS = 32
+_CHUNK = 1 << 16  # rows whose values are held at once
+_COLUMNS = 8  # features that a task cuts into bins
+_KEPT_NODES = 1 << 20  # nodes of an ensemble that a worker holds; more are read from files
 _CELLS = 1 << 22  # sums held at once while the cuts of a level are sought
 _NO_LIMIT = 1 << 30
 
@@ -34,7 +41,7 @@ _NO_LIMIT = 1 << 30
 class Sample:
     """The binned rows of a fit in an order of their own contents, so that partitions don't matter."""
 
-    bins: np.ndarray  # rows x features
+    bins: np.ndarray | Blocks  # rows x features
     labels: np.ndarray
     edges: list[np.ndarray]  # value <= edges[f][b] is bin <= b
     classes: int
@@ -44,7 +51,13 @@ class Sample:
         return max((len(e) for e in self.edges), default=0) + 1
 
     def part(self, rows: np.ndarray) -> Sample:
-        return Sample(self.bins[rows], self.labels[rows], self.edges, self.classes)
+        own = self.bins.part(rows) if isinstance(self.bins, Blocks) else self.bins[rows]
+        return Sample(own, self.labels[rows], self.edges, self.classes)
+
+    def delete(self) -> None:
+        """What the sample has in files goes; its fits stay."""
+        if isinstance(self.bins, Blocks):
+            self.bins.delete()
 
 
 def cut_points(values: np.ndarray, bins: int) -> np.ndarray:
@@ -67,10 +80,10 @@ def binned(values: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
 
 
 def sample_of(df: DataFrame, max_rows: int, bins: int = MAX_BINS) -> Sample:
-    """The rows of a fit sample; more than ``max_rows`` are an error, take ``classify.fit_sample`` first."""
+    """The rows of a fit on the driver; more than ``max_rows`` are an error, ``stored_sample`` takes any number."""
     rows = df.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y")).limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        raise ValueError(f"a fit takes at most {max_rows} rows: sample them with fit_sample")
+        raise ValueError(f"a fit on the driver takes at most {max_rows} rows: take stored_sample")
     labels = rows.column("y").to_numpy()
     values = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(labels), -1) if len(labels) else np.zeros((0, 0))
     order = np.lexsort((labels, [zlib.crc32(v.tobytes()) for v in values]))
@@ -79,6 +92,29 @@ def sample_of(df: DataFrame, max_rows: int, bins: int = MAX_BINS) -> Sample:
     return Sample(binned(values, edges), labels, edges, int(labels.max()) + 1 if len(labels) else 0)
 
 
+def stored_sample(df: DataFrame, bins: int = MAX_BINS) -> Sample:
+    """All rows of ``df``, their bins in block files; edges are exact, each from all values of its feature."""
+    spark = df.sparkSession
+    values, labels = blocks.stored(df)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                first, last = at * _COLUMNS, min((at + 1) * _COLUMNS, values.width)
+                columns = np.empty((last - first, len(values)))
+                for row, block in values.pieces(0, len(values)):
+                    columns[:, row : row + len(block)] = block[:, first:last].T
+                found = [cut_points(column, bins).tolist() for column in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, last), pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["feature", "edges"])
+
+    units = -(-values.width // _COLUMNS)
+    found = spark.range(0, units, 1, units).mapInArrow(cut, "feature long, edges array<double>").toArrow().sort_by("feature")
+    edges = [np.array(e) for e in found.column("edges").to_pylist()]
+    cells = values.mapped_to(spark, "bins", "uint8", lambda block: binned(block, edges))
+    values.delete()
+    return Sample(cells, labels, edges, int(labels.max()) + 1)
+
+
 # -- one tree ---------------------------------------------------------------------------
 
 
@@ -93,7 +129,7 @@ class Tree:
     count: np.ndarray
     depth: np.ndarray
 
-    def leaves(self, bins: np.ndarray, max_depth: int = _NO_LIMIT, min_split: int = 0) -> np.ndarray:
+    def leaves(self, bins: np.ndarray | Blocks, max_depth: int = _NO_LIMIT, min_split: int = 0) -> np.ndarray:
         """The node at which each row ends; a limit below the tree's own cuts it."""
         node = np.zeros(len(bins), np.int64)
         inner = (self.feature >= 0) & (self.depth < max_depth) & (self.count >= min_split)
@@ -102,14 +138,14 @@ class Tree:
             if not len(going):
                 return node
             at = node[going]
-            node[going] = self.left[at] + (bins[going, self.feature[at]] > self.cut[at])
+            node[going] = self.left[at] + (take(bins, going, self.feature[at]) > self.cut[at])
 
 
 Score = Callable[[np.ndarray], np.ndarray]
 
 
 def grow(
-    bins: np.ndarray,
+    bins: np.ndarray | Blocks,
     stats: np.ndarray,
     inside: np.ndarray,
     width: int,
@@ -168,7 +204,7 @@ def grow(
             depth += [level + 1, level + 1]
         moving = children[own] >= 0
         rows, own = rows[moving], own[moving]
-        at = children[own] + (bins[rows, best[own, 0]] > best[own, 1])
+        at = children[own] + (take(bins, rows, best[own, 0]) > best[own, 1])
         new = len(feature) - len(sums)
         first = len(sums)
         sums += list(np.stack([np.bincount(at - first, stats[rows, c], new) for c in range(stats.shape[1])], 1))
@@ -182,24 +218,29 @@ def _histograms(bins, stats, rows, node, candidates, width) -> tuple[np.ndarray,
     """Sums and numbers of rows of each (node, candidate, bin).
 
     Candidates that all nodes share are counted one by one, from arrays that stay in the processor's cache. Either way a
-    cell's rows are added in their order, so the sums are the same to the last bit.
+    cell's rows are added in their order, so the sums are the same to the last bit. Rows are taken in chunks.
     """
     nodes, m = candidates.shape
-    own = [np.ascontiguousarray(stats[rows, c]) for c in range(stats.shape[1])]
-    counted = [bool((values == 1.0).all()) for values in own]  # a sum of ones is the number of rows
-    if (candidates == candidates[0]).all():
-        first, columns = node * width, np.ascontiguousarray(bins[rows].T)
-        sums, counts = np.empty((nodes, m, width, len(own))), np.empty((nodes, m, width), np.int64)
-        for at, feature in enumerate(candidates[0].tolist()):
-            key = first + columns[feature]
-            counts[:, at] = np.bincount(key, minlength=nodes * width).reshape(nodes, width)
+    counted = [bool((stats[rows, c] == 1.0).all()) for c in range(stats.shape[1])]  # a sum of ones is the number of rows
+    shared = (candidates == candidates[0]).all()
+    sums, counts = np.zeros((nodes, m, width, len(counted))), np.zeros((nodes, m, width), np.int64)
+    for start in range(0, len(rows), _CHUNK):
+        some, at = rows[start : start + _CHUNK], node[start : start + _CHUNK]
+        own = [np.ascontiguousarray(stats[some, c]) for c in range(len(counted))]
+        if shared:
+            first, columns = at * width, np.ascontiguousarray(take(bins, some).T)
+            for slot, feature in enumerate(candidates[0].tolist()):
+                key = first + columns[feature]
+                counts[:, slot] += (number := np.bincount(key, minlength=nodes * width).reshape(nodes, width))
+                for c, values in enumerate(own):
+                    sums[:, slot, :, c] += number if counted[c] else np.bincount(key, values, nodes * width).reshape(nodes, width)
+        else:
+            key = ((at[:, None] * m + np.arange(m)) * width + take(bins, some, candidates[at])).ravel()
+            size, shape = nodes * m * width, (nodes, m, width)
+            counts += np.bincount(key, minlength=size).reshape(shape)
             for c, values in enumerate(own):
-                sums[:, at, :, c] = counts[:, at] if counted[c] else np.bincount(key, values, nodes * width).reshape(nodes, width)
-        return sums, counts
-    key = ((node[:, None] * m + np.arange(m)) * width + bins[rows[:, None], candidates[node]]).ravel()
-    size, shape = nodes * m * width, (nodes, m, width)
-    sums = np.stack([np.bincount(key, np.repeat(values, m), size).reshape(shape) for values in own], -1)
-    return sums, np.bincount(key, minlength=size).reshape(shape)
+                sums[..., c] += np.bincount(key, np.repeat(values, m), size).reshape(shape)
+    return sums, counts
 
 
 def _gains(bins, stats, rows, node, candidates, width, score, allowed, min_leaf) -> np.ndarray:
@@ -227,6 +268,16 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return grown / grown.sum(1, keepdims=True)
 
 
+def _shares(scores: np.ndarray | list[np.ndarray], label: int) -> np.ndarray:
+    """The probability of ``label`` in each row of the scores, which are a matrix or a list of its columns."""
+    rows = len(scores) if isinstance(scores, np.ndarray) else len(scores[0])
+    out = np.empty(rows)
+    for at in range(0, rows, _CHUNK):
+        some = slice(at, at + _CHUNK)
+        out[some] = softmax(scores[some] if isinstance(scores, np.ndarray) else np.stack([s[some] for s in scores], 1))[:, label]
+    return out
+
+
 @dataclass
 class Boosting:
     """Parameters of softmax boosting.
@@ -254,7 +305,7 @@ class Boosting:
         counts = np.bincount(sample.labels, minlength=sample.classes)
         return np.log(np.maximum(counts, 1e-9) / max(len(sample.labels), 1))
 
-    def tree(self, sample: Sample, scores: np.ndarray, number: int, label: int) -> tuple[Tree, np.ndarray]:
+    def tree(self, sample: Sample, scores: np.ndarray | list[np.ndarray], number: int, label: int) -> tuple[Tree, np.ndarray]:
         """The tree of a class in a round, and the value of each node, times the rate."""
         n, width = sample.bins.shape
         drawn = np.random.default_rng([self.seed, number])  # one draw of rows for all classes of a round
@@ -262,7 +313,7 @@ class Boosting:
         own = np.random.default_rng([self.seed, number, label])
         m = max(1, round(self.column_share * width))
         columns = np.sort(own.permutation(width)[:m]) if m < width else np.arange(width)
-        p = softmax(scores)[:, label]
+        p = _shares(scores, label)
         gradient = p - (sample.labels == label)
         if self.newton:
             curvature = np.maximum(2.0 * p * (1.0 - p), 1e-16)
@@ -288,6 +339,8 @@ class Boosting:
 
 def fit_boosting(spark: SparkSession, sample: Sample, params: Boosting) -> Ensemble:
     """One job per round; a task grows the tree of a class. Scores of the sample (rows x classes) go along."""
+    if isinstance(sample.bins, Blocks):
+        return _fit_boosting_stored(spark, sample, params)
     context = spark.sparkContext
     start = params.start(sample)
     scores = np.tile(start, (len(sample.labels), 1))
@@ -315,6 +368,35 @@ def fit_boosting(spark: SparkSession, sample: Sample, params: Boosting) -> Ensem
     return Ensemble(made, sample.classes, start.tolist(), boosted=True)
 
 
+def _fit_boosting_stored(spark: SparkSession, sample: Sample, params: Boosting) -> Ensemble:
+    """As ``fit_boosting``, but each class's scores are a file that its task reads and writes anew; only trees reach the driver."""
+    context = spark.sparkContext
+    start, folder, rows = params.start(sample), sample.bins.folder, len(sample.labels)
+    shared = context.broadcast(sample)
+    classes = spark.range(0, sample.classes, 1, max(1, sample.classes))
+    made: list[_Nodes] = []
+    for number in range(params.rounds):
+
+        def one_round(batches: Iterator[pa.RecordBatch], number=number) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            if number:
+                scores = [blocks.mapped(f"{folder}/scores-{number}-{c}", "float64", (rows,)) for c in range(known.classes)]
+            else:
+                scores = [np.broadcast_to(s, rows) for s in start]
+            for batch in batches:
+                for label in batch.column("id").to_pylist():
+                    tree, value = params.tree(known, scores, number, label)
+                    blocks.write(folder, f"scores-{number + 1}-{label}", scores[label] + value[tree.leaves(known.bins)])
+                    yield pa.RecordBatch.from_pylist([{"label": label, **_row(_nodes(tree, value[:, None], known.edges))}], schema=_TREE)
+
+        made += [_from_row(r) for r in classes.mapInArrow(one_round, f"label long, {_NODES_SQL}").toArrow().sort_by("label").to_pylist()]
+        system, path = opened(folder)
+        for c in range(sample.classes if number else 0):
+            system.delete_file(f"{path}/scores-{number}-{c}")
+    shared.destroy()
+    return Ensemble(made, sample.classes, start.tolist(), boosted=True)
+
+
 # -- forests ------------------------------------------------------------------------------
 
 
@@ -368,6 +450,11 @@ def fit_forest(spark: SparkSession, sample: Sample, params: Forest) -> Ensemble:
                 tree = params.tree(shared.value, number)
                 yield pa.RecordBatch.from_pylist([{"label": number, **_row(_nodes(tree, shares(tree), shared.value.edges))}], schema=_TREE)
 
+    if isinstance(sample.bins, Blocks):
+        numbers = spark.range(0, params.trees, 1, max(1, params.trees))
+        grown = written(numbers.mapInArrow(some, f"label long, {_NODES_SQL}"), "trees")
+        shared.destroy()
+        return Ensemble.of(grown, sample.classes, [], boosted=False)
     numbers = spark.range(0, params.trees, 1, max(1, min(params.trees, 2 * context.defaultParallelism)))
     rows = numbers.mapInArrow(some, f"label long, {_NODES_SQL}").toArrow().sort_by("label")
     shared.destroy()
@@ -411,13 +498,48 @@ def _from_row(row: dict) -> _Nodes:
 
 @dataclass
 class Ensemble:
-    """A fitted ensemble. Boosted trees come round by round, a tree per class in each."""
+    """A fitted ensemble. Boosted trees come round by round, a tree per class in each.
+
+    Trees of very many nodes are files, which workers map into memory: ``files`` is their folder and the nodes and leaves of each.
+    """
 
     trees: list[_Nodes]
     classes: int
     start: list[float]
     boosted: bool
     _joined: tuple | None = field(default=None, repr=False)
+    files: tuple[str, list[tuple[int, int]]] | None = None
+
+    @staticmethod
+    def of(rows: DataFrame, classes: int, start: list[float], boosted: bool) -> Ensemble:
+        """The ensemble whose trees are the rows of a written table."""
+        if (rows.agg(F.sum(F.size("feature"))).first()[0] or 0) <= _KEPT_NODES:
+            return Ensemble([_from_row(r) for r in rows.toArrow().sort_by("label").to_pylist()], classes, start, boosted)
+        folder = shared_folder(rows.sparkSession, "ensemble")
+        make_folder(folder)
+
+        def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, label in enumerate(batch.column("label").to_pylist()):
+                    feature, threshold, left, value = (batch.column(n)[at].values.to_numpy() for n in ("feature", "threshold", "left", "value"))
+                    leaf = feature < 0
+                    values = value.reshape(len(feature), -1)[leaf]
+                    places = np.where(leaf, np.cumsum(leaf) - 1, left).astype(np.int32)
+                    whole = b"".join(np.ascontiguousarray(x).tobytes() for x in (threshold, values, feature.astype(np.int32), places))
+                    blocks.write(folder, f"tree-{label}", np.frombuffer(whole, np.uint8))
+                    yield pa.RecordBatch.from_pylist([{"label": label, "nodes": len(feature), "leaves": len(values)}])
+
+        made = rows.mapInArrow(lay_out, "label long, nodes long, leaves long").toArrow().sort_by("label")
+        return Ensemble([], classes, start, boosted, files=(folder, list(zip(made.column("nodes").to_pylist(), made.column("leaves").to_pylist()))))
+
+    def _tree(self, number: int) -> tuple[np.ndarray, ...]:
+        """Feature, threshold, left child (of a leaf: its place among the values) and values of the leaves, from its file."""
+        folder, sizes = self.files
+        (nodes, leaves), width = sizes[number], 1 if self.boosted else self.classes
+        data = blocks.mapped(f"{folder}/tree-{number}", "uint8", (16 * nodes + 8 * leaves * width,))
+        threshold, values = data[: 8 * nodes].view(np.float64), data[8 * nodes : 8 * (nodes + leaves * width)].view(np.float64).reshape(leaves, width)
+        feature, left = data[-8 * nodes :].view(np.int32).reshape(2, nodes)
+        return feature, threshold, left, values
 
     def _arrays(self) -> tuple:
         """All trees end to end: roots, features, thresholds, left children (of a leaf: its place among the values), values of the leaves."""
@@ -439,6 +561,21 @@ class Ensemble:
     def raw(self, values: np.ndarray) -> np.ndarray:
         """Scores (boosted) or mean class shares of rows of feature values."""
         out = np.tile(np.array(self.start), (len(values), 1)) if self.boosted else np.zeros((len(values), self.classes))
+        if self.files:
+            for number in range(len(self.files[1])):
+                feature, threshold, left, value = self._tree(number)
+                node = np.zeros(len(values), np.int64)
+                going = np.flatnonzero(feature[node] >= 0)
+                while len(going):
+                    at = node[going]
+                    at = left[at] + (values[going, feature[at]] > threshold[at])
+                    node[going] = at
+                    going = going[feature[at] >= 0]
+                if self.boosted:
+                    out[:, number % self.classes] += value[left[node], 0]
+                else:
+                    out += value[left[node]]
+            return out if self.boosted else out / len(self.files[1])
         if not self.trees and self._joined is None:
             return out
         roots, feature, threshold, left, value = self._arrays()
@@ -469,7 +606,7 @@ class Ensemble:
         """Class probabilities of the feature vector; executors get the trees once."""
         # a worker holds the joined arrays, not the trees as well
         joined = self._arrays() if self.trees else None
-        model = spark.sparkContext.broadcast(Ensemble([], self.classes, self.start, self.boosted, joined))
+        model = spark.sparkContext.broadcast(Ensemble([], self.classes, self.start, self.boosted, joined, self.files))
 
         @F.arrow_udf("array<double>")
         def probabilities(column: pa.Array) -> pa.Array:
@@ -481,13 +618,27 @@ class Ensemble:
         return probabilities(vector_to_array(features))
 
     def save(self, spark: SparkSession, path: str) -> None:
+        if self.files:
+            trees = len(self.files[1])
+            spark.range(0, trees, 1, trees).mapInArrow(self._read_back, f"label long, {_NODES_SQL}").write.mode("overwrite").parquet(path)
+            return
         rows = pa.Table.from_pylist([{"label": i, **_row(t)} for i, t in enumerate(self.trees)], schema=_TREE)
         spark.createDataFrame(rows).write.mode("overwrite").parquet(path)
 
+    def _read_back(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Trees from their files; inner nodes have zeros as values, which are not used."""
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                feature, threshold, left, leaves = self._tree(number)
+                leaf = feature < 0
+                value = np.zeros((len(feature), leaves.shape[1]))
+                value[leaf] = leaves
+                nodes = _Nodes(feature, threshold, np.where(leaf, 0, left), value)
+                yield pa.RecordBatch.from_pylist([{"label": number, **_row(nodes)}], schema=_TREE)
+
     @staticmethod
     def load(spark: SparkSession, path: str, classes: int, start: list[float], boosted: bool) -> Ensemble:
-        rows = spark.read.parquet(path).toArrow().sort_by("label").to_pylist()
-        return Ensemble([_from_row(r) for r in rows], classes, start, boosted)
+        return Ensemble.of(spark.read.parquet(path), classes, start, boosted)
 
 
 # -- tuning -----------------------------------------------------------------------------------
@@ -505,7 +656,7 @@ def macro_f1(labels: np.ndarray, predicted: np.ndarray) -> float:
 def _dealt(sample: Sample, folds: int, seed: int) -> np.ndarray:
     """The fold of each row: the rows of a class are dealt round in a seeded order."""
     order = np.lexsort((np.random.default_rng(seed).random(len(sample.labels)), sample.labels))
-    fold = np.empty(len(order), np.int64)
+    fold = np.empty(len(order), np.int8)
     firsts = np.searchsorted(sample.labels[order], sample.labels[order])
     fold[order] = (np.arange(len(order)) - firsts) % folds
     return fold
@@ -537,7 +688,7 @@ def tune_boosting(spark: SparkSession, sample: Sample, grid: list[dict], base: B
                         tree, value = params.tree(training, scores, number, label)
                         gained[:, label] = value[tree.leaves(training.bins)]
                         tested[:, label] += value[tree.leaves(held.bins)]
-                    scores = scores + gained
+                    scores += gained
                     found += [(n, macro_f1(held.labels, tested.argmax(1))) for n, r in wanted.items() if r == number + 1]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], ["set", "f1"])
 
@@ -554,7 +705,10 @@ def tune_forest(spark: SparkSession, sample: Sample, grid: list[dict], base: For
     grown = Forest(**{**vars(base), "depth": None if deepest == _NO_LIMIT else deepest, "min_split": least})
     chunks = -(-trees // chunk)
     stops = {s.trees for s in sets}
+    uptos = sorted(stops | {min(trees, (part + 1) * chunk) for part in range(chunks)})
     shared = spark.sparkContext.broadcast((sample, fold))
+    folder = shared_folder(spark, "votes")
+    make_folder(folder)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, of = shared.value
@@ -568,24 +722,39 @@ def tune_forest(spark: SparkSession, sample: Sample, grid: list[dict], base: For
                     share = shares(tree)
                     for at, (depth, split) in enumerate(cuts):
                         votes[at] += share[tree.leaves(held.bins, depth, split)]
-                    if tree_number + 1 in stops or tree_number + 1 == min(trees, (part + 1) * chunk):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([number], pa.int64()), pa.array([tree_number + 1], pa.int64()), pa.array([votes.astype(np.float32).tobytes()], pa.binary())],
-                            ["fold", "upto", "votes"],
-                        )
+                    if tree_number + 1 in uptos:
+                        blocks.write(folder, f"{number}-{tree_number + 1}", votes.astype(np.float32))
                         votes[:] = 0
+            yield pa.RecordBatch.from_arrays([batch.column("id")], ["id"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, of = shared.value
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                labels = whole.labels[of == number]
+                files = [blocks.mapped(f"{folder}/{number}-{upto}", "float32", (len(cuts), len(labels), whole.classes)) for upto in uptos]
+                predicted = {upto: np.zeros((len(cuts), len(labels)), np.int32) for upto in stops}
+                for begin in range(0, len(labels), _CHUNK):
+                    some = slice(begin, begin + _CHUNK)
+                    total = np.zeros((len(cuts), len(labels[some]), whole.classes))
+                    for upto, votes in zip(uptos, files):
+                        total += votes[:, some]
+                        if upto in stops:
+                            predicted[upto][:, some] = total.argmax(-1)
+                for upto in predicted:
+                    found = [macro_f1(labels, own) for own in predicted[upto]]
+                    columns = [pa.array([upto] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int64()), pa.array(found, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["upto", "cut", "f1"])
 
     units = chunks * folds
-    dealt = spark.range(0, units, 1, units).mapInArrow(vote, "fold long, upto long, votes binary").toArrow().sort_by([("fold", "ascending"), ("upto", "ascending")])
+    spark.range(0, units, 1, units).mapInArrow(vote, "id long").count()
+    counted = spark.range(0, folds, 1, folds).mapInArrow(count, "upto long, cut long, f1 double").toArrow().to_pylist()
     shared.destroy()
+    system, path = opened(folder)
+    system.delete_dir(path)
     found: dict[tuple, list[float]] = {}
-    for number in range(folds):
-        labels = sample.labels[fold == number]
-        total = np.zeros((len(cuts), len(labels), sample.classes))
-        for row in dealt.filter(pc.equal(dealt.column("fold"), number)).to_pylist():
-            total += np.frombuffer(row["votes"], np.float32).reshape(total.shape)
-            for at, cut in enumerate(cuts):
-                found.setdefault((row["upto"], *cut), []).append(macro_f1(labels, total[at].argmax(1)))
+    for row in counted:
+        found.setdefault((row["upto"], *cuts[row["cut"]]), []).append(row["f1"])
     return [float(np.mean(found[s.trees, _NO_LIMIT if s.depth is None else s.depth, s.min_split])) for s in sets]
 
 

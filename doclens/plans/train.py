@@ -275,7 +275,7 @@ def prepare_training(
 
 def fit_prepared(
     data: TrainingData, model_type: str = "logistic", calibrate: bool = True, tune: bool = True,
-    max_fit_rows: int = classify.MAX_FIT_ROWS, **params
+    max_fit_rows: int = classify.LOCAL_ROWS, **params
 ) -> TrainingResult:
     """Tune, fit or calibrate one model type, then predict the test split and the holdout.
 
