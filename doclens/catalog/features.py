@@ -255,10 +255,9 @@ def _(spark, d):
     return model.long_form(docs, "text", "doc_id").withColumn("weight", F.round("weight", 6))
 
 
-# With as many dimensions as terms, embeddings have the cosines of the TF-IDF vectors they come from: each document's
-# with the one of the smallest id that has a term.
-_FULL_TERMS = 32
-_FULL_COSINES = _SQL_TFIDF.replace(f"LIMIT {lx.TFIDF_MAX_TERMS}", f"LIMIT {_FULL_TERMS}").replace(
+# Cosines of the documents' TF-IDF vectors with the one of the smallest id that has a term: what the embeddings keep of
+# them and what lies outside the basis make up the whole.
+_COSINES = _SQL_TFIDF.replace(
     "SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weighted",
     """, unit AS MATERIALIZED (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM weighted),
     first AS (SELECT term, w AS v FROM unit WHERE doc_id = (SELECT min(doc_id) FROM unit))
@@ -267,16 +266,21 @@ _FULL_COSINES = _SQL_TFIDF.replace(f"LIMIT {lx.TFIDF_MAX_TERMS}", f"LIMIT {_FULL
 )
 
 
-@query("embed_documents_semantic", _FULL_COSINES)
+_FIRST_DOCUMENTS = 1000
+
+
+@query("embed_documents_semantic", _COSINES)
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    model = semantic.fit_semantic(docs, "text", dims=_FULL_TERMS, max_terms=_FULL_TERMS)
-    embedded = model.transform(docs, "text").select("doc_id", F.col("embedding").cast("array<double>").alias("e"))
-    embedded = written(embedded, "embedded")  # read for the first document and for all
-    some = embedded.filter(F.exists("e", lambda x: x != 0)).orderBy("doc_id").limit(1).collect()
-    first = F.array(*[F.lit(x) for x in (some[0]["e"] if some else [0.0] * _FULL_TERMS)])
-    product = F.aggregate(F.zip_with("e", first, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return embedded.select("doc_id", (F.round(product, 3) + 0.0).alias("cosine"))
+    model = semantic.fit_semantic(docs, "text")
+    first = []
+    for some in (docs.orderBy("doc_id").limit(_FIRST_DOCUMENTS), docs):  # the first document that has a term is likely among the first
+        if model.tfidf.terms and not first:
+            weighted = model.tfidf.transform(some, "text", "v").select("doc_id", F.unwrap_udt("v").alias("v"))
+            first = weighted.filter(F.exists("v.values", lambda x: x != 0)).orderBy("doc_id").limit(1).collect()
+    weights = dict(zip(first[0]["v"]["indices"], first[0]["v"]["values"])) if first else {}
+    embedded = model.transform(docs, "text", cosine="cosine", to=weights)
+    return embedded.select("doc_id", (F.round("cosine", 3) + 0.0).alias("cosine"))
 
 
 # documents with a term have unit length, others are zero

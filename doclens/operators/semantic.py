@@ -94,15 +94,24 @@ class SemanticModel:
     singular: np.ndarray
     residual: float = 0.0
 
-    def transform(self, df: DataFrame, text_column: str = "resume_text", output: str = "embedding") -> DataFrame:
-        """Add the unit-length ``array<float>`` embedding; zeros for a text that has no term. Narrow: one pass."""
-        names = [c for c in df.columns if c != output]
+    def transform(self, df: DataFrame, text_column: str = "resume_text", output: str = "embedding", cosine: str | None = None, to: dict[int, float] | None = None) -> DataFrame:
+        """Add the unit-length ``array<float>`` embedding; zeros for a text that has no term. Narrow: one pass.
+
+        ``cosine`` names one more column: the cosine of the text's TF-IDF vector with the unit vector ``to`` (weights by terms'
+        positions): the part that lies inside the basis, from the dimensions of both, and the part outside.
+        """
+        names = [c for c in df.columns if c not in (output, cosine)]
         if not self.tfidf.terms:
-            return df.select(*names, F.array_repeat(F.lit(0.0).cast("float"), self.basis.shape[1]).alias(output))
-        shared = df.sparkSession.sparkContext.broadcast(self.basis)
+            empty = [F.lit(0.0).alias(cosine)] if cosine else []
+            return df.select(*names, F.array_repeat(F.lit(0.0).cast("float"), self.basis.shape[1]).alias(output), *empty)
+        other = np.zeros(len(self.basis))
+        for position, weight in (to or {}).items():
+            other[position] = weight
+        inside = other @ self.basis
+        shared = df.sparkSession.sparkContext.broadcast((self.basis, inside, other - self.basis @ inside))
 
         def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            basis = shared.value
+            basis, inside, outside = shared.value
             for batch in batches:
                 for at, to, terms, dense in _blocks(batch.column("_tfidf")):
                     found = dense @ basis[terms]
@@ -110,13 +119,14 @@ class SemanticModel:
                     unit = (found / np.where(norms == 0, 1.0, norms)).astype(np.float32)
                     offsets = pa.array(np.arange(to - at + 1, dtype=np.int32) * basis.shape[1])
                     part = batch.slice(at, to - at)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(part.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))], [*names, output]
-                    )
+                    columns = [*(part.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))]
+                    if cosine:
+                        columns.append(pa.array(found @ inside + dense @ outside[terms]))
+                    yield pa.RecordBatch.from_arrays(columns, [*names, output, *([cosine] if cosine else [])])
 
         kept = _sparse_rows(self.tfidf, df, text_column).select(*names, "_tfidf")
-        schema = T.StructType([*df.select(*names).schema.fields, T.StructField(output, T.ArrayType(T.FloatType()))])
-        return kept.mapInArrow(embed, schema)
+        added = [T.StructField(output, T.ArrayType(T.FloatType())), *([T.StructField(cosine, T.DoubleType())] if cosine else [])]
+        return kept.mapInArrow(embed, T.StructType([*df.select(*names).schema.fields, *added]))
 
     def save(self, spark: SparkSession, path: str) -> str:
         words, dims = self.tfidf.stop_words, self.basis.shape[1]

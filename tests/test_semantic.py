@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from doclens import catalog
 from doclens.operators import semantic
 
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
@@ -60,3 +61,24 @@ def test_odd_tables(spark):
     out = model.transform(docs, "text").withColumn("n", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).orderBy("doc_id").collect()
     assert [round(r["n"], 5) for r in out] == [1, 1, 0, 0, 1, 1]  # the column of that name is replaced
     assert out[0]["embedding"] == out[1]["embedding"] and len(out[0]["embedding"]) == 8
+
+
+def test_cosine_with_a_vector_is_whole_whatever_the_dimensions(spark):
+    docs = spark.read.parquet(DOCUMENTS)
+    for dims in (4, 40):
+        model = semantic.fit_semantic(docs, "text", dims=dims, rounds=2, max_terms=40)
+        matrix = _dense(model, docs)
+        first = matrix[np.flatnonzero(matrix.any(1))[0]]
+        rows = model.transform(docs, "text", cosine="c", to=dict(enumerate(first))).orderBy("doc_id").collect()
+        assert np.allclose([r["c"] for r in rows], matrix @ first, atol=1e-9)
+        assert len(rows[0]["embedding"]) == dims and rows[0].asDict().keys() == {*docs.columns, "embedding", "c"}
+
+
+def test_query_takes_the_whole_vocabulary(spark, monkeypatch):
+    """It took 32 terms of 8,000, and as many dimensions."""
+    fits = []
+    fit = semantic.fit_semantic
+    monkeypatch.setattr(semantic, "fit_semantic", lambda *a, **b: fits.append(fit(*a, **b)) or fits[-1])
+    rows = catalog.load()[0]["embed_documents_semantic"](spark, DOCUMENTS.rpartition("/")[0]).collect()
+    words = semantic.vectors.fit_tfidf(spark.read.parquet(DOCUMENTS), "text")
+    assert len(rows) == spark.read.parquet(DOCUMENTS).count() and fits[0].basis.shape[1] == 384 and fits[0].tfidf == words and len(words.terms) > 1000
