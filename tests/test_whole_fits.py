@@ -138,8 +138,9 @@ def test_no_fit_sees_a_sample(spark, monkeypatch):
     fit = classify.fit_classifier
     monkeypatch.setattr(classify, "fit_classifier", lambda df, *a, **b: seen.append(df.count()) or fit(df, *a, **b))
     data = train.TrainingData(train.FeaturePlan(), ["a", "b", "c"], rows.withColumn("is_test", F.col("doc_id") >= n - 10), "doc_id", {"holdout_size": 0})
+    train.fit_prepared(data, calibrate=False, tune=False, max_iter=2)
     monkeypatch.setattr(classification, "_embedded", lambda spark, d: data.rows.withColumnRenamed("doc_id", "vec_id"))
     classification._fit_and_score(spark, "", "logistic")
     monkeypatch.setattr(classify, "tune", lambda df, *a, **b: seen.append(df.count()) or ({}, [({}, 1.0)]))
     classification._tuned(spark, "", "xgboost")
-    assert seen == [n - 10] * 2
+    assert seen == [n - 10] * 3
