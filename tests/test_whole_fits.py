@@ -144,3 +144,10 @@ def test_no_fit_sees_a_sample(spark, monkeypatch):
     monkeypatch.setattr(classify, "tune", lambda df, *a, **b: seen.append(df.count()) or ({}, [({}, 1.0)]))
     classification._tuned(spark, "", "xgboost")
     assert seen == [n - 10] * 3
+
+
+def test_larger_fits_take_all_cores(spark):
+    """50,000 rows were fitted and scored in 3 tasks, however many cores there are."""
+    assert classify.fit_tasks(spark, 0) == classify.fit_tasks(spark, 20_000) == 1
+    assert classify.fit_tasks(spark, 50_000) == spark.sparkContext.defaultParallelism
+    assert classify.fit_tasks(spark, 2_000_000) == 100
